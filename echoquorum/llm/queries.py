@@ -25,12 +25,12 @@ OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, chr(1) || 'null') AS host, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents
 ), w AS (
-  SELECT r, list_filter(regexp_split_to_array(t, '[ \\t-\\r]+'), x -> x <> '') AS ws,
+  SELECT r, list_filter(regexp_split_to_array(t, '[ \\t-\\r]+'), lambda x: x <> '') AS ws,
          string_split(t, chr(10)) AS ls,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols
   FROM d
 ), l AS (
-  SELECT r, len(ls) AS n_lines, list_filter(ls, x -> regexp_matches(x, '[^ \\t-\\r]')) AS full_ls FROM w
+  SELECT r, len(ls) AS n_lines, list_filter(ls, lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS full_ls FROM w
 ), runs AS (
   SELECT r, i, list_slice(ws, i, i + 7) AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)
 ), hit AS (
