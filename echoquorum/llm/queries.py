@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, lines, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -32,6 +37,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_lines": op3_lines,
     "op4_simhash": op4_simhash,
     "op7_quality": op7_quality,
 }
@@ -113,4 +119,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
-ORACLE = {"op2_decontaminate": OP2_SQL, "op7_quality": OP7_SQL}
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d
+), k AS (
+  SELECT r, pos, line, translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), gone AS (
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+), j AS (
+  SELECT r, count(*) AS n_lines, count(gone.key) AS n_dropped,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (gone.key IS NULL) AS kept
+  FROM k LEFT JOIN gone USING (key) GROUP BY r
+)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN j USING (r)
+"""
+
+ORACLE = {"op2_decontaminate": OP2_SQL, "op3_lines": OP3_SQL, "op7_quality": OP7_SQL}
