@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, quality, simhash
+from . import decontaminate, lines, mixing, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,28 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+#: Target weights of the mixture query, by path in the tree; a path that isn't named weighs 1.
+WEIGHTS = {
+    "d0": 5, "d1": 3, "d2": 2, "d3": 2,
+    "d0/en": 6, "d0/de": 2, "d1/en": 3, "d2/fr": 2, "d3/es": 4,
+    "d0/en/src0": 2, "d1/en/src0": 2, "d2/en/src0": 3, "d3/en/src0": 2,
+}
+MIX_SEED, MIX_EPOCHS = 17, 2
+
+
+def domain_of(source):
+    """The corpus names no domains; sources are dealt into four by the first digit of their name's MD5."""
+    digit = F.conv(F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 1), 16, 10).cast("int")
+    return F.concat(F.lit("d"), (digit % 4).cast("string"))
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(
+        table(spark, sf_dir, "documents"), WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED, domain=domain_of(F.col("source"))
+    )
+    return out.select(F.col("id").cast("long").alias("doc_id"), "domain", "lang", "source", F.col("tokens").alias("n_tokens"), "copies")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return judged.select(
@@ -35,11 +57,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
     "op3_lines": op3_lines,
     "op4_simhash": op4_simhash,
     "op7_quality": op7_quality,
+    "op8_shards": op8_shards,
 }
 
 _RULES = quality.Rules()
@@ -137,4 +166,101 @@ WITH d AS (
 SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN j USING (r)
 """
 
-ORACLE = {"op2_decontaminate": OP2_SQL, "op3_lines": OP3_SQL, "op7_quality": OP7_SQL}
+
+
+def _fill_sql(source: str, parent: str, name: str) -> str:
+    """SQL for ``mixing.fill`` over rows with budget, weight and cap."""
+    part = lambda w: f"(rest_b::HUGEINT * ({w})) // greatest(rest_w, 1)"
+    order = f"PARTITION BY {parent} ORDER BY CASE WHEN weight > 0 THEN cap::DOUBLE / weight END NULLS LAST, {name} NULLS FIRST"
+    return f"""
+      SELECT *, CASE WHEN is_full THEN cap ELSE ({part("to_w")} - {part("to_w - weight")})::BIGINT END AS share FROM (
+        SELECT *, greatest(budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (PARTITION BY {parent}), 0), 0)::BIGINT AS rest_b,
+               coalesce(sum(CASE WHEN NOT is_full THEN weight END) OVER (PARTITION BY {parent}), 0)::BIGINT AS rest_w,
+               sum(CASE WHEN NOT is_full THEN weight ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING)::BIGINT AS to_w
+        FROM (SELECT *, cap::HUGEINT * w_left <= b_left * weight AS is_full FROM (
+            SELECT *, sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS w_left,
+                   greatest(budget - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::HUGEINT AS b_left
+            FROM {source})))"""
+
+
+OP1_SQL = f"""
+WITH weights(path, w) AS (VALUES {", ".join(f"('{p}', {w})" for p, w in sorted(WEIGHTS.items()))}),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS id,
+         'd' || ((('0x' || substr(md5(coalesce(source, '')), 1, 1))::INT) % 4)::VARCHAR AS domain,
+         coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT AS tokens
+  FROM documents
+), rows_ AS (
+  SELECT * FROM docs WHERE tokens > 0
+), leaves AS (
+  SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, {MIX_EPOCHS} * sum(tokens)::BIGINT AS cap FROM rows_ GROUP BY ALL
+), langs AS (
+  SELECT domain, lang, sum(cap)::BIGINT AS cap FROM leaves GROUP BY ALL
+), domains AS (
+  SELECT domain, sum(cap)::BIGINT AS cap, (SELECT sum(tokens) FROM leaves)::BIGINT AS budget, coalesce(any_value(w), 1)::BIGINT AS weight, 0 AS root
+  FROM langs LEFT JOIN weights ON path = domain GROUP BY domain
+), d_share AS ({_fill_sql("domains", "root", "domain")}
+), l_in AS (
+  SELECT langs.domain, lang, langs.cap, d_share.share AS budget, coalesce(w, 1)::BIGINT AS weight
+  FROM langs JOIN d_share USING (domain) LEFT JOIN weights ON path = langs.domain || '/' || lang
+), l_share AS ({_fill_sql("l_in", "domain", "lang")}
+), s_in AS (
+  SELECT leaves.domain, leaves.lang, source, tokens, leaves.cap, l_share.share AS budget, coalesce(w, 1)::BIGINT AS weight
+  FROM leaves JOIN l_share USING (domain, lang) LEFT JOIN weights ON path = leaves.domain || '/' || leaves.lang || '/' || source
+), s_share AS ({_fill_sql("s_in", "domain, lang", "source")}
+), ordered AS (
+  SELECT rows_.*, share // s.tokens AS epochs, share % s.tokens AS rest,
+         md5('{MIX_SEED}:' || (share // s.tokens)::VARCHAR || ':' || id) AS o
+  FROM rows_ JOIN s_share s USING (domain, lang, source)
+), upto AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY o, id, r ROWS UNBOUNDED PRECEDING) AS c FROM ordered
+)
+SELECT doc_id, domain, lang, source, tokens AS n_tokens, (epochs + CASE WHEN c <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM upto WHERE epochs + CASE WHEN c <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, by the reflected polynomial 0xEDB88320."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+OP8_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, (strlen(coalesce(text, '')) + 8)::BIGINT AS size FROM documents
+), crc AS (
+  SELECT r, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, 2 * (size - 8) + 1, 2),
+                  lambda i: (16 * (strpos('0123456789ABCDEF', substr(h, i, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)::UBIGINT)),
+                lambda c, b: xor(c >> 8, list_extract({_crc_table()}::UBIGINT[], ((xor(c, b) & 255) + 1)::BIGINT))), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM (SELECT r, size, hex(encode(t)) AS h FROM d)
+), k AS (
+  SELECT d.*, text_crc32,
+         {list(sharding.hilbert_table(3, 4))}[1 + 256 * ('0x' || substr(md5(coalesce(lang, '')), 1, 1))::INT
+           + 16 * ('0x' || substr(md5(coalesce(source, '')), 1, 1))::INT + least(15, greatest(0, length(bin(size)) - 4))] AS cell,
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || text_crc32::VARCHAR) AS o
+  FROM d JOIN crc USING (r)
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY cell, o, doc_id NULLS FIRST, size, text_crc32) - 1 AS rank, count(*) OVER () AS n FROM k
+), c AS (
+  SELECT *, n // 24 AS base, (n % 24) * (n // 24 + 1) AS first FROM p
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law,
+       (CASE WHEN rank < first THEN rank // (base + 1) ELSE n % 24 + (rank - first) // greatest(base, 1) END)::INT AS shard,
+       (CASE WHEN rank < first THEN rank % (base + 1) ELSE (rank - first) % greatest(base, 1) END)::BIGINT AS slot,
+       NULL::INT AS grown_shard
+FROM c
+"""
+
+ORACLE = {
+    "op1_mix": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
+    "op3_lines": OP3_SQL,
+    "op7_quality": OP7_SQL,
+    "op8_shards": OP8_SQL,
+}
