@@ -35,9 +35,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A path, not used before, in the shared folder."""
     return f"{shared_root(spark)}/echoquorum/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Create a folder through Hadoop's file systems; its full URI."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(p)
+    return system.makeQualified(p).toUri().toString()
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

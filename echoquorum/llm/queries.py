@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, quality, sharding, simhash
+from . import decontaminate, lines, mixing, quality, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
@@ -69,6 +74,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op7_quality": op7_quality,
     "op8_shards": op8_shards,
+    "op10_warc": op10_warc,
 }
 
 _RULES = quality.Rules()
@@ -257,10 +263,25 @@ SELECT doc_id, size, text_crc32, 'rows' AS law,
 FROM c
 """
 
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (5 * g + 1)::INT, 5))::BIGINT >> (15 - 5 * k)::INT) & 31) + 1)::INT, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 ORACLE = {
     "op1_mix": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op3_lines": OP3_SQL,
     "op7_quality": OP7_SQL,
     "op8_shards": OP8_SQL,
+    "op10_warc": OP10_SQL,
 }
