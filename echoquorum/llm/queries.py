@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, quality, sharding, simhash, warc
+from . import decontaminate, lines, mixing, quality, sharding, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def word_tokenizer() -> str:
+    """The place of the tokenizer file that the token queries use."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_tokens(tokens.write_tokens(table(spark, sf_dir, "documents"), word_tokenizer()))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -72,6 +83,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_lines": op3_lines,
     "op4_simhash": op4_simhash,
+    "op6_tokens": op6_tokens,
     "op7_quality": op7_quality,
     "op8_shards": op8_shards,
     "op10_warc": op10_warc,
