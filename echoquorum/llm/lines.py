@@ -68,12 +68,14 @@ class LineRuns:
 
     def add(self, docs: DataFrame, text: str = "text") -> None:
         """Count a batch of documents and add its run."""
-        new = key_counts(docs, text, self.min_chars)
-        if self.levels:
-            new = new.join(self.settled(), HASH, "left_anti")
+        own = key_counts(docs, text, self.min_chars)
         if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._store(new))
+            self.levels.append([self._store(own)])
+        else:
+            # Counted first and joined then: else the join would be pushed below the counting, to every line.
+            own = self._store(own)
+            self.levels[0].append(self._store(own.join(self.settled(), HASH, "left_anti")))
+            drop_scratch(own)
         self._compact()
 
     def _compact(self) -> None:
