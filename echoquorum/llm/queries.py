@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, passages, quality, sharding, simhash, tokens, warc
+from . import decontaminate, edits, lines, mixing, passages, quality, sharding, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def script(text):
+    """The edits of the token-count query, for every document: an insertion, a deletion and a replacement."""
+    n = F.char_length(F.coalesce(text, F.lit("")))
+    step = lambda pos, drop, put: F.struct(pos.cast("int").alias("pos"), F.lit(drop).alias("drop"), F.lit(put).alias("put"))
+    return F.array(step(F.floor(n / 3), 0, " It's the 2nd edit,\n\n  isn't it? "), step(F.floor(n / 2), 7, ""), step(F.floor(n * 3 / 4), 5, "x1"))
+
+
+def op5_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    how = str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents")
+    counted = edits.count_tokens(docs, *how, extra={"edits": script(F.col("text"))})
+    out = edits.apply_edits(counted, *how)
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded", F.sha2("text", 256).alias("text_sha256"))
+
+
 def word_tokenizer() -> str:
     """The place of the tokenizer file that the token queries use."""
     import public_tokenizers
@@ -87,6 +104,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_lines": op3_lines,
     "op4_simhash": op4_simhash,
+    "op5_edits": op5_edits,
     "op6_tokens": op6_tokens,
     "op7_quality": op7_quality,
     "op8_shards": op8_shards,
