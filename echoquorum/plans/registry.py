@@ -1,4 +1,6 @@
 """The named queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .oracle import ORACLE
+from .queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
