@@ -5,10 +5,10 @@ that depend only on the words around them, so that a passage inside two differen
 paragraphs. Equal paragraphs are one class. Each class has a MinHash signature over its 5-word shingles, cut into bands
 that are tuned so that a pair at the threshold shares a band almost surely.
 
-Within the classes that share a band, the least one is the centre, and every other is compared with it exactly. By the
-triangle inequality of the Jaccard distance, a class that fails can only be similar to classes of the same band whose
-distance from the centre differs from its own by at most 1 - threshold; those are compared, too, unless they
-are connected already. So no group is expanded into all its pairs, and no connection between classes that share a band is lost.
+Within the classes that share a band, the least one is the centre, and every other is compared with it exactly. Where
+some fail, the group's classes that aren't connected yet are compared with each other, too, in blocks inside a task. By
+the triangle inequality of the Jaccard distance only those can be similar whose distances from the centre differ by at
+most 1 - threshold. So no group is expanded into rows of pairs, and no connection between classes that share a band is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .components import connected_components
 
 MIN_WORDS, LONG_WORDS, CUT_ONE_IN = 25, 100, 16
 SHINGLE = 5
+#: Classes of a group that one task compares with as many others, and shingles that it counts at once.
+BLOCK, COLUMNS = 1000, 4096
 #: A worker leaves out the bands and texts of paragraphs that it has just sent; so many of them are remembered.
 REMEMBERED = 200_000
 
@@ -68,12 +70,18 @@ def key(paragraph: bytes) -> tuple[int, int]:
 
 
 def shingles(paragraph: bytes) -> np.ndarray:
-    """Distinct hashes (uint64) of the 5-word shingles."""
+    """Distinct hashes (uint64) of the 5-word shingles, in order."""
     import xxhash
 
-    w = paragraph.split()
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(w[i : i + SHINGLE])) for i in range(max(1, len(w) - SHINGLE + 1))], np.uint64))
+    h, at, starts = xxhash.xxh64_intdigest, 0, [0]
+    for w in paragraph.split():
+        at += len(w) + 1
+        starts.append(at)
+    if len(starts) <= SHINGLE:
+        return np.array([h(paragraph)], np.uint64)
+    found = np.array([h(paragraph[a : b - 1]) for a, b in zip(starts, starts[SHINGLE:])], np.uint64)
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 class Signer:
@@ -91,8 +99,10 @@ class Signer:
         least = np.empty(len(self.a), np.uint64)
         step = max(1, 100_000 // len(s))
         for i in range(0, len(self.a), step):
-            v = s[:, None] * self.a[None, i : i + step] + self.b[None, i : i + step]
-            least[i : i + step] = ((v ^ (v >> np.uint64(29))) >> np.uint64(8)).min(axis=0)
+            v = self.a[i : i + step, None] * s
+            v += self.b[i : i + step, None]
+            least[i : i + step] = v.min(axis=1)
+        least >>= np.uint64(8)
         h = (least.reshape(self.bands, self.rows) * self.mix).sum(axis=1, dtype=np.uint64) + self.salt
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         return (h ^ (h >> np.uint64(32))).view(np.int64)
@@ -169,6 +179,51 @@ def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", (common / (F.size("su") + F.size("sv") - common)).alias("jaccard"))
 
 
+def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) that connect, within each group h, similar classes of different roots; rows (h, n, k1, jaccard, root, s).
+
+    A group is dealt into blocks of about BLOCK classes, and a task compares two blocks with each other (or one with
+    itself) by counting common shingles in matrix products. Pairs stay inside the task: out come at most as many links
+    as it has classes. Pairs of classes that both are similar to the centre are connected already, and by the triangle
+    inequality so far apart in their distance from it can't be similar: both are passed over.
+    """
+    nb = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("k1"), nb).cast("int")
+    dealt = rows.withColumn("b", own).withColumn("j", F.explode(F.sequence(F.lit(0), nb - 1)))
+    dealt = dealt.select("h", F.least("b", "j").alias("i"), F.greatest("b", "j").alias("j"), "k1", "jaccard", "root", "s")
+
+    def run(table: pa.Table) -> pa.Table:
+        k1, root, d = (table.column(c).to_numpy() for c in ("k1", "root", "jaccard"))
+        column = table.column("s").combine_chunks()
+        sizes = np.diff(column.offsets.to_numpy())
+        row = np.repeat(np.arange(len(k1)), sizes)
+        values, at, df = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = df[at] > 1
+        row, at = row[shared], at[shared]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        parent = np.unique(root, return_inverse=True)[1]
+        common = np.zeros((len(k1), len(k1)), np.float32)
+        for lo in range(0, len(values), COLUMNS):
+            x, y = np.searchsorted(at, [lo, lo + COLUMNS])
+            if y > x:
+                m = np.zeros((len(k1), min(COLUMNS, len(values) - lo)), np.float32)
+                m[row[x:y], at[x:y] - lo] = 1
+                common += m @ m.T
+        alike = common >= (threshold - 1e-6) * (sizes[:, None] + sizes[None, :] - common)
+        alike &= (parent[:, None] != parent[None, :]) & (np.abs(d[:, None] - d[None, :]) <= 1 - threshold + 1e-6)
+        u, v = np.nonzero(np.triu(alike))
+        links = []
+        for a, b in zip(u.tolist(), v.tolist()):
+            c = int(common[a, b])
+            if parent[a] != parent[b] and c / int(sizes[a] + sizes[b] - c) >= threshold:
+                parent[parent == parent[b]] = parent[a]
+                links.append((k1[a], k1[b]))
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
+
+    return dealt.groupBy("h", "i", "j").applyInArrow(run, "u long, v long")
+
+
 def similar_classes(src: DataFrame, threshold: float) -> DataFrame:
     """(node, root): the components of similar but different paragraphs, by the first half of their 128-bit keys.
 
@@ -186,19 +241,15 @@ def similar_classes(src: DataFrame, threshold: float) -> DataFrame:
     sets = scratch(_shingle_sets(_texts(src).join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("p").alias("p"))), "shingle-sets")
     met = scratch(_similarity(pairs, sets), "similarities")
     links = met.filter(F.col("jaccard") >= threshold).select("u", "v")
-    failed = met.filter(F.col("jaccard") < threshold)
-    if failed.limit(1).count():
+    failed = F.col("jaccard") < threshold
+    if met.filter(failed).limit(1).count():
         roots = scratch(connected_components(links), "roots").withColumnRenamed("node", "k1")
         placed = members.join(met.select(F.col("u").alias("k1"), F.col("v").alias("centre"), "jaccard"), ["k1", "centre"]).join(roots, "k1", "left")
         placed = scratch(placed.select("h", "k1", "jaccard", F.coalesce("root", "k1").alias("root")), "placed")
-        out = placed.filter(F.col("jaccard") < threshold).select("h", F.col("k1").alias("u"), F.col("jaccard").alias("ju"), F.col("root").alias("ru"))
-        into = placed.select("h", F.col("k1").alias("v"), F.col("jaccard").alias("jv"), F.col("root").alias("rv"))
-        near = F.abs(F.col("ju") - F.col("jv")) <= 1 - threshold + 1e-9
-        ordered = (F.col("jv") >= threshold) | (F.col("u") < F.col("v"))
-        more = out.join(into, (out["h"] == into["h"]) & (F.col("ru") != F.col("rv")) & near & ordered).select("u", "v").distinct()
-        second = scratch(_similarity(more, sets).filter(F.col("jaccard") >= threshold).select("u", "v"), "second-links")
-        links = links.unionByName(second)
-        drop_scratch(placed)
+        groups = placed.groupBy("h").agg(F.count("*").alias("n"), F.bool_or(failed).alias("any_failed"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        open_ = scratch(placed.join(groups.filter("any_failed AND lo <> hi").select("h", "n"), "h").join(sets, "k1"), "open-groups")
+        links = links.unionByName(scratch(_compare_blocks(open_, threshold), "second-links"))
+        drop_scratch(placed, open_)
     return scratch(connected_components(links), "components")
 
 
