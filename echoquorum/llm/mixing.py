@@ -44,7 +44,7 @@ def fill(nodes: DataFrame, parent: list[str], name: str, budget: str, weight: st
             "b_left_": F.greatest(F.col(budget) - F.coalesce(F.sum(cap).over(before), F.lit(0)), F.lit(0)),
         }
     )
-    full = F.col(cap).cast("decimal(20,0)") * F.col("w_left_").cast("decimal(18,0)") <= F.col("b_left_").cast("decimal(20,0)") * F.col(weight).cast("decimal(18,0)")
+    full = (F.col(weight) > 0) & (F.col(cap).cast("decimal(20,0)") * F.col("w_left_").cast("decimal(18,0)") <= F.col("b_left_").cast("decimal(20,0)") * F.col(weight).cast("decimal(18,0)"))
     out = out.withColumn("full_", full)
     # What is left for those that aren't full: the budget without all full caps.
     all_ = W.partitionBy(*parent)

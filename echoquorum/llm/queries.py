@@ -218,7 +218,7 @@ def _fill_sql(source: str, parent: str, name: str) -> str:
         SELECT *, greatest(budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (PARTITION BY {parent}), 0), 0)::BIGINT AS rest_b,
                coalesce(sum(CASE WHEN NOT is_full THEN weight END) OVER (PARTITION BY {parent}), 0)::BIGINT AS rest_w,
                sum(CASE WHEN NOT is_full THEN weight ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING)::BIGINT AS to_w
-        FROM (SELECT *, cap::HUGEINT * w_left <= b_left * weight AS is_full FROM (
+        FROM (SELECT *, weight > 0 AND cap::HUGEINT * w_left <= b_left * weight AS is_full FROM (
             SELECT *, sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS w_left,
                    greatest(budget - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::HUGEINT AS b_left
             FROM {source})))"""

@@ -143,7 +143,7 @@ def encode(ids: np.ndarray) -> list[bytes]:
         while (over := digits >> np.uint32(16)).any():  # carries
             digits = digits & np.uint32(0xFFFF)
             digits[:-1] += over[1:]
-        coded.append(digits.astype(">u2").tobytes().rstrip(b"\0"))
+        coded.append(digits.astype(">u2").tobytes())  # zeros at the end, too: the decoder reads them all
     return coded
 
 
@@ -157,7 +157,6 @@ def decode(coded: list[bytes], sizes: list[int]) -> np.ndarray:
     width = max(map(len, coded)) // 2 + 8
     digits = np.zeros((k, width), np.uint64)
     for j, raw in enumerate(coded):
-        raw += b"\0" * (len(raw) % 2)
         digits[j, : len(raw) // 2] = np.frombuffer(raw, ">u2")
     # A lane that has ended reads on past its row, by two digits an id at most.
     digits, at = np.concatenate([digits.ravel(), np.zeros(2 * longest, np.uint64)]), np.arange(k) * width + 3
