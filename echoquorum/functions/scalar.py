@@ -33,8 +33,9 @@ def same_episode(a: str, b: str) -> Column:
 
 
 def tier(voters: Column, mean: Column, tainted: Column) -> Column:
+    """The mean is compared after rounding to 12 digits, so that the order in which it was summed decides nothing."""
     return (
-        F.when((voters >= 3) & (mean >= S.CANONICAL_CONFIDENCE) & ~tainted, "canonical").when(voters >= 2, "confirmed").otherwise("candidate")
+        F.when((voters >= 3) & (F.round(mean, 12) >= S.CANONICAL_CONFIDENCE) & ~tainted, "canonical").when(voters >= 2, "confirmed").otherwise("candidate")
     )
 
 

@@ -46,7 +46,7 @@ CTES = {
       FROM latest l LEFT JOIN contributor u ON u.pseudonym = l.pseudonym GROUP BY tmdb_id, season, episode""",
     "canonical": """
       SELECT tmdb_id, season, episode,
-             CASE WHEN independent >= 3 AND mean_confidence >= 0.85 AND NOT any_flagged THEN 'canonical' WHEN independent >= 2 THEN 'confirmed' ELSE 'candidate' END AS tier,
+             CASE WHEN independent >= 3 AND round(mean_confidence, 12) >= 0.85 AND NOT any_flagged THEN 'canonical' WHEN independent >= 2 THEN 'confirmed' ELSE 'candidate' END AS tier,
              independent AS unique_contributors, mean_confidence, last_vote AS promoted_at, n_rows
       FROM episode_votes WHERE NOT (independent = 1 AND any_flagged) AND season IS NOT NULL AND episode IS NOT NULL""",
     "sketch_meta": """
@@ -327,7 +327,7 @@ FINAL = {
       FROM (SELECT tmdb_id, season, episode, count(*) AS n_before FROM keyed GROUP BY ALL) a
       LEFT JOIN (SELECT tmdb_id, season, episode, count(*) AS n_after FROM retracted GROUP BY ALL) b ON {SAME} WHERE coalesce(n_after, 0) < n_before""",
     "orphan_canonical": f"SELECT tmdb_id, season, episode FROM canonical a WHERE NOT EXISTS (SELECT 1 FROM contribution b WHERE b.tmdb_id % 3 <> 0 AND {SAME})",
-    "backfill_reset": f"SELECT id, CASE WHEN NOT EXISTS (SELECT 1 FROM undercounted b WHERE {SAME}) THEN promoted_at END AS promoted_at FROM contribution a",
+    "backfill_reset": f"SELECT id, coalesce(CASE WHEN NOT EXISTS (SELECT 1 FROM undercounted b WHERE {SAME}) THEN promoted_at END, 0) AS promoted_at FROM contribution a",
     "pack_df": "SELECT tmdb_id, count(*) AS n_hashes, sum(df)::BIGINT AS sum_df, max(df) AS max_df FROM pack_hashes GROUP BY tmdb_id",
     "show_ids_union": "SELECT tmdb_id FROM canonical UNION SELECT tmdb_id FROM contribution UNION SELECT tmdb_id FROM disc",
 }

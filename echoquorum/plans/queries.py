@@ -222,7 +222,7 @@ QUERIES = {
     "forget": q("contribution", "contributor", "observation")(forgotten),
     "retract_rederive": q("contribution")(retracted),
     "orphan_canonical": q("canonical", "contribution")(lambda k, c: C.orphans(k, c.filter("tmdb_id % 3 <> 0")).select(*E)),
-    "backfill_reset": q("canonical", "contribution")(lambda k, c: C.reset_backfill(k.withColumn("unique_contributors", F.least("unique_contributors", F.lit(2).cast("long"))), c).select("id", "promoted_at")),
+    "backfill_reset": q("canonical", "contribution")(lambda k, c: C.reset_backfill(k.withColumn("unique_contributors", F.least("unique_contributors", F.lit(2).cast("long"))), c).select("id", F.coalesce("promoted_at", F.lit(0)).alias("promoted_at"))),
     "pack_lines": lambda s, d: packs.pack_lines(consensus_rows(s, d), ASOF_SECONDS).groupBy("tmdb_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars")),
     "pack_df": lambda s, d: packs.pack_df(consensus_rows(s, d)).groupBy("tmdb_id").agg(F.count("*").alias("n_hashes"), F.sum("df").alias("sum_df"), F.max("df").alias("max_df")),
     "show_ids_union": q("canonical", "contribution", "disc")(lambda k, c, x: A.show_ids(k, c, x)),
