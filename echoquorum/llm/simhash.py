@@ -203,7 +203,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
         judged.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_same")), "kept"
     ).withColumnsRenamed({"doc_id": "kept_id_", "n_same": "kept_n_"})
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(id_col).cast("long").alias("id_in"))
-    out = row.filter("id_in IS NOT NULL").join(kept, F.col("id_in") == F.col("kept_id_"), "inner")
+    # A merge join at every size: the plan that a large table needs.
+    out = row.filter("id_in IS NOT NULL").join(kept.hint("merge"), F.col("id_in") == F.col("kept_id_"), "inner")
     once = out.filter("kept_n_ = 1")
     if kept.filter("kept_n_ > 1").limit(1).count():
         once = once.unionByName(out.filter("kept_n_ > 1").dropDuplicates(["id_in"]))
