@@ -104,7 +104,7 @@ def _steps(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         freqs.append(np.insert(freq, rare + 1, 1))
         if hi < len(ids):
             hits = _outcomes(s, c2, c1, own)
-    return np.concatenate(cums), np.concatenate(freqs)
+    return np.concatenate(cums).astype(np.uint32), np.concatenate(freqs).astype(np.uint32)
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
@@ -115,10 +115,11 @@ def encode(ids: np.ndarray) -> list[bytes]:
     steps = [_steps(b) for b in blocks]
     k, longest = len(blocks), max(len(c) for c, _ in steps)
     # Step t of all blocks lies side by side; a block that has ended goes on with steps that say nothing.
-    cums = np.zeros((longest, k), np.uint64)
-    freqs = np.full((longest, k), WHOLE, np.uint64)
+    cums = np.zeros((longest, k), np.uint32)
+    freqs = np.full((longest, k), WHOLE, np.uint32)
     for j, (c, f) in enumerate(steps):
         cums[: len(c), j], freqs[: len(f), j] = c, f
+    del steps
     low, span = np.zeros(k, np.uint64), np.full(k, (1 << 48) - 1, np.uint64)
     width = longest + 4
     out, at = np.zeros(k * width, np.uint32), np.arange(k) * width

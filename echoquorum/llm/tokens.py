@@ -32,8 +32,8 @@ MAGIC = b"EQTOK1\n\0"
 END = 1
 #: A segment is closed at the end of the document with which it has so many ids.
 SEGMENT_IDS = 6_000_000
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+#: Words in each of the two generations that a Python worker remembers.
+REMEMBERED = 400_000
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u4")])
 BLOCK = np.dtype([("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 
@@ -43,13 +43,20 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.encode = tokenizer.encode
+        self.encode, self.older = tokenizer.encode, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        value = self[word] = np.array(ids, np.uint16).tobytes()
+        value = self.older.get(word)
+        if value is None:
+            value = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, np.uint16).tobytes()
+        self[word] = value
         return value
 
+    def age(self) -> None:
+        """Words that aren't met again before the next call are forgotten then."""
+        self.older = dict(self)
+        self.clear()
+
 
 @cache
 def encoder(path: str) -> Callable[[str | None], np.ndarray]:
@@ -69,7 +76,7 @@ def encoder(path: str) -> Callable[[str | None], np.ndarray]:
 
     def run(text: str | None) -> np.ndarray:
         if len(words) > REMEMBERED:
-            words.clear()
+            words.age()
         return np.frombuffer(b"".join(map(words.__getitem__, text.encode("utf-8").split())) if text else b"", np.uint16)
 
     return run
