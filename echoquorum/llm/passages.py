@@ -197,19 +197,19 @@ def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
         column = table.column("s").combine_chunks()
         sizes = np.diff(column.offsets.to_numpy())
         row = np.repeat(np.arange(len(k1)), sizes)
-        values, at, df = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        shared = df[at] > 1
-        row, at = row[shared], at[shared]
+        _, at, df = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = df[at] > 1  # a shingle of one class only adds nothing
+        row, at = row[shared], (np.cumsum(df > 1) - 1)[at[shared]]
         order = np.argsort(at, kind="stable")
         row, at = row[order], at[order]
         parent = np.unique(root, return_inverse=True)[1]
         common = np.zeros((len(k1), len(k1)), np.float32)
-        for lo in range(0, len(values), COLUMNS):
+        n_shared = int((df > 1).sum())
+        for lo in range(0, n_shared, COLUMNS):
             x, y = np.searchsorted(at, [lo, lo + COLUMNS])
-            if y > x:
-                m = np.zeros((len(k1), min(COLUMNS, len(values) - lo)), np.float32)
-                m[row[x:y], at[x:y] - lo] = 1
-                common += m @ m.T
+            m = np.zeros((len(k1), min(COLUMNS, n_shared - lo)), np.float32)
+            m[row[x:y], at[x:y] - lo] = 1
+            common += m @ m.T
         alike = common >= (threshold - 1e-6) * (sizes[:, None] + sizes[None, :] - common)
         alike &= (parent[:, None] != parent[None, :]) & (np.abs(d[:, None] - d[None, :]) <= 1 - threshold + 1e-6)
         u, v = np.nonzero(np.triu(alike))
