@@ -1,34 +1,50 @@
-"""Operator 9, repeated passages: paragraph MinHash banding, exact Jaccard, connected components.
-
-A paragraph is a line of at least ``MIN_WORDS`` words; a line of more than ``LONG_WORDS`` is cut into several at places
-that depend only on the words around them, so that a passage inside two different long lines still gives equal
-paragraphs. Equal paragraphs are one class. Each class has a MinHash signature over its 5-word shingles, cut into bands
-that are tuned so that a pair at the threshold shares a band almost surely.
-
-Within the classes that share a band, the least one is the centre, and every other is compared with it exactly. Where
-some fail, the group's classes that aren't connected yet are compared with each other, too, in blocks inside a task. By
-the triangle inequality of the Jaccard distance only those can be similar whose distances from the centre differ by at
-most 1 - threshold. So no group is expanded into rows of pairs, and no connection between classes that share a band is lost.
+"""Operator 9, repeated passages: content-defined units of the word stream, exact Jaccard, connected components.
+
+The words of a text, without regard to line ends, are cut into units of about nine words: a cut is made where the hash
+of three words is the least among its ``WINDOW`` neighbours on both sides. That depends only on words nearby, so a
+passage gives the same units, but for its first and last, in whatever text it stands. Equal units are one class.
+
+Different units can be similar, too. A pair of shingle sets with a Jaccard similarity of at least the threshold shares
+one of the first elements of the two sorted sets (prefix filtering: n - ceil(threshold n) + 1 of n), so every class is
+sent under those of its hashes, and no pair is missed. Within the classes that share one, the least one is the centre,
+and every other is compared with it exactly. Where some fail, the group's classes that aren't connected yet are
+compared with each other, too, in blocks inside a task. By the triangle inequality of the Jaccard distance only those
+can be similar whose distances from the centre differ by at most 1 - threshold. So no group is expanded into rows of
+pairs, and no connection between classes that share a hash is lost.
+
+A phrase of nine words repeats by chance. So neighbouring repeated units are joined, over a single unit between them
+that was edited, and of these runs those of at least ``min_run`` words are reported.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, join_by_weight, scratch
 from .components import connected_components
 
-MIN_WORDS, LONG_WORDS, CUT_ONE_IN = 25, 100, 16
+#: Neighbours on either side above which a cut's hash must be the least: units have 2 * WINDOW + 1 words on average, and
+#: WINDOW + 1 at least (but for a text's first and last).
+WINDOW = 4
+#: Words of the shortest run of units that op9 reports, and how far apart (in units) members of a run may lie.
+MIN_RUN, REACH = 15, 2
 SHINGLE = 5
 #: Classes of a group that one task compares with as many others, and shingles that it counts at once.
 BLOCK, COLUMNS = 1000, 4096
-#: A worker leaves out the bands and texts of paragraphs that it has just sent; so many of them are remembered.
+#: A worker leaves out the shingles of units that it has just sent; so many of them are remembered.
 REMEMBERED = 200_000
+#: Small groups are compared together: so many calls at most are made for all of them.
+BUCKETS = 2048
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def tune_bands(threshold: float, recall: float = 0.998, max_rows: int = 8, max_bands: int = 16) -> tuple[int, int]:
@@ -44,22 +60,41 @@ def tune_bands(threshold: float, recall: float = 0.998, max_rows: int = 8, max_b
     return best
 
 
-def paragraphs(text: str | None) -> list[tuple[int, bytes, int]]:
-    """(number, words joined by spaces with A-Z lower-cased, number of words) of the paragraphs of a text."""
+def cuts(words: list[bytes]) -> list[int]:
+    """Where units begin, and the number of words at the end."""
     import xxhash
 
-    out = []
-    for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n") if text else []:
-        w = line.split()
-        if len(w) < MIN_WORDS:
-            continue
-        cuts = [0]
-        if len(w) > LONG_WORDS:
-            for i in range(MIN_WORDS, len(w) - MIN_WORDS):
-                if i - cuts[-1] >= MIN_WORDS and xxhash.xxh32_intdigest(b" ".join(w[i - 2 : i + 1])) % CUT_ONE_IN == 0:
-                    cuts.append(i)
-        out += [w[a:b] for a, b in zip(cuts, [*cuts[1:], len(w)])]
-    return [(i, b" ".join(w), len(w)) for i, w in enumerate(out)]
+    n = len(words)
+    if n < 3:
+        return [0, n] if n else [0]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    v = h[:-2] * _MIX[0] + h[1:-1] * _MIX[1] + h[2:] * _MIX[2]
+    v = (v ^ (v >> np.uint64(32))) * _MIX[0]
+    v ^= v >> np.uint64(29)
+    least = np.ones(n - 2, bool)
+    least[0] = False
+    for d in range(1, min(WINDOW, n - 3) + 1):
+        least[d:] &= v[d:] < v[:-d]
+        least[:-d] &= v[:-d] <= v[d:]
+    return [0, *np.flatnonzero(least).tolist(), n]
+
+
+def paragraphs(text: str | None) -> list[tuple[int, bytes, int]]:
+    """(number, words joined by spaces with A-Z lower-cased, number of words) of the units of a text."""
+    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    at = cuts(w)
+    return [(i, b" ".join(w[a:b]), b - a) for i, (a, b) in enumerate(zip(at, at[1:]))]
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The first character and that after the last, for every word of a text."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    edge = np.diff(np.concatenate([[1], _BLANK[data], [1]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if text.isascii():
+        return begin, end
+    chars = np.cumsum((data & 0xC0) != 0x80)
+    return chars[begin] - 1, chars[end - 1]
 
 
 def key(paragraph: bytes) -> tuple[int, int]:
@@ -108,67 +143,51 @@ class Signer:
         return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def _units(src: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
-                for at, p, n in paragraphs(t.as_py()):
-                    for c, x in zip(cols, (doc, at, *key(p), n)):
-                        c.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "at", "k1", "k2", "n_words"])
-
-    return src.mapInArrow(run, "doc_id long, at int, k1 long, k2 long, n_words int")
+UNITS = "row long, doc_id long, at int, n_words int, begin int, end int, k1 long, k2 long, s array<long>"
 
 
-def _bands(src: DataFrame, rows: int, bands: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, sent = Signer(rows, bands), set()
-        for b in batches:
-            keys, hashes = [], []
-            for t in b.column(1):
-                for _, p, _ in paragraphs(t.as_py()):
-                    k1, _ = key(p)
-                    if k1 not in sent:
-                        sent.add(k1)
-                        keys.append(k1)
-                        hashes.append(signer.bands_of(shingles(p)))
-            if len(sent) > REMEMBERED:
-                sent.clear()
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.repeat(np.array(keys, np.int64), bands))], names=["h", "k1"])
+def prefix_size(n: int, threshold: float) -> int:
+    """Elements of a set of n under which it must be met by every other set that is similar; 0 if only an equal one can be."""
+    if n / (n + 1) < threshold:
+        return 0
+    return n - ceil(threshold * n - 1e-9) + 1
 
-    return src.mapInArrow(run, "h long, k1 long")
 
+def _units(src: DataFrame, threshold: float) -> DataFrame:
+    """A row for each unit of ``src`` (doc_id, text); s: shingles, only where a worker meets a unit that can resemble another."""
 
-def _texts(src: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        names = [x.split()[0] for x in UNITS.split(", ")]
+        row, sent = TaskContext.get().partitionId() << 33, set()
+        least = next(n for n in range(1, 1 << 20) if prefix_size(n, threshold)) + SHINGLE - 1
+        cols: tuple[list, ...] = tuple([] for _ in kinds)
         for b in batches:
-            keys, texts = [], []
-            for t in b.column(1):
-                for _, p, _ in paragraphs(t.as_py()):
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
+                row += 1
+                t = t.as_py()
+                found = paragraphs(t)
+                if not found:
+                    continue
+                begin, end = word_places(t)
+                n = [x[2] for x in found]
+                last = np.cumsum(n)
+                for (at, p, size), lo, hi in zip(found, begin[last - n].tolist(), end[last - 1].tolist()):
                     k1, k2 = key(p)
-                    if k1 not in sent:
+                    s = None
+                    if size >= least and k1 not in sent:
                         sent.add(k1)
-                        keys.append(k1)
-                        texts.append(p)
+                        s = shingles(p).view(np.int64)
+                    for c, x in zip(cols, (row, doc, at, size, lo, hi, k1, k2, s)):
+                        c.append(x)
+                if len(cols[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+                    cols = tuple([] for _ in kinds)
             if len(sent) > REMEMBERED:
                 sent.clear()
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], names=["k1", "p"])
-
-    return src.mapInArrow(run, "k1 long, p binary")
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-
-def _shingle_sets(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(p.as_py()).view(np.int64) for p in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["k1", "s"])
-
-    return texts.mapInArrow(run, "k1 long, s array<long>")
+    return src.mapInArrow(run, UNITS)
 
 
 def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -191,9 +210,22 @@ def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     own = F.pmod(F.xxhash64("k1"), nb).cast("int")
     dealt = rows.withColumn("b", own).withColumn("j", F.explode(F.sequence(F.lit(0), nb - 1)))
     dealt = dealt.select("h", F.least("b", "j").alias("i"), F.greatest("b", "j").alias("j"), "k1", "jaccard", "root", "s")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("h", "i", "j"), F.lit(BUCKETS)))
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        edge = np.zeros(table.num_rows, bool)
+        for c in ("h", "i", "j"):
+            x = table.column(c).to_numpy()
+            edge[1:] |= x[1:] != x[:-1]
+        at = [0, *np.flatnonzero(edge).tolist(), table.num_rows]
+        links = [x for lo, hi in zip(at, at[1:]) for x in compare(table.slice(lo, hi - lo))]
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
+
+    def compare(table: pa.Table) -> list[tuple[int, int]]:
         k1, root, d = (table.column(c).to_numpy() for c in ("k1", "root", "jaccard"))
+        if len(k1) < 2:
+            return []
         column = table.column("s").combine_chunks()
         sizes = np.diff(column.offsets.to_numpy())
         row = np.repeat(np.arange(len(k1)), sizes)
@@ -219,26 +251,24 @@ def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
             if parent[a] != parent[b] and c / int(sizes[a] + sizes[b] - c) >= threshold:
                 parent[parent == parent[b]] = parent[a]
                 links.append((k1[a], k1[b]))
-        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
+        return links
 
-    return dealt.groupBy("h", "i", "j").applyInArrow(run, "u long, v long")
+    return dealt.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
-def similar_classes(src: DataFrame, threshold: float) -> DataFrame:
-    """(node, root): the components of similar but different paragraphs, by the first half of their 128-bit keys.
+def similar_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(node, root): the components of similar but different classes.
 
-    Should two different paragraphs share that half, they are compared by the one that was met first; equality of
-    paragraphs never rests on it.
+    keyed has (h, k1), the keys under which a class may meet others; sets_of gives (k1, s), the shingles, of each class
+    in a table of k1. Classes go by the first half of their 128-bit keys: should two share that half, they are
+    compared by one of them; equality never rests on it.
     """
-    rows, bands = tune_bands(threshold)
-    # One exchange serves both the groups and their members.
-    dealt = _bands(src, rows, bands).repartition("h")
-    once = dealt.groupBy("h", "k1").agg(F.lit(1).alias("one")).select("h", "k1")
-    groups = once.groupBy("h").agg(F.min("k1").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("h", "centre")
-    members = scratch(once.join(groups, "h").filter("k1 <> centre").select("h", "k1", "centre"), "members")
+    once = keyed.repartition("h").groupBy("h", "k1").agg(F.lit(1).alias("one"))
+    centre = F.min("k1").over(W.partitionBy("h"))
+    members = scratch(once.select("h", "k1", centre.alias("centre")).filter("k1 <> centre"), "members")
     pairs = scratch(members.select(F.col("k1").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
     wanted = pairs.select(F.col("u").alias("k1")).unionByName(pairs.select(F.col("v").alias("k1"))).distinct()
-    sets = scratch(_shingle_sets(_texts(src).join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("p").alias("p"))), "shingle-sets")
+    sets = scratch(sets_of(wanted), "shingle-sets")
     met = scratch(_similarity(pairs, sets), "similarities")
     links = met.filter(F.col("jaccard") >= threshold).select("u", "v")
     failed = F.col("jaccard") < threshold
@@ -253,31 +283,38 @@ def similar_classes(src: DataFrame, threshold: float) -> DataFrame:
     return scratch(connected_components(links), "components")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Every paragraph that another one equals or resembles: a row for each place.
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, min_run: int = 0) -> DataFrame:
+    """Every unit that another one equals or resembles and that lies in a run of at least ``min_run`` words: a row for each place.
 
-    Columns: doc_id, paragraph (its number in the text), n_words, cluster_id, kept_doc_id, n_places (paragraphs in the
-    cluster) and removed. A cluster is a component of paragraphs linked by equality or a Jaccard similarity of at
+    Columns: doc_id, paragraph (the unit's number in the text), n_words, cluster_id, kept_doc_id, n_places (units in the
+    cluster, reported or not) and removed. A cluster is a component of units linked by equality or a Jaccard similarity of at
     least ``threshold`` over 5-word shingles. The place with the least (doc_id, paragraph) stays, kept_doc_id is its
-    document and cluster_id the key of one of its paragraphs; all others are removed. Cases: null, empty and short
-    texts have no paragraphs; a repeat within one text counts; rows with a null doc_id come before all others; of
-    rows that repeat a doc_id one keeps the paragraph (their places are equal, and ties are broken by the keys);
-    an empty table gives an empty result. Other columns of ``docs`` play no part.
+    document and cluster_id the key of one of its units; all others are removed. A run is a row of repeated units of
+    one text with at most one other between two of them. Cases: null and empty texts have no units; a repeat within
+    one text counts; rows with a null doc_id come before all others; of rows that repeat a doc_id one keeps the unit
+    (their places are equal, and ties are broken by the keys); an empty table gives an empty result. Other columns of
+    ``docs`` play no part.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    units = scratch(_units(src), "paragraphs")
+    units = scratch(_units(src, threshold), "units")
+    sets = units.filter("s IS NOT NULL").select("k1", "s")
+    size = F.size("s") - F.ceil(F.lit(threshold) * F.size("s") - 1e-9).cast("int") + 1
+    keyed = sets.select(F.explode(F.slice("s", F.lit(1), size)).alias("h"), "k1")
+    sets_of = lambda wanted: sets.join(wanted, "k1", "left_semi").groupBy("k1").agg(F.first("s").alias("s"))
+    roots = similar_classes(keyed, sets_of, threshold).withColumnRenamed("node", "k1")
     classes = units.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
-    roots = similar_classes(src, threshold).withColumnRenamed("node", "k1")
-    classes = scratch(classes.join(roots, "k1", "left").withColumn("root", F.coalesce("root", "k1")), "classes")
-    linked = classes.join(roots.select("root").distinct(), "root", "left_semi").unionByName(
-        classes.join(roots.select("root").distinct(), "root", "left_anti").filter("n > 1")
-    )
+    linked = classes.join(roots, "k1", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "k1"))
     linked = scratch(linked, "linked")
     clusters = linked.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n_places"), F.count("*").alias("n_classes"))
     total, n_units = linked.agg(F.count("*"), F.sum("n")).first()
     named = join_by_weight(linked, scratch(clusters, "clusters"), ["root"], "n_classes", total)
     named = scratch(named.select("k1", "k2", "n", "root", "kept", "n_places"), "named")
-    out = join_by_weight(units, named, ["k1", "k2"], "n", n_units or 0, "inner")
+    out = join_by_weight(units.drop("s"), named, ["k1", "k2"], "n", n_units or 0, "inner")
+    if min_run:
+        in_text = W.partitionBy("row").orderBy("at")
+        out = out.withColumn("far", (F.col("at") - F.lag("at").over(in_text) > REACH).cast("int"))
+        out = out.withColumn("run", F.sum(F.coalesce("far", F.lit(0))).over(in_text))
+        out = out.withColumn("run_words", F.sum("n_words").over(W.partitionBy("row", "run"))).filter(F.col("run_words") >= min_run)
     place = F.struct("doc_id", "at")
     return out.select(
         "doc_id", F.col("at").alias("paragraph"), "n_words", F.col("root").alias("cluster_id"),

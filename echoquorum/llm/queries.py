@@ -91,7 +91,7 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), min_run=passages.MIN_RUN)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,3 +302,41 @@ def test_band_tuning():
     assert 1 - (1 - 0.8**r) ** b >= 0.998
     with pytest.raises(ValueError):
         passages.tune_bands(0.1, 0.9999, 8, 2)
+
+
+def test_passages_inside_other_text_are_found(spark):
+    """Planted passages of 51 to 80 words, each in two texts, on one line or over many, against brute force over their words."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    planted, texts = {}, []
+    for i in range(40):
+        passage = words(rng.randint(51, 80))
+        for copy in range(2):
+            before, after = words(rng.randint(0, 60)), words(rng.randint(0, 60))
+            planted[2 * i + copy] = (len(before), len(before) + len(passage))
+            w = before + passage + after
+            texts.append("".join(x + ("\n" if copy and rng.random() < 0.2 else " ") for x in w))
+    alone = [" ".join(words(100)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts + alone)), "doc_id long, text string")
+    found, removed = {}, {}
+    for r in passages.repeated_passages(df, min_run=passages.MIN_RUN).collect():
+        start = sum(n for at, _, n in passages.paragraphs((texts + alone)[r.doc_id]) if at < r.paragraph)
+        found.setdefault(r.doc_id, []).append((start, start + r.n_words))
+        removed.setdefault(r.doc_id, []).append(r.removed)
+    assert set(found) == set(planted)
+    for i, (a, b) in planted.items():
+        assert all(min(y, b) - max(x, a) >= 0.7 * (y - x) for x, y in found[i])  # similar units may have a word or two more
+        assert sum(y - x for x, y in found[i]) >= passages.MIN_RUN
+        assert all(removed[i]) if i % 2 else not any(removed[i])
+
+
+def test_prefixes_meet_every_similar_set():
+    rng = random.Random(4)
+    for _ in range(3000):
+        n = rng.randint(1, 30)
+        a = set(rng.sample(range(60), n))
+        b = (a | set(rng.sample(range(60), rng.randint(0, 3)))) - set(rng.sample(sorted(a), min(n, rng.randint(0, 2))))
+        if b and a != b and len(a & b) >= 0.8 * len(a | b):
+            cut = [set(sorted(x)[: passages.prefix_size(len(x), 0.8)]) for x in (a, b)]
+            assert cut[0] & cut[1]
