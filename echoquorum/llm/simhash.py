@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_weight, scratch
+from . import passages
+from .common import ascii_lower, join_by_weight, scratch, words_of
 from .components import connected_components
 
 SEED = 42
@@ -209,3 +210,58 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     if kept.filter("kept_n_ > 1").limit(1).count():
         once = once.unionByName(out.filter("kept_n_ > 1").dropDuplicates(["id_in"]))
     return once.select("row_.*").unionByName(row.filter("id_in IS NULL").select("row_.*"))
+
+
+def _band_keys(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows (k1, norm) -> (h, k1): the MinHash bands of each text's 5-word shingles."""
+    bands = passages.tune_bands(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = passages.Signer(*bands)
+        for b in batches:
+            if b.num_rows:
+                keys = [signer.bands_of(passages.shingles(p.as_py().encode())) for p in b.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(b.column(0).to_numpy(), bands[1]))], names=["h", "k1"])
+
+    return rows.mapInArrow(run, "h long, k1 long")
+
+
+def _shingle_sets(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [passages.shingles(p.as_py().encode()).view(np.int64) for p in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["k1", "s"])
+
+    return rows.mapInArrow(run, "k1 long, s array<long>")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without all but one document of each component of texts whose 5-word Jaccard is at least ``similarity``.
+
+    Fingerprints can't do this: texts of Jaccard 0.8 are some nine of 64 bits apart. So candidates come from MinHash
+    bands tuned to find a pair at the threshold with a chance of 0.998, and each link is verified exactly. Words are
+    compared as in ``fingerprint``; wordless texts are equal. The document of the least id stays, one row of it; a row
+    without an id comes after all others, so it stays only where no row of its group has one.
+    """
+    norm = F.array_join(words_of(ascii_lower(F.col(text))), " ")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(id_col).cast("long").alias("id_"), norm.alias("norm"))
+    row = row.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(1), "norm")})
+    place = F.struct(F.isnull("id_").alias("no_id"), F.col("id_").alias("id_"))
+    classes = row.groupBy("k1", "k2").agg(F.min(place).alias("first"))
+    classes = scratch(classes, "text-classes")
+    keyed = _band_keys(row.select("k1", "norm"), similarity)
+    sets_of = lambda wanted: _shingle_sets(row.select("k1", "norm").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("norm").alias("norm")))
+    roots = passages.similar_classes(keyed, sets_of, similarity).withColumnRenamed("node", "k1")
+    rooted = classes.join(roots, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    best = rooted.groupBy("root").agg(F.min(F.struct("first", "k1", "k2")).alias("best"))
+    best = scratch(best.select("best.k1", "best.k2", F.col("best.first.id_").alias("id_")), "kept-texts")
+    on = F.col("id_").eqNullSafe(F.col("kept_id_")) & (F.col("k1") == F.col("kept_k1_")) & (F.col("k2") == F.col("kept_k2_"))
+    kept = best.withColumnsRenamed({"k1": "kept_k1_", "k2": "kept_k2_", "id_": "kept_id_"})
+    same = row.select("k1", "k2", "id_").groupBy("k1", "k2", "id_").agg(F.count("*").alias("kept_n_"))
+    same = same.withColumnsRenamed({"k1": "kept_k1_", "k2": "kept_k2_", "id_": "kept_id_"}).filter("kept_n_ > 1")
+    same = scratch(same, "repeated-rows")
+    met = row.drop("norm").join(kept.hint("merge"), on, "inner").drop("kept_k1_", "kept_k2_", "kept_id_")
+    if same.limit(1).count():
+        once = met.join(same, on, "left_anti").unionByName(met.join(same, on, "left_semi").dropDuplicates(["k1", "k2", "id_"]))
+        return once.select("row_.*")
+    return met.select("row_.*")

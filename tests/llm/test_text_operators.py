@@ -340,3 +340,46 @@ def test_prefixes_meet_every_similar_set():
         if b and a != b and len(a & b) >= 0.8 * len(a | b):
             cut = [set(sorted(x)[: passages.prefix_size(len(x), 0.8)]) for x in (a, b)]
             assert cut[0] & cut[1]
+
+
+def test_near_copies_of_the_pipeline_equal_brute_force(spark, docs, empty):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    vocabulary = [f"n{i}" for i in range(500)]
+    texts = []
+    for _ in range(15):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(90, 200))]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 3, 6):
+            v = list(w)
+            for _ in range(edits):
+                v[rng.randrange(len(v))] = rng.choice(vocabulary)
+            texts.append("  ".join(v).title())
+    texts += [texts[0], None, "", "  "]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = {i: grams(t) for i, t in zip(ids, texts)}, {i: i for i in ids}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in ids:
+        for b in ids:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    left = [r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, "").collect()]
+    assert sorted(left) == sorted({find(i) for i in ids})
+    # Repeated rows, and rows without an id: one of each group stays.
+    no_id = spark.createDataFrame([(None, texts[0]), (None, "a b c d e f"), (None, "A b c d e f")] + [(7, "x y z")] * 2, "doc_id long, text string")
+    left = corpus_pipeline.simhash_stage(spark, df.unionByName(no_id), "").collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None and r.text != "x y z") == sorted({find(i) for i in ids})
+    assert sum(r.doc_id is None for r in left) == 1 and sum(r.text == "x y z" for r in left) == 1
+    assert simhash.drop_similar(docs).columns == docs.columns and simhash.drop_similar(empty).count() == 0
