@@ -119,13 +119,18 @@ def choose(rows: DataFrame, weights: dict[str, int], budget: int | None, max_epo
     return out.filter("copies > 0").select("k1", "k2", "id", *path, "tokens", "copies")
 
 
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a whole row. A column's null flag goes along with its value, as xxhash64 passes over nulls."""
+    whole = [x for c in docs.columns for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`"))]
+    return F.xxhash64(F.lit(1), *whole).alias("k1"), F.xxhash64(F.lit(2), *whole).alias("k2")
+
+
 def leaf_rows(docs: DataFrame, domain: Column, lang: Column, source: Column, tokens: Column, id_col: Column) -> DataFrame:
     """The table that ``choose`` takes; k1 and k2 hash the whole row, so that it is found again even without an id."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    whole = [F.col(f"`{c}`") for c in docs.columns]
     return scratch(
         docs.select(
-            F.xxhash64(F.lit(1), *whole).alias("k1"), F.xxhash64(F.lit(2), *whole).alias("k2"), text(id_col).alias("id"),
+            *row_keys(docs), text(id_col).alias("id"),
             text(domain).alias("domain"), text(lang).alias("lang"), text(source).alias("source"), tokens.alias("tokens"),
         ),
         "leaf-rows",
@@ -154,7 +159,7 @@ def mix_rows(docs: DataFrame, weights: dict[str, int], budget: int | None = None
         "chosen",
     )
     whole = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(F.struct(*whole).alias("row_"), F.xxhash64(F.lit(1), *whole).alias("k1"), F.xxhash64(F.lit(2), *whole).alias("k2"))
+    keyed = docs.select(F.struct(*whole).alias("row_"), *row_keys(docs))
     equal = rows.groupBy("k1", "k2").agg(F.count("*").alias("n_equal")).filter("n_equal > 1").select("k1", "k2")
     met = keyed.join(chosen, ["k1", "k2"])
     if equal.limit(1).count():

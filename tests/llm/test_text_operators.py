@@ -383,3 +383,9 @@ def test_near_copies_of_the_pipeline_equal_brute_force(spark, docs, empty):
     assert sorted(r.doc_id for r in left if r.doc_id is not None and r.text != "x y z") == sorted({find(i) for i in ids})
     assert sum(r.doc_id is None for r in left) == 1 and sum(r.text == "x y z" for r in left) == 1
     assert simhash.drop_similar(docs).columns == docs.columns and simhash.drop_similar(empty).count() == 0
+
+
+def test_mixing_tells_rows_apart_by_the_column_of_a_null(spark):
+    df = spark.createDataFrame([(1, "a b", "x", None), (1, "a b", None, "x")], "doc_id long, text string, lang string, source string")
+    out = mixing.mix_rows(df, {}, budget=8, max_epochs=2).collect()
+    assert sorted((str(r.lang), str(r.source)) for r in out) == [("None", "x")] * 2 + [("x", "None")] * 2
