@@ -349,3 +349,10 @@ def _sql(final: str) -> str:
 
 
 ORACLE = {name: _sql(final) for name, final in FINAL.items()}
+
+# The same over every row of the catalogue and every disc.
+for _name in ("anti_poison_screen", "anti_poison_verdict"):
+    ORACLE[f"{_name}_all"] = ORACLE[_name].replace(" FROM catalogue WHERE season = 1 AND episode = 1", " FROM catalogue")
+ORACLE["identify_disc_all"] = _sql("""
+      SELECT disc_content_hash, tmdb_id, tier, unique_contributors, n_titles FROM (
+        SELECT DISTINCT disc_content_hash FROM disc UNION ALL SELECT md5('unknown' || i::VARCHAR) FROM range(10) t(i)) LEFT JOIN disc_canonical USING (disc_content_hash)""")

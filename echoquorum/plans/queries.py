@@ -129,15 +129,23 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def screened(spark: SparkSession, d: str) -> DataFrame:
-    """Every 40th document's cut fingerprint claims another show and is screened against the catalogue."""
+def screened(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """Cut fingerprints, half of which claim another show, screened against the catalogue: ``every`` row's, or one of each show."""
     cat = T.catalogue(spark, d)
     own = F.col("tmdb_id") * 100 + F.col("season") * 10 + F.col("episode")
     cut = F.filter("hashes", lambda h, i: (i % 11) != 0)
-    claims = cat.filter((F.col("episode") == 1) & (F.col("season") == 1)).select(own.alias("id"), (F.col("tmdb_id") + F.col("tmdb_id") % 2 * 1000).alias("tmdb_id"), "season", "episode", cut.alias("hashes"))
+    claimed = cat if every else cat.filter((F.col("episode") == 1) & (F.col("season") == 1))
+    claims = claimed.select(own.alias("id"), (F.col("tmdb_id") + F.col("tmdb_id") % 2 * 1000).alias("tmdb_id"), "season", "episode", cut.alias("hashes"))
     return rounded(identify.screen(claims, cat))
 
 
+def disc_lookups(discs: DataFrame, known: DataFrame) -> DataFrame:
+    """The lookup of every disc hash of the table and of ten that it doesn't have."""
+    unknown = discs.sparkSession.range(10).select(F.md5(F.concat(F.lit("unknown"), F.col("id").cast("string")).cast("binary")).alias("disc_content_hash"))
+    hashes = discs.select("disc_content_hash").distinct().unionByName(unknown)
+    return identify.identify_disc(hashes, known).select("disc_content_hash", "tmdb_id", "tier", "unique_contributors", F.size("titles").alias("n_titles"))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     qs, cat = T.identify_queries(spark, d), T.catalogue(spark, d)
     best = identify.top_candidates(identify.sketches(qs, ["query_id"]), identify.sketches(cat, E))
@@ -211,6 +219,9 @@ QUERIES = {
     "identify_disc": q("disc_canonical")(lambda x: identify.identify_disc(x.sparkSession.range(0, 400).select(F.md5(F.col("id").cast("string").cast("binary")).alias("disc_content_hash")), x).select("disc_content_hash", "tmdb_id", "tier", "unique_contributors", F.size("titles").alias("n_titles"))),
     "anti_poison_screen": lambda s, d: screened(s, d).drop("overlap_pct", "poison_check"),
     "anti_poison_verdict": lambda s, d: screened(s, d).select("id", "overlap_pct", "poison_check"),
+    "identify_disc_all": q("disc", "disc_canonical")(disc_lookups),
+    "anti_poison_screen_all": lambda s, d: screened(s, d, every=True).drop("overlap_pct", "poison_check"),
+    "anti_poison_verdict_all": lambda s, d: screened(s, d, every=True).select("id", "overlap_pct", "poison_check"),
     "valid_contributions": q("contribution")(lambda c: intake.split(requests(c), intake.contribution_reason())[0].select("id")),
     "rejected_contributions": q("contribution")(lambda c: intake.split(requests(c), intake.contribution_reason())[1].select("id", "reason")),
     "dedupe_contributions": q("contribution")(deduped),

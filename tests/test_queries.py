@@ -34,3 +34,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["disc_unique_discs"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     read = plan.split("ReadSchema:")[1].splitlines()[0]
     assert "o_totalprice" not in read and "o_orderpriority" not in read
+
+
+@pytest.mark.parametrize("name", ["anti_poison_screen_all", "anti_poison_verdict_all", "identify_disc_all"])
+def test_whole_tables_are_asked_for(spark, name):
+    out = QUERIES[name](spark, SMALL)
+    assert_same(out, ORACLE[name], SMALL)
+    if name == "identify_disc_all":
+        from echoquorum.sources import adapters
+
+        want = adapters.disc_contributions(spark, SMALL).select("disc_content_hash").distinct().count() + 10
+    else:
+        want = spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    assert out.count() == want
