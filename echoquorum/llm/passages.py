@@ -143,7 +143,7 @@ class Signer:
         return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-UNITS = "row long, doc_id long, at int, n_words int, begin int, end int, k1 long, k2 long, s array<long>"
+UNITS = "row long, text_hash long, doc_id long, at int, n_words int, begin int, end int, k1 long, k2 long, s array<long>"
 
 
 def prefix_size(n: int, threshold: float) -> int:
@@ -154,16 +154,16 @@ def prefix_size(n: int, threshold: float) -> int:
 
 
 def _units(src: DataFrame, threshold: float) -> DataFrame:
-    """A row for each unit of ``src`` (doc_id, text); s: shingles, only where a worker meets a unit that can resemble another."""
+    """A row for each unit of ``src`` (doc_id, text, text_hash); s: shingles, only where a worker meets a unit that can resemble another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        kinds = [*[pa.int64()] * 3, *[pa.int32()] * 4, *[pa.int64()] * 2, pa.list_(pa.int64())]
         names = [x.split()[0] for x in UNITS.split(", ")]
         row, sent = TaskContext.get().partitionId() << 33, set()
         least = next(n for n in range(1, 1 << 20) if prefix_size(n, threshold)) + SHINGLE - 1
         cols: tuple[list, ...] = tuple([] for _ in kinds)
         for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, t, text_hash in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 row += 1
                 t = t.as_py()
                 found = paragraphs(t)
@@ -178,7 +178,7 @@ def _units(src: DataFrame, threshold: float) -> DataFrame:
                     if size >= least and k1 not in sent:
                         sent.add(k1)
                         s = shingles(p).view(np.int64)
-                    for c, x in zip(cols, (row, doc, at, size, lo, hi, k1, k2, s)):
+                    for c, x in zip(cols, (row, text_hash, doc, at, size, lo, hi, k1, k2, s)):
                         c.append(x)
                 if len(cols[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
@@ -286,7 +286,8 @@ def similar_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, min_run: int = 0) -> DataFrame:
     """Every unit that another one equals or resembles and that lies in a run of at least ``min_run`` words: a row for each place.
 
-    Columns: doc_id, paragraph (the unit's number in the text), n_words, cluster_id, kept_doc_id, n_places (units in the
+    Columns: doc_id, text_hash (XXH64 of the text, as Spark has it), paragraph (the unit's number in the text), n_words, begin and
+    end (its first character in the text, from 0, and that after its last), cluster_id, kept_doc_id, n_places (units in the
     cluster, reported or not) and removed. A cluster is a component of units linked by equality or a Jaccard similarity of at
     least ``threshold`` over 5-word shingles. The place with the least (doc_id, paragraph) stays, kept_doc_id is its
     document and cluster_id the key of one of its units; all others are removed. A run is a row of repeated units of
@@ -295,7 +296,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     (their places are equal, and ties are broken by the keys); an empty table gives an empty result. Other columns of
     ``docs`` play no part.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     units = scratch(_units(src, threshold), "units")
     sets = units.filter("s IS NOT NULL").select("k1", "s")
     size = F.size("s") - F.ceil(F.lit(threshold) * F.size("s") - 1e-9).cast("int") + 1
@@ -317,6 +318,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         out = out.withColumn("run_words", F.sum("n_words").over(W.partitionBy("row", "run"))).filter(F.col("run_words") >= min_run)
     place = F.struct("doc_id", "at")
     return out.select(
-        "doc_id", F.col("at").alias("paragraph"), "n_words", F.col("root").alias("cluster_id"),
+        "doc_id", "text_hash", F.col("at").alias("paragraph"), "n_words", "begin", "end", F.col("root").alias("cluster_id"),
         F.col("kept.doc_id").alias("kept_doc_id"), "n_places", (~place.eqNullSafe(F.col("kept"))).alias("removed"),
     )
+
+
+def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their texts less the places that ``found``, a result of ``repeated_passages``, removes.
+
+    White space around a place stays. Rows are matched by their id and their text's hash; null texts stay null.
+    """
+    spans = found.filter("removed").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans_"))
+    spans = spans.select(F.col("doc_id").alias("span_id_"), F.col("text_hash").alias("span_hash_"), "spans_")
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("span_id_")) & (F.xxhash64(F.col(text)) == F.col("span_hash_"))
+    met = docs.join(spans, on, "left")
+    before = lambda i: F.coalesce(F.get("spans_", i - 1)["end"], F.lit(0))
+    pieces = F.transform("spans_", lambda x, i: F.substring(F.col(text), before(i) + 1, x["begin"] - before(i)))
+    rest = F.substring(F.col(text), F.element_at("spans_", -1)["end"] + 1, F.char_length(text))
+    left = F.when(F.col("spans_").isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return met.withColumn("left_", left).select(*[F.col("left_").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

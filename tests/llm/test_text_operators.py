@@ -389,3 +389,23 @@ def test_mixing_tells_rows_apart_by_the_column_of_a_null(spark):
     df = spark.createDataFrame([(1, "a b", "x", None), (1, "a b", None, "x")], "doc_id long, text string, lang string, source string")
     out = mixing.mix_rows(df, {}, budget=8, max_epochs=2).collect()
     assert sorted((str(r.lang), str(r.source)) for r in out) == [("None", "x")] * 2 + [("x", "None")] * 2
+
+
+def test_removed_passages_leave_the_texts(spark):
+    rng = random.Random(21)
+    words = lambda n: [rng.choice(["\u00e9t\u00e9", "\U0001f600", ""]) + f"q{rng.randrange(4000)}" for _ in range(n)]
+    passage = words(70)
+    parts = [(words(40), words(30)) for _ in range(3)]
+    rows_ = [(i, "\n ".join(a + passage + b)) for i, (a, b) in enumerate(parts)] + [(3, None), (4, ""), (None, "once " * 3)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    found = passages.repeated_passages(df, min_run=passages.MIN_RUN)
+    got = {r.doc_id: r.text for r in passages.without_passages(df, found).collect()}
+    assert len(got) == len(rows_) and got[0] == rows_[0][1] and got[3] is None and got[4] == ""
+    for r in found.collect():
+        assert len(rows_[r.doc_id][1][r.begin : r.end].split()) == r.n_words
+    for i in (1, 2):
+        cut = sorted((r.begin, r.end) for r in found.collect() if r.doc_id == i)
+        text, want, at = rows_[i][1], "", 0
+        for b, e in cut:
+            want, at = want + text[at:b], e
+        assert cut and got[i] == want + text[at:]
