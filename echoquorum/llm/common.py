@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,11 +24,13 @@ _own_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a folder of our own only where that is unset."""
+    """The folder the cluster shares (spark.checkpoint.dir); a folder of our own only where that is unset in local mode."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="echoquorum-")
         atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
@@ -80,21 +83,39 @@ def words_of(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def join_by_weight(big: DataFrame, lookup: DataFrame, on: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+def join_by_weight(big: DataFrame, lookup: DataFrame, on: list[str], weight: str, total: int, how: str = "left", heavy_share: int = HEAVY_SHARE) -> DataFrame:
     """Join ``lookup`` (unique on ``on``; ``weight`` = rows of ``big`` with that key) to ``big``, which may be skewed.
 
-    Keys with at least total/HEAVY_SHARE rows, at most HEAVY_SHARE of them, are broadcast. No other key can hold
-    more than that share, so the rest is an ordinary shuffled join without a hot partition. ``how`` is "left",
-    "inner" or "left_semi". ``big`` is read twice: pass a scratch table or a plain scan.
+    Keys with at least total/heavy_share rows, at most heavy_share of them, are broadcast. No other key can hold
+    more than that share, so the rest is an ordinary shuffled join without a hot partition. ``how`` is "left" or
+    "inner". ``big`` is read twice: pass a scratch table or a plain scan.
     """
-    floor = max(2, -(-total // HEAVY_SHARE))
-    heavy = lookup.filter(F.col(weight) >= floor).drop(weight)
+    floor = max(2, -(-total // heavy_share))
+    (flag,) = fresh(big, "heavy_")
+    heavy = lookup.filter(F.col(weight) >= floor).drop(weight).withColumn(flag, F.lit(True))
     light = lookup.filter(F.col(weight) < floor).drop(weight)
-    hot = big.join(F.broadcast(heavy), on, "left_semi" if how == "left_semi" else "inner")
-    rest = big.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
+    marked = big.join(F.broadcast(heavy), on, "left")
+    hot = marked.filter(F.col(flag)).drop(flag)
+    rest = marked.filter(F.col(flag).isNull()).select(*big.columns).join(light, on, how)
     return hot.unionByName(rest.select(*hot.columns))
 
 
+def mark_by_weight(big: DataFrame, lookup: DataFrame, on: list[str], weight: str, total: int, salt: Column, heavy_share: int = HEAVY_SHARE) -> DataFrame:
+    """The rows of ``big`` whose key is in ``lookup``, as ``join_by_weight`` divides the keys, with ``big`` read once.
+
+    All rows meet the heavy keys by a broadcast join and the light keys by a shuffled one; there the rows of heavy keys,
+    which match nothing, are dealt out by ``salt`` (whole numbers), so that none of them makes a hot partition.
+    """
+    floor = max(2, -(-total // heavy_share))
+    heavy_, light_, deal = fresh(big, "heavy_", "light_", "deal_")
+    heavy = lookup.filter(F.col(weight) >= floor).select(*on, F.lit(True).alias(heavy_))
+    light = lookup.filter(F.col(weight) < floor).select(*on, F.lit(0).alias(deal), F.lit(True).alias(light_))
+    marked = big.join(F.broadcast(heavy), on, "left")
+    marked = marked.withColumn(deal, F.when(F.col(heavy_), 1 + F.pmod(salt, F.lit(1 << 20)).cast("int")).otherwise(0))
+    met = marked.join(light, [*on, deal], "left")
+    return met.filter(F.col(heavy_) | F.col(light_)).select(*big.columns)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that don't clash with any column of ``df`` (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

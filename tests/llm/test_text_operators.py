@@ -75,12 +75,39 @@ def test_lines_equal_sql_in_any_number_of_batches(spark, docs, arrow):
     for k in range(5):
         runs.add(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(5)) == k))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
+    # The state is read again from its folder, and a batch is joined to the runs without an exchange of theirs.
+    runs.close()
+    runs = lines.LineRuns(spark, folder=runs.folder)
+    assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.fanout == 2 and runs.version == 5
+    plan = runs.new_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1
     again = runs.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
     assert_same(again, queries.ORACLE["op3_lines"], None, documents=arrow)
 
 
-def test_lines_of_an_empty_table(empty):
+def test_light_and_heavy_lines_are_dropped_alike(spark):
+    import pyarrow as pa
+
+    texts = [f"often\nown {i}" + ("\n RARE " if i % 4 == 0 else "") + "\noften" for i in range(48)] + ["rare\nseldom"] * 5
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    runs = lines.LineRuns(spark)
+    runs.add(df)
+    settled = {r.n_docs for r in runs.settled().collect()}
+    assert settled == {48, 17}
+    for share, heavy in ((4096, 2), (2, 1), (1, 0)):
+        assert sum(n >= max(2, -(-65 // share)) for n in settled) == heavy
+        out = runs.drop_lines(df, heavy_share=share).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+        assert_same(out, queries.ORACLE["op3_lines"], None, documents=pa.table({"doc_id": ids, "text": texts}))
+    runs.delete()
+
+
+def test_lines_of_an_empty_table(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
+    runs = lines.LineRuns(spark)
+    runs.add(empty)
+    assert runs.drop_lines(empty).count() == 0
+    runs.delete()
 
 
 def test_mixing_equals_sql(docs, arrow, empty):
@@ -138,13 +165,17 @@ def brute_windows(t):
     return w, {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 300])
+@pytest.mark.parametrize("limit", [decontaminate.MAX_NODES, 900])
 def test_decontamination_equals_brute_force(spark, limit):
     items = [(1, prose(20)), (2, "Beta gamma"), (3, None), (4, "--"), (5, prose(13)), (None, "the"), (6, "beta, GAMMA")]
     texts = [None, "", prose(50), "x " + items[0][1].upper() + " y", f"é{items[4][1]}", items[4][1] + " tail", prose(400) + " " + items[0][1], "a beta-gamma b"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, hits string")
-    got = {r.doc_id: r for r in decontaminate.decontaminate(d, bench, max_pattern_bytes=limit).collect()}
+    got = {r.doc_id: r for r in decontaminate.decontaminate(d, bench, max_nodes=limit).collect()}
+    left = decontaminate.drop_contaminated(d, bench, max_nodes=limit)
+    assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, r in got.items() if not r.contaminated)
+    with pytest.raises(ValueError):
+        decontaminate.decontaminate(d.withColumn("items", F.lit(1)), bench)
     for i, t in enumerate(texts):
         w, _ = brute_windows(t)
         mark, found = [False] * len(w), set()
