@@ -1,223 +1,253 @@
 """An adaptive context-mixing range coder for token ids, in numpy.
 
-Ids are coded in blocks that know nothing of each other. Within a block three predictions are kept: order 2 and order 1
-name the id that last followed the same two ids or the same id, order 0 has the frequencies of all ids so far. Their
-mixture is one range of 65,536 parts: first those of the order-2 id, then of the order-1 id, then the order-0 ids and an
-escape to the plain id. How much each order gets depends on how often it was right lately, given whether the two
-named ids exist and agree. Predictions and weights are refitted at fixed places in the block (``REFIT``) to all ids
-before, by coder and decoder alike.
-
-Many blocks are coded in step with each other, one array element for each block.
+Ids are coded in blocks that know nothing of each other but one table of frequencies, which stands before them. Within a
+block three predictions are mixed: order 2 and order 1 name the id that last followed the same two ids or the same
+id, and both learn with every id; order 0 has the frequencies of the table. Order 0 gets 1 to 64 parts in 64 of the
+range and the named ids the rest, first that of order 2, then that of order 1. How much each gets depends on how often
+it was right so far in this block, given whether the two named ids exist and agree; it is refitted every ``INTERVAL``
+ids up to the block's end, by coder and decoder alike.
+
+Many blocks are coded in step with each other, one array element for each block. Ids may be any unsigned 32-bit
+numbers. If very many different ones occur, their two halves are coded one after the other.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
 BLOCK = 8192
-REFIT = (256, 1024, 3072)
-#: Bits of the whole range and of the order-0 frequencies, and of the two context tables.
-P, P0, H1, H2 = 16, 14, 12, 13
-WHOLE = 1 << P
-NONE = 0xFFFF
-ESCAPE_LEAST = 64
-LOW32 = np.uint64(0xFFFFFFFF)
-U16, U32 = np.uint64(16), np.uint64(32)
-TOP = np.uint64(1 << 32)
-
-
-def _h1(b: np.ndarray) -> np.ndarray:
-    return (b * np.uint32(2654435761)) >> np.uint32(32 - H1)
-
-
-def _h2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a * np.uint32(2246822519) + b * np.uint32(3266489917)) >> np.uint32(32 - H2)
-
-
-def _state(c2: np.ndarray, c1: np.ndarray) -> np.ndarray:
-    """0: two named ids, 1: one id named by both, 2: only order 1 names one, 3: none does."""
-    return (c2 == c1) + 2 * (c2 == NONE)
-
-
-class Model:
-    """What a block knows after the ids ``past`` (uint32), given the outcomes counted since the model before."""
-
-    def __init__(self, past: np.ndarray, hits: np.ndarray):
-        self.t1 = np.full(1 << H1, NONE, np.uint16)
-        self.t2 = np.full(1 << H2, NONE, np.uint16)
-        if len(past) > 2:
-            self.t1[_h1(past[:-1])] = past[1:]
-            self.t2[_h2(past[:-2], past[1:-1])] = past[2:]
-        # hits: for each state, the numbers of ids, of order-2 hits and of order-1 hits. Order 0 gets 4, 3, 2 or 1
-        # quarters of the range, what is left is divided by the hits of the two others.
-        n, by2, by1 = hits[:, 0], hits[:, 1], hits[:, 2]
-        self.quarters = np.clip(4 - (4 * (by2 + by1) + n // 2) // (n + 8), 1, 4)
-        rest = WHOLE - self.quarters * (1 << P0)
-        self.m2 = np.where(by2 + by1 > 0, rest * (by2 + 1) // (by2 + by1 + 2), 0)
-        self.m2[1], self.m2[2], self.m2[3] = rest[1], 0, 0
-        self.m12 = rest
-        self.m12[3], self.quarters[3] = 0, 4
-        # Order 0: at least one part for each id seen, the escape has what is left.
-        ordered = np.sort(past.astype(np.uint16), kind="stable")
-        begins = np.flatnonzero(np.concatenate([[len(past) > 0], ordered[1:] != ordered[:-1]])) if len(past) else np.zeros(0, np.int64)
-        self.ids = ordered[begins]
-        counts = np.diff(np.append(begins, len(past)))
-        room = (1 << P0) - len(self.ids) - ESCAPE_LEAST
-        freq = 1 + counts * room // max(len(past), 1)
-        self.cum = np.zeros(len(freq) + 1, np.int64)
-        np.cumsum(freq, out=self.cum[1:])
-        self.freq = np.append(freq, (1 << P0) - self.cum[-1])
-
-
-def _outcomes(s: np.ndarray, c2: np.ndarray, c1: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    is2 = (ids == c2) & (s < 2)
-    is1 = (ids == c1) & (s != 3) & ~is2
-    return np.bincount(np.concatenate([3 * s, 3 * s[is2] + 1, 3 * s[is1] + 2]), minlength=12).reshape(4, 3)
-
-
-def _chunks(n: int) -> list[tuple[int, int]]:
-    cuts = [0, *[c for c in REFIT if c < n], n]
-    return list(zip(cuts[:-1], cuts[1:]))
-
-
-def _steps(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The coder's steps (parts before, parts of its own; of 65,536) for the ids of a block."""
-    cums, freqs = [], []
-    hits = np.zeros((4, 3), np.int64)
-    padded = np.concatenate([np.zeros(2, np.uint32), ids])
-    place = np.empty(NONE + 1, np.int64)
-    for lo, hi in _chunks(len(ids)):
-        model = Model(ids[:lo], hits)
-        a, b, own = padded[lo:hi], padded[lo + 1 : hi + 1], ids[lo:hi]
-        c2, c1 = model.t2[_h2(a, b)], model.t1[_h1(b)]
-        s = _state(c2, c1)
-        m2, m12, g = model.m2[s], model.m12[s], model.quarters[s]
-        is2 = (own == c2) & (m2 > 0)
-        is1 = (own == c1) & ~is2 & (m12 > m2)
-        place.fill(len(model.ids))
-        place[model.ids] = np.arange(len(model.ids))
-        at = place[own]
-        cum = np.where(is2, 0, np.where(is1, m2, m12 + model.cum[at] * g))
-        freq = np.where(is2, m2, np.where(is1, m12 - m2, model.freq[at] * g))
-        rare = np.flatnonzero((at == len(model.ids)) & ~is2 & ~is1)
-        cums.append(np.insert(cum, rare + 1, own[rare]))
-        freqs.append(np.insert(freq, rare + 1, 1))
-        if hi < len(ids):
-            hits = _outcomes(s, c2, c1, own)
-    return np.concatenate(cums).astype(np.uint32), np.concatenate(freqs).astype(np.uint32)
-
-
-def encode(ids: np.ndarray) -> list[bytes]:
-    """The blocks of ids (whole numbers under 65,535), each coded by itself."""
-    blocks = [ids[i : i + BLOCK].astype(np.uint32) for i in range(0, len(ids), BLOCK)]
-    if not blocks:
-        return []
-    steps = [_steps(b) for b in blocks]
-    k, longest = len(blocks), max(len(c) for c, _ in steps)
-    # Step t of all blocks lies side by side; a block that has ended goes on with steps that say nothing.
-    cums = np.zeros((longest, k), np.uint32)
-    freqs = np.full((longest, k), WHOLE, np.uint32)
-    for j, (c, f) in enumerate(steps):
-        cums[: len(c), j], freqs[: len(f), j] = c, f
-    del steps
-    low, span = np.zeros(k, np.uint64), np.full(k, (1 << 48) - 1, np.uint64)
+INTERVAL = 256
+#: Bits of the two context tables.
+H1, H2 = 12, 13
+#: Different symbols that a table may have; bits of the shares' denominator.
+SYMBOLS, SHARE = 1 << 17, 6
+#: The coder's state has two digits of this many bits; it is refilled when it has less than one.
+DIGIT = 24
+LOW, MASK = 1 << DIGIT, (1 << DIGIT) - 1
+#: What a state (0: two named ids, 1: one id named by both, 2: only order 1 names one, 3: none does) is taken to have
+#: seen before a block begins: ids, right ones of order 2 and of order 1.
+BEFORE = np.array([[8, 1, 1], [8, 2, 0], [8, 0, 1], [0, 0, 0]], np.int64)
+
+
+class Table:
+    """The symbols (distinct numbers, in order) and their parts of ``1 << bits``."""
+
+    def __init__(self, symbols: np.ndarray, freq: np.ndarray):
+        self.symbols, self.freq = symbols, freq.astype(np.int64)
+        self.cum = np.cumsum(self.freq) - self.freq
+        self.bits = self.bits_for(len(symbols))
+        self.total = self.bits + SHARE
+        if int(self.freq.sum()) != 1 << self.bits or len(symbols) > SYMBOLS:
+            raise ValueError("the frequencies don't fill their range")
+
+    @staticmethod
+    def bits_for(n: int) -> int:
+        return 16 if n <= 1 << 14 else 18
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, counts: np.ndarray) -> Table:
+        room = (1 << cls.bits_for(len(symbols))) - len(symbols)
+        freq = 1 + counts * room // counts.sum()
+        freq[np.argmax(counts)] += room - (freq - 1).sum()
+        return cls(symbols, freq)
+
+    @property
+    def none(self) -> int:
+        """A symbol's number that stands for none."""
+        return len(self.symbols)
+
+
+class _Shares:
+    """For each lane and state: the range's parts before order 1, before order 0, and those of an order-0 unit."""
+
+    def __init__(self, lanes: int, bits: int):
+        self.lanes, self.bits = lanes, bits
+        self.seen = np.tile(BEFORE, (lanes, 1, 1))
+        self.fit()
+
+    def fit(self) -> None:
+        n, by2, by1 = self.seen[:, :, 0], self.seen[:, :, 1], self.seen[:, :, 2]
+        named = np.clip((64 * (by2 + by1) + n // 2) // np.maximum(n, 1), 1, 63)
+        named[:, 3] = 0
+        n12 = named << self.bits
+        n2 = n12 * (by2 + 1) // (by2 + by1 + 2)
+        n2[:, 1], n2[:, 2] = n12[:, 1], 0
+        self.n2, self.n12, self.unit = n2.ravel(), n12.ravel(), (64 - named).ravel()
+
+    def learn(self, outcomes: np.ndarray) -> None:
+        """outcomes: 3 * (4 * lane + state) + 0 (order 0), 1 (order 2) or 2 (order 1); what is older counts less."""
+        new = np.bincount(outcomes, minlength=12 * self.lanes).reshape(self.lanes, 4, 3)
+        new[:, :, 0] += new[:, :, 1] + new[:, :, 2]
+        self.seen += new - (self.seen >> 3)
+        self.fit()
+
+
+class _Contexts:
+    """What last followed each id and each two ids, in every lane."""
+
+    def __init__(self, lanes: int, none: int):
+        kind = np.uint16 if none < 1 << 16 else np.uint32
+        self.t1, self.t2 = np.full(lanes << H1, none, kind), np.full(lanes << H2, none, kind)
+        self.lane1, self.lane2 = np.arange(lanes) << H1, np.arange(lanes) << H2
+        self.a = self.b = np.zeros(lanes, np.uint32)
+
+    def look(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that order 1 and order 2 name."""
+        self.i1 = self.lane1 + (self.b & np.uint32((1 << H1) - 1))
+        self.i2 = self.lane2 + ((self.a * np.uint32(2246822519) + self.b * np.uint32(3266489917)) >> np.uint32(32 - H2))
+        return self.t1[self.i1], self.t2[self.i2]
+
+    def learn(self, x: np.ndarray) -> None:
+        self.t1[self.i1] = x
+        self.t2[self.i2] = x
+        self.a, self.b = self.b, x.astype(np.uint32)
+
+
+def _halves(ids: np.ndarray) -> np.ndarray:
+    return np.stack([ids >> np.uint32(16), ids & np.uint32(0xFFFF)], axis=1).ravel()
+
+
+def encode(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """The table and the blocks of ids (uint32)."""
+    if not len(ids):
+        return b"", []
+    symbols, x, counts = _distinct(ids)
+    halved = len(symbols) > SYMBOLS
+    if halved:
+        symbols, x, counts = _distinct(_halves(ids))
+    table, size = Table.of(symbols, counts), BLOCK << halved
+    head = struct.pack("<BI", halved, len(symbols)) + np.diff(symbols, prepend=symbols[:1]).astype("<u4").tobytes()
+    return zlib.compress(head + symbols[:1].astype("<u4").tobytes() + table.freq.astype("<u4").tobytes()), _encode(table, x, size)
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, the place of each id among them, and their counts."""
+    if int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        place = np.zeros(len(counts), np.uint32)
+        place[symbols] = np.arange(len(symbols))
+        return symbols.astype(np.uint32), place[ids], counts[symbols]
+    symbols, x, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    return symbols, x.astype(np.uint32), counts
+
+
+def _encode(table: Table, x: np.ndarray, size: int) -> list[bytes]:
+    k = -(-len(x) // size)
+    longest, last = min(size, len(x)), len(x) - (k - 1) * size
+    x = np.append(x, np.zeros(k * longest - len(x), x.dtype)).reshape(k, longest).T.copy()  # a row for each step
+    lanes, none, total = np.arange(k), table.none, table.total
+    shares, contexts = _Shares(k, table.bits), _Contexts(k, none)
+    low, span = np.zeros(k, np.int64), np.full(k, (1 << 2 * DIGIT) - 1, np.int64)
     width = longest + 4
     out, at = np.zeros(k * width, np.uint32), np.arange(k) * width
     first = at.copy()
-    for cum, freq in zip(cums, freqs):
-        unit = span >> U16
-        low += unit * cum
-        span = unit * freq
-        full = span < TOP
-        out[at] = low >> U32
-        at += full
-        shift = full * U16
-        low = np.where(full, low & LOW32, low) << shift
-        span <<= shift
-    for _ in range(3):
-        out[at] = low >> U32
+    for lo in range(0, longest, INTERVAL):
+        own = x[lo : lo + INTERVAL]
+        c1, c2 = np.empty((2, *own.shape), contexts.t1.dtype)
+        for t, row in enumerate(own):
+            c1[t], c2[t] = contexts.look()
+            contexts.learn(row)
+        j = lanes * 4 + (c1 == c2) + 2 * (c2 == none)
+        is2 = own == c2
+        is1 = (own == c1) & ~is2
+        n2, n12, unit = shares.n2[j], shares.n12[j], shares.unit[j]
+        cum = np.where(is2, 0, np.where(is1, n2, n12 + table.cum[own] * unit))
+        freq = np.where(is2, n2, np.where(is1, n12 - n2, table.freq[own] * unit))
+        shares.learn((3 * j + is2 + 2 * is1).ravel())
+        if lo + len(own) > last:  # the last block has ended: steps that say nothing
+            cum[max(last - lo, 0) :, -1], freq[max(last - lo, 0) :, -1] = 0, 1 << total
+        for cum_, freq_ in zip(cum, freq):
+            part = span >> total
+            low += part * cum_
+            span = part * freq_
+            full = np.flatnonzero(span < LOW)
+            now = low[full]
+            place = at[full]
+            out[place] = now >> DIGIT
+            at[full] = place + 1
+            low[full] = (now & MASK) << DIGIT
+            span[full] <<= DIGIT
+    for _ in range(2):
+        out[at] = low >> DIGIT
         at += 1
-        low = (low & LOW32) << U16
+        low = (low & MASK) << DIGIT
     coded = []
     for j in range(k):
         digits = out[first[j] : at[j]]
-        while (over := digits >> np.uint32(16)).any():  # carries
-            digits = digits & np.uint32(0xFFFF)
+        while (over := digits >> np.uint32(DIGIT)).any():  # carries
+            digits = digits & np.uint32(MASK)
             digits[:-1] += over[1:]
-        coded.append(digits.astype(">u2").tobytes())  # zeros at the end, too: the decoder reads them all
+        coded.append(digits.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes())
     return coded
 
 
-def decode(coded: list[bytes], sizes: list[int]) -> np.ndarray:
+def decode(head: bytes, coded: list[bytes], sizes: list[int]) -> np.ndarray:
     """The ids of the blocks that ``encode`` made, one after the other; sizes: ids in each block, the last may be shorter."""
     if not coded:
         return np.zeros(0, np.uint32)
-    k, longest = len(coded), sizes[0]
-    if any(n != longest for n in sizes[:-1]) or sizes[-1] > longest:
+    if any(n != sizes[0] for n in sizes[:-1]) or not 0 < sizes[-1] <= sizes[0]:
         raise ValueError("all blocks but the last must be of one size")
-    width = max(map(len, coded)) // 2 + 8
-    digits = np.zeros((k, width), np.uint64)
-    for j, raw in enumerate(coded):
-        digits[j, : len(raw) // 2] = np.frombuffer(raw, ">u2")
-    # A lane that has ended reads on past its row, by two digits an id at most.
-    digits, at = np.concatenate([digits.ravel(), np.zeros(2 * longest, np.uint64)]), np.arange(k) * width + 3
-    code = (digits[at - 3] << U32) | (digits[at - 2] << U16) | digits[at - 1]
-    span = np.full(k, (1 << 48) - 1, np.uint64)
-    ids = np.zeros((longest + 2, k), np.uint32)  # two zeros before the first
-    hits = [np.zeros((4, 3), np.int64) for _ in range(k)]
-    for lo, hi in _chunks(longest):
-        models = [Model(ids[2 : lo + 2, j], hits[j]) for j in range(k)]
-        t1, t2 = np.concatenate([m.t1 for m in models]), np.concatenate([m.t2 for m in models])
-        m2, m12, quarters = (np.concatenate(x) for x in zip(*((m.m2, m.m12, m.quarters) for m in models)))
-        symbols = max(len(m.freq) for m in models)
-        sym, cum0, freq0 = np.full((k, symbols), NONE, np.uint32), np.zeros((k, symbols), np.int64), np.zeros((k, symbols), np.int64)
-        slot = np.empty((k, 1 << P0), np.int32)
-        for j, m in enumerate(models):
-            sym[j, : len(m.ids)] = m.ids
-            cum0[j, : len(m.cum)], freq0[j, : len(m.freq)] = m.cum, m.freq
-            slot[j] = np.repeat(np.arange(len(m.freq), dtype=np.int32) + j * symbols, m.freq)
-        sym, cum0, freq0, slot = sym.ravel(), cum0.ravel(), freq0.ravel(), slot.ravel()
-        del models
-        lane = np.arange(k)
-        lane1, lane2, lane4, lane0 = lane << H1, lane << H2, lane * 4, lane << P0
-        a, b = ids[lo], ids[lo + 1]
+    head = zlib.decompress(head)
+    halved, n = struct.unpack_from("<BI", head)
+    if len(head) != 9 + 8 * n:
+        raise ValueError("the table of frequencies is cut off")
+    steps, first, freq = (np.frombuffer(head, "<u4", k, at) for k, at in ((n, 5), (1, 5 + 4 * n), (n, 9 + 4 * n)))
+    table = Table((first + np.cumsum(steps)).astype(np.uint32), freq)
+    x = _decode(table, coded, sizes[0] << halved)
+    ids = table.symbols[x[: sum(sizes) << halved]]
+    return ids[::2] << np.uint32(16) | ids[1::2] if halved else ids
+
+
+def _decode(table: Table, coded: list[bytes], longest: int) -> np.ndarray:
+    k, none, total = len(coded), table.none, table.total
+    width = max(map(len, coded)) // 3 + 2
+    raw = np.zeros((k, width, 4), np.uint8)
+    for j, c in enumerate(coded):
+        raw[j, : len(c) // 3, 1:] = np.frombuffer(c, np.uint8).reshape(-1, 3)
+    digits = raw.view(">u4").ravel().astype(np.int64)
+    del raw
+    # The lane of a shorter last block reads on past its row, by a digit an id at most.
+    digits, at = np.append(digits, np.zeros(longest, np.int64)), np.arange(k) * width + 2
+    code = (digits[at - 2] << DIGIT) | digits[at - 1]
+    span = np.full(k, (1 << 2 * DIGIT) - 1, np.int64)
+    slot = np.repeat(np.arange(len(table.freq)), table.freq)
+    shares, contexts, lane4 = _Shares(k, table.bits), _Contexts(k, none), np.arange(k) * 4
+    out = np.empty((longest, k), np.uint32)
+    cum0, freq0, most = table.cum, table.freq, float((1 << total) - 1)
+    for lo in range(0, longest, INTERVAL):
+        hi = min(lo + INTERVAL, longest)
+        outcomes = np.empty((hi - lo, k), np.int64)
         for t in range(lo, hi):
-            # Past the end of the last, shorter block its lane goes on with zeros, which no one reads.
-            c2, c1 = t2[lane2 + _h2(a, b)], t1[lane1 + _h1(b)]
-            s = lane4 + _state(c2, c1)
-            n2, n12, g = m2[s], m12[s], quarters[s]
-            unit = span >> U16
-            # Below 2 ** 48 the division of doubles is exact enough: quotients lie 2 ** -32 apart from whole numbers.
-            v = np.minimum((code / unit).astype(np.int64), WHOLE - 1)
-            named = v < n12
-            is2 = v < n2
-            i = slot[lane0 + np.where(named, 0, (v - n12) // g)]
-            cum = np.where(named, np.where(is2, 0, n2), n12 + cum0[i] * g)
-            freq = np.where(named, np.where(is2, n2, n12 - n2), freq0[i] * g)
-            now = np.where(named, np.where(is2, c2, c1), sym[i])
-            code -= unit * cum.view(np.uint64)
-            span = unit * freq.view(np.uint64)
-            more = span < TOP
-            shift = more * U16
-            code = np.where(more, (code << U16) | digits[at], code)
-            span <<= shift
-            at += more
-            rare = np.flatnonzero(now == NONE)
-            if len(rare):
-                unit = span[rare] >> U16
-                v = np.minimum(code[rare] // unit, np.uint64(WHOLE - 1))
-                now[rare] = v
-                left, more = code[rare] - unit * v, unit < TOP
-                code[rare] = np.where(more, (left << U16) | digits[at[rare]], left)
-                span[rare] = unit << (more * U16)
-                at[rare] += more
-            ids[t + 2] = now
-            a, b = b, ids[t + 2]
-        if hi < longest:
-            own, a, b = ids[lo + 2 : hi + 2], ids[lo:hi], ids[lo + 1 : hi + 1]
-            c2, c1 = t2[lane2 + _h2(a, b)], t1[lane1 + _h1(b)]
-            s = _state(c2, c1)
-            for j in range(k):
-                hits[j] = _outcomes(s[:, j], c2[:, j], c1[:, j], own[:, j])
-    out = ids[2:].T.ravel()
-    return out[: len(out) - longest + sizes[-1]]
+            c1, c2 = contexts.look()
+            j = lane4 + (c1 == c2) + 2 * (c2 == none)
+            n12, unit = shares.n12[j], shares.unit[j]
+            part = span >> total
+            # Below 2 ** 48 the division of doubles is exact enough: quotients lie 2 ** -26 apart from whole numbers.
+            v = np.minimum(code / part, most).astype(np.int64)
+            ahead = v - n12
+            x = slot.take((ahead / unit).astype(np.int64), mode="clip")
+            cum, freq, outcome = n12 + cum0[x] * unit, freq0[x] * unit, 3 * j
+            named = np.flatnonzero(ahead < 0)
+            if len(named):
+                n2 = shares.n2[j[named]]
+                is2 = v[named] < n2
+                cum[named] = np.where(is2, 0, n2)
+                freq[named] = np.where(is2, n2, n12[named] - n2)
+                x[named] = np.where(is2, c2[named], c1[named])
+                outcome[named] += 2 - is2
+            code -= part * cum
+            span = part * freq
+            more = np.flatnonzero(span < LOW)
+            place = at[more]
+            code[more] = (code[more] << DIGIT) | digits[place]
+            at[more] = place + 1
+            span[more] <<= DIGIT
+            contexts.learn(x)
+            out[t] = x
+            outcomes[t - lo] = outcome
+        shares.learn(outcomes.ravel())
+    return out.T.ravel()

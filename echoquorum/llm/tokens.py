@@ -2,24 +2,29 @@
 
 Documents are ordered by id over range partitions; each task tokenises its share and writes one file. A file is a row
 of segments: a header, the documents' ids and lengths, and blocks of ids coded by ``rangecoder``. Every block starts
-afresh and has checksums of its coded bytes and of its ids, so a damaged block is found and harms no other.
+afresh from the segment's table of frequencies and has checksums of its coded bytes and of its ids, so a damaged block
+is found and harms no other.
 
-    segment  = "EQTOK1\\n\\0"  u32 documents  u32 blocks  u32 length of the tables  u32 crc32 of the tables  tables  blocks
+    segment  = "EQTOK2\\n\\0"  u32 documents  u32 blocks  u32 length of the tables  u32 crc32 of the tables  tables  blocks
     tables   = documents x (u8 has an id, i64 id, u32 ids)  blocks x (u32 ids, u32 bytes, u32 crc32 of the bytes, u32 crc32 of the ids)
+               deflated: u8 ids are halved  u32 symbols  symbols x u32 step from the symbol before  u32 first symbol  symbols x u32 frequency
 
 All numbers are little-endian; ids count as unsigned 32-bit integers in checksums.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,92 +33,178 @@ from . import rangecoder
 from .common import make_folder, new_path, scratch
 from .warc import _open
 
-MAGIC = b"EQTOK1\n\0"
+MAGIC = b"EQTOK2\n\0"
 END = 1
 #: A segment is closed at the end of the document with which it has so many ids.
 SEGMENT_IDS = 6_000_000
-#: Words in each of the two generations that a Python worker remembers.
-REMEMBERED = 400_000
+#: Bytes of text that are encoded together, and pre-tokens that a Python worker remembers from piece to piece.
+PIECE, REMEMBERED = 16 << 20, 600_000
+#: A printable character below U+0250, but for that whose lower case is two characters.
+PLAIN = r"[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]"
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u4")])
 BLOCK = np.dtype([("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 
 
-class _Words(dict):
-    """Word -> its ids as 16-bit bytes, encoded by the library on the first sight of the word."""
+class Encoder:
+    """Ids of whole columns of texts for one tokenizer file; one of these in each Python worker.
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.encode, self.older = tokenizer.encode, {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        value = self.older.get(word)
-        if value is None:
-            value = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, np.uint16).tobytes()
-        self[word] = value
-        return value
+    If the tokenizer drops white space and divides texts by a plain pattern (``drops_space``), a text's ids are those of
+    its white-space-separated words one after the other, and a word's ids are those of its pre-tokens. So each distinct
+    word of a piece of a column is divided once, and each distinct pre-token encoded once. That the pattern here (RE2)
+    and the library's divide alike is known for printable Latin characters below U+0250 only: a word with any other is
+    encoded by the library as a whole, and so is one that holds an added token. Other tokenizers encode whole texts.
+    """
 
-    def age(self) -> None:
-        """Words that aren't met again before the next call are forgotten then."""
-        self.older = dict(self)
-        self.clear()
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for a task
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_word = drops_space(spec)
+        if self.by_word:
+            vocabulary = spec["model"]["vocab"]
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            self.pattern = _split_pattern(spec)
+            self.added = [t["content"] for t in spec.get("added_tokens", [])]
+            # For pre-tokens, which are normalised and divided already.
+            rest = spec["pre_tokenizer"].get("pretokenizers", [None])[1:]
+            whole = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": whole, "added_tokens": []}))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.known_ids, self.known_at = pa.array([""]), np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def _library(self, texts: list[str], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of each text, by the library."""
+        ids = [e.ids for e in (self.bare if bare else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _new_pretokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_library``; many pre-tokens in one text, told apart by the tokens that end a word."""
+        ids, _ = self._library([" ".join(pieces[i : i + 64]) for i in range(0, len(pieces), 64)], bare=True)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(pieces) or len(ids) and last[-1] != len(ids) - 1:
+            return self._library(pieces, bare=True)
+        return ids, np.diff(last, prepend=-1)
+
+    def _pretokens(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens, one after the other, and where each one's begin (and the end)."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(at))  # never the empty one, which is known
+        if len(new):
+            ids, n = self._new_pretokens(new.to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
+            self.known_ids = np.concatenate([self.known_ids, ids])
+            self.known_at = np.concatenate([self.known_at, self.known_at[-1] + np.cumsum(n)])
+            at = pc.index_in(pieces, value_set=self.known)
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        begin, n = self.known_at[at], self.known_at[at + 1] - self.known_at[at]
+        return _gather(self.known_ids, begin, n), _ends(n)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and where each one's begin (and the end)."""
+        plain = pc.match_substring_regex(words, f"^{PLAIN}*$")
+        for t in self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(words, t)))
+        lowered = pc.utf8_lower(words.filter(plain))
+        pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered, self.pattern, r"\0 "))
+        flat = pieces.flatten().dictionary_encode()
+        ids, at = self._pretokens(flat.dictionary)
+        which = flat.indices.to_numpy().astype(np.int64)
+        n = at[which + 1] - at[which]
+        plain_ids, piece_ends, offsets = _gather(ids, at[which], n), _ends(n), pieces.offsets.to_numpy()
+        plain_n = piece_ends[offsets[1:] - offsets[0]] - piece_ends[offsets[:-1] - offsets[0]]
+        if len(lowered) == len(words):
+            return plain_ids, _ends(plain_n)
+        odd_ids, odd_n = self._library(words.filter(pc.invert(plain)).to_pylist())
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        n, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        n[is_plain], n[~is_plain] = plain_n, odd_n
+        begin[is_plain], begin[~is_plain] = _ends(plain_n)[:-1], len(plain_ids) + _ends(odd_n)[:-1]
+        return _gather(np.concatenate([plain_ids, odd_ids]), begin, n), _ends(n)
+
+    def _piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_word:
+            return self._library(texts.to_pylist())
+        split = pc.ascii_split_whitespace(texts)
+        flat, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
+        ids, at = self._words(flat.dictionary)
+        which = flat.indices.to_numpy().astype(np.int64)
+        n = (at[1:] - at[:-1])[which]
+        ends = _ends(n)
+        return _gather(ids, at[which], n), ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one piece of the column after the other: the ids of its texts (uint32), and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PIECE, side="right")))
+            yield self._piece(texts.slice(lo, hi - lo))
+            lo = hi
+
+
+def _ends(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)])
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of n values that start at begin, one after the other."""
+    ends = _ends(n)
+    return values[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])]
 
 
 @cache
-def encoder(path: str) -> Callable[[str | None], np.ndarray]:
-    """text -> ids (uint16) for the tokenizer file ``path``; one per Python worker.
-
-    If the tokenizer drops all white space before it looks for pre-tokens (``drops_space``), a text's ids are those of
-    its white-space-separated words one after the other, and each word is encoded once.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    if tokenizer.get_vocab_size(with_added_tokens=True) >= rangecoder.NONE:
-        raise ValueError("the file format has room for 65,534 ids")
-    if not drops_space(path):
-        return lambda text: np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint16)
-    words = _Words(tokenizer)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
-    def run(text: str | None) -> np.ndarray:
-        if len(words) > REMEMBERED:
-            words.age()
-        return np.frombuffer(b"".join(map(words.__getitem__, text.encode("utf-8").split())) if text else b"", np.uint16)
 
-    return run
+def _split_pattern(spec: dict) -> str:
+    pres = spec["pre_tokenizer"]
+    return pres.get("pretokenizers", [pres])[0]["pattern"]["Regex"]
 
 
-def drops_space(path: str) -> bool:
-    """Whether ASCII white space only separates words for this tokenizer: read from its normalisers and pre-tokenizer.
+def drops_space(spec: dict) -> bool:
+    """Whether ASCII white space only separates words for this tokenizer, by its file's contents, and words divide by a pattern.
 
     True for: normalisers that treat characters one by one or map runs of white space to a space, then a split that
-    removes all that its pattern doesn't match, with a pattern that never matches white space, and no added token
-    that strips or is found within words only.
+    removes all that its pattern doesn't match, with a pattern of plain alternatives that never matches white space and
+    always matches a printable character, then nothing that divides further; a model that marks the ends of
+    words; and no added token that strips or is found within words only.
     """
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     steps = lambda x, key: x.get(key, [x]) if x else []
     norms, pres = steps(spec.get("normalizer"), "normalizers"), steps(spec.get("pre_tokenizer"), "pretokenizers")
     plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " " for n in norms)
     split = pres[0] if pres else {}
     pattern = split.get("pattern", {}).get("Regex", "\\s")
     bare = pattern.replace("[^\\s", "")  # what is left of the pattern must not mention white space
-    return bool(
-        plain and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed"
-        and "\\s" not in bare and " " not in bare and "." not in bare and "[^" not in bare
+    if not (
+        plain and any(n["type"] == "Lowercase" for n in norms)
+        and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed"
+        and not any(x in bare for x in ("\\s", " ", ".", "[^", "(", "^", "$", "\\b"))
+        and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pres[1:])
+        and spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix")
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", []))
-    )
+    ):
+        return False
+    each = pa.array([c for c in map(chr, range(33, 0x250)) if not 0x7E < ord(c) < 0xA1 and ord(c) != 0x130])
+    return bool(pc.all(pc.match_substring_regex(pc.utf8_lower(each), f"^({pattern})$")).as_py())
 
 
-def segment(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
-    """The bytes of a segment for documents (id, ids)."""
-    ids = np.concatenate([x for _, x in docs]) if docs else np.zeros(0, np.uint16)
-    table = np.array([(i is not None, i or 0, len(x)) for i, x in docs], DOC)
-    coded = rangecoder.encode(ids)
+def segment(docs: np.ndarray, ids: np.ndarray) -> bytes:
+    """The bytes of a segment for documents (DOC) and all their ids (uint32)."""
+    table, coded = rangecoder.encode(ids)
     parts = [ids[i : i + rangecoder.BLOCK] for i in range(0, len(ids), rangecoder.BLOCK)]
     blocks = np.array([(len(p), len(c), zlib.crc32(c), zlib.crc32(p.astype("<u4").tobytes())) for p, c in zip(parts, coded)], BLOCK)
-    tables = table.tobytes() + blocks.tobytes()
+    tables = docs.tobytes() + blocks.tobytes() + table
     return b"".join([MAGIC, struct.pack("<IIII", len(docs), len(blocks), len(tables), zlib.crc32(tables)), tables, *coded])
 
 
@@ -123,8 +214,8 @@ def read_segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(head) < 24 or head[:8] != MAGIC:
             raise ValueError("no segment where one must start")
         n_docs, n_blocks, size, crc = struct.unpack("<IIII", head[8:])
-        tables = stream.read(size)
-        if len(tables) != size or zlib.crc32(tables) != crc or size != n_docs * DOC.itemsize + n_blocks * BLOCK.itemsize:
+        tables, fixed = stream.read(size), n_docs * DOC.itemsize + n_blocks * BLOCK.itemsize
+        if len(tables) != size or zlib.crc32(tables) != crc or size < fixed:
             raise ValueError("the tables of a segment are damaged")
         docs = np.frombuffer(tables, DOC, n_docs)
         blocks = np.frombuffer(tables, BLOCK, n_blocks, n_docs * DOC.itemsize)
@@ -132,10 +223,11 @@ def read_segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k, (c, b) in enumerate(zip(coded, blocks)):
             if len(c) != b["bytes"] or zlib.crc32(c) != b["crc"]:
                 raise ValueError(f"block {k} of a segment is damaged")
-        ids = rangecoder.decode(coded, [int(n) for n in blocks["n"]]).astype("<u4")
+        ids = rangecoder.decode(tables[fixed:], coded, [int(n) for n in blocks["n"]]).astype("<u4")
+        del coded
         at = 0
         for k, b in enumerate(blocks):
-            if zlib.crc32(ids[at : at + int(b["n"])].tobytes()) != b["ids_crc"]:
+            if zlib.crc32(ids[at : at + int(b["n"])]) != b["ids_crc"]:
                 raise ValueError(f"block {k} of a segment decodes to other ids")
             at += int(b["n"])
         if at != int(docs["n"].sum()):
@@ -158,23 +250,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, name, stream, held, n_held = encoder(tokenizer), f"{folder}/{uuid.uuid4().hex}.tok", None, [], 0
-        n_docs = n_ids = n_bytes = 0
+        own, name, stream = encoder(tokenizer), f"{folder}/{uuid.uuid4().hex}.tok", None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = n_docs = n_ids = n_bytes = 0
 
         def flush() -> None:
             nonlocal held, n_held, n_docs, n_ids, n_bytes
-            data = segment(held)
+            docs, ids = np.concatenate([d for d, _ in held]), np.concatenate([i for _, i in held])
+            held = []
+            data = segment(docs, ids)
             stream.write(data)
-            n_docs, n_ids, n_bytes = n_docs + len(held), n_ids + n_held, n_bytes + len(data)
-            held, n_held = [], 0
+            n_docs, n_ids, n_bytes, n_held = n_docs + len(docs), n_ids + len(ids), n_bytes + len(data), 0
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            at = 0
+            for ids, n in own.encode(b.column(1)):
                 if stream is None:
                     stream = _open(name, "w")
-                ids = np.append(encode(t.as_py()), np.uint16(end_id))
-                held.append((i, ids))
-                n_held += len(ids)
+                who = b.column(0).slice(at, len(n))
+                at += len(n)
+                table = np.zeros(len(n), DOC)
+                table["has"] = pc.is_valid(who).to_numpy(zero_copy_only=False)
+                table["id"], table["n"] = pc.fill_null(who, 0).to_numpy(zero_copy_only=False), n + 1
+                held.append((table, np.insert(ids, np.cumsum(n), np.uint32(end_id))))
+                n_held += len(held[-1][1])
                 if n_held >= SEGMENT_IDS:
                     flush()
         if stream is not None:
@@ -185,7 +284,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
             kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["path", "file_no", "n_docs", "n_ids", "bytes"])
 
-    ordered = src.withColumn("tie_", F.xxhash64("text")).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie_").select("doc_id", "text")
+    ordered = src.withColumn("tie_", F.xxhash64("text")).repartitionByRange("doc_id", "tie_").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie_").select("doc_id", "text")
     return scratch(ordered.mapInArrow(run, "path string, file_no int, n_docs long, n_ids long, bytes long"), "token-files")
 
 
@@ -207,10 +306,10 @@ def read_tokens(files: DataFrame, ids: bool = False) -> DataFrame:
                         begins = ends - docs["n"]
                         parts = [values[x:y] for x, y in zip(begins, ends)]
                         columns = [
-                            pa.array(docs["id"], pa.int64(), mask=docs["has"] == 0),
+                            pa.array(docs["id"].astype(np.int64), pa.int64(), mask=docs["has"] == 0),
                             pa.array(begins + start),
                             pa.array(docs["n"].astype(np.int64)),
-                            pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()),
+                            pa.array([zlib.crc32(p) for p in parts], pa.int64()),
                         ]
                         if ids:
                             columns.append(pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1:]), pa.int32()), pa.array(values.view("<i4"))))

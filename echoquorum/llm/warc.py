@@ -184,6 +184,7 @@ def _open(uri: str, mode: str):
 
     if uri.startswith("file:/") and not uri.startswith("file:///"):
         uri = "file://" + uri.removeprefix("file:")
+    uri = uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri  # the name that Arrow knows it by
     system, path = fs.FileSystem.from_uri(uri)
     return system.open_output_stream(path) if mode == "w" else system.open_input_stream(path)
 

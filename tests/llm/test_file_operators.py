@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
@@ -24,18 +25,48 @@ def docs(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 65534), max_size=400), st.integers(1, 60))
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=400), st.integers(1, 60))
 def test_range_coder_is_an_identity(ids, times):
-    x = np.array(ids * times, np.uint32)[:20000]
+    round_trip(np.array(ids * times, np.uint32)[:20000])
+
+
+def round_trip(x):
     sizes = [min(rangecoder.BLOCK, len(x) - i) for i in range(0, len(x), rangecoder.BLOCK)]
-    assert (rangecoder.decode(rangecoder.encode(x), sizes) == x).all()
+    head, coded = rangecoder.encode(x)
+    assert (rangecoder.decode(head, coded, sizes) == x).all()
+    return len(head) + sum(map(len, coded))
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 8191, 8192, 8193, 16385])
+def test_range_coder_at_the_edges_of_blocks_and_intervals(n):
+    r = np.random.default_rng(n)
+    round_trip(np.zeros(n, np.uint32))
+    round_trip(r.geometric(0.05, n).astype(np.uint32))
+    round_trip(np.tile(np.array([5, 2**32 - 1, 7], np.uint32), n)[:n])
+
+
+def test_range_coder_takes_more_ids_than_a_table_has_room_for():
+    r = np.random.default_rng(3)
+    round_trip(r.permutation(np.arange(2 * rangecoder.SYMBOLS, dtype=np.uint32) * 3 + 11)[:200_000])
+    round_trip(r.permutation(np.arange(rangecoder.SYMBOLS, dtype=np.uint32)))
 
 
 def test_range_coder_predicts():
     r = random.Random(1)
     phrases = [[r.randrange(40000) for _ in range(8)] for _ in range(20)]
     ids = np.array([i for _ in range(3000) for i in r.choice(phrases)], np.uint32)
-    assert sum(map(len, rangecoder.encode(ids))) < 0.35 * 2 * len(ids)
+    assert round_trip(ids) < 0.25 * 2 * len(ids)
+
+
+def test_range_coder_beats_order_0_alone():
+    """Order 0 alone would take the ids' entropy, and the table as well."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{SMALL}/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    ids = np.concatenate([x for x, _ in tokens.encoder(queries.word_tokenizer()).encode(texts)])
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    round_trip(ids)
+    assert 8 * sum(map(len, rangecoder.encode(ids)[1])) / len(ids) < 0.96 * -(p * np.log2(p)).sum()
 
 
 def expected(rows):
@@ -59,11 +90,51 @@ def test_token_files_hold_what_the_library_says(spark, docs):
 
 
 def test_words_are_enough_for_this_tokenizer_only():
-    assert tokens.drops_space(queries.word_tokenizer()) and not tokens.drops_space(str(P.path("byte_bpe_50k.json")))
+    assert tokens.encoder(queries.word_tokenizer()).by_word and not tokens.encoder(str(P.path("byte_bpe_50k.json"))).by_word
+
+
+def encoded(tokenizer, texts):
+    out = []
+    for ids, n in tokens.encoder(tokenizer).encode(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]]
+    return out
+
+
+def library(tokenizer, texts):
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(tokenizer).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+LETTERS = st.characters(codec="utf-8")
+ODD = st.sampled_from(["'s", "'RE", "'d", "<|endoftext|>", "<|", "\u0130", "\u03a3", "\u00df", "\u1e9e", "e\u0301", "\u00b2", "\x1c", "\x85", "\xa0", "\u2028", "\u01c5", " ", "\n", "12", "\U0001f600"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(LETTERS | ODD | st.characters(min_codepoint=33, max_codepoint=0x24F, codec="utf-8"), max_size=30).map("".join) | st.none(), max_size=6))
+def test_random_texts_have_the_librarys_ids(texts):
+    assert encoded(queries.word_tokenizer(), texts) == library(queries.word_tokenizer(), texts)
+
+
+def test_every_plain_character_has_the_librarys_ids():
+    each = [chr(i) for i in range(1, 0x260)]
+    texts = each + [f"a{c}b" for c in each] + [f"{c}{c}'s1{c}" for c in each] + [f"'{c}" for c in each]
+    assert encoded(queries.word_tokenizer(), texts) == library(queries.word_tokenizer(), texts)
+    assert encoded(str(P.path("byte_bpe_50k.json")), texts[:50]) == library(str(P.path("byte_bpe_50k.json")), texts[:50])
+
+
+def test_pieces_and_segments_join_up(spark, monkeypatch):
+    """Many pieces, a text longer than a piece, a document longer than a segment."""
+    texts = ["word " * n for n in (3, 0, 4000, 1, 90)] * 3
+    monkeypatch.setattr(tokens, "PIECE", 500)
+    assert encoded(queries.word_tokenizer(), texts) == library(queries.word_tokenizer(), texts)
+    parts = [tokens.segment(np.array([(1, i, len(x))], tokens.DOC), np.array(x, np.uint32)) for i, x in enumerate(library(queries.word_tokenizer(), texts))]
+    back = list(tokens.read_segments(io.BytesIO(b"".join(parts))))
+    assert [ids.tolist() for _, ids in back] == library(queries.word_tokenizer(), texts)
 
 
 def test_a_damaged_block_is_found():
-    data = bytearray(tokens.segment([(1, np.arange(9000, dtype=np.uint16)), (None, np.zeros(0, np.uint16))]))
+    data = bytearray(tokens.segment(np.array([(1, 1, 9000), (0, 0, 0)], tokens.DOC), np.arange(9000, dtype=np.uint32)))
     docs, ids = next(tokens.read_segments(io.BytesIO(bytes(data))))
     assert list(docs["n"]) == [9000, 0] and list(docs["has"]) == [1, 0] and (ids == np.arange(9000)).all()
     for at in (30, len(data) - 5):
