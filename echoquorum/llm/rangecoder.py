@@ -21,7 +21,7 @@ import numpy as np
 BLOCK = 8192
 INTERVAL = 256
 #: Bits of the two context tables.
-H1, H2 = 12, 13
+H1, H2 = 11, 11
 #: Different symbols that a table may have; bits of the shares' denominator.
 SYMBOLS, SHARE = 1 << 17, 6
 #: The coder's state has two digits of this many bits; it is refilled when it has less than one.
@@ -103,7 +103,7 @@ class _Contexts:
     def learn(self, x: np.ndarray) -> None:
         self.t1[self.i1] = x
         self.t2[self.i2] = x
-        self.a, self.b = self.b, x.astype(np.uint32)
+        self.a, self.b = self.b, np.asarray(x, np.uint32)
 
 
 def _halves(ids: np.ndarray) -> np.ndarray:

@@ -96,15 +96,15 @@ class Encoder:
         """Ids of distinct pre-tokens, one after the other, and where each one's begin (and the end)."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        at = pc.index_in(pieces, value_set=self.known)
-        new = pieces.filter(pc.is_null(at))  # never the empty one, which is known
+        found = pc.index_in(pieces, value_set=self.known)
+        at, is_new = pc.fill_null(found, 0).to_numpy().astype(np.int64), pc.is_null(found)
+        new = pieces.filter(is_new)  # never the empty one, which is known
         if len(new):
             ids, n = self._new_pretokens(new.to_pylist())
+            at[is_new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
             self.known = pa.concat_arrays([self.known, new])
             self.known_ids = np.concatenate([self.known_ids, ids])
             self.known_at = np.concatenate([self.known_at, self.known_at[-1] + np.cumsum(n)])
-            at = pc.index_in(pieces, value_set=self.known)
-        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
         begin, n = self.known_at[at], self.known_at[at + 1] - self.known_at[at]
         return _gather(self.known_ids, begin, n), _ends(n)
 
@@ -159,7 +159,10 @@ def _ends(n: np.ndarray) -> np.ndarray:
 def _gather(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The runs of n values that start at begin, one after the other."""
     ends = _ends(n)
-    return values[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])]
+    kind = np.int32 if max(len(values), ends[-1]) < 1 << 31 else np.int64
+    at = np.repeat((begin - ends[:-1]).astype(kind), n)
+    at += np.arange(ends[-1], dtype=kind)
+    return values.take(at)
 
 
 @cache
