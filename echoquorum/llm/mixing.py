@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_by_weight, scratch
+from .common import SPACE, join_by_weight, row_keys, scratch
 
 #: Hexadecimal digits of the seeded hash that number the buckets of an epoch: a leaf's prefix sum is taken over 4,096
 #: buckets, and only the one bucket in which the prefix ends is sorted row by row.
@@ -119,12 +119,6 @@ def choose(rows: DataFrame, weights: dict[str, int], budget: int | None, max_epo
     return out.filter("copies > 0").select("k1", "k2", "id", *path, "tokens", "copies")
 
 
-def row_keys(docs: DataFrame) -> tuple[Column, Column]:
-    """Two hashes of a whole row. A column's null flag goes along with its value, as xxhash64 passes over nulls."""
-    whole = [x for c in docs.columns for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`"))]
-    return F.xxhash64(F.lit(1), *whole).alias("k1"), F.xxhash64(F.lit(2), *whole).alias("k2")
-
-
 def leaf_rows(docs: DataFrame, domain: Column, lang: Column, source: Column, tokens: Column, id_col: Column) -> DataFrame:
     """The table that ``choose`` takes; k1 and k2 hash the whole row, so that it is found again even without an id."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))

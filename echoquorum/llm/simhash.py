@@ -4,7 +4,8 @@ Two fingerprints differ in at most 2r bits exactly if some 64-bit word lies with
 fingerprint emits all words within r bits of itself (r = 2: 2,081 of them), and fingerprints that emit the same word
 are linked. The words are not shuffled one by one: those that agree in their first b bits travel as one row (prefix,
 fingerprint, bits still free), and the task that gets a prefix spells out the rest. This is the same set of words in
-1 + b + b(b-1)/2 rows in place of 2,081.
+1 + b + b(b-1)/2 rows in place of 2,081. A prefix that too many rows share is made longer, eight bits at a time, up to
+the whole word; so no task loads a group of unbounded size.
 
 Fingerprints that emit the same word are all within 2r bits of each other, so a star around one of them loses no
 connection; no group is expanded into all its pairs.
@@ -13,6 +14,7 @@ connection; no group is expanded into all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb, log2
 
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import ascii_lower, join_by_weight, scratch, words_of
+from .common import ascii_lower, join_by_weight, row_keys, scratch, words_of
 from .components import connected_components
 
 SEED = 42
 #: Words spelled out at once in a reducing task, which bounds its memory (about 50 bytes each).
 CHUNK = 1_500_000
+#: Rows of a prefix beyond which it is made longer, and bits by which.
+GROUP_ROWS, STEP = 300_000, 8
 
 
 def fingerprint(text: str | None, k: int = 4) -> int:
@@ -57,16 +61,16 @@ def fingerprint(text: str | None, k: int = 4) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the id and the signed long that holds the fingerprint's 64 bits, for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row_keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the longs ``row_keys``): the id and the signed long that holds the fingerprint's 64 bits, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *row_keys])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *row_keys)
+    return src.mapInArrow(run, "doc_id long, fp long" + "".join(f", {k} long" for k in row_keys))
 
 
 def masks(bits: int, r: int) -> dict[int, np.ndarray]:
@@ -138,39 +142,74 @@ def _link(parent: np.ndarray, fps: np.ndarray, rest: np.ndarray, who: np.ndarray
 
 
 def prefix_bits(n: int) -> int:
-    """Bits of the word that decide where it is sent: about a thousand fingerprints to a prefix, 6 to 16 bits."""
-    return int(min(16, max(6, log2(max(n, 1) / 1000) + 1)))
+    """Bits of the word that decide where it is sent: about a thousand fingerprints to a prefix, 6 to 40 bits."""
+    return int(min(40, max(6, log2(max(n, 1) / 1000) + 1)))
 
 
-def links(distinct: DataFrame, n: int, limit: int = 4) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints (column fp, unique) that are within ``limit`` bits, directly or by others."""
+def _spread(rows: DataFrame, bits: int, more: int, r: int) -> DataFrame:
+    """rows (prefix, fp, free), prefixes of ``bits`` bits -> the same words by prefixes of ``bits + more`` bits."""
+    flips = F.array(*[F.struct(F.lit(int(m)).alias("m"), F.lit(j).alias("used")) for j, ms in masks(more, r).items() for m in ms])
+    own = F.shiftrightunsigned("fp", 64 - bits - more).bitwiseAND(F.lit((1 << more) - 1))
+    may = F.filter(flips, lambda x: x["used"] <= F.col("free"))
+    out = rows.select("prefix", "fp", "free", F.explode(may).alias("x"))
+    return out.select(F.shiftleft("prefix", more).bitwiseOR(own.bitwiseXOR(F.col("x.m"))).alias("prefix"), "fp", (F.col("free") - F.col("x.used")).alias("free"))
+
+
+def links(distinct: DataFrame, n: int, limit: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Edges (u, v) that connect all fingerprints (column fp, unique) that are within ``limit`` bits, directly or by others.
+
+    A task takes a prefix of at most ``group_rows`` rows. A whole word that more fingerprints emit needs no task of
+    its own: they are all near each other, so each is linked to the least of them.
+    """
     if limit % 2 or not 2 <= limit <= 8:
         raise ValueError("the limit must be an even number of bits from 2 to 8")
-    r, b = limit // 2, prefix_bits(n)
-    prefixes = F.array(
-        *[
-            F.struct(F.lit(int(m)).alias("m"), F.lit(r - j).alias("free"))
-            for j, ms in masks(b, r).items()
-            for m in ms
-        ]
-    )
-    rows = distinct.select("fp", F.explode(prefixes).alias("x")).select(
-        F.shiftrightunsigned("fp", 64 - b).bitwiseXOR(F.col("x.m")).alias("prefix"), "fp", F.col("x.free").alias("free")
-    )
+    r, bits = limit // 2, prefix_bits(n)
+    start = distinct.select(F.lit(0).cast("long").alias("prefix"), "fp", F.lit(r).alias("free"))
+    rows, found = _spread(start, 0, bits, r), []
+    while True:
+        heavy = rows.groupBy("prefix").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("prefix", F.lit(True).alias("heavy"))
+        heavy = scratch(heavy, "heavy-prefixes")  # at most 1 / group_rows of the rows
+        any_heavy = bool(heavy.limit(1).count())
+        marked = rows.join(F.broadcast(heavy), "prefix", "left") if any_heavy else rows
+        light = marked.filter("heavy IS NULL").drop("heavy") if any_heavy else rows
+        found.append(_links_of(light, bits, limit))
+        if not any_heavy:
+            break
+        rows = marked.filter("heavy").drop("heavy")
+        if bits == 64:
+            least = rows.groupBy("prefix").agg(F.min("fp").alias("v"))
+            found.append(rows.join(F.broadcast(least), "prefix").select(F.col("fp").alias("u"), "v").filter("u <> v"))
+            break
+        more = min(STEP, 64 - bits)
+        rows, bits = scratch(_spread(rows, bits, more, r), "longer-prefixes"), bits + more
+    return reduce(DataFrame.unionByName, found)
+
+
+def _links_of(rows: DataFrame, bits: int, limit: int) -> DataFrame:
+    """Edges between the fingerprints of each prefix (prefix, fp, free) that emit a common word with it."""
 
     def run(table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view(np.uint64)
         free = table.column("free").to_numpy().astype(np.int64)
-        rest = fps & np.uint64((1 << (64 - b)) - 1)
+        rest = fps & np.uint64((1 << (64 - bits)) - 1)
         parent = np.arange(len(fps))
         if len(fps) > 1:
-            parent = _link(parent, fps, rest, parent.copy(), free, 64 - b, limit)
+            parent = _link(parent, fps, rest, parent.copy(), free, 64 - bits, limit)
         signed, far = fps.view(np.int64), np.flatnonzero(parent != np.arange(len(parent)))
         return pa.table({"u": signed[far], "v": signed[parent[far]]})
 
     return rows.groupBy("prefix").applyInArrow(run, "u long, v long")
 
 
+def _components(fps: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """(fp, n_rows, root), a row for each fingerprint of ``fps``, with its component's least one; and the number of rows."""
+    classes = scratch(fps.groupBy("fp").agg(F.count("*").alias("n_rows")), "classes")
+    n, total = classes.agg(F.count("*"), F.sum("n_rows")).first()
+    roots = scratch(connected_components(links(classes.select("fp"), n, limit)), "roots")
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "n_rows", F.coalesce("root", "fp").alias("root"))
+    return scratch(rooted, "rooted"), total or 0
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -180,36 +219,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Repeated rows each get a row. An empty table gives an empty result. Other columns of ``docs`` play no part.
     """
     fps = scratch(fingerprints(docs, id_col, text), "fingerprints")
-    classes = scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "classes")
-    n, total = classes.agg(F.count("*"), F.sum("n_rows")).first()
-    roots = scratch(connected_components(links(classes.select("fp"), n, limit)), "roots")
-    rooted = scratch(
-        classes.join(roots, classes.fp == roots.node, "left").select(
-            "fp", "first_id", "n_rows", F.coalesce("root", "fp").alias("root")
-        ),
-        "rooted",
-    )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_classes"))
-    named = join_by_weight(rooted, least, ["root"], "n_classes", n).select("fp", "component_id", "n_rows")
-    return join_by_weight(fps, scratch(named, "named"), ["fp"], "n_rows", total or 0).select("doc_id", "fp", "component_id")
+    rooted, total = _components(fps, limit)
+    with_root = scratch(join_by_weight(fps, rooted, ["fp"], "n_rows", total), "with-root")
+    least = scratch(with_root.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_rows")), "components")
+    return join_by_weight(with_root, least, ["root"], "n_rows", total).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = 4) -> DataFrame:
-    """The rows of ``docs`` without all but one document, that of the least id, of each component.
+    """The rows of ``docs`` without all but one row of each component.
 
-    Of rows that repeat a kept id one stays. Rows without an id can't stand for a group and stay.
+    The row of the least id stays (of several with that id, that of the least hash); one without an id only where no row
+    of its component has one. Of rows that are equal in all columns one stays. Rows are told apart by two hashes of all
+    their columns, so an id that several rows share can't keep more than one of them.
     """
-    judged = near_duplicates(docs, id_col, text, limit)
-    kept = scratch(
-        judged.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_same")), "kept"
-    ).withColumnsRenamed({"doc_id": "kept_id_", "n_same": "kept_n_"})
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(id_col).cast("long").alias("id_in"))
-    # A merge join at every size: the plan that a large table needs.
-    out = row.filter("id_in IS NOT NULL").join(kept.hint("merge"), F.col("id_in") == F.col("kept_id_"), "inner")
-    once = out.filter("kept_n_ = 1")
-    if kept.filter("kept_n_ > 1").limit(1).count():
-        once = once.unionByName(out.filter("kept_n_ > 1").dropDuplicates(["id_in"]))
-    return once.select("row_.*").unionByName(row.filter("id_in IS NULL").select("row_.*"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(id_col).cast("long").alias("id_"), F.col(text).alias("text_"), *row_keys(docs))
+    fps = scratch(fingerprints(row, "id_", "text_", ("k1", "k2")), "fingerprints")
+    rooted, total = _components(fps, limit)
+    with_root = join_by_weight(fps, rooted, ["fp"], "n_rows", total)
+    best = with_root.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "k1", "k2")).alias("best"))
+    kept = scratch(best.select("best.k1", "best.k2"), "kept")
+    twice = scratch(fps.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2"), "equal-rows")
+    met = row.join(kept, ["k1", "k2"])
+    if twice.limit(1).count():
+        met = met.join(twice, ["k1", "k2"], "left_anti").unionByName(met.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return met.select("row_.*")
 
 
 def _band_keys(rows: DataFrame, similarity: float) -> DataFrame:
@@ -260,7 +293,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     same = row.select("k1", "k2", "id_").groupBy("k1", "k2", "id_").agg(F.count("*").alias("kept_n_"))
     same = same.withColumnsRenamed({"k1": "kept_k1_", "k2": "kept_k2_", "id_": "kept_id_"}).filter("kept_n_ > 1")
     same = scratch(same, "repeated-rows")
-    met = row.drop("norm").join(kept.hint("merge"), on, "inner").drop("kept_k1_", "kept_k2_", "kept_id_")
+    met = row.drop("norm").join(kept, on, "inner").drop("kept_k1_", "kept_k2_", "kept_id_")
     if same.limit(1).count():
         once = met.join(same, on, "left_anti").unionByName(met.join(same, on, "left_semi").dropDuplicates(["k1", "k2", "id_"]))
         return once.select("row_.*")

@@ -245,6 +245,29 @@ def test_links_equal_brute_force(spark):
     assert {frozenset(x) for x in got.values()} == {x for x in brute_components(fps) if len(x) > 1}
 
 
+@pytest.mark.parametrize("group_rows", [60, 5])
+def test_longer_prefixes_give_the_same_links(spark, group_rows):
+    """Clouds of near fingerprints, whose prefixes are made longer up to the whole word."""
+    seeds = [R.getrandbits(64) for _ in range(3)]
+    fps = set(seeds)
+    for s in seeds:
+        fps |= {s ^ (1 << R.randrange(64)) ^ (1 << R.randrange(64)) for _ in range(25)}
+    signed = [x - 2**64 if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = {}
+    for r in connected_components(simhash.links(df, len(signed), group_rows=group_rows)).collect():
+        got.setdefault(r.root, set()).add(r.node & (2**64 - 1))
+    assert {frozenset(x) for x in got.values()} == {x for x in brute_components(fps) if len(x) > 1}
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows_ = [(3, b, 1), (5, a, 1), (5, b, 1), (5, a, 1), (None, a, 1), (None, "own text of a row", 2), (None, "own text of a row", 2), (7, a, 2)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, n int")
+    kept = sorted(((r.doc_id, r.text, r.n) for r in simhash.drop_near_duplicates(df).collect()), key=str)
+    assert kept == sorted([(3, b, 1), (5, a, 1), (None, "own text of a row", 2)], key=str)
+
+
 def test_deep_splitting_gives_the_same_links(monkeypatch):
     base = R.getrandbits(64)
     fps = np.array(sorted({base ^ (1 << R.randrange(40)) ^ (1 << R.randrange(40)) ^ (1 << R.randrange(40)) for _ in range(60)}), np.uint64)
@@ -263,8 +286,7 @@ def test_one_document_of_each_group_stays(spark, docs, empty):
     assert len(judged) == d.count() and all(r.component_id is not None for r in judged)
     kept = simhash.drop_near_duplicates(d)
     assert kept.columns == d.columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == sorted({r.component_id for r in judged})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in judged})
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
