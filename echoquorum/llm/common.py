@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +80,28 @@ def drop_scratch(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that gives back the memory that its Python worker has freed but still holds."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: Scratch paths written within each open ``scratch_scope``.
 _scopes: list[list[str]] = []
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, scratch
+from .common import fresh, scratch, tidy
 
 WINDOW = 13
 #: All ASCII but letters and digits separates words; A-Z become a-z; bytes of other characters are word bytes.
@@ -137,7 +137,7 @@ def _earlier_hits(src: DataFrame, parts: list, column: str, hits: str) -> DataFr
                 new = [old + [{"first": x, "last": y, "item": i} for x, y, i in scan(automaton, t.as_py())[1]] for t, old in zip(b.column(column), b.column(at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(new, kind), *b.columns[at + 1 :]], names=b.schema.names)
 
-        out = scratch(out.mapInArrow(run, out.schema), "hits")
+        out = scratch(out.mapInArrow(tidy(run), out.schema), "hits")
     return out
 
 
@@ -188,7 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *out], names=[*names, "n_words", "n_hit", "items", "spans"])
 
     kept = "".join(f"in_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
-    judged = src.mapInArrow(run, kept + result)
+    judged = src.mapInArrow(tidy(run), kept + result)
     return judged.select(
         *[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)],
         "n_words", "n_hit", "items", "spans",
@@ -216,4 +216,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
             out = b.filter(pa.array(clean(b), pa.bool_()))
             yield out.select([c for c in out.schema.names if c != hits]) if hits else out
 
-    return src.mapInArrow(run, docs.schema)
+    return src.mapInArrow(tidy(run), docs.schema)

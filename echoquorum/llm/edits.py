@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 LEAF = 64
 #: Pre-tokens whose number of tokens a Python worker remembers, and the longest that is remembered.
 REMEMBERED, LONGEST = 500_000, 64
@@ -170,7 +172,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
             )
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
-    return src.mapInArrow(run, f"{fields}, tree binary, n_tokens long")
+    return src.mapInArrow(tidy(run), f"{fields}, tree binary, n_tokens long")
 
 
 def apply_edits(counted: DataFrame, tokenizer: str, pattern: str, edits: str = "edits") -> DataFrame:
@@ -200,4 +202,4 @@ def apply_edits(counted: DataFrame, tokenizer: str, pattern: str, edits: str = "
             )
 
     kind = counted.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, text string, tree binary, n_tokens long, n_tokens_before long, n_encoded long")
+    return src.mapInArrow(tidy(run), f"doc_id {kind}, text string, tree binary, n_tokens long, n_tokens_before long, n_encoded long")

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, join_by_weight, row_keys, scratch
 
 #: Hexadecimal digits of the seeded hash that number the buckets of an epoch: a leaf's prefix sum is taken over 4,096
-#: buckets, and only the one bucket in which the prefix ends is sorted row by row.
+#: buckets, and only the one bucket in which the prefix ends is looked into. There the sum is taken over the whole
+#: hash and as many digits of the row's own hash, so that rows which share an id aren't sorted in one place either.
 BUCKET_DIGITS = 3
 
 
@@ -63,23 +64,28 @@ def fill(nodes: DataFrame, parent: list[str], name: str, budget: str, weight: st
 def allocate(leaves: DataFrame, weights: dict[str, int], budget: int, max_epochs: int) -> DataFrame:
     """Add ``share`` to the leaves (domain, lang, source, tokens, ...): their parts of the budget in tokens.
 
-    weights has whole numbers by path ("domain", "domain/lang", "domain/lang/source"); a path not in it weighs 1.
+    weights has whole numbers by path ("domain", "domain/lang", "domain/lang/source"); a path not in it weighs 1. They go
+    into the plan as a small table.
     """
-    table = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv]) if weights else None
-    weigh = lambda path: F.coalesce(F.try_element_at(table, path), F.lit(1)).cast("long") if weights else F.lit(1).cast("long")
+    table = leaves.sparkSession.createDataFrame(sorted(weights.items()), "path_ string, weight long")
+
+    def weighed(nodes: DataFrame, path: Column) -> DataFrame:
+        met = nodes.withColumn("path_", path).join(table, "path_", "left").drop("path_")
+        return met.withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
+
     up = leaves.withColumn("cap", F.col("tokens") * max_epochs)
     langs = up.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
     domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"))
     domains = fill(
-        domains.withColumns({"budget": F.lit(budget).cast("long"), "weight": weigh(F.col("domain")), "root_": F.lit(0)}),
+        weighed(domains.withColumns({"budget": F.lit(budget).cast("long"), "root_": F.lit(0)}), F.col("domain")),
         ["root_"], "domain", "budget", "weight", "cap",
     ).select("domain", F.col("share").alias("budget"))
     langs = fill(
-        langs.join(domains, "domain").withColumn("weight", weigh(F.concat_ws("/", "domain", "lang"))),
+        weighed(langs.join(domains, "domain"), F.concat_ws("/", "domain", "lang")),
         ["domain"], "lang", "budget", "weight", "cap",
     ).select("domain", "lang", F.col("share").alias("budget"))
     return fill(
-        up.join(langs, ["domain", "lang"]).withColumn("weight", weigh(F.concat_ws("/", "domain", "lang", "source"))),
+        weighed(up.join(langs, ["domain", "lang"]), F.concat_ws("/", "domain", "lang", "source")),
         ["domain", "lang"], "source", "budget", "weight", "cap",
     ).drop("cap", "budget", "weight")
 
@@ -110,11 +116,21 @@ def choose(rows: DataFrame, weights: dict[str, int], budget: int | None, max_epo
     )
     cuts = scratch(cuts, "cuts")
     met = join_by_weight(epoch, cuts, path, "n_rows", n or 0, "inner")
-    cum = F.sum("tokens").over(
-        W.partitionBy(*path).orderBy("order_", "id", "k1", "k2").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
     away = met.filter("bucket <> cut").withColumn("in_", F.col("bucket") < F.col("cut"))
-    edge = met.filter("bucket = cut").withColumn("in_", F.col("before") + cum <= F.col("rest"))
+    own = F.lpad(F.hex("k1"), 16, "0")
+    edge = scratch(met.filter("bucket = cut").withColumn("sub", F.concat("order_", F.substring(own, 1, BUCKET_DIGITS))), "edge")
+    sums = edge.groupBy(*path, "sub", "rest", "before").agg(F.sum("tokens").alias("tokens"))
+    upto = F.col("before") + F.sum("tokens").over(W.partitionBy(*path).orderBy("sub").rowsBetween(W.unboundedPreceding, W.currentRow))
+    subs = (
+        sums.withColumn("upto", upto)
+        .filter("upto > rest")
+        .groupBy(*path)
+        .agg(F.min("sub").alias("sub_cut"), F.min_by(F.col("upto") - F.col("tokens"), "sub").alias("sub_before"))
+    )
+    edge = edge.join(scratch(subs, "sub-cuts"), path)
+    cum = F.sum("tokens").over(W.partitionBy(*path).orderBy("order_", own, "k2").rowsBetween(W.unboundedPreceding, W.currentRow))
+    here = edge.filter("sub = sub_cut").withColumn("in_", F.col("sub_before") + cum <= F.col("rest"))
+    edge = edge.filter("sub <> sub_cut").withColumn("in_", F.col("sub") < F.col("sub_cut")).unionByName(here).select(*away.columns)
     out = away.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("in_").cast("long"))
     return out.filter("copies > 0").select("k1", "k2", "id", *path, "tokens", "copies")
 
@@ -144,7 +160,11 @@ def mix(docs: DataFrame, weights: dict[str, int], budget: int | None = None, max
 
 
 def mix_rows(docs: DataFrame, weights: dict[str, int], budget: int | None = None, max_epochs: int = 2, seed: int = 0, domain: Column | None = None, lang: str = "lang", source: str = "source", text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` themselves, each as many times as ``mix`` chooses it."""
+    """The rows of ``docs`` themselves, each as many times as ``mix`` chooses it; the cases are those of ``mix``.
+
+    Rows are found again by two hashes of all their columns, null flags included, so extra columns of any name are
+    carried along; equal rows stand for each other.
+    """
     rows = leaf_rows(docs, F.lit("") if domain is None else domain, F.col(lang), F.col(source), count_words(F.col(text)), F.col(id_col))
     chosen = scratch(
         choose(rows, weights, budget, max_epochs, seed)

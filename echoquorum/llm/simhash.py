@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import ascii_lower, join_by_weight, row_keys, scratch, words_of
+from .common import ascii_lower, join_by_weight, row_keys, scratch, tidy, words_of
 from .components import connected_components
 
 SEED = 42
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ro
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *row_keys])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *row_keys)
-    return src.mapInArrow(run, "doc_id long, fp long" + "".join(f", {k} long" for k in row_keys))
+    return src.mapInArrow(tidy(run), "doc_id long, fp long" + "".join(f", {k} long" for k in row_keys))
 
 
 def masks(bits: int, r: int) -> dict[int, np.ndarray]:
@@ -256,7 +256,7 @@ def _band_keys(rows: DataFrame, similarity: float) -> DataFrame:
                 keys = [signer.bands_of(passages.shingles(p.as_py().encode())) for p in b.column(1)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(b.column(0).to_numpy(), bands[1]))], names=["h", "k1"])
 
-    return rows.mapInArrow(run, "h long, k1 long")
+    return rows.mapInArrow(tidy(run), "h long, k1 long")
 
 
 def _shingle_sets(rows: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
             sets = [passages.shingles(p.as_py().encode()).view(np.int64) for p in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["k1", "s"])
 
-    return rows.mapInArrow(run, "k1 long, s array<long>")
+    return rows.mapInArrow(tidy(run), "k1 long, s array<long>")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:

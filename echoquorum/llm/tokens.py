@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import make_folder, new_path, scratch
+from .common import make_folder, new_path, scratch, tidy
 from .warc import _open
 
 MAGIC = b"EQTOK2\n\0"
@@ -38,7 +38,7 @@ END = 1
 #: A segment is closed at the end of the document with which it has so many ids.
 SEGMENT_IDS = 6_000_000
 #: Bytes of text that are encoded together, and pre-tokens that a Python worker remembers from piece to piece.
-PIECE, REMEMBERED = 16 << 20, 600_000
+PIECE, REMEMBERED = 8 << 20, 600_000
 #: A printable character below U+0250, but for that whose lower case is two characters.
 PLAIN = r"[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]"
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u4")])
@@ -288,7 +288,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["path", "file_no", "n_docs", "n_ids", "bytes"])
 
     ordered = src.withColumn("tie_", F.xxhash64("text")).repartitionByRange("doc_id", "tie_").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie_").select("doc_id", "text")
-    return scratch(ordered.mapInArrow(run, "path string, file_no int, n_docs long, n_ids long, bytes long"), "token-files")
+    return scratch(ordered.mapInArrow(tidy(run), "path string, file_no int, n_docs long, n_ids long, bytes long"), "token-files")
 
 
 def read_tokens(files: DataFrame, ids: bool = False) -> DataFrame:
@@ -319,4 +319,4 @@ def read_tokens(files: DataFrame, ids: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
                         start += int(docs["n"].sum())
 
-    return placed.repartition(max(1, files.count())).mapInArrow(run, schema)
+    return placed.repartition(max(1, files.count())).mapInArrow(tidy(run), schema)

@@ -462,3 +462,12 @@ def test_removed_passages_leave_the_texts(spark):
         for b, e in cut:
             want, at = want + text[at:b], e
         assert cut and got[i] == want + text[at:]
+
+
+def test_mixing_cuts_among_rows_that_share_an_id(spark):
+    """All rows without an id: the budget ends in the middle of one id's rows."""
+    rows_ = [(None, f"t{i} " * 3, "en", "s") for i in range(200)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string").repartition(3)
+    out = mixing.mix_rows(df, {}, budget=301, max_epochs=1)
+    assert out.count() == 100 and out.distinct().count() == 100
+    assert {r.text for r in mixing.mix_rows(df, {}, budget=301, max_epochs=1).collect()} == {r.text for r in out.collect()}
