@@ -2,15 +2,16 @@
 
 Each text is measured and tested by simple rules. The failures are then counted by host; an empirical beta prior,
 fitted by moments over all hosts, shrinks each host's failure rate towards the corpus mean, so that a host of three
-documents isn't condemned on two failures. A host whose shrunk rate passes ``max_host_rate`` is rejected with all its
-documents.
+documents isn't condemned on two failures. By its shrunk rate a host is rejected (above ``max_host_rate``: all its
+documents go), trusted (up to ``max_trusted_rate``: a failure of other than the base rules is forgiven) or suspect
+(between: its documents that fail a rule themselves go).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, fresh, join_by_weight, scratch, words_of
@@ -20,7 +21,7 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules. The first two are the base rules; the others only count against the host."""
+    """Limits of the rules. The first two are the base rules; what a failure of the others means is for the host to say."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -30,8 +31,10 @@ class Rules:
     max_mean_word_chars: int = 20
     #: A host is rejected above this shrunk failure rate ...
     max_host_rate: float = 0.6
-    #: ... and only with at least so many documents.
-    min_host_docs: int = 20
+    #: ... and trusted up to this one.
+    max_trusted_rate: float = 0.05
+    #: Documents that the prior counts as, at most: where the hosts' rates differ no more than by chance.
+    max_prior_docs: float = 1e6
 
 
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,41 +95,46 @@ def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def host_verdicts(measured: DataFrame, host: str, rules: Rules) -> DataFrame:
-    """One row for each host: host, n_docs, n_failed, shrunk_rate, host_rejected.
-
-    The prior's two parameters come from the mean and the variance of the rates of all hosts (one aggregate row).
-    If the variance is zero or too large for a beta distribution, a prior of one document at the mean is used.
-    An empty table has no verdicts.
-    """
+def any_failed(rules: Rules) -> Column:
+    """Whether a measured text fails any rule."""
     n = F.greatest(F.col("n_words"), F.lit(1))
-    failed = (
+    return (
         F.col("base_failed")
         | (100 * F.col("n_symbols") > rules.max_symbol_percent * n)
         | (100 * F.col("n_dup_lines") > rules.max_dup_line_percent * F.greatest(F.lit(1), F.col("n_lines")))
         | (F.col("word_chars") < rules.min_mean_word_chars * F.col("n_words"))
         | (F.col("word_chars") > rules.max_mean_word_chars * n)
     )
-    by_host = scratch(
-        measured.groupBy(host).agg(F.count("*").alias("n_docs"), F.count_if(failed).alias("n_failed")), "hosts"
-    )
+
+
+def host_verdicts(measured: DataFrame, host: str, rules: Rules) -> DataFrame:
+    """measured (host, failed, ...) -> one row for each host: host, n_docs, n_failed, shrunk_rate, host_rejected, host_trusted.
+
+    The prior is fitted by moments: its mean is that of all hosts' rates, and its variance theirs less the mean of what
+    chance alone would give hosts of their sizes (one aggregate row). A variance of nothing or less makes the prior
+    as strong as it may be; with a single host it is one document at that host's rate, which changes nothing. An
+    empty table has no verdicts.
+    """
+    by_host = scratch(measured.groupBy(host).agg(F.count("*").alias("n_docs"), F.count_if("failed").alias("n_failed")), "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
-    m, v, k = by_host.agg(F.avg(rate), F.var_pop(rate), F.count("*")).first()
+    m, v, by_chance, k = by_host.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n_docs")), F.count("*")).first()
     m = m or 0.0
     room = m * (1 - m)
-    size = room / v - 1 if k and v and 0 < v < room else 1.0
-    alpha, beta = m * size, (1 - m) * size
-    shrunk = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
-    return by_host.withColumn("shrunk_rate", shrunk).withColumn(
-        "host_rejected", (F.col("shrunk_rate") > rules.max_host_rate) & (F.col("n_docs") >= rules.min_host_docs)
+    size = 1.0
+    if k and k > 1 and room > 0:
+        between = v - room * by_chance
+        size = min(max(room / between - 1, 1.0), rules.max_prior_docs) if between > 0 else rules.max_prior_docs
+    shrunk = (F.col("n_failed") + F.lit(m * size)) / (F.col("n_docs") + F.lit(size))
+    return by_host.withColumn("shrunk_rate", shrunk).withColumns(
+        {"host_rejected": F.col("shrunk_rate") > rules.max_host_rate, "host_trusted": F.col("shrunk_rate") <= rules.max_trusted_rate}
     )
 
 
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
     """Measure, test and judge every row of ``docs``.
 
-    Returns the columns ``keep`` (default: all but the text) and the five measures, base_failed, host_rejected and
-    kept. Cases: null text = no words = base_failed; a null host is a host of its own; repeated rows are measured
+    Returns the columns ``keep`` (default: all but the text) and the five measures, base_failed, failed (any rule),
+    host_rejected, host_trusted and kept. Cases: null text = no words = base_failed; a null host is a host of its own; repeated rows are measured
     and counted one by one; an empty table gives an empty result; columns of ``docs`` named like a measure must
     not be in ``keep``. The measures are written once to the shared folder and read twice.
     """
@@ -141,20 +149,17 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", rul
         "base_failed",
         (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
     )
-    measured = scratch(measured, "measures")
+    measured = scratch(measured.withColumn("failed", any_failed(rules)), "measures")
     verdicts = host_verdicts(measured, "host_", rules)
     total = verdicts.agg(F.sum("n_docs")).first()[0] or 0
     joined = join_by_weight(
-        measured, verdicts.select("host_", "host_rejected", F.col("n_docs").alias("weight_")), ["host_"], "weight_", total
+        measured, verdicts.select("host_", "host_rejected", "host_trusted", F.col("n_docs").alias("weight_")), ["host_"], "weight_", total
     )
-    rejected = F.coalesce("host_rejected", F.lit(False))
+    gone = F.col("base_failed") | F.col("host_rejected") | (F.col("failed") & ~F.col("host_trusted"))
     return joined.select(
         *[F.col(a).alias(c) for c, a in names.items()],
-        *MEASURES,
-        "base_failed",
-        rejected.alias("host_rejected"),
-        (~F.col("base_failed") & ~rejected).alias("kept"),
-    )
+        *MEASURES, "base_failed", "failed", "host_rejected", "host_trusted", (~gone).alias("kept"),
+    )
 
 
 def filter_quality(docs: DataFrame, host: str = "source", text: str = "text", rules: Rules = Rules()) -> DataFrame:

@@ -139,23 +139,25 @@ WITH d AS (
   FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN cov USING (r)
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
-), f AS (
-  SELECT host, count(*) AS n, count(*) FILTER (
-      base_failed OR 100 * n_symbols > {_RULES.max_symbol_percent} * greatest(n_words, 1)
+), x AS (
+  SELECT *, base_failed OR 100 * n_symbols > {_RULES.max_symbol_percent} * greatest(n_words, 1)
       OR 100 * n_dup_lines > {_RULES.max_dup_line_percent} * greatest(n_lines, 1)
       OR word_chars < {_RULES.min_mean_word_chars} * n_words
-      OR word_chars > {_RULES.max_mean_word_chars} * greatest(n_words, 1)) AS k
-  FROM b GROUP BY host
+      OR word_chars > {_RULES.max_mean_word_chars} * greatest(n_words, 1) AS failed
+  FROM b
+), f AS (
+  SELECT host, count(*) AS n, count(*) FILTER (failed) AS k FROM x GROUP BY host
 ), p AS (
-  SELECT avg(k / n) AS mu, var_pop(k / n) AS v FROM f
+  SELECT avg(k / n) AS mu, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n) AS v, count(*) AS hosts FROM f
 ), s AS (
-  SELECT mu, CASE WHEN v > 0 AND v < mu * (1 - mu) THEN mu * (1 - mu) / v - 1 ELSE 1.0 END AS z FROM p
+  SELECT mu, CASE WHEN hosts < 2 OR mu * (1 - mu) <= 0 THEN 1.0 WHEN v > 0
+      THEN least(greatest(mu * (1 - mu) / v - 1, 1.0), {_RULES.max_prior_docs}) ELSE {_RULES.max_prior_docs} END AS z FROM p
 ), h AS (
-  SELECT host, n >= {_RULES.min_host_docs} AND (k + mu * z) / (n + z) > {_RULES.max_host_rate} AS rejected FROM f, s
+  SELECT host, (k + mu * z) / (n + z) AS rate FROM f, s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT rejected AS kept
-FROM b JOIN h USING (host)
+       NOT (base_failed OR rate > {_RULES.max_host_rate} OR (failed AND rate > {_RULES.max_trusted_rate})) AS kept
+FROM x JOIN h USING (host)
 """
 
 OP2_SQL = r"""
