@@ -282,12 +282,17 @@ WITH d AS (
                   lambda i: (16 * (strpos('0123456789ABCDEF', substr(h, i, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)::UBIGINT)),
                 lambda c, b: xor(c >> 8, list_extract({_crc_table()}::UBIGINT[], ((xor(c, b) & 255) + 1)::BIGINT))), 4294967295::UBIGINT)::BIGINT AS text_crc32
   FROM (SELECT r, size, hex(encode(t)) AS h FROM d)
+), lv AS (
+  SELECT v AS lang_, (16 * (row_number() OVER (ORDER BY encode(v)) - 1)) // count(*) OVER () AS lang_level
+  FROM (SELECT DISTINCT coalesce(lang, '') AS v FROM documents)
+), sv AS (
+  SELECT v AS source_, (16 * (row_number() OVER (ORDER BY encode(v)) - 1)) // count(*) OVER () AS source_level
+  FROM (SELECT DISTINCT coalesce(source, '') AS v FROM documents)
 ), k AS (
   SELECT d.*, text_crc32,
-         {list(sharding.hilbert_table(3, 4))}[1 + 256 * ('0x' || substr(md5(coalesce(lang, '')), 1, 1))::INT
-           + 16 * ('0x' || substr(md5(coalesce(source, '')), 1, 1))::INT + least(15, greatest(0, length(bin(size)) - 4))] AS cell,
+         {list(sharding.hilbert_table(3, 4))}[1 + 256 * lang_level + 16 * source_level + least(15, greatest(0, length(bin(size)) - 4))] AS cell,
          md5(coalesce(doc_id::VARCHAR, '') || ':' || text_crc32::VARCHAR) AS o
-  FROM d JOIN crc USING (r)
+  FROM d JOIN crc USING (r) JOIN lv ON lang_ = coalesce(lang, '') JOIN sv ON source_ = coalesce(source, '')
 ), p AS (
   SELECT *, row_number() OVER (ORDER BY cell, o, doc_id NULLS FIRST, size, text_crc32) - 1 AS rank, count(*) OVER () AS n FROM k
 ), c AS (

@@ -145,16 +145,48 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
         mixing.choose(leaves, {"a": -1}, 1, 1, 0)
 
 
-def test_shards_equal_sql(docs, arrow, empty):
-    out = sharding.assign_shards(docs, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-    small = [i for i, r in enumerate(ROWS) if len(r[1] or "") < 5000]
-    few = out.filter("size < 5000").count()
-    assert few == len(small)
-    got = sorted((r.shard, r.slot) for r in out.collect())
+def shard_query(docs, **options):
+    out = sharding.assign_shards(docs, 24, **options)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@pytest.mark.parametrize("bucket_rows", [sharding.BUCKET_ROWS, 1, 0.1])
+def test_shards_equal_sql(docs, arrow, empty, bucket_rows):
+    short = [i for i, r in enumerate(ROWS) if len(r[1] or "") < 5000]  # the SQL's checksum is slow on long texts
+    assert_same(shard_query(docs.filter("n_chars < 5000"), bucket_rows=bucket_rows), queries.ORACLE["op8_shards"], None, documents=arrow.take(short))
+    got = sorted((r.shard, r.slot) for r in shard_query(docs, bucket_rows=bucket_rows).collect())
     n = len(ROWS)
     want = [n // 24 + (s < n % 24) for s in range(24)]
     assert got == [(s, k) for s in range(24) for k in range(want[s])]
     assert sharding.assign_shards(empty, 24).count() == 0
+    with pytest.raises(ValueError):
+        sharding.assign_shards(docs, keep=("Shard",))
+
+
+def test_equal_rows_are_dealt_out(spark):
+    df = spark.createDataFrame([(None, "same", "en", "s")] * 300 + [(i, "x", "en", "s") for i in range(50)], "doc_id long, text string, lang string, source string")
+    got = sorted((r.shard, r.slot) for r in sharding.assign_shards(df, 7, bucket_rows=2).collect())
+    assert got == [(s, k) for s in range(7) for k in range(50)]
+
+
+def test_files_of_shards_are_pruned_by_each_dimension(spark, tmp_path):
+    from glob import glob
+
+    import pyarrow.parquet as pq
+
+    rows_ = [(i, "t" * R.randrange(1, 3000), f"l{R.randrange(8)}", f"host{R.randrange(900):04d}", 1) for i in range(6000)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, shard int")
+    sharding.write_shards(df, f"{tmp_path}/out", 64)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in back.select(*df.columns).collect()) == sorted(rows_)
+    files = [pq.read_metadata(f) for f in glob(f"{tmp_path}/out/*/*.parquet")]
+
+    def touched(column, value):
+        at = [c for c in range(files[0].num_columns) if files[0].schema.column(c).name == column][0]
+        stats = [f.row_group(0).column(at).statistics for f in files]
+        return sum(s.min <= value <= s.max for s in stats) / len(files)
+
+    assert touched("lang", "l3") < 0.4 and touched("source", "host0450") < 0.35
 
 
 def test_shards_follow_the_curve(docs):
