@@ -22,7 +22,22 @@ def total(df: DataFrame) -> DataFrame:
 
 
 def breakdown(df: DataFrame, by: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("n"))
+    """Counts by a column, the largest first."""
+    return df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), by)
+
+
+def table_sort(df: DataFrame, column: str, descending: bool = False, key: tuple[str, ...] = ()) -> DataFrame:
+    """A table by one of its columns: numbers by value, strings without regard to case; nulls last; ties by ``key``."""
+    c = F.lower(column) if dict(df.dtypes)[column] == "string" else F.col(column)
+    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *key)
+
+
+def sparkline(series: DataFrame) -> DataFrame:
+    """(day, n, total) of one series of days with the running total; nothing if it has fewer than two days."""
+    # A row a day: the window is over a bounded table.
+    enough = series.agg(F.count("*").alias("days_")).filter("days_ >= 2")
+    running = F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return series.crossJoin(F.broadcast(enough)).drop("days_").withColumn("total", running)
 
 
 def distinct_count(df: DataFrame, column: str) -> DataFrame:
@@ -163,5 +178,5 @@ def funnel(contributions: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def show_ids(*tables: DataFrame) -> DataFrame:
-    """Distinct show ids of the tables, zero left out."""
-    return reduce(DataFrame.union, [t.select("tmdb_id") for t in tables]).filter("tmdb_id <> 0").distinct()
+    """Distinct show ids of the tables in ascending order, zero left out."""
+    return reduce(DataFrame.union, [t.select("tmdb_id") for t in tables]).filter("tmdb_id <> 0").distinct().orderBy("tmdb_id")

@@ -1,11 +1,15 @@
 """Changes to the stored tables: snapshot merges, erasure, retraction, backfill, staleness, versioned commits.
 
 Parquet tables have no UPDATE or DELETE, so a change is a new snapshot. ``Catalog`` writes the tables of one change into
-a new version folder and moves the pointer last: readers see all of it or nothing.
+folders of their own and then a numbered manifest: readers see all of it or nothing, and old versions stay readable.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +68,27 @@ def retract(contributions: DataFrame, requests: DataFrame, unique: list[str]) ->
     return anti(contributions, requests, unique)
 
 
+def outcomes(requests: DataFrame, contributions: DataFrame, unique: list[str]) -> DataFrame:
+    """What each retraction does to its episode: (unique, deleted, remaining, outcome).
+
+    untouched: the request names no row; re_derived: the episode has other contributions left; removed: it has none.
+    Requests are taken together; one that is made twice has one row.
+    """
+    asked = requests.select(*unique).distinct()
+    hits = contributions.groupBy(*unique).agg(F.count("*").alias("deleted"))
+    met = asked.alias("a").join(hits.alias("b"), _null_safe(unique), "left").select("a.*", F.coalesce("deleted", F.lit(0)).alias("deleted"))
+    left = retract(contributions, requests, unique).groupBy(*E).agg(F.count("*").alias("remaining"))
+    out = met.alias("a").join(left.alias("b"), _null_safe(E), "left").select("a.*", F.coalesce("remaining", F.lit(0)).alias("remaining"))
+    kind = F.when(F.col("deleted") == 0, "untouched").when(F.col("remaining") > 0, "re_derived").otherwise("removed")
+    return out.withColumn("outcome", kind)
+
+
+def without_orphans(canonical: DataFrame, sketches: DataFrame, contributions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Canonical episodes and sketches less those of episodes without any contribution."""
+    gone = orphans(canonical, contributions)
+    return anti(canonical, gone, E), anti(sketches, gone, E)
+
+
 def retraction_outcome(before: DataFrame, after: DataFrame) -> DataFrame:
     """Episodes that lost votes: (keys, deleted, remaining, outcome), outcome re_derived or removed."""
     b = before.groupBy(*E).agg(F.count("*").alias("n_before"))
@@ -103,41 +128,71 @@ def reset_backfill(canonical: DataFrame, contributions: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Named tables in version folders ``root/v=N/name``; the file ``root/CURRENT`` names the version that holds."""
+    """Named tables under ``root``. The manifest ``root/_versions/N.json`` says in which folders each table of version N lies.
+
+    A commit writes only what changed or was added, into a folder of its own, and then the manifest under the next number.
+    A run that fails before leaves the version before it as it was; of two writers that reach for one number the
+    second fails. No folder is ever written twice or deleted by a commit.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
+
+    def versions(self) -> list[int]:
+        p = self._path(f"{self.root}/_versions")
+        names = [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
     def version(self) -> int:
-        p = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(p):
-            return 0
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        return max(self.versions(), default=0)
+
+    def folders(self, version: int | None = None) -> dict[str, list[str]]:
+        """Table -> its folders, in this version (default: the last)."""
+        version = self.version() if version is None else version
+        if not version:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.root}/_versions/{version}.json", wholetext=True).first()[0])
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={self.version()}/{name}")
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self.at(self.folders(version)[name])
+
+    def at(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
 
     def tables(self) -> list[str]:
-        p = self._path(f"{self.root}/v={self.version()}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
-
-    def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Write the changed tables, carry over the others, and make the new version the current one."""
-        old, new = self.version(), self.version() + 1
-        target = self._path(f"{self.root}/v={new}")
-        if self._fs.exists(target):  # left by a run that failed before it moved the pointer
-            self._fs.delete(target, True)
-        for name in set(self.tables()) - set(changed):
-            self.spark.read.parquet(f"{self.root}/v={old}/{name}").write.parquet(f"{self.root}/v={new}/{name}")
+        return sorted(self.folders())
+
+    def write(self, changed: dict[str, DataFrame]) -> dict[str, list[str]]:
+        """Write tables into a new folder that no version names yet: table -> folders."""
+        own = uuid.uuid4().hex
         for name, df in changed.items():
-            df.write.parquet(f"{self.root}/v={new}/{name}")
-        pointer, temporary = self._path(f"{self.root}/CURRENT"), self._path(f"{self.root}/.CURRENT.{new}")
-        out = self._fs.create(temporary, True)
-        out.writeBytes(f"{new}\n")
+            df.write.parquet(f"{self.root}/data/{own}/{name}")
+        return {name: [f"data/{own}/{name}"] for name in changed}
+
+    def publish(self, folders: dict[str, list[str]], after: int) -> int:
+        """Make version ``after + 1`` of version ``after`` and the folders of the tables that changed; raises if there is one."""
+        known = self.folders(after) | folders
+        draft, final = self._path(f"{self.root}/_versions/.draft-{uuid.uuid4().hex}"), self._path(f"{self.root}/_versions/{after + 1}.json")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(known, indent=1).encode()))
         out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(temporary, pointer)
-        return new
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        try:  # a rename that doesn't overwrite
+            context.rename(draft, final, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"version {after + 1} exists already: another writer was faster") from e
+        return after + 1
+
+    def commit(self, changed: dict[str, DataFrame], after: int | None = None, added: dict[str, DataFrame] | None = None) -> int:
+        """Make a new version, which follows ``after`` (default: the last): tables that changed, and rows ``added`` to others.
+
+        Added rows go to a folder beside those that the table has; nothing that is there is written again.
+        """
+        after = self.version() if after is None else after
+        known, own = self.folders(after), self.write({**changed, **(added or {})})
+        return self.publish({n: (known.get(n, []) if added and n in added else []) + f for n, f in own.items()}, after)

@@ -13,10 +13,11 @@ E = S.EPISODE
 
 
 def queue(contributions: DataFrame, limit: int | None = 30) -> DataFrame:
-    """Episodes with eligible votes that no run has processed, the oldest first: (keys, oldest)."""
-    waiting = contributions.filter(F.col("promoted_at").isNull() & fn.eligible())
+    """Episodes with eligible votes that no run has processed, the oldest first: (keys, oldest). Movies have no tier and aren't offered."""
+    numbered = F.col("season").isNotNull() & F.col("episode").isNotNull()
+    waiting = contributions.filter(F.col("promoted_at").isNull() & fn.eligible() & numbered)
     out = waiting.groupBy(*E).agg(F.min("received_at").alias("oldest"))
-    out = out.orderBy("oldest", *[F.col(k).asc_nulls_first() for k in E])
+    out = out.orderBy("oldest", *E)
     return out if limit is None else out.limit(limit)
 
 
@@ -59,25 +60,30 @@ def unpromotable(contributions: DataFrame) -> DataFrame:
     return contributions.filter(fn.eligible() & (F.col("season").isNull() | F.col("episode").isNull())).select(*E).distinct()
 
 
-def consensus_hashes(exploded_votes: DataFrame) -> DataFrame:
-    """(keys, h, n) of the hashes that at least half of an episode's votes have; votes are rows (id, keys, pos, h)."""
-    once = exploded_votes.select("id", *E, "h").distinct()
-    n = exploded_votes.select("id", *E).distinct().groupBy(*E).agg(F.count("*").alias("n_votes"))
-    counts = once.groupBy(*E, "h").agg(F.count("*").alias("n"))
+def consensus_hashes(votes: DataFrame) -> DataFrame:
+    """(keys, h, n) of the hashes that at least half of an episode's votes have; votes are rows (id, keys, hashes).
+
+    A vote counts each of its hashes once, and one without hashes doesn't count. The hashes are shuffled once, summed
+    up beforehand in each task.
+    """
+    cast = votes.filter(F.size("hashes") > 0)
+    n = cast.groupBy(*E).agg(F.count("*").alias("n_votes"))
+    counts = cast.select(*E, F.explode(F.array_distinct("hashes")).alias("h")).groupBy(*E, "h").agg(F.count("*").alias("n"))
     met = counts.alias("a").join(n.alias("b"), fn.same_episode("a", "b")).select("a.*", "n_votes")
     return met.filter(F.col("n") >= F.ceil(F.col("n_votes") * 0.5)).select(*E, "h", "n")
 
 
-def consensus_canonical(exploded_votes: DataFrame) -> DataFrame:
+def consensus_canonical(votes: DataFrame) -> DataFrame:
     """(keys, hashes): the one vote's own hashes, order and repeats kept, or else the sorted consensus."""
-    n = exploded_votes.groupBy(*E).agg(F.count_distinct("id").alias("n_votes"))
-    tagged = exploded_votes.alias("a").join(n.alias("b"), fn.same_episode("a", "b")).select("a.*", "n_votes")
-    alone = tagged.filter("n_votes = 1").groupBy(*E).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]).alias("hashes"))
+    cast = votes.filter(F.size("hashes") > 0).select("id", *E, "hashes")
+    n = cast.groupBy(*E).agg(F.count("*").alias("n_votes"))
+    tagged = cast.alias("a").join(n.alias("b"), fn.same_episode("a", "b")).select("a.*", "n_votes")
+    alone = tagged.filter("n_votes = 1").select(*E, "hashes")
     many = consensus_hashes(tagged.filter("n_votes > 1").drop("n_votes"))
     return alone.unionByName(many.groupBy(*E).agg(F.array_sort(F.collect_list("h")).alias("hashes")))
 
 
-def promote(contributions: DataFrame, tiers: DataFrame, asof: int, limit: int | None = None) -> DataFrame:
+def promote(contributions: DataFrame, asof: int, limit: int | None = None) -> DataFrame:
     """``contributions`` with the cursor stamped: all eligible unprocessed rows of the queue's episodes get ``asof``."""
     keys = queue(contributions, limit).select(*E, F.lit(True).alias("touched_"))
     out = contributions.alias("a").join(keys.alias("b"), fn.same_episode("a", "b"), "left").select("a.*", "touched_")
@@ -129,6 +135,17 @@ def disc_canonical(discs: DataFrame) -> DataFrame:
     )
 
 
+def unpromoted_discs(discs: DataFrame) -> DataFrame:
+    """Hashes of the discs with a contribution that no run has processed."""
+    return discs.filter(F.col("promoted_at").isNull()).select("disc_content_hash").distinct()
+
+
+def flag_discs(discs: DataFrame, contributors: DataFrame) -> DataFrame:
+    """``discs`` with ``flagged``: whether the contributor is."""
+    flagged = contributors.filter("flagged = 1").select("pseudonym", F.lit(True).alias("flagged"))
+    return discs.drop("flagged").join(flagged, "pseudonym", "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+
+
 def stamp_discs(discs: DataFrame, asof: int) -> DataFrame:
     """All unprocessed rows get ``asof``, eligible or not."""
     return discs.withColumn("promoted_at", F.coalesce("promoted_at", F.lit(asof)))

@@ -19,7 +19,9 @@ E = S.EPISODE
 
 
 def sketches(fingerprints: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sketch, hash_count) of fingerprints (keys, hashes)."""
+    """(keys, sketch, hash_count) of fingerprints (keys, hashes); stored sketches, where there are any, aren't made again."""
+    if {"sketch", "hash_count"} <= set(fingerprints.columns):
+        return fingerprints.select(*keys, "sketch", "hash_count")
     return fingerprints.select(*keys, sketch.minhash128("hashes").alias("sketch"), F.size("hashes").alias("hash_count"))
 
 
@@ -120,8 +122,9 @@ def screen(incoming: DataFrame, references: DataFrame, threshold: float = S.OVER
     """
     threshold = S.check_threshold(threshold)
     claim = {k: f"claim_{k}" for k in E}
-    asked = sketches(incoming, ["id", *E]).withColumnsRenamed(claim)
-    found = estimates(asked, sketches(references, E), ["id", *claim.values()])
+    full = F.size("hashes") > 0  # empty fingerprints have all slots in common and say nothing
+    asked = sketches(incoming.filter(full), ["id", *E]).withColumnsRenamed(claim)
+    found = estimates(asked, sketches(references.filter(full), E), ["id", *claim.values()])
     other = ~(F.col("tmdb_id").eqNullSafe(F.col("claim_tmdb_id")) & F.col("season").eqNullSafe(F.col("claim_season")) & F.col("episode").eqNullSafe(F.col("claim_episode")))
     order = W.partitionBy("id").orderBy(F.col("jaccard").desc(), *E)
     best = found.filter(other).withColumn("rank", F.row_number().over(order)).filter("rank = 1")

@@ -57,7 +57,21 @@ def packs(canonical: DataFrame, asof: int) -> DataFrame:
 
 def write_packs(canonical: DataFrame, path: str, asof: int) -> None:
     """Packs as a Parquet table partitioned by show: a show's pack is read without touching the others."""
-    packs(canonical, asof).repartition("tmdb_id").write.partitionBy("tmdb_id").parquet(path)
+    packs(canonical, asof).repartition("tmdb_id").write.mode("overwrite").partitionBy("tmdb_id").parquet(path)
+
+
+def pack_tag(spark: SparkSession, path: str, tmdb_id: int) -> str | None:
+    """A show's pack as a tag that changes with its bytes, None if it has none."""
+    row = spark.read.parquet(path).filter(F.col("tmdb_id") == tmdb_id).select(F.md5("body")).first()
+    return row[0] if row else None
+
+
+def answer(spark: SparkSession, path: str, tmdb_id: int, known_tag: str | None = None) -> tuple[str, list[str] | None]:
+    """("missing", None), ("not_modified", None) where the caller's tag still holds, or ("ok", lines)."""
+    tag = pack_tag(spark, path, tmdb_id)
+    if tag is None:
+        return "missing", None
+    return ("not_modified", None) if tag == known_tag else ("ok", read_pack(spark, path, tmdb_id))
 
 
 def read_pack(spark: SparkSession, path: str, tmdb_id: int) -> list[str] | None:

@@ -158,7 +158,7 @@ CTES = {
             LEFT JOIN runs USING (query_id, tmdb_id, season, episode))""",
     "claim": """
       SELECT tmdb_id * 100 + season * 10 + episode AS id, tmdb_id + tmdb_id % 2 * 1000 AS claim, season, episode, tmdb_id AS own,
-             list_filter(hashes, lambda h, i: (i - 1) % 11 <> 0) AS hashes FROM catalogue WHERE season = 1 AND episode = 1""",
+             list_filter(hashes, lambda h, i: (i - 1) % 11 <> 0) AS hashes FROM catalogue""",
     "claim_mixed": """
       SELECT id, xor(y, y >> 16) AS x FROM (SELECT id, (xor(x, x >> 13) * 3266489909) % 4294967296 AS y FROM (
           SELECT id, (xor(h, h >> 16) * 2246822507) % 4294967296 AS x FROM (SELECT DISTINCT id, unnest(hashes)::UBIGINT AS h FROM claim)))""",
@@ -203,8 +203,8 @@ CTES = {
         SELECT tmdb_id, season, episode, count(DISTINCT pseudonym) AS actual FROM contribution WHERE {ELIGIBLE} GROUP BY ALL) b
       ON {SAME} WHERE a.unique_contributors < b.actual""",
     "queue": f"""
-      SELECT tmdb_id, season, episode, min(received_at) AS oldest FROM contribution WHERE promoted_at IS NULL AND {ELIGIBLE} GROUP BY ALL
-      ORDER BY oldest, tmdb_id, season NULLS FIRST, episode NULLS FIRST LIMIT 30""",
+      SELECT tmdb_id, season, episode, min(received_at) AS oldest FROM contribution WHERE promoted_at IS NULL AND {ELIGIBLE}
+        AND season IS NOT NULL AND episode IS NOT NULL GROUP BY ALL ORDER BY oldest, tmdb_id, season, episode LIMIT 30""",
     "stale": """
       SELECT c.tmdb_id, c.season, c.episode, c.tier, c.promoted_at FROM canonical c LEFT JOIN sketch_meta s USING (tmdb_id, season, episode)
       WHERE generated_at IS NULL OR generated_at <= c.promoted_at""",
@@ -302,7 +302,8 @@ FINAL = {
                CASE episode % 3 WHEN 0 THEN 'canonical' WHEN 1 THEN 'confirmed' ELSE 'candidate' END AS tier
         FROM scored WHERE round(combined_score, 9) >= 0.15) WHERE rank <= 5""",
     "identify_disc": """
-      SELECT disc_content_hash, tmdb_id, tier, unique_contributors, n_titles FROM (SELECT md5(i::VARCHAR) AS disc_content_hash FROM range(400) t(i)) LEFT JOIN disc_canonical USING (disc_content_hash)""",
+      SELECT disc_content_hash, tmdb_id, tier, unique_contributors, n_titles FROM (
+        SELECT DISTINCT disc_content_hash FROM disc UNION ALL SELECT md5('unknown' || i::VARCHAR) FROM range(10) t(i)) LEFT JOIN disc_canonical USING (disc_content_hash)""",
     "anti_poison_screen": "SELECT id, estimate, target_tmdb_id, target_season, target_episode FROM screened",
     "anti_poison_verdict": "SELECT id, overlap_pct, poison_check FROM screened",
     "valid_contributions": "SELECT id FROM request WHERE reason IS NULL",
@@ -349,10 +350,3 @@ def _sql(final: str) -> str:
 
 
 ORACLE = {name: _sql(final) for name, final in FINAL.items()}
-
-# The same over every row of the catalogue and every disc.
-for _name in ("anti_poison_screen", "anti_poison_verdict"):
-    ORACLE[f"{_name}_all"] = ORACLE[_name].replace(" FROM catalogue WHERE season = 1 AND episode = 1", " FROM catalogue")
-ORACLE["identify_disc_all"] = _sql("""
-      SELECT disc_content_hash, tmdb_id, tier, unique_contributors, n_titles FROM (
-        SELECT DISTINCT disc_content_hash FROM disc UNION ALL SELECT md5('unknown' || i::VARCHAR) FROM range(10) t(i)) LEFT JOIN disc_canonical USING (disc_content_hash)""")

@@ -101,8 +101,8 @@ def deduped(c: DataFrame) -> DataFrame:
     )
 
 
-def promotion_cursor(c: DataFrame, k: DataFrame) -> DataFrame:
-    out = consensus.promote(c, k, ASOF_SECONDS, 30)
+def promotion_cursor(c: DataFrame) -> DataFrame:
+    out = consensus.promote(c, ASOF_SECONDS, 30)
     return out.groupBy((F.col("promoted_at") == ASOF_SECONDS).alias("stamped_now")).agg(F.count("*").alias("n"))
 
 
@@ -129,13 +129,12 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def screened(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    """Cut fingerprints, half of which claim another show, screened against the catalogue: ``every`` row's, or one of each show."""
+def screened(spark: SparkSession, d: str) -> DataFrame:
+    """The cut fingerprint of every row of the catalogue, half of which claim another show, screened against the catalogue."""
     cat = T.catalogue(spark, d)
     own = F.col("tmdb_id") * 100 + F.col("season") * 10 + F.col("episode")
     cut = F.filter("hashes", lambda h, i: (i % 11) != 0)
-    claimed = cat if every else cat.filter((F.col("episode") == 1) & (F.col("season") == 1))
-    claims = claimed.select(own.alias("id"), (F.col("tmdb_id") + F.col("tmdb_id") % 2 * 1000).alias("tmdb_id"), "season", "episode", cut.alias("hashes"))
+    claims = cat.select(own.alias("id"), (F.col("tmdb_id") + F.col("tmdb_id") % 2 * 1000).alias("tmdb_id"), "season", "episode", cut.alias("hashes"))
     return rounded(identify.screen(claims, cat))
 
 
@@ -197,7 +196,7 @@ QUERIES = {
     "verdict_share": q("contribution")(lambda c: rounded(A.verdict_share(c).drop("place"))),
     "funnel_shares": q("contribution", "canonical")(lambda c, k: rounded(A.funnel(c, k))),
     "promotion_queue": q("contribution")(consensus.queue),
-    "promotion_cursor": q("contribution", "canonical")(promotion_cursor),
+    "promotion_cursor": q("contribution")(promotion_cursor),
     "unpromotable_episodes": q("contribution")(consensus.unpromotable),
     "latest_votes": q("contribution")(lambda c: consensus.latest_votes(c).select("id", "pseudonym", *E, "received_at")),
     "episode_votes": q("contribution", "contributor")(lambda c, u: rounded(consensus.episode_votes(c, u))),
@@ -216,12 +215,9 @@ QUERIES = {
     "rarity_overlap": lambda s, d: scored(s, d).select("query_id", *E, "rarity_weighted_score"),
     "temporal_coherence": lambda s, d: scored(s, d).select("query_id", *E, "temporal_coherence"),
     "identify": q("query", "catalogue")(lambda x, c: rounded(identify.identify(x, references(c), 5))),
-    "identify_disc": q("disc_canonical")(lambda x: identify.identify_disc(x.sparkSession.range(0, 400).select(F.md5(F.col("id").cast("string").cast("binary")).alias("disc_content_hash")), x).select("disc_content_hash", "tmdb_id", "tier", "unique_contributors", F.size("titles").alias("n_titles"))),
+    "identify_disc": q("disc", "disc_canonical")(disc_lookups),
     "anti_poison_screen": lambda s, d: screened(s, d).drop("overlap_pct", "poison_check"),
     "anti_poison_verdict": lambda s, d: screened(s, d).select("id", "overlap_pct", "poison_check"),
-    "identify_disc_all": q("disc", "disc_canonical")(disc_lookups),
-    "anti_poison_screen_all": lambda s, d: screened(s, d, every=True).drop("overlap_pct", "poison_check"),
-    "anti_poison_verdict_all": lambda s, d: screened(s, d, every=True).select("id", "overlap_pct", "poison_check"),
     "valid_contributions": q("contribution")(lambda c: intake.split(requests(c), intake.contribution_reason())[0].select("id")),
     "rejected_contributions": q("contribution")(lambda c: intake.split(requests(c), intake.contribution_reason())[1].select("id", "reason")),
     "dedupe_contributions": q("contribution")(deduped),

@@ -20,8 +20,8 @@ RATE_LIMIT, RATE_SECONDS = 600, 60
 MAX_TITLES = 500
 TIERS = ["candidate", "confirmed", "canonical"]
 VERDICTS = ["pass", "pending", "flag_conflict", "flag_duplicate"]
-NETWORK_DISC = "network_disc"
-MATCH_SOURCES = ["engram_asr", "engram_discdb", "bootstrap", "user_review", "engram_chromaprint_corroboration", NETWORK_DISC]
+MATCH_SOURCES = ["engram_asr", "engram_discdb", "bootstrap", "user_review", "engram_chromaprint_corroboration", "network_disc"]
+ASR, DISCDB, BOOTSTRAP, USER_REVIEW, _, NETWORK_DISC = MATCH_SOURCES
 ASSIGNMENTS = ["episode", "main_movie", "extra", "discarded"]
 CONTENT_TYPES = ["tv", "movie"]
 UUID4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
@@ -38,6 +38,7 @@ def _fields(text: str) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in text.split(","))])
 
 
+# Names and types of the fields of tables and requests.
 TITLE = _fields(
     "title_index int, duration_seconds int, size_bytes long, assignment string, season int, episode int, match_confidence double, match_source string"
 )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalar as fn
+from ..functions import sketch
+from . import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +20,11 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     i, movie = F.col("event_id"), F.col("event_id") % 10 == 0
     source = (
-        F.when(F.col("event_type") == "error", "network_disc")
-        .when(F.col("event_type") == "signup", "bootstrap")
-        .when(F.col("event_type") == "purchase", "engram_asr")
-        .when(F.col("event_type") == "view", "engram_discdb")
-        .otherwise("user_review")
+        F.when(F.col("event_type") == "error", S.NETWORK_DISC)
+        .when(F.col("event_type") == "signup", S.BOOTSTRAP)
+        .when(F.col("event_type") == "purchase", S.ASR)
+        .when(F.col("event_type") == "view", S.DISCDB)
+        .otherwise(S.USER_REVIEW)
     )
     out = e.select(
         i.alias("id"),
@@ -61,14 +63,30 @@ def shingled(text: Column, k: int = 3) -> Column:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tmdb_id, season, episode, hashes): one episode for each document."""
+    """(tmdb_id, season, episode, hashes, sketch, hash_count): one episode for each document, stored once."""
     i = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
-        (F.floor(i / 20) + 1).cast("long").alias("tmdb_id"),
-        (F.floor((i % 20) / 10) + 1).cast("int").alias("season"),
-        (i % 10 + 1).cast("int").alias("episode"),
-        shingled(F.col("text")).alias("hashes"),
-    )
+
+    def build() -> DataFrame:
+        docs = store.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        rows = docs.select(
+            (F.floor(i / 20) + 1).cast("long").alias("tmdb_id"),
+            (F.floor((i % 20) / 10) + 1).cast("int").alias("season"),
+            (i % 10 + 1).cast("int").alias("episode"),
+            shingled(F.col("text")).alias("hashes"),
+        )
+        return rows.withColumns({"sketch": sketch.minhash128("hashes"), "hash_count": F.size("hashes")})
+
+    return store.stored(spark, "catalogue", [f"{sf_dir}/documents.parquet"], build)
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_, hashes_): the fingerprint of every document, stored once."""
+
+    def build() -> DataFrame:
+        docs = store.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        return docs.select(F.col("doc_id").alias("doc_"), shingled(F.col("text")).alias("hashes_"))
+
+    return store.stored(spark, "fingerprints", [f"{sf_dir}/documents.parquet"], build)
 
 
 def identify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,16 +94,13 @@ def identify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprinted(spark: SparkSession, sf_dir: str, votes: DataFrame) -> DataFrame:
-    """votes (id, pseudonym, tmdb_id, season, episode, ...) exploded to (..., pos, h): each vote's own cut of its document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_"), shingled(F.col("text")).alias("hashes_"))
+    """votes (id, pseudonym, tmdb_id, season, episode, ...) with ``hashes``: each vote's own cut of its document."""
+    docs = fingerprints(spark, sf_dir)
     n = docs.count()
     doc = (F.col("tmdb_id") * 20 + F.coalesce("season", F.lit(0)) * 10 + F.coalesce("episode", F.lit(0))) % max(n, 1)
-    return (
-        votes.withColumn("doc_", doc)
-        .join(docs, "doc_")
-        .select(*votes.columns, F.posexplode("hashes_").alias("pos", "h"))
-        .filter((F.col("pos") + F.col("pseudonym").cast("long")) % 5 != 0)
-    )
+    met = votes.withColumn("doc_", doc).join(docs, "doc_")
+    own = F.col("pseudonym").cast("long")
+    return met.select(*votes.columns, F.filter("hashes_", lambda h, i: (i + own) % 5 != 0).alias("hashes"))
 
 
 def disc_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +118,7 @@ def disc_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(1).alias("season"),
             (t + 1 + shift).cast("int").alias("episode"),
             (0.75 + ((i * 7 + t * 3) % 26) / 100.0).alias("match_confidence"),
-            F.when((i + t) % 19 == 0, "network_disc").otherwise("engram_discdb").alias("match_source"),
+            F.when((i + t) % 19 == 0, S.NETWORK_DISC).otherwise(S.DISCDB).alias("match_source"),
         ),
     )
     return o.select(

@@ -1,7 +1,8 @@
 """Streaming wrappers: the batch operators inside ``foreachBatch`` over JSON files, and the windowed intake count.
 
 State lives in the versioned catalogue, not in a state store: every vote counts whenever it comes, so no watermark
-may drop it. A batch that is run again meets its own rows as duplicates and changes nothing.
+may drop it. A batch that is run again meets its own rows as duplicates and changes nothing. Intake screens and stores
+contributions; promotion, sketches, discs, packs and retractions are jobs of their own, run by whatever schedules them.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema as S
 from ..functions import scalar as fn
 from ..functions import sketch
-from ..operators import consensus, intake
-from ..operators.catalog import Catalog
+from ..operators import consensus, identify, intake, packs
+from ..operators.catalog import Catalog, anti, cascade, outcomes, retract, seed, semi, stale_sketches, upsert
 
 E = S.EPISODE
 CONTRIBUTION = ["id", "received_at", "pseudonym", *E, "fingerprint", "fingerprint_sha256", "disc", "match_confidence", "match_source", "client_version", "poison_check", "promoted_at"]
@@ -32,25 +33,143 @@ def to_rows(valid: DataFrame, first_id: int, received_at: int) -> DataFrame:
     )
 
 
+def _there(catalog: Catalog, name: str) -> DataFrame | None:
+    return catalog.read(name) if name in catalog.tables() else None
+
+
+def canonical_prints(catalog: Catalog) -> DataFrame | None:
+    """(keys, hashes, sketch, hash_count) of the stored canonical fingerprints with their stored sketches."""
+    canonical, sketches = _there(catalog, "episode_canonical"), _there(catalog, "canonical_sketch")
+    if canonical is None or sketches is None:
+        return None
+    decoded = canonical.select(*E, sketch.decode_fingerprint("fingerprint").alias("hashes")).filter("hashes IS NOT NULL")
+    return decoded.join(sketches.select(*E, sketch.unpack_sketch("sketch").alias("sketch"), "hash_count"), E)
+
+
+def screened_rows(rows: DataFrame, prints: DataFrame | None, asof: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their poison_check, observations): each row (with ``hashes``) against all episodes but the one it claims."""
+    if prints is None:
+        nothing = rows.select("id", F.lit(0.0).alias("overlap_pct"), F.lit(0).alias("candidates"), *[F.lit(None).cast(t).alias(f"target_{k}") for k, t in zip(E, ("long", "int", "int"))])
+        return rows.withColumn("poison_check", F.lit("pass")), intake.observe(nothing, asof)
+    judged = identify.screen(rows.select("id", *E, "hashes"), prints)
+    every = prints.count()
+    own = prints.select(*E).distinct().withColumn("own_", F.lit(1))
+    met = rows.select("id", *E).alias("a").join(own.alias("b"), fn.same_episode("a", "b"), "left").select("id", (F.lit(every) - F.coalesce("own_", F.lit(0))).alias("candidates"))
+    verdicts = judged.select("id", "poison_check")
+    return rows.drop("poison_check").join(verdicts, "id"), intake.observe(judged.join(met, "id"), asof)
+
+
 def intake_batch(catalog: Catalog, requests: DataFrame, asof: int) -> None:
-    """One micro-batch: validate, quarantine, deduplicate, count, derive the tiers of all episodes, commit together."""
+    """One micro-batch of contributions: validate, quarantine, deduplicate, screen, count, observe; committed together.
+
+    Only the new rows are screened and written; those there are stay where they are. The batch's rows are written once
+    and read back for all that is made of them.
+    """
+    before = catalog.version()
     valid, rejected = intake.split(requests, intake.contribution_reason())
-    there = set(catalog.tables())
-    history = catalog.read("contribution") if "contribution" in there else None
+    history = _there(catalog, "contribution")
     top = (history.agg(F.max("id")).first()[0] if history is not None else None) or 0
-    rows = to_rows(valid, top + 1, asof)
-    decoded = rows.withColumn("ok_", sketch.decode_fingerprint("fingerprint").isNotNull())
-    broken = decoded.filter("NOT ok_").select("pseudonym", "tmdb_id", F.lit("fingerprint").alias("reason"))
-    rows = decoded.filter("ok_").drop("ok_").select(*CONTRIBUTION)
-    new, _ = intake.deduplicate(rows, history, intake.UNIQUE, ["id"])
-    every = new if history is None else history.unionByName(new)
-    people = intake.roll_up(catalog.read("contributor") if "contributor" in there else None, new)
-    tiers = consensus.episode_tiers(every, people)
+    rows = to_rows(valid, top + 1, asof).withColumn("hashes", sketch.decode_fingerprint("fingerprint"))
+    rows = catalog.at(catalog.write({"staged": rows})["staged"])
+    broken = rows.filter("hashes IS NULL").select("pseudonym", "tmdb_id", F.lit("fingerprint").alias("reason"))
+    new, _ = intake.deduplicate(rows.filter("hashes IS NOT NULL"), history, intake.UNIQUE, ["id"])
+    judged, observations = screened_rows(new, canonical_prints(catalog), asof)
+    judged = judged.select(*CONTRIBUTION)
+    people = intake.roll_up(_there(catalog, "contributor"), judged)
     quarantine = rejected.select("pseudonym", "tmdb_id", "reason").unionByName(broken)
-    if "quarantine" in there:
-        quarantine = catalog.read("quarantine").unionByName(quarantine)
-    stamped = consensus.promote(every, tiers, asof)
-    catalog.commit({"contribution": stamped.select(*CONTRIBUTION), "contributor": people, "episode_canonical": tiers, "quarantine": quarantine})
+    catalog.commit({"contributor": people}, before, {"contribution": judged, "overlap_observation": observations, "quarantine": quarantine})
+
+
+def promote_batch(catalog: Catalog, asof: int, limit: int | None = None) -> None:
+    """Tiers, consensus fingerprints and sketches of the queue's episodes, from all their votes; other episodes stay as they are."""
+    before, every = catalog.version(), catalog.read("contribution")
+    touched = consensus.queue(every, limit).select(*E)
+    own = semi(every, touched, E)
+    tiers = consensus.episode_tiers(own, catalog.read("contributor"))
+    votes = consensus.latest_votes(own).withColumn("hashes", sketch.decode_fingerprint("fingerprint"))
+    prints = consensus.consensus_canonical(votes.filter("hashes IS NOT NULL"))
+    new = tiers.join(prints, E).withColumn("promoted_at", F.lit(asof).cast("long"))
+    canonical = new.select(*E, "tier", sketch.encode_fingerprint("hashes").alias("fingerprint"), "unique_contributors", "mean_confidence", "promoted_at")
+    old = _there(catalog, "episode_canonical")
+    changed = {"episode_canonical": canonical if old is None else upsert(old, canonical, E), "contribution": consensus.promote(every, asof, limit)}
+    catalog.commit(changed, before)
+
+
+def sketch_batch(catalog: Catalog, asof: int, limit: int | None = None, every: bool = False) -> DataFrame:
+    """Make the sketches of stale episodes (or of ``every`` one) anew; returns what was made: (keys, hash_count)."""
+    before, canonical, old = catalog.version(), catalog.read("episode_canonical"), _there(catalog, "canonical_sketch")
+    stale = canonical if every or old is None else stale_sketches(canonical, old, limit)
+    prints = semi(canonical, stale, E).select(*E, sketch.decode_fingerprint("fingerprint").alias("hashes")).filter("hashes IS NOT NULL")
+    made = identify.sketches(prints, E).select(*E, sketch.pack_sketch("sketch").alias("sketch"), "hash_count", F.lit(asof).cast("long").alias("generated_at"))
+    made = catalog.at(catalog.write({"made": made})["made"])
+    catalog.commit({"canonical_sketch": made if old is None else upsert(old, made, E)}, before)
+    return made.select(*E, "hash_count")
+
+
+def seed_batch(catalog: Catalog, episodes: DataFrame, asof: int) -> None:
+    """Put seed episodes (keys, hashes) into the catalogue as canonical ones, with their sketches; a known episode gets the fingerprint only."""
+    before = catalog.version()
+    new = episodes.select(
+        *E, F.lit("canonical").alias("tier"), sketch.encode_fingerprint("hashes").alias("fingerprint"), F.lit(1).cast("long").alias("unique_contributors"),
+        F.lit(1.0).alias("mean_confidence"), F.lit(asof).cast("long").alias("promoted_at"),
+    )
+    drawn = identify.sketches(episodes, E).select(*E, sketch.pack_sketch("sketch").alias("sketch"), "hash_count", F.lit(asof + 1).cast("long").alias("generated_at"))
+    old, old_drawn = _there(catalog, "episode_canonical"), _there(catalog, "canonical_sketch")
+    changed = {
+        "episode_canonical": new if old is None else seed(old, new, E, ["fingerprint", "promoted_at"]).select(*old.columns),
+        "canonical_sketch": drawn if old_drawn is None else upsert(old_drawn, drawn, E),
+    }
+    catalog.commit(changed, before)
+
+
+def hex_fingerprints(canonical: DataFrame) -> DataFrame:
+    """(keys, fingerprint_hex): the stored bytes as text, for a rebuild outside the engine."""
+    return canonical.select(*E, F.hex("fingerprint").alias("fingerprint_hex"))
+
+
+def disc_batch(catalog: Catalog, discs: DataFrame, asof: int) -> None:
+    """Insert-or-ignore disc contributions (as ``disc_contributions`` has them), derive the touched discs, stamp their rows."""
+    before, history = catalog.version(), _there(catalog, "disc_contribution")
+    keyed = discs.withColumn("titles_digest", fn.titles_digest(F.col("titles")))
+    new, _ = intake.deduplicate(keyed, history, intake.DISC_UNIQUE, ["received_at", "id"])
+    people = intake.roll_up(_there(catalog, "contributor"), new.withColumn("poison_check", F.lit("pass")))
+    every = new if history is None else history.unionByName(new)
+    touched = consensus.unpromoted_discs(every)
+    own = every.join(touched, "disc_content_hash", "left_semi")
+    derived = consensus.disc_canonical(consensus.flag_discs(own, people)).withColumn("promoted_at", F.lit(asof).cast("long"))
+    old = _there(catalog, "disc_canonical")
+    changed = {
+        "disc_contribution": consensus.stamp_discs(every, asof), "contributor": people,
+        "disc_canonical": derived if old is None else upsert(old, derived, ["disc_content_hash"]),
+    }
+    catalog.commit(changed, before)
+
+
+def retract_batch(catalog: Catalog, requests: DataFrame, asof: int) -> DataFrame:
+    """Delete the rows that the requests name, derive their episodes again, remove those without rows; returns the outcomes."""
+    before, every = catalog.version(), catalog.read("contribution")
+    told = outcomes(requests, every, intake.UNIQUE)
+    told = catalog.at(catalog.write({"outcomes": told})["outcomes"])
+    left = retract(every, requests, intake.UNIQUE)
+    touched = told.filter("outcome <> 'untouched'").select(*E).distinct()
+    own = semi(left, touched, E)
+    tiers = consensus.episode_tiers(own, catalog.read("contributor"))
+    votes = consensus.latest_votes(own).withColumn("hashes", sketch.decode_fingerprint("fingerprint"))
+    new = tiers.join(consensus.consensus_canonical(votes.filter("hashes IS NOT NULL")), E).withColumn("promoted_at", F.lit(asof).cast("long"))
+    canonical = new.select(*E, "tier", sketch.encode_fingerprint("hashes").alias("fingerprint"), "unique_contributors", "mean_confidence", "promoted_at")
+    changed = {"contribution": left, "overlap_observation": cascade(catalog.read("overlap_observation"), left)}
+    if (old := _there(catalog, "episode_canonical")) is not None:
+        changed["episode_canonical"] = anti(old, touched, E).unionByName(canonical.select(*old.columns))
+    if (drawn := _there(catalog, "canonical_sketch")) is not None:
+        changed["canonical_sketch"] = anti(drawn, touched, E)  # made anew by the next sketch job
+    catalog.commit(changed, before)
+    return told
+
+
+def pack_batch(catalog: Catalog, path: str, asof: int) -> None:
+    """Write all shows' packs, in place of those there were, so a show without a canonical episode has none."""
+    canonical = catalog.read("episode_canonical").withColumn("hashes", sketch.decode_fingerprint("fingerprint"))
+    packs.write_packs(canonical.filter("hashes IS NOT NULL"), path, asof)
 
 
 def start_intake(spark: SparkSession, source: str, root: str, checkpoint: str, asof: int, max_files: int = 100) -> StreamingQuery:

@@ -56,14 +56,13 @@ def test_latest_vote_counts_and_ties_stay(spark):
 def test_queue_is_oldest_first_and_stamps_all_rows(spark):
     v = spark.createDataFrame([vote(1, "a", 3000, episode=(3, 1, 1)), vote(2, "a", 1000, episode=(1, 1, 1)), vote(3, "a", 2000, episode=(1, 1, 1)), vote(4, "a", 1500, episode=(2, 1, 1))], VOTE)
     assert [r.tmdb_id for r in consensus.queue(v, 2).collect()] == [1, 2]
-    out = {r.id: r.promoted_at for r in consensus.promote(v, None, 9, 2).collect()}
+    out = {r.id: r.promoted_at for r in consensus.promote(v, 9, 2).collect()}
     assert out == {1: None, 2: 9, 3: 9, 4: 9}
 
 
 def test_consensus_threshold_and_single_vote(spark):
-    rows = [(i, 1, 1, 1, p, h) for i, hs in enumerate([[1, 2, 3], [2, 3, 4], [3, 9, 2]]) for p, h in enumerate(hs)]
-    rows += [(9, 2, 1, 1, p, h) for p, h in enumerate([5, 3, 1, 4, 2, 5])]
-    df = spark.createDataFrame(rows, "id long, tmdb_id long, season int, episode int, pos int, h long")
+    rows = [(i, 1, 1, 1, hs) for i, hs in enumerate([[1, 2, 3], [2, 3, 4, 2], [3, 9, 2], []])] + [(9, 2, 1, 1, [5, 3, 1, 4, 2, 5]), (10, 3, 1, 1, [])]
+    df = spark.createDataFrame(rows, "id long, tmdb_id long, season int, episode int, hashes array<long>")
     out = {r.tmdb_id: r.hashes for r in consensus.consensus_canonical(df).collect()}
     assert out == {1: [2, 3], 2: [5, 3, 1, 4, 2, 5]}
 
@@ -233,6 +232,75 @@ def test_catalog_versions(spark, tmp_path):
     c.commit({"a": spark.range(3), "b": spark.range(1)})
     c.commit({"a": spark.range(5)})
     assert c.version() == 2 and c.read("a").count() == 5 and c.read("b").count() == 1
+    assert c.folders(1)["b"] == c.folders(2)["b"] and c.read("a", 1).count() == 3  # not written again; the old version stays
+    # A run that ends between writing its tables and the manifest leaves the version before.
+    c.write({"a": spark.range(9)})
+    assert c.version() == 2 and c.read("a").count() == 5
+    c.commit({}, added={"a": spark.range(2)})
+    assert c.version() == 3 and c.read("a").count() == 7 and len(c.folders()["a"]) == 2
+    with pytest.raises(RuntimeError):  # a second writer that began at version 2
+        c.commit({"a": spark.range(1)}, after=2)
+    assert c.version() == 3 and c.read("a").count() == 7
+
+
+def test_jobs_from_intake_to_retraction(spark, tmp_path):
+    who = [f"0a1b2c3d-0000-4000-8000-00000000000{i}" for i in range(5)]
+    b64 = lambda raw: __import__("base64").b64encode(raw).decode()
+    own, other = list(range(1, 400)), list(range(5000, 5400))
+    sha = lambda w: b64(bytes([w]) * 32)
+    ask = lambda w, tmdb, hashes: request(pseudonym=who[w], tmdb_id=tmdb, season=1, episode=1, fingerprint_b64=b64(sketch.encode(np.array(hashes))), fingerprint_sha256_b64=sha(w), disc_content_hash_b64=None)
+    feed = lambda rows: spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", S.CONTRIBUTION_REQUEST).alias("r")).select("r.*")
+    c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
+    jobs.intake_batch(c, feed([ask(0, 7, own), ask(1, 7, own), ask(2, 7, own[:390])]), 100)
+    assert [r.poison_check for r in c.read("contribution").collect()] == ["pass"] * 3 and c.read("overlap_observation").count() == 3
+    jobs.promote_batch(c, 150)
+    assert [(r.tmdb_id, r.tier, r.unique_contributors) for r in c.read("episode_canonical").collect()] == [(7, "canonical", 3)]
+    assert {r.promoted_at for r in c.read("contribution").collect()} == {150}
+    assert [tuple(r) for r in jobs.sketch_batch(c, 160).collect()] == [(7, 1, 1, 399)] and jobs.sketch_batch(c, 170).count() == 0
+    assert jobs.sketch_batch(c, 180, every=True).count() == 1
+    blob = bytes(c.read("episode_canonical").first().fingerprint)
+    assert jobs.hex_fingerprints(c.read("episode_canonical")).first().fingerprint_hex == blob.hex().upper()
+    # The fingerprint of show 7, handed in as show 9, is a conflict; another fingerprint isn't.
+    jobs.intake_batch(c, feed([ask(3, 9, own), ask(4, 9, other), ask(0, 7, own)]), 200)
+    late = {r.pseudonym: r for r in c.read("contribution").filter("received_at = 200").collect()}
+    assert {w: r.poison_check for w, r in late.items()} == {who[3]: "flag_conflict", who[4]: "pass"}
+    seen = {r.contribution_id: r for r in c.read("overlap_observation").collect()}
+    assert len(seen) == 5 and seen[late[who[3]].id].target_tmdb_id == 7 and seen[late[who[3]].id].max_overlap_pct == 1.0 and seen[late[who[3]].id].candidates_checked == 1
+    assert {r.pseudonym: r.flag_count for r in c.read("contributor").collect()}[who[3]] == 1
+    jobs.promote_batch(c, 250)
+    jobs.sketch_batch(c, 260)
+    assert sorted((r.tmdb_id, r.tier) for r in c.read("episode_canonical").collect()) == [(7, "canonical"), (9, "candidate")]
+    jobs.pack_batch(c, f"file://{tmp_path}/packs", 300)
+    state, lines = packs.answer(spark, f"{tmp_path}/packs", 7)
+    tag = packs.pack_tag(spark, f"{tmp_path}/packs", 7)
+    assert state == "ok" and len(lines) == 3 and packs.answer(spark, f"{tmp_path}/packs", 7, tag) == ("not_modified", None) and packs.answer(spark, f"{tmp_path}/packs", 9) == ("missing", None)
+    rows = [(who[0], 7, 1, 1, bytes([0]) * 32), (who[4], 9, 1, 1, bytes([4]) * 32), (who[3], 9, 1, 1, bytes([3]) * 32), (who[1], 8, 1, 1, bytes(32))]
+    gone = spark.createDataFrame(rows, "pseudonym string, tmdb_id long, season int, episode int, fingerprint_sha256 binary")
+    told = {(r.pseudonym, r.tmdb_id): (r.outcome, r.deleted, r.remaining) for r in jobs.retract_batch(c, gone, 400).collect()}
+    assert told == {(who[0], 7): ("re_derived", 1, 2), (who[4], 9): ("removed", 1, 0), (who[3], 9): ("removed", 1, 0), (who[1], 8): ("untouched", 0, 0)}
+    assert [(r.tmdb_id, r.tier, r.unique_contributors) for r in c.read("episode_canonical").collect()] == [(7, "confirmed", 2)]
+    assert c.read("canonical_sketch").count() == 0 and c.read("overlap_observation").count() == 2
+    jobs.seed_batch(c, spark.createDataFrame([(7, 1, 1, [1, 2]), (70, 1, 1, [3])], S.SEED), 500)
+    assert sorted((r.tmdb_id, r.tier) for r in c.read("episode_canonical").collect()) == [(7, "confirmed"), (70, "canonical")] and c.read("canonical_sketch").count() == 2
+
+
+def test_disc_job(spark, tmp_path):
+    c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
+    jobs.disc_batch(c, spark.createDataFrame([disc(1, "a"), disc(2, "b"), disc(3, "a")], DISC), 10)
+    assert c.read("disc_contribution").count() == 2 and {r.promoted_at for r in c.read("disc_contribution").collect()} == {10}
+    assert [(r.tier, r.unique_contributors) for r in c.read("disc_canonical").collect()] == [("confirmed", 2)]
+    jobs.disc_batch(c, spark.createDataFrame([disc(4, "c"), disc(5, "a")], DISC), 20)
+    assert c.read("disc_contribution").count() == 3
+    assert [(r.tier, r.unique_contributors, r.promoted_at) for r in c.read("disc_canonical").collect()] == [("canonical", 3, 20)]
+
+
+def test_table_sort_and_sparkline(spark):
+    df = spark.createDataFrame([("b", 2), ("A", 10), (None, None), ("c", 1)], "s string, n int")
+    assert [r.s for r in analytics.table_sort(df, "s").collect()] == ["A", "b", "c", None]
+    assert [r.n for r in analytics.table_sort(df, "n", True).collect()] == [10, 2, 1, None]
+    one = spark.createDataFrame([("2024-01-01", 5)], "day string, n long")
+    two = one.union(spark.createDataFrame([("2024-01-02", 2)], "day string, n long"))
+    assert analytics.sparkline(one).count() == 0 and [r.total for r in analytics.sparkline(two).orderBy("day").collect()] == [5, 7]
 
 
 def test_packs(spark, tmp_path):
@@ -271,10 +339,11 @@ def test_streaming_intake_is_idempotent(spark, tmp_path):
     jobs.start_intake(spark, f"{tmp_path}/in", root, f"{tmp_path}/check", 100).awaitTermination()
     c = catalog.Catalog(spark, root)
     assert c.read("contribution").count() == 3 and c.read("quarantine").count() == 2
+    jobs.promote_batch(c, 150)
     assert [(r.tier, r.unique_contributors) for r in c.read("episode_canonical").collect()] == [("canonical", 3)]
     (tmp_path / "in/2.json").write_text(text)
     jobs.start_intake(spark, f"{tmp_path}/in", root, f"{tmp_path}/check", 200).awaitTermination()
-    assert c.read("contribution").count() == 3 and c.version() == 2
+    assert c.read("contribution").count() == 3 and c.version() == 3
 
 
 def test_windowed_rate_stream(spark, tmp_path):

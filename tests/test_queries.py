@@ -10,7 +10,7 @@ CHECKED = [
     "top_shows", "poison_breakdown", "confidence_by_tier", "contributions_by_day", "recent_contributions", "top_contributors", "overlap_stats",
     "disc_confidence_dist", "disc_top_shows", "flagged_activity", "shows_list", "find_shows", "show_detail", "tier_page", "undercounted_episodes",
     "growth_windowed", "episode_grid", "verdict_share", "funnel_shares", "promotion_queue", "promotion_cursor", "episode_votes", "consensus_canonical",
-    "disc_digest_groups", "disc_winner", "titles_digest", "minhash_sketch", "identify", "anti_poison_verdict", "rejected_contributions",
+    "disc_digest_groups", "disc_winner", "titles_digest", "minhash_sketch", "identify", "rejected_contributions",
     "dedupe_contributions", "rate_limited", "sketch_batch", "forget", "retract_rederive", "orphan_canonical", "pack_df",
 ]
 
@@ -36,11 +36,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "o_totalprice" not in read and "o_orderpriority" not in read
 
 
-@pytest.mark.parametrize("name", ["anti_poison_screen_all", "anti_poison_verdict_all", "identify_disc_all"])
+@pytest.mark.parametrize("name", ["anti_poison_screen", "anti_poison_verdict", "identify_disc"])
 def test_whole_tables_are_asked_for(spark, name):
     out = QUERIES[name](spark, SMALL)
     assert_same(out, ORACLE[name], SMALL)
-    if name == "identify_disc_all":
+    if name == "identify_disc":
         from echoquorum.sources import adapters
 
         want = adapters.disc_contributions(spark, SMALL).select("disc_content_hash").distinct().count() + 10
