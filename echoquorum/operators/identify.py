@@ -122,18 +122,24 @@ def screen(incoming: DataFrame, references: DataFrame, threshold: float = S.OVER
     """
     threshold = S.check_threshold(threshold)
     claim = {k: f"claim_{k}" for k in E}
-    full = F.size("hashes") > 0  # empty fingerprints have all slots in common and say nothing
+    full = F.size("hashes") > 0  # empty fingerprints have all slots in common: joined by slots, they would be all pairs
     asked = sketches(incoming.filter(full), ["id", *E]).withColumnsRenamed(claim)
     found = estimates(asked, sketches(references.filter(full), E), ["id", *claim.values()])
     other = ~(F.col("tmdb_id").eqNullSafe(F.col("claim_tmdb_id")) & F.col("season").eqNullSafe(F.col("claim_season")) & F.col("episode").eqNullSafe(F.col("claim_episode")))
     order = W.partitionBy("id").orderBy(F.col("jaccard").desc(), *E)
+    # An empty one is most like the first empty reference but the one it claims, so two of those are enough.
+    empty = references.filter(~full).select(*E).orderBy(*E).limit(2)
+    alike = incoming.filter(~full).select("id", *E).withColumnsRenamed(claim).crossJoin(F.broadcast(empty))
+    found = found.unionByName(alike.withColumn("jaccard", F.lit(1.0)))
     best = found.filter(other).withColumn("rank", F.row_number().over(order)).filter("rank = 1")
     best = best.select("id", F.col("jaccard").alias("estimate"), *[F.col(k).alias(f"target_{k}") for k in E])
     close = best.filter(F.col("estimate") > threshold - S.SCREEN_MARGIN).select("id", *[F.col(f"target_{k}").alias(k) for k in E])
     asked_h = close.join(incoming.select("id", F.explode("hashes").alias("h")), "id")
     there = references.join(close.select(*E).distinct(), E, "left_semi").select(*E, F.explode(F.array_distinct("hashes")).alias("h")).withColumn("m", F.lit(1))
     exact = asked_h.join(there, [*E, "h"], "left").groupBy("id").agg((F.sum(F.coalesce("m", F.lit(0))) / F.count("*")).alias("exact"))
-    out = incoming.select("id").join(best, "id", "left").join(exact, "id", "left")
+    out = incoming.select("id", full.alias("full_")).join(best, "id", "left").join(exact, "id", "left")
+    # The exact overlap of an empty fingerprint is 0.
+    out = out.withColumn("exact", F.when(~F.col("full_") & (F.col("estimate") > threshold - S.SCREEN_MARGIN), 0.0).otherwise(F.col("exact")))
     return out.select(
         "id", F.coalesce("estimate", F.lit(0.0)).alias("estimate"), *[f"target_{k}" for k in E],
         F.coalesce("exact", "estimate", F.lit(0.0)).alias("overlap_pct"),

@@ -176,7 +176,7 @@ CTES = {
         JOIN claim_best b ON b.id = q.id AND b.j > 0.7 - 0.1 JOIN catalogue c ON c.tmdb_id = b.tmdb_id AND c.season = b.season AND c.episode = b.episode) GROUP BY id""",
     "screened": """
       SELECT k.id, round(coalesce(j, 0.0), 9) AS estimate, b.tmdb_id AS target_tmdb_id, b.season AS target_season, b.episode AS target_episode,
-             round(coalesce(exact, j, 0.0), 9) AS overlap_pct, CASE WHEN exact > 0.7 THEN 'flag_conflict' ELSE 'pass' END AS poison_check
+             round(coalesce(exact, CASE WHEN len(hashes) = 0 AND j > 0.7 - 0.1 THEN 0.0 END, j, 0.0), 9) AS overlap_pct, CASE WHEN exact > 0.7 THEN 'flag_conflict' ELSE 'pass' END AS poison_check
       FROM claim k LEFT JOIN claim_best b USING (id) LEFT JOIN claim_exact USING (id)""",
     "by_day": f"""
       SELECT {_day("received_at")} AS day, 'contributions' AS s, count(*) AS n FROM contribution GROUP BY ALL
@@ -330,6 +330,55 @@ FINAL = {
     "orphan_canonical": f"SELECT tmdb_id, season, episode FROM canonical a WHERE NOT EXISTS (SELECT 1 FROM contribution b WHERE b.tmdb_id % 3 <> 0 AND {SAME})",
     "backfill_reset": f"SELECT id, coalesce(CASE WHEN NOT EXISTS (SELECT 1 FROM undercounted b WHERE {SAME}) THEN promoted_at END, 0) AS promoted_at FROM contribution a",
     "pack_df": "SELECT tmdb_id, count(*) AS n_hashes, sum(df)::BIGINT AS sum_df, max(df) AS max_df FROM pack_hashes GROUP BY tmdb_id",
+    "contribute_path": """
+      SELECT pseudonym, count(*) AS contribution_count, count(*) FILTER (poison_check = 'flag_conflict') AS flag_count,
+             (count(*) FILTER (poison_check = 'flag_conflict') > 3)::INT AS flagged, count(*) AS observations, max(overlap_pct) AS max_overlap, count(*) AS duplicates
+      FROM (SELECT ((id // 100) % 13)::VARCHAR AS pseudonym, overlap_pct, poison_check FROM screened) GROUP BY pseudonym""",
+    "disc_dedupe": """
+      SELECT a.id, CASE WHEN old IS NULL AND rn = 1 THEN a.id ELSE coalesce(old, first) END AS contribution_id
+      FROM (SELECT x.id, x.pseudonym, x.disc_content_hash, s.titles_digest, row_number() OVER w AS rn, first_value(x.id) OVER w AS first
+            FROM disc x JOIN disc_stats s ON s.id = x.id WHERE x.id % 4 <> 0
+            WINDOW w AS (PARTITION BY x.pseudonym, x.disc_content_hash, s.titles_digest ORDER BY x.received_at, x.id)) a
+      LEFT JOIN (SELECT x.pseudonym, x.disc_content_hash, s.titles_digest, min(x.id) AS old FROM disc x JOIN disc_stats s ON s.id = x.id WHERE x.id % 4 = 0 GROUP BY ALL) b
+      ON a.pseudonym = b.pseudonym AND a.disc_content_hash = b.disc_content_hash AND a.titles_digest = b.titles_digest""",
+    "disc_unpromoted": "SELECT DISTINCT disc_content_hash FROM disc WHERE id % 3 <> 0",
+    "disc_stamped": f"SELECT id, CASE WHEN id % 3 = 0 THEN received_at + 86400 ELSE {ASOF_SECONDS} END AS promoted_at FROM disc",
+    "sketch_refresh": """
+      SELECT tmdb_id, season, episode, len(hashes)::INT AS hash_count FROM consensus_rows SEMI JOIN stale USING (tmdb_id, season, episode)
+      UNION ALL SELECT tmdb_id, season, episode, hash_count FROM sketch_meta ANTI JOIN (
+        SELECT tmdb_id, season, episode FROM consensus_rows SEMI JOIN stale USING (tmdb_id, season, episode)) USING (tmdb_id, season, episode)""",
+    "retract_outcome": f"""
+      SELECT outcome, count(*) AS n, sum(deleted)::BIGINT AS deleted, sum(remaining)::BIGINT AS remaining FROM (
+        SELECT deleted, coalesce(b.n, 0) AS remaining, CASE WHEN deleted = 0 THEN 'untouched' WHEN coalesce(b.n, 0) > 0 THEN 're_derived' ELSE 'removed' END AS outcome
+        FROM (SELECT pseudonym, tmdb_id, season, episode, sha, count(*) AS deleted FROM keyed k
+                WHERE NOT EXISTS (SELECT 1 FROM retracted r WHERE r.id = k.id) GROUP BY ALL
+              UNION ALL SELECT DISTINCT pseudonym, tmdb_id, season, episode, 'none', 0 FROM keyed WHERE id % 7 = 0) a
+        LEFT JOIN (SELECT tmdb_id, season, episode, count(*) AS n FROM retracted GROUP BY ALL) b ON {SAME}) GROUP BY outcome""",
+    "upsert_episodes": """
+      SELECT tmdb_id, season, episode, tier, CASE WHEN episode = 1 THEN 0 ELSE unique_contributors END AS unique_contributors FROM canonical
+      UNION ALL SELECT tmdb_id + 100000, season, episode, tier, 0 FROM canonical WHERE episode = 1""",
+    "seed_episodes": """
+      SELECT tmdb_id, season, episode, CASE WHEN tmdb_id % 2 = 0 THEN 'canonical' ELSE tier END AS tier, unique_contributors FROM canonical
+      UNION ALL SELECT tmdb_id + 100000, season, episode, 'canonical', 1 FROM canonical WHERE tmdb_id % 2 = 0""",
+    "orphans_removed": f"""
+      SELECT count(*) AS n FROM canonical a WHERE EXISTS (SELECT 1 FROM contribution b WHERE b.tmdb_id % 3 <> 0 AND {SAME})
+      UNION ALL SELECT count(*) FROM sketch_meta a WHERE EXISTS (SELECT 1 FROM contribution b WHERE b.tmdb_id % 3 <> 0 AND {SAME})""",
+    "disc_requests": """
+      SELECT id, CASE WHEN id % 41 = 0 THEN 'wire_format_version' WHEN id % 37 = 0 THEN 'tmdb_id' WHEN id % 31 = 0 THEN 'disc_content_hash_b64' WHEN id % 43 = 0 THEN 'content_type'
+                      WHEN id % 47 = 0 THEN 'titles' WHEN id % 53 = 0 THEN 'title' END AS reason FROM disc""",
+    "small_requests": """
+      SELECT pseudonym, CASE WHEN i % 7 = 0 THEN 'wire_format_version' WHEN i % 5 = 0 THEN 'pseudonym' END AS forget_reason,
+             CASE WHEN i % 7 = 0 THEN 'wire_format_version' WHEN i % 5 = 0 THEN 'pseudonym' WHEN i % 3 = 0 THEN 'tmdb_id' WHEN i % 11 = 0 THEN 'fingerprint_sha256_b64' END AS retract_reason
+      FROM (SELECT pseudonym, pseudonym::BIGINT AS i FROM contributor)""",
+    "encodings": """
+      SELECT id, md5('[' || string_agg('{"title_index":' || t || ',"duration_seconds":' || 1200 + t * 60 || ',"size_bytes":' || t * 1000000 || ',"assignment":"episode","season":1,"episode":'
+               || t + 1 + shift || ',"match_confidence":' || (0.75::DOUBLE + ((id * 7 + t * 3) % 26) / 100.0::DOUBLE)::VARCHAR || ',"match_source":"' || source || '"}', ',' ORDER BY t) || ']') AS titles_md5,
+             count(*)::INT AS n_titles, any_value(disc_content_hash) AS disc_hex
+      FROM (SELECT o_orderkey AS id, unnest(range(o_custkey % 3 + 1)) AS t, CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 2 = 0 THEN 1 ELSE 0 END AS shift,
+                   md5((o_custkey * 2 + (o_orderkey % 7 = 0)::INT)::VARCHAR) AS disc_content_hash FROM orders) x
+      CROSS JOIN LATERAL (SELECT CASE WHEN (id + t) % 19 = 0 THEN 'network_disc' ELSE 'engram_discdb' END AS source) y GROUP BY id""",
+    "jaccard_estimate": "SELECT query_id, tmdb_id, season, episode, jaccard FROM best",
+    "sparkline": "SELECT day, n, (sum(n) OVER (ORDER BY day))::BIGINT AS total FROM by_day WHERE s = 'contributions'",
     "show_ids_union": "SELECT tmdb_id FROM canonical UNION SELECT tmdb_id FROM contribution UNION SELECT tmdb_id FROM disc",
 }
 

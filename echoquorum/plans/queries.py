@@ -157,6 +157,112 @@ def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*E, F.size("hashes").alias("n"), F.length("blob").alias("bytes"), back.eqNullSafe(F.col("hashes")).alias("same"))
 
 
+def disc_keyed(x: DataFrame) -> DataFrame:
+    return x.withColumn("titles_digest", fn.titles_digest(F.col("titles")))
+
+
+def disc_deduped(x: DataFrame) -> DataFrame:
+    """Discs handed in again by the same contributor are ignored and answered with the row there is."""
+    k = disc_keyed(x)
+    history, incoming = k.filter("id % 4 = 0"), k.filter("id % 4 <> 0")
+    new, repeats = intake.deduplicate(incoming, history, intake.DISC_UNIQUE, ["received_at", "id"])
+    return new.select("id", F.col("id").alias("contribution_id")).unionByName(repeats.select("id", F.col("existing_id").alias("contribution_id")))
+
+
+def contribute_path(spark: SparkSession, d: str) -> DataFrame:
+    """Every episode's cut fingerprint handed in twice, the second time a repeat: verdicts, observations and flags by contributor."""
+    cat = T.catalogue(spark, d)
+    own = F.col("tmdb_id") * 100 + F.col("season") * 10 + F.col("episode")
+    cut = F.filter("hashes", lambda h, i: (i % 11) != 0)
+    rows = cat.select(
+        own.alias("id"), (F.col("tmdb_id") % 13).cast("string").alias("pseudonym"), (F.col("tmdb_id") + F.col("tmdb_id") % 2 * 1000).alias("tmdb_id"), "season", "episode",
+        own.cast("string").alias("fingerprint_sha256"), own.alias("received_at"), cut.alias("hashes"),
+    )
+    twice = rows.unionByName(rows.withColumn("id", F.col("id") + 10_000_000))
+    new, repeats = intake.deduplicate(twice, None, intake.UNIQUE, ["id"])
+    judged = identify.screen(new.select("id", *E, "hashes"), cat)
+    observed = intake.observe(judged.withColumn("candidates", F.lit(0)), ASOF_SECONDS)
+    verdicts = new.select("id", "pseudonym", "received_at").join(judged.select("id", "poison_check"), "id")
+    people = intake.roll_up(None, verdicts)
+    seen = observed.join(new.select(F.col("id").alias("contribution_id"), "pseudonym"), "contribution_id").groupBy("pseudonym").agg(F.count("*").alias("observations"), F.max("max_overlap_pct").alias("max_overlap"))
+    again = repeats.groupBy("pseudonym").agg(F.count("*").alias("duplicates"))
+    return rounded(people.select("pseudonym", "contribution_count", "flag_count", "flagged").join(seen, "pseudonym").join(again, "pseudonym"))
+
+
+def sketch_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The stale episodes' sketches made anew from the consensus, put over the stored ones: (keys, hash_count)."""
+    stale = C.stale_sketches(canonical(spark, d), sketch_meta(spark, d))
+    prints = C.semi(consensus_rows(spark, d), stale, E)
+    made = identify.sketches(prints, E).select(*E, "hash_count")
+    return C.upsert(sketch_meta(spark, d).select(*E, "hash_count"), made, E)
+
+
+def retract_outcome(c: DataFrame) -> DataFrame:
+    """What every request does: some name rows, some a row that isn't there."""
+    k = keyed(c)
+    asked = k.filter("id % 5 = 0 OR tmdb_id % 9 = 0").select(*intake.UNIQUE)
+    unknown = k.filter("id % 7 = 0").select(*intake.UNIQUE).withColumn("fingerprint_sha256", F.lit("none"))
+    out = C.outcomes(asked.unionByName(unknown), k, intake.UNIQUE)
+    return out.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("deleted").alias("deleted"), F.sum("remaining").alias("remaining"))
+
+
+def fewer(k: DataFrame) -> DataFrame:
+    return k.select(*E, "tier", "unique_contributors")
+
+
+def seeded(k: DataFrame) -> DataFrame:
+    """Seeds for all episodes of the even shows and of shows that aren't there: a known one changes its tier only."""
+    even = k.filter("tmdb_id % 2 = 0").select(*E, F.lit("canonical").alias("tier"), F.lit(1).cast("long").alias("unique_contributors"))
+    other = even.withColumn("tmdb_id", F.col("tmdb_id") + 100_000)
+    return C.seed(fewer(k), even.unionByName(other), E, ["tier"]).select(*E, "tier", "unique_contributors")
+
+
+def upserted(k: DataFrame) -> DataFrame:
+    new = fewer(k).filter("episode = 1").withColumn("unique_contributors", F.lit(0).cast("long"))
+    return C.upsert(fewer(k), new.unionByName(new.withColumn("tmdb_id", F.col("tmdb_id") + 100_000)), E)
+
+
+def disc_requests(x: DataFrame) -> DataFrame:
+    """Disc requests made of the table's rows, some of them malformed, judged: (id, reason)."""
+    i = F.col("id")
+    first = F.col("titles")[0]
+    broken = F.struct(*[(F.lit("bonus") if f == "assignment" else first[f]).alias(f) for f in S.TITLE.names])
+    made = x.select(
+        "id", F.when(i % 41 == 0, 2).otherwise(1).alias("wire_format_version"), F.concat(F.lit("0a1b2c3d-0000-4000-8000-"), F.lpad("pseudonym", 12, "0")).alias("pseudonym"),
+        F.when(i % 37 == 0, 0).otherwise(F.col("tmdb_id")).cast("long").alias("tmdb_id"), "season", F.lit("v1").alias("client_version"),
+        F.when(i % 31 == 0, "abc").otherwise(fn.to_base64(F.unhex("disc_content_hash"))).alias("disc_content_hash_b64"),
+        F.when(i % 43 == 0, "clip").otherwise(F.col("content_type")).alias("content_type"),
+        F.when(i % 47 == 0, F.slice("titles", 1, 0)).when(i % 53 == 0, F.concat(F.array(broken), "titles")).otherwise(F.col("titles")).alias("titles"),
+    )
+    return made.select("id", intake.disc_reason().alias("reason"))
+
+
+def small_requests(u: DataFrame) -> DataFrame:
+    """Erasure and retraction requests of every contributor, some malformed: (pseudonym, forget_reason, retract_reason)."""
+    i = F.col("pseudonym").cast("long")
+    uuid = F.concat(F.lit("0a1b2c3d-0000-4000-8000-"), F.lpad("pseudonym", F.when(i % 5 == 0, 11).otherwise(12), F.lit("0")))
+    made = u.select(
+        F.col("pseudonym").alias("who"), F.when(i % 7 == 0, 2).otherwise(1).alias("wire_format_version"), uuid.alias("pseudonym"), F.when(i % 3 == 0, -1).otherwise(i + 1).alias("tmdb_id"),
+        F.lit(1).alias("season"), F.lit(1).alias("episode"), F.substring(fn.to_base64(F.unhex(F.sha2("pseudonym", 256))), 1, F.when(i % 11 == 0, 40).otherwise(44)).alias("fingerprint_sha256_b64"),
+    )
+    return made.select(F.col("who").alias("pseudonym"), intake.forget_reason().alias("forget_reason"), intake.retraction_reason().alias("retract_reason"))
+
+
+def encodings(x: DataFrame) -> DataFrame:
+    """Titles as JSON and back, and the disc hash through the URL alphabet of Base64."""
+    text = fn.titles_json(F.col("titles"))
+    url = F.rtrim(F.translate(fn.to_base64(F.unhex("disc_content_hash")), "+/", "-_"), F.lit("="))
+    return x.select("id", F.md5(text.cast("binary")).alias("titles_md5"), F.size(fn.parse_titles(text)).alias("n_titles"), F.lower(F.hex(fn.base64url(url))).alias("disc_hex"))
+
+
+def estimated(qs: DataFrame, cat: DataFrame) -> DataFrame:
+    """The estimate by slots of each query's best candidates, from the sketches themselves."""
+    asked, stored = identify.sketches(qs, ["query_id"]), identify.sketches(cat, E)
+    pairs = identify.top_candidates(asked, stored).select("query_id", *E)
+    met = pairs.join(asked.select("query_id", F.col("sketch").alias("own")), "query_id").join(stored.select(*E, "sketch"), E)
+    return met.select("query_id", *E, fn.jaccard_estimate(F.col("own"), F.col("sketch")).alias("jaccard"))
+
+
 QUERIES = {
     "total_contributions": q("contribution")(A.total),
     "poison_breakdown": q("contribution")(lambda c: A.breakdown(c.filter("promoted_at IS NULL"), "poison_check")),
@@ -234,4 +340,18 @@ QUERIES = {
     "pack_df": lambda s, d: packs.pack_df(consensus_rows(s, d)).groupBy("tmdb_id").agg(F.count("*").alias("n_hashes"), F.sum("df").alias("sum_df"), F.max("df").alias("max_df")),
     "show_ids_union": q("canonical", "contribution", "disc")(lambda k, c, x: A.show_ids(k, c, x)),
     "codec_round_trip": codec_round_trip,
+    "contribute_path": contribute_path,
+    "disc_dedupe": q("disc")(disc_deduped),
+    "disc_unpromoted": q("disc")(consensus.unpromoted_discs),
+    "disc_stamped": q("disc")(lambda x: consensus.stamp_discs(x, ASOF_SECONDS).select("id", "promoted_at")),
+    "sketch_refresh": sketch_refresh,
+    "retract_outcome": q("contribution")(retract_outcome),
+    "upsert_episodes": q("canonical")(upserted),
+    "seed_episodes": q("canonical")(seeded),
+    "orphans_removed": q("canonical", "sketch", "contribution")(lambda k, x, c: A.total(C.without_orphans(k, x, c.filter("tmdb_id % 3 <> 0"))[0]).unionByName(A.total(C.without_orphans(k, x, c.filter("tmdb_id % 3 <> 0"))[1]))),
+    "disc_requests": q("disc")(disc_requests),
+    "small_requests": q("contributor")(small_requests),
+    "encodings": q("disc")(encodings),
+    "jaccard_estimate": q("query", "catalogue")(estimated),
+    "sparkline": q("contribution")(lambda c: A.sparkline(A.by_day(c, "received_at"))),
 }

@@ -12,6 +12,8 @@ CHECKED = [
     "growth_windowed", "episode_grid", "verdict_share", "funnel_shares", "promotion_queue", "promotion_cursor", "episode_votes", "consensus_canonical",
     "disc_digest_groups", "disc_winner", "titles_digest", "minhash_sketch", "identify", "rejected_contributions",
     "dedupe_contributions", "rate_limited", "sketch_batch", "forget", "retract_rederive", "orphan_canonical", "pack_df",
+    "contribute_path", "disc_dedupe", "disc_unpromoted", "disc_stamped", "sketch_refresh", "retract_outcome", "upsert_episodes", "seed_episodes",
+    "orphans_removed", "disc_requests", "small_requests", "encodings", "jaccard_estimate", "sparkline",
 ]
 
 
