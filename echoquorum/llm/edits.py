@@ -158,8 +158,14 @@ def edit(text: str, tree: Tree, pos: int, drop: int, put: str, split: Pretokens)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, text, tree, n_tokens, and the columns ``extra``) for every row; a null text counts as empty."""
+    """(doc_id, text, tree, n_tokens, and the columns ``extra``) for every row; a null text counts as empty.
+
+    Repeated rows each get a row, an empty table gives an empty result, and other columns play no part. A name in
+    ``extra`` that is one of the result's raises ValueError. Memory holds one Arrow batch and its trees.
+    """
     extra = extra or {}
+    if taken := {c.lower() for c in extra} & {"doc_id", "text", "tree", "n_tokens"}:
+        raise ValueError(f"extra columns must not be named like results: {sorted(taken)}")
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[c.alias(n) for n, c in extra.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,6 +139,8 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", rul
     not be in ``keep``. The measures are written once to the shared folder and read twice.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    if taken := {c.lower() for c in keep} & {*MEASURES, "base_failed", "failed", "host_rejected", "host_trusted", "kept"}:
+        raise ValueError(f"columns named like results must not be in keep: {sorted(taken)}")
     names = {c: f"in_{i}" for i, c in enumerate(keep)}
     src = docs.select(*[F.col(c).alias(a) for c, a in names.items()], F.coalesce(F.col(host).cast("string"), F.lit("\0null")).alias("host_"), F.col(text).alias("text_"))
     measured = text_measures(src, "text_")

@@ -240,47 +240,92 @@ def test_plain_archives_without_dictionary_are_read():
     assert [warc.parse(x)["page_id"] for x in warc.frames(io.BytesIO(data))] == [0, 1, 2]
 
 
-def test_pipeline_equals_its_parts_by_brute_force(spark):
+def brute_pipeline(docs, bench):
+    """(start, doc_id, n_tokens, ids_crc32) by brute force; docs: (doc_id, text, lang, source) with ids of their own."""
     import re
 
-    import corpus_pipeline
-    from test_text_operators import brute_components, brute_fingerprint, brute_windows
+    import duckdb
+    from test_text_operators import brute_windows
+
+    def documents(rows_):
+        return pa.table({k: pa.array([r[i] for r in rows_], t) for i, (k, t) in enumerate((("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())))})
+
+    c = duckdb.connect()
+    c.register("documents", documents(docs))
+    good = {i for i, ok in c.execute(f"SELECT doc_id, kept FROM ({queries.ORACLE['op7_quality']})").fetchall() if ok}
+    kept = sorted((r for r in docs if r[0] in good), key=lambda r: r[0])
 
-    docs = [r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    def grams(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
-    def base_ok(t):
-        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        where = {}
-        for i in range(len(w) - 7):
-            where.setdefault(tuple(w[i : i + 8]), []).append(i)
-        hit = {k for v in where.values() if len(v) > 1 for i in v for k in range(i, i + 8)}
-        return len(w) >= 20 and 100 * len(hit) <= 30 * len(w)
+    sets, root = {r[0]: grams(r[1]) for r in kept}, {r[0]: r[0] for r in kept}
 
-    kept = [r for r in docs if base_ok(r.text)]  # no host of these tables is rejected
-    fp = {r.doc_id: brute_fingerprint(r.text) for r in kept}
-    least = {f: min(i for i, x in fp.items() if x in c) for c in brute_components(set(fp.values())) for f in c}
-    kept = [r for r in kept if least[fp[r.doc_id]] == r.doc_id]
-    bench = set().union(*(brute_windows(r.text)[1] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()))
-    sizes = {len(g) for g in bench}
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = [r for r in kept if find(r[0]) == r[0]]
+    windows = set().union(set(), *(brute_windows(t)[1] for t in bench))
+    sizes = {len(g) for g in windows}
 
     def clean(t):
         w, _ = brute_windows(t)
-        hit = {k for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in bench for k in range(i, i + n)}
+        hit = {k for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for k in range(i, i + n)}
         return not (hit and 20 * len(hit) >= len(w))
 
-    kept = [r for r in kept if clean(r.text)]
-    import duckdb
-    import pyarrow as pa
-
-    c = duckdb.connect()
-    c.register("documents", pa.table({k: [r[k] for r in kept] for k in ("doc_id", "text", "lang", "source", "n_chars")}))
+    kept = [r for r in kept if clean(r[1])]
+    c.register("documents", documents(kept))
     times = dict(c.execute(f"SELECT doc_id, copies FROM ({queries.ORACLE['op1_mix']})").fetchall())
-    text = {r.doc_id: r.text for r in kept}
     order = [i for i in sorted(times) for _ in range(times[i])]
-    ids = dict(zip(order, expected([(i, text[i]) for i in order])))
-    got = sorted(map(tuple, corpus_pipeline.run(spark, SMALL).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
+    text = {r[0]: r[1] for r in kept}
     at, want = 0, []
-    for i in order:
-        want.append((at, i, len(ids[i]), zlib.crc32(np.array(ids[i], "<u4").tobytes())))
-        at += len(ids[i])
-    assert got == want
+    for i, ids in zip(order, expected([(i, text[i]) for i in order])):
+        want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return want
+
+
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    bench = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    got = sorted(map(tuple, corpus_pipeline.run(spark, SMALL).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
+    assert got == brute_pipeline(docs, bench) and len(got) > 50
+
+
+def test_pipeline_takes_nulls_repeats_clashing_names_and_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    text = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    item, near = text(30), text(200)
+    rows = [(i, text(60), r.choice(["en", None]), r.choice(["s0", "s1", None])) for i in range(30)]
+    rows += [(30, None, "en", "s0"), (31, "", None, None), (32, near, "en", "s0"), (33, near.upper() + " tail", "en", "s1"), (34, item + " " + text(20), "en", "s0"), (35, text(30_000), "de", "s1")]
+    bench = [(1, item), (2, None), (3, "")]
+    names = {c: F.lit(1) for c in ("row_", "kept", "k1", "n_words", "copies", "hits_", "id_", "norm", "failed", "bucket")}
+
+    def put(folder, rows_):
+        spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string").withColumns(names).repartition(2).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, str(folder))
+            if k < 4:
+                assert set(docs.columns) >= {"doc_id", "text", "lang", "source", *names}
+                docs.write.parquet(f"{folder}/{k}")
+                docs = spark.read.parquet(f"{folder}/{k}")
+        return sorted(map(tuple, docs.select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
+
+    want = brute_pipeline(rows, [t for _, t in bench])
+    assert {x[1] for x in want} & {30, 31, 33, 34} == set() and len(want) > 20  # the long text may be more than its leaf's budget
+    assert put(tmp_path / "a", rows) == want
+    # Repeated rows, with an id and without, are one group each; nothing in, nothing out.
+    twice = put(tmp_path / "b", rows + rows[:5] + [(None, rows[6][1], "en", "s0")] * 2)
+    assert {x[1] for x in twice} <= {r[0] for r in rows}
+    assert put(tmp_path / "c", []) == []

@@ -513,3 +513,36 @@ def test_mixing_cuts_among_rows_that_share_an_id(spark):
     out = mixing.mix_rows(df, {}, budget=301, max_epochs=1)
     assert out.count() == 100 and out.distinct().count() == 100
     assert {r.text for r in mixing.mix_rows(df, {}, budget=301, max_epochs=1).collect()} == {r.text for r in out.collect()}
+
+
+def test_a_very_long_text_has_its_fingerprint():
+    """More shingles than are hashed at once."""
+    text = " ".join(f"w{i % 977}" for i in range(70_000))
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def test_passages_with_null_ids_repeated_rows_and_long_texts(spark):
+    rng = random.Random(31)
+    words = lambda n: " ".join(f"z{rng.randrange(5000)}" for _ in range(n))
+    passage, long = words(80), words(40_000)
+    rows_ = [(None, words(20) + " " + passage), (None, words(30) + " " + passage), (4, passage), (4, passage), (9, long + " " + passage), (10, None), (11, "")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("at", "row", "k1", "begin", "n")})
+    found = passages.repeated_passages(df, min_run=passages.MIN_RUN).collect()
+    assert {r.doc_id for r in found} == {None, 4, 9} and {r.kept_doc_id for r in found} <= {None, 4}
+    by_text = {}
+    for r in found:
+        by_text.setdefault((r.doc_id, r.text_hash), []).append(r.n_words)
+    assert len(by_text) == 4 and all(sum(n) >= 50 for n in by_text.values())
+    assert len([r for r in found if r.doc_id == 4]) == 2 * len({r.paragraph for r in found if r.doc_id == 4})  # each row has its places
+
+
+def test_token_counts_of_nothing(spark):
+    from echoquorum.llm import edits
+
+    P = pytest.importorskip("public_tokenizers")
+    how = str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN
+    none = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
+    counted = edits.count_tokens(none, *how, extra={"edits": queries.script(F.col("text"))})
+    assert edits.apply_edits(counted, *how).count() == 0
+    with pytest.raises(ValueError):
+        edits.count_tokens(none, *how, extra={"tree": F.lit(1)})
