@@ -103,11 +103,17 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [self.table(r) for level in self.levels for r in level]
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        """One table of the runs, a row for each hash; counts stop mattering at min_docs but are kept whole."""
+    def _merged(self, runs: list[str]) -> DataFrame:
+        """One table of the runs, a row for each hash; counts stop mattering at min_docs but are kept whole.
+
+        The runs are read as plain files here. As bucketed tables their union would count as dealt out by the hash, though
+        it lays their partitions side by side, and no exchange would bring the rows of a key together.
+        """
         if len(runs) == 1:
-            return runs[0]
-        return reduce(DataFrame.unionByName, runs).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"))
+            return self.table(runs[0])
+        files = [self.spark.read.schema("h1 LONG, h2 LONG, n_docs LONG").parquet(f"{self.folder}/{r}") for r in runs]
+        dealt = reduce(DataFrame.unionByName, files).repartition(self.n_buckets, *HASH)
+        return dealt.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"))
 
     def _store(self, counts: DataFrame) -> str:
         run, name = f"run-{uuid.uuid4().hex}", f"line_run_{uuid.uuid4().hex}"
@@ -134,7 +140,7 @@ class LineRuns:
 
     def settled(self) -> DataFrame | None:
         """(h1, h2, n_docs) of the keys found in at least min_docs documents so far."""
-        return self._merged(self.runs()).filter(F.col("n_docs") >= self.min_docs) if self.levels else None
+        return self._merged([r for level in self.levels for r in level]).filter(F.col("n_docs") >= self.min_docs) if self.levels else None
 
     def new_counts(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The counts of a batch without the keys that a run holds as settled."""
@@ -165,7 +171,7 @@ class LineRuns:
             if len(self.levels[i]) < self.fanout:
                 break
             old = self.levels[i]
-            run = self._store(self._merged([self.table(r) for r in old]))
+            run = self._store(self._merged(old))
             self.levels[i] = []
             if i + 1 == len(self.levels):
                 self.levels.append([])
@@ -208,25 +214,40 @@ class LineRuns:
         )
 
 
-def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
-    """The files of a Parquet-backed frame dealt into at most ``n`` batches; a frame without files is one batch."""
-    files = sorted(docs.inputFiles())
-    if n < 2 or len(files) < 2:
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether the frame is a table's files and nothing else: all their rows and columns, without partition columns."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.partitionSchema().length() == 0
+
+
+def batches_of(docs: DataFrame, n: int, text: str = "text") -> list[DataFrame]:
+    """The rows of a frame dealt into at most ``n`` batches, each row into one.
+
+    The files of a plain Parquet scan are dealt out, so each is read once. Any other frame (filtered, derived, united,
+    partitioned) is divided by a hash of the text; it must give the same rows whenever it is read.
+    """
+    if n < 2:
         return [docs]
-    spark, n = docs.sparkSession, min(n, len(files))
-    return [spark.read.schema(docs.schema).parquet(*files[k::n]) for k in range(n)]
+    if not _plain_scan(docs):
+        return [docs.filter(F.pmod(F.xxhash64(F.lit(3), text), F.lit(n)) == k) for k in range(n)]
+    spark, files = docs.sparkSession, sorted(docs.inputFiles())
+    n = min(n, len(files))
+    return [spark.read.schema(docs.schema).parquet(*files[k::n]) for k in range(n)] if n > 1 else [docs]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) for every row: lines whose key is found in ``min_docs`` rows or more are gone.
 
-    The table is fed to the runs in ``n_batches`` batches of its files; the result doesn't depend on their number.
+    The table is fed to the runs in ``n_batches`` batches (``batches_of``); the result doesn't depend on their number.
     A row counts as a document, so repeated rows count each. Null and empty texts are one empty line, and keys of less
     than ``min_chars`` code points are never dropped. A text that loses all lines becomes empty. An empty table gives
     an empty result. Other columns of ``docs`` play no part.
     """
     runs = LineRuns(docs.sparkSession, min_docs, min_chars, fanout)
-    for batch in batches_of(docs, n_batches):
+    for batch in batches_of(docs, n_batches, text):
         runs.add(batch, text)
     out = runs.drop_lines(docs, id_col, text)
     runs.delete()  # drop_lines has written the settled keys to a table of their own

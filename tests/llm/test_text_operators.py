@@ -95,6 +95,39 @@ def test_lines_equal_sql_in_any_number_of_batches(spark, docs, arrow):
     assert_same(again, queries.ORACLE["op3_lines"], None, documents=arrow)
 
 
+@pytest.mark.parametrize("n_files", [1, 4, 40])
+def test_line_query_on_a_table_of_several_files(spark, docs, arrow, tmp_path, n_files):
+    docs.select(*arrow.column_names).repartition(n_files).write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(lines.batches_of(spark.read.parquet(f"{tmp_path}/documents.parquet"), 4)) == min(n_files, 4)
+    assert_same(queries.op3_lines(spark, str(tmp_path)), queries.ORACLE["op3_lines"], None, documents=arrow)
+
+
+def test_runs_hold_one_row_for_each_key(spark, docs):
+    """Counts of several runs of several files, before and after a compaction, are those of the whole table."""
+    want = sorted(map(tuple, lines.key_counts(docs, "text", 1).collect()))
+    runs = lines.LineRuns(spark, 1000, 1, fanout=3)  # nothing settles, so all is counted on
+    for k in range(5):
+        runs.add(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(5)) == k).repartition(4))
+    assert [len(x) for x in runs.levels] == [2, 1]
+    assert sorted(map(tuple, runs._merged([r for level in runs.levels for r in level]).collect())) == want
+    for run in runs.runs():
+        assert run.count() == run.select("h1", "h2").distinct().count()
+    runs.delete()
+
+
+def test_lines_of_filtered_derived_and_united_frames(spark, docs, arrow, tmp_path):
+    docs.select(*arrow.column_names).repartition(6).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    docs.select(*arrow.column_names).withColumn("part", F.pmod("doc_id", F.lit(2))).write.partitionBy("part").parquet(f"{tmp_path}/parts")
+    hidden = spark.read.parquet(f"{tmp_path}/parts")
+    frames = [table.filter("doc_id % 2 = 0"), table.withColumn("text", F.upper("text")), table.unionByName(table.filter("doc_id > 20")), hidden, hidden.filter("part = 1")]
+    for df in frames:
+        assert len(lines.batches_of(df, 4)) == 4
+        assert sum(b.count() for b in lines.batches_of(df, 4)) == df.count()
+        out = lines.dedup_lines(df).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+        assert_same(out, queries.ORACLE["op3_lines"], None, documents=df.select("doc_id", "text").toArrow())
+
+
 def test_light_and_heavy_lines_are_dropped_alike(spark):
     import pyarrow as pa
 
