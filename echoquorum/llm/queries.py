@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, edits, lines, mixing, passages, quality, sharding, simhash, tokens, warc
+from . import decontaminate, edits, lines, mixing, passages, quality, resample, sharding, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
@@ -110,6 +114,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_passages": op9_passages,
     "op10_warc": op10_warc,
+    "op12_resample": op12_resample,
 }
 
 _RULES = quality.Rules()
@@ -319,6 +324,42 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+# CRC-32 of a run's bytes, for each distinct run: one step a byte through the table of 256 remainders.
+OP12_SQL = f"""
+WITH src AS (
+  SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark
+), w AS (
+  SELECT side, r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM src
+), f AS (
+  SELECT side, r, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+  FROM (SELECT side, r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k)
+), n AS (
+  SELECT side, r, g, count(*) AS c FROM f GROUP BY ALL
+), b AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h), 2),
+               lambda i: (16 * (strpos('0123456789ABCDEF', substr(h, i, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)::UBIGINT)),
+             lambda c, x: xor(c >> 8, list_extract({_crc_table()}::UBIGINT[], ((xor(c, x) & 255) + 1)::BIGINT))), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM n))
+), sums AS (
+  SELECT bucket, sum(c) FILTER (side = 0) AS s, sum(c) FILTER (side = 1) AS t FROM n JOIN b USING (g) GROUP BY bucket
+), every AS (
+  SELECT range AS bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t FROM range(10000) LEFT JOIN sums ON bucket = range
+), gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM every) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM every) + 10000))))::BIGINT AS gain FROM every
+), weight AS (
+  SELECT r, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM n JOIN b USING (g) JOIN gain USING (bucket) WHERE side = 0 GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN weight USING (r) WHERE side = 0
+), ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END::BIGINT AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
 ORACLE = {
     "op1_mix": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
@@ -326,4 +367,5 @@ ORACLE = {
     "op7_quality": OP7_SQL,
     "op8_shards": OP8_SQL,
     "op10_warc": OP10_SQL,
+    "op12_resample": OP12_SQL,
 }
