@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, edits, lines, mixing, passages, quality, resample, sharding, simhash, tokens, warc
+from . import decontaminate, edits, lines, mixing, passages, quality, resample, search, sharding, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,10 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
@@ -115,6 +119,7 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_warc": op10_warc,
     "op12_resample": op12_resample,
+    "op13_search": op13_search,
 }
 
 _RULES = quality.Rules()
@@ -360,6 +365,33 @@ SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <
 FROM scored LEFT JOIN ranked USING (r)
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), q AS (
+  SELECT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark)
+), sums AS (
+  SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0
+), p AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), sums
+), gain AS (
+  SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * n_docs) // n_terms))) AS gain
+  FROM p JOIN d USING (r) JOIN weight USING (term), sums
+), scored AS (
+  SELECT i, item_id, r, doc_id, sum(gain)::BIGINT AS score FROM q JOIN gain USING (term) GROUP BY ALL
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
 ORACLE = {
     "op1_mix": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
@@ -368,4 +400,5 @@ ORACLE = {
     "op8_shards": OP8_SQL,
     "op10_warc": OP10_SQL,
     "op12_resample": OP12_SQL,
+    "op13_search": OP13_SQL,
 }

@@ -1,13 +1,15 @@
 """Resampling, lexical search and language identification against SQL, brute force and held-out documents."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 from test_text_operators import CLASH, DOCS, ROWS, arrow, docs, empty  # noqa: F401
 
-from echoquorum.llm import queries, resample
+from echoquorum.llm import queries, resample, search
 
 R = random.Random(11)
 
@@ -35,3 +37,69 @@ def test_resampling_of_nothing(docs, bench, empty):  # noqa: F811
 def test_scoring_has_no_explode_and_shuffles_no_text(docs, bench):  # noqa: F811
     plan = resample.resample(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "run_" not in plan
+
+
+def test_search_equals_sql(docs, arrow, bench, empty):  # noqa: F811
+    out = search.search_documents(docs, bench)
+    assert_same(out, queries.ORACLE["op13_search"], None, documents=arrow, benchmark=bench.toArrow())
+    # A block for each query, and an index of two builds.
+    out = search.search_documents(docs, bench, max_bytes=1)
+    assert_same(out, queries.ORACLE["op13_search"], None, documents=arrow, benchmark=bench.toArrow())
+    assert search.search_documents(empty, bench).count() == 0 == search.search_documents(docs, bench.limit(0)).count()
+
+
+def test_an_index_takes_further_documents(spark, docs, arrow, bench, tmp_path):  # noqa: F811
+    half = F.coalesce("doc_id", F.lit(0)) % 2
+    search.build_index(docs.filter(half == 0), f"{tmp_path}/index")
+    index = search.build_index(docs.filter(half == 1), f"{tmp_path}/index")
+    twice = bench.unionByName(bench)
+    assert_same(search.search(index, twice), queries.ORACLE["op13_search"], None, documents=arrow, benchmark=twice.toArrow())
+
+
+def range_rows(texts, name):
+    made = search._Range()
+    for i, t in texts:
+        made.add(i, t)
+    import pyarrow as pa
+
+    return made.rows(name, pa.int64()).to_pylist()
+
+
+@pytest.mark.parametrize("n", [1, 16, 17, 300, 5000])
+def test_trees_find_what_scoring_all_finds(n):
+    """Ranges searched one after the other against the formula, over few different scores and so with many ties."""
+    r = random.Random(n)
+    vocabulary = [f"t{k}" for k in range(30)]
+    texts = [(i if i % 7 else None, " ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(30)], k=r.choice([0, 1, 3, 3, 20])))) for i in range(n)]
+    r.shuffle(texts)
+    asked = [(q, q, Counter(w.encode() for w in r.choices(vocabulary, k=r.choice([1, 2, 8])))) for q in range(12)] + [(12, 12, Counter([b"none"]))]
+    sizes = [len(t.split()) for _, t in texts]
+    n_docs, n_terms = sum(s > 0 for s in sizes), sum(sizes)
+    if not n_terms:
+        return
+    df = Counter(w for _, t in texts for w in set(t.split()))
+    weights = {w.encode(): int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * c + 1)))) for w, c in sorted(df.items())}
+    block = search._Block(asked, weights, n_docs, n_terms)
+    best, opened = [[] for _ in block.queries], 0
+    for a in range(0, n, 1000):
+        known = [x for x in range_rows(texts[a : a + 1000], str(a)) if x["term"] is None or x["term"].encode() in block.number]
+        opened += search.search_range(known, block, best, 10)
+    for (q, _), own in zip(block.queries, best):
+        scored = []
+        for (i, t), size in zip(texts, sizes):
+            tf, m = Counter(t.split()), 25 + 75 * size * n_docs // n_terms
+            score = sum(c * weights[w] * (10**9 * tf[w.decode()] // (1000 * tf[w.decode()] + 8 * m)) for w, c in asked[q][2].items() if w in weights and tf[w.decode()])
+            scored.append((-score, i is None, i or 0))
+        want = [x for x in sorted(scored)[:10] if x[0]]
+        assert [(s, none, 0 if none else i) for s, none, i in own] == want
+    if n == 5000:  # most of the 313 lowest nodes and their parents stay closed
+        assert opened < 0.7 * len(block.queries) * (313 + 20)
+
+
+def test_a_range_ends_with_its_documents_or_postings(monkeypatch):
+    made = search._Range()
+    monkeypatch.setattr(search, "RANGE_POSTINGS", 50)
+    made.add(1, " ".join(f"w{k}" for k in range(49)))
+    assert not made.full()
+    made.add(2, "w0")
+    assert made.full()
