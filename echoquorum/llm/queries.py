@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, edits, lines, mixing, passages, quality, resample, search, sharding, simhash, tokens, warc
+from . import decontaminate, edits, langid, lines, mixing, passages, quality, resample, search, sharding, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_passages": op9_passages,
     "op10_warc": op10_warc,
+    "op11_language": op11_language,
     "op12_resample": op12_resample,
     "op13_search": op13_search,
 }

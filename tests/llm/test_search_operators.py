@@ -1,15 +1,17 @@
 """Resampling, lexical search and language identification against SQL, brute force and held-out documents."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from compare import assert_same
+from conftest import SMALL
 from pyspark.sql import functions as F
 from test_text_operators import CLASH, DOCS, ROWS, arrow, docs, empty  # noqa: F401
 
-from echoquorum.llm import queries, resample, search
+from echoquorum.llm import langid, queries, resample, search
 
 R = random.Random(11)
 
@@ -103,3 +105,67 @@ def test_a_range_ends_with_its_documents_or_postings(monkeypatch):
     assert not made.full()
     made.add(2, "w0")
     assert made.full()
+
+
+def test_gradients_through_time_are_those_of_differences():
+    r = np.random.default_rng(3)
+    net = langid.new_network(["a", "b", "c"], 4, 1)
+    for name in ("table", "inner", "bias", "out", "out_bias"):
+        setattr(net, name, r.normal(0, 0.7, getattr(net, name).shape))  # in doubles
+    bytes_, target = r.integers(97, 102, (9, 5)).astype(np.int16), r.integers(0, 3, 5)
+    bytes_[6:, 2], bytes_[4:, 4] = 256, 256
+
+    def loss():
+        return langid.gradients(net, bytes_, target)[0]
+
+    _, grads = langid.gradients(net, bytes_, target)
+    for w, g in zip(net.weights(), grads):
+        places = [i for i in np.ndindex(*w.shape) if w.shape[-1] != 257 or 97 <= i[-1] < 102]
+        for i in random.Random(1).sample(places, min(12, len(places))):
+            old = w[i]
+            w[i] = old + 1e-2
+            up = loss()
+            w[i] = old - 1e-2
+            down = loss()
+            w[i] = old
+            assert abs((up - down) / 2e-2 - g[i]) < 2e-3 + 0.02 * abs(g[i])
+        if w.shape[-1] == 257:
+            assert not np.abs(g[..., 256]).max()  # pads teach nothing
+
+
+def test_texts_have_the_labels_that_they_have_alone():
+    net = langid.new_network(["a", "b"], 4, 1)
+    texts = [b"x", b"abc " * 100, b"z" * langid.WINDOW, "été".encode() * 3, b"long " * 40_000]
+    together = list(langid.pooled(net, iter(texts)))
+    assert len(together) == len(texts)
+    for t, p in zip(texts, together):
+        (alone,) = langid.pooled(net, iter([t]))
+        assert np.allclose(p, alone, atol=1e-5) and abs(p.sum() - 1) < 1e-5
+        # Every position by itself, window by window.
+        rows = [langid.label(net, langid.forward(net, np.frombuffer(t[a : a + langid.WINDOW], np.uint8).astype(np.int16)[:, None])[0])[:, :, 0].sum(axis=0) for a in range(0, len(t), langid.WINDOW)]
+        assert np.allclose(np.sum(rows, axis=0) / len(t), p, atol=1e-4)
+
+
+def test_languages_of_held_out_documents(spark):
+    out = queries.op11_language(spark, SMALL)
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows_ = out.collect()
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score"] and {r.doc_id for r in rows_} == set(truth)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows_)
+    held = [r for r in rows_ if r.held_out]
+    assert len(held) > 40 and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_unreadable_texts_have_no_language(spark, docs, empty):  # noqa: F811
+    out = {(r.doc_id, r.lang_pred == "und", r.score > 0) for r in langid.identify_languages(docs).collect()}
+    assert {(1, True, False), (2, True, False), (3, True, False), (7, False, True)} <= out and len(out) >= len({r[0] for r in ROWS})
+    assert langid.identify_languages(empty).count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.identify_languages(unlabelled).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        langid.excerpts(docs.selectExpr("doc_id id", "text", "string(doc_id) lang"), sample=3)
+
+
+def test_held_out_documents_teach_nothing(spark, docs):  # noqa: F811
+    other = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
+    assert sorted(map(tuple, langid.identify_languages(other).collect()), key=str) == sorted(map(tuple, langid.identify_languages(docs).collect()), key=str)
