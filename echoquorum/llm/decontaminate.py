@@ -156,7 +156,7 @@ def _scanned(b: pa.RecordBatch, column: str, hits: str | None, patterns) -> Iter
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", min_percent: int = 5, max_nodes: int = MAX_NODES, keep: list[str] | None = None) -> DataFrame:
     """Judge every row of ``docs`` against the benchmark.
 
-    Returns the columns ``keep`` (default: all) and n_words, n_hit (words inside any occurrence of a window), items
+    Returns the columns ``keep`` (default: all but those named like a result) and n_words, n_hit (words inside any occurrence of a window), items
     (ids of the items found, as strings in order), spans (begin and end of each hit passage, in characters of the
     original text) and contaminated (n_hit > 0 and 100 * n_hit >= min_percent * n_words). Cases: a null, empty or
     wordless text has no words and isn't contaminated; items that are null or wordless are left out; items of less
@@ -164,8 +164,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     table gives an empty result; a column of ``keep`` that is named like a result raises ValueError. Memory holds one
     text at a time beside its Arrow batch and the automaton.
     """
-    keep = docs.columns if keep is None else keep
-    if taken := {c.lower() for c in keep} & {"n_words", "n_hit", "items", "spans", "contaminated"}:
+    results = {"n_words", "n_hit", "items", "spans", "contaminated"}
+    keep = [c for c in docs.columns if c.lower() not in results] if keep is None else keep
+    if taken := {c.lower() for c in keep} & results:
         raise ValueError(f"columns named like results must not be in keep: {sorted(taken)}")
     *before, patterns = parts_of(benchmark, item, item_text, max_nodes)
     text_in = f"in_{keep.index(text)}" if text in keep else "text_"
@@ -187,7 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             out = [pa.array(words_, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(places, span)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *out], names=[*names, "n_words", "n_hit", "items", "spans"])
 
-    kept = "".join(f"in_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    kept = "".join(f"in_{i} {src.schema[f'in_{i}'].dataType.simpleString()}, " for i in range(len(keep)))
     judged = src.mapInArrow(tidy(run), kept + result)
     return judged.select(
         *[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)],

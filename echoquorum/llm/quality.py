@@ -133,16 +133,17 @@ def host_verdicts(measured: DataFrame, host: str, rules: Rules) -> DataFrame:
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
     """Measure, test and judge every row of ``docs``.
 
-    Returns the columns ``keep`` (default: all but the text) and the five measures, base_failed, failed (any rule),
+    Returns the columns ``keep`` (default: all but the text and those named like a result) and the five measures, base_failed, failed (any rule),
     host_rejected, host_trusted and kept. Cases: null text = no words = base_failed; a null host is a host of its own; repeated rows are measured
-    and counted one by one; an empty table gives an empty result; columns of ``docs`` named like a measure must
-    not be in ``keep``. The measures are written once to the shared folder and read twice.
+    and counted one by one; an empty table gives an empty result; columns of ``docs`` named like a result must
+    not be named in ``keep``. The measures are written once to the shared folder and read twice.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    if taken := {c.lower() for c in keep} & {*MEASURES, "base_failed", "failed", "host_rejected", "host_trusted", "kept"}:
+    results = {*MEASURES, "base_failed", "failed", "host_rejected", "host_trusted", "kept"}
+    keep = [c for c in docs.columns if c != text and c.lower() not in results] if keep is None else keep
+    if taken := {c.lower() for c in keep} & results:
         raise ValueError(f"columns named like results must not be in keep: {sorted(taken)}")
     names = {c: f"in_{i}" for i, c in enumerate(keep)}
-    src = docs.select(*[F.col(c).alias(a) for c, a in names.items()], F.coalesce(F.col(host).cast("string"), F.lit("\0null")).alias("host_"), F.col(text).alias("text_"))
+    src = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()], F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\0null")).alias("host_"), F.col(f"`{text}`").alias("text_"))
     measured = text_measures(src, "text_")
     measured = measured.withColumn(
         "n_lines", F.size(F.split(F.coalesce("text_", F.lit("")), "\n"))
@@ -169,6 +170,6 @@ def filter_quality(docs: DataFrame, host: str = "source", text: str = "text", ru
 
     The whole row goes along as one struct column, so no name in it can clash with the measures.
     """
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(host).alias("host_in"), F.col(text).alias("text_in"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(f"`{host}`").alias("host_in"), F.col(f"`{text}`").alias("text_in"))
     judged = quality_rules(row, "host_in", "text_in", rules, keep=["row_"])
     return judged.filter("kept").select("row_.*")

@@ -78,6 +78,17 @@ def test_quality_filter_and_bad_hosts(spark, docs, empty):
     assert quality.quality_rules(empty).count() == 0 and quality.filter_quality(empty).columns == empty.columns
 
 
+def test_default_columns_are_safe(docs):
+    odd = docs.withColumns({"a.b": F.lit(1), "N_Hit": F.lit(2), "host_rejected": F.lit(3)})
+    judged = quality.quality_rules(odd)
+    assert "a.b" in judged.columns and judged.columns.count("host_rejected") == 1 and judged.count() == odd.count()
+    assert quality.filter_quality(odd.withColumnRenamed("source", "so.urce"), host="so.urce").columns[3] == "so.urce"
+    found = decontaminate.decontaminate(odd, odd.selectExpr("doc_id item_id", "text"))
+    assert "a.b" in found.columns and "N_Hit" not in found.columns and found.count() == odd.count()
+    with pytest.raises(ValueError):
+        decontaminate.decontaminate(odd, odd.selectExpr("doc_id item_id", "text"), keep=["N_Hit"])
+
+
 def test_lines_equal_sql_in_any_number_of_batches(spark, docs, arrow):
     out = lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
     assert_same(out, queries.ORACLE["op3_lines"], None, documents=arrow)
