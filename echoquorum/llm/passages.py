@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, join_by_weight, scratch
+from .common import drop_scratch, join_by_weight, scratch, tidy
 from .components import connected_components
 
 #: Neighbours on either side above which a cut's hash must be the least: units have 2 * WINDOW + 1 words on average, and
@@ -41,8 +41,8 @@ SHINGLE = 5
 BLOCK, COLUMNS = 1000, 4096
 #: A worker leaves out the shingles of units that it has just sent; so many of them are remembered.
 REMEMBERED = 200_000
-#: Small groups are compared together: so many calls at most are made for all of them.
-BUCKETS = 2048
+#: Small groups are compared together, so many rows or so in a call; rows are those of classes in blocks.
+BUCKET_ROWS = 2000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
@@ -187,7 +187,7 @@ def _units(src: DataFrame, threshold: float) -> DataFrame:
                 sent.clear()
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return src.mapInArrow(run, UNITS)
+    return src.mapInArrow(tidy(run), UNITS)
 
 
 def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", (common / (F.size("su") + F.size("sv") - common)).alias("jaccard"))
 
 
-def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+def _compare_blocks(rows: DataFrame, threshold: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (u, v) that connect, within each group h, similar classes of different roots; rows (h, n, k1, jaccard, root, s).
 
     A group is dealt into blocks of about BLOCK classes, and a task compares two blocks with each other (or one with
@@ -210,7 +210,9 @@ def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     own = F.pmod(F.xxhash64("k1"), nb).cast("int")
     dealt = rows.withColumn("b", own).withColumn("j", F.explode(F.sequence(F.lit(0), nb - 1)))
     dealt = dealt.select("h", F.least("b", "j").alias("i"), F.greatest("b", "j").alias("j"), "k1", "jaccard", "root", "s")
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("h", "i", "j"), F.lit(BUCKETS)))
+    # The groups' classes, each as often as its group has blocks, over calls of bounded size, whatever the input's size.
+    n_rows = rows.agg(F.sum(nb.cast("long"))).first()[0] or 0
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("h", "i", "j"), F.lit(max(1, -(-n_rows // bucket_rows)))))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
