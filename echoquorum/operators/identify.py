@@ -1,8 +1,8 @@
 """Retrieval by sketch, exact re-ranking, and the screen against poisoning.
 
-Sketches are compared through an equi-join on (slot, value): it yields the number of equal slots of every pair that has
-any, which is all that a ranking by estimated similarity needs, without a cross join. Where fewer candidates are
-similar than are wanted, the first keys of the catalogue fill up, as a full scan would.
+Sketches are compared through an equi-join on (slot, value), without a cross join; values that many references share are
+dealt with apart (``similar``). Where fewer candidates are similar than are wanted, the first keys of the catalogue fill up,
+as a full scan would.
 """
 
 from __future__ import annotations
@@ -35,9 +35,76 @@ def estimates(queries: DataFrame, references: DataFrame, query_keys: list[str])
     return met.groupBy(*query_keys, *E).agg((F.count("*") / sketch.SLOTS).alias("jaccard"))
 
 
-def top_candidates(queries: DataFrame, references: DataFrame, n: int = S.IDENTIFY_CANDIDATES) -> DataFrame:
+#: References that may share one slot value before it counts as frequent.
+FREQUENT = 1000
+#: Frequent values that are broadcast at most; more are joined by a shuffle.
+BROADCAST_VALUES = 1_000_000
+
+
+def _ranked(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each group; each task passes on its own first n at most."""
+    return df.withColumn("k_", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("k_") <= n).drop("k_")
+
+
+def _id(array: str):
+    return F.concat_ws("-", F.xxhash64(F.lit(1), array).cast("string"), F.xxhash64(F.lit(2), array).cast("string"))
+
+
+def similar(queries: DataFrame, references: DataFrame, n: int, frequent: int = FREQUENT) -> DataFrame:
+    """(query_id, episode keys, jaccard): the n references with the most equal slots, ties by key, of those that have any.
+
+    A slot value of few references is joined as it is. Where some value is frequent, equal sketches are taken as one, of
+    which the first n keys matter, and frequent values are left out of the join: what a pair has of them is the
+    intersection of two short arrays. A reference that shares frequent values alone can't pass the best n of the pairs found
+    unless a query has as many frequent values as the n-th of these has slots in common; only then it is looked
+    up, by the set of frequent values that it has, in the first n for each set. So no value makes a row for each pair
+    that has it, and the result is the same.
+    """
+    found = _slots(references, E).groupBy("slot", "v").agg(F.count("*").alias("df")).filter(F.col("df") > frequent)
+    if found.isEmpty():
+        return _ranked(estimates(queries, references, ["query_id"]), ["query_id"], [F.col("jaccard").desc(), *E], n)
+    return _by_classes(queries, references, n, frequent)
+
+
+def _by_classes(queries: DataFrame, references: DataFrame, n: int, frequent: int) -> DataFrame:
+    code = F.transform("sketch", lambda v, i: i.cast("long") * (1 << 32) + v)  # slot and value as one number
+    firsts = _ranked(references.select(*E, code.alias("codes")), ["codes"], E, n)
+    classes = firsts.groupBy("codes").agg(F.array_sort(F.collect_list(F.struct(*E))).alias("keys")).withColumn("cls", _id("codes"))
+    asked = queries.select("query_id", code.alias("codes")).withColumn("asked", _id("codes"))
+    slots = classes.select("cls", F.explode("codes").alias("code"))
+    asked_slots = asked.select("asked", "codes").dropDuplicates(["asked"]).select("asked", F.explode("codes").alias("code"))
+    often = slots.groupBy("code").agg(F.count("*").alias("df")).filter(F.col("df") > frequent).select("code")
+    often = F.broadcast(often) if often.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES else often
+    kept = lambda s, by: s.join(often, "code", "left_semi").groupBy(by).agg(F.array_sort(F.collect_list("code")).alias(f"{by}_often"))
+    often_of, often_asked = kept(slots, "cls"), kept(asked_slots, "asked")
+    pairs = rare_pairs(slots, asked_slots, often)
+    both = F.size(F.array_intersect("asked_often", "cls_often"))
+    pairs = pairs.join(often_asked, "asked", "left").join(often_of, "cls", "left")
+    pairs = pairs.select("asked", "cls", (F.col("c") + F.when(F.col("asked_often").isNotNull() & F.col("cls_often").isNotNull(), both).otherwise(0)).alias("c"))
+    pairs = _ranked(pairs.join(classes.select("cls", "keys"), "cls").select("asked", "c", F.explode("keys").alias("e")).select("asked", "c", "e.*"), ["asked"], [F.col("c").desc(), *E], n)
+    floor = pairs.groupBy("asked").agg(F.when(F.count("*") >= n, F.min("c")).otherwise(0).alias("floor"))
+    left = often_asked.join(floor, "asked", "left").filter(F.size("asked_often") >= F.coalesce("floor", F.lit(0))).select("asked", "asked_often", _id("asked_often").alias("set"))
+    # For each set of frequent values that a class has, its first n keys; for each set of a query, the best n of these.
+    sets = _ranked(often_of.join(classes.select("cls", "keys"), "cls").select("cls_often", F.explode("keys").alias("e")).select("cls_often", "e.*"), ["cls_often"], E, n)
+    sets = sets.withColumn("there", _id("cls_often"))
+    wanted = left.select("set", "asked_often").dropDuplicates(["set"]).select("set", F.explode("asked_often").alias("code"))
+    offered = sets.select("there", "cls_often").dropDuplicates(["there"]).select("there", F.explode("cls_often").alias("code"))
+    shared = wanted.join(offered, "code").groupBy("set", "there").agg(F.count("*").alias("c"))
+    best = _ranked(shared.join(sets.drop("cls_often"), "there").select("set", "c", *E), ["set"], [F.col("c").desc(), *E], n)
+    every = pairs.select("asked", *E, "c").unionByName(left.select("asked", "set").join(best, "set").select("asked", *E, "c"))
+    every = _ranked(every.groupBy("asked", *E).agg(F.max("c").alias("c")), ["asked"], [F.col("c").desc(), *E], n)
+    return asked.select("query_id", "asked").join(every, "asked").select("query_id", *E, (F.col("c") / sketch.SLOTS).alias("jaccard"))
+
+
+def rare_pairs(slots: DataFrame, asked_slots: DataFrame, often: DataFrame) -> DataFrame:
+    """(asked, cls, c): pairs of classes by the equal slots whose value isn't frequent; at most so many a slot and query."""
+    rare = slots.join(often, "code", "left_anti")
+    return asked_slots.join(often, "code", "left_anti").join(rare, "code").groupBy("asked", "cls").agg(F.count("*").alias("c"))
+
+
+def top_candidates(queries: DataFrame, references: DataFrame, n: int = S.IDENTIFY_CANDIDATES, frequent: int = FREQUENT) -> DataFrame:
     """(query_id, episode keys, jaccard): the n best references of each query, ties by key."""
-    found = estimates(queries, references, ["query_id"])
+    found = similar(queries, references, n, frequent)
     # At most n - 1 places are open and at most n - 1 of the first keys may be among the candidates already.
     first = references.select(*E).orderBy(*E).limit(2 * n)
     filler = queries.select("query_id").crossJoin(F.broadcast(first)).join(found, ["query_id", *E], "left_anti")
@@ -114,7 +181,7 @@ def identify_disc(hashes: DataFrame, discs: DataFrame) -> DataFrame:
     return hashes.join(discs.filter(F.col("titles").isNotNull()), "disc_content_hash", "left")
 
 
-def screen(incoming: DataFrame, references: DataFrame, threshold: float = S.OVERLAP_THRESHOLD) -> DataFrame:
+def screen(incoming: DataFrame, references: DataFrame, threshold: float = S.OVERLAP_THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
     """Compare each contribution (id, episode keys, hashes) with all episodes but the one it claims.
 
     Returns id, estimate and target_* of the most similar sketch (null if no slot is equal), overlap_pct (exact where
@@ -123,8 +190,9 @@ def screen(incoming: DataFrame, references: DataFrame, threshold: float = S.OVER
     threshold = S.check_threshold(threshold)
     claim = {k: f"claim_{k}" for k in E}
     full = F.size("hashes") > 0  # empty fingerprints have all slots in common: joined by slots, they would be all pairs
-    asked = sketches(incoming.filter(full), ["id", *E]).withColumnsRenamed(claim)
-    found = estimates(asked, sketches(references.filter(full), E), ["id", *claim.values()])
+    asked = sketches(incoming.filter(full), ["id"]).withColumnRenamed("id", "query_id")
+    found = similar(asked, sketches(references.filter(full), E), 2, frequent)  # one of the two best isn't the claimed one
+    found = found.withColumnRenamed("query_id", "id").join(incoming.select("id", *E).withColumnsRenamed(claim), "id").select("id", *claim.values(), *E, "jaccard")
     other = ~(F.col("tmdb_id").eqNullSafe(F.col("claim_tmdb_id")) & F.col("season").eqNullSafe(F.col("claim_season")) & F.col("episode").eqNullSafe(F.col("claim_episode")))
     order = W.partitionBy("id").orderBy(F.col("jaccard").desc(), *E)
     # An empty one is most like the first empty reference but the one it claims, so two of those are enough.
