@@ -1,7 +1,7 @@
 """Derived tables that are written once and read by every later query: fingerprints and sketches of the catalogue.
 
 A table lies in the folder that the cluster shares (spark.checkpoint.dir) under a name made of its inputs' paths, sizes
-and times, so a changed input gives a new table. It holds once its _SUCCESS file is there.
+and times and of the code that makes it, so a change of either gives a new table.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ import hashlib
 import re
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,21 +36,47 @@ def root(spark: SparkSession) -> str:
 
 
 def state_of(spark: SparkSession, path: str) -> str:
-    """Names, sizes and times of the files of a table."""
+    """Names, sizes and times of all files below a path, whatever its depth."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = [fs.getFileStatus(p)] if fs.getFileStatus(p).isFile() else list(fs.listStatus(p))
-    return ";".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files))
-
-
-def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` derived from the files ``inputs``; ``build`` makes it if it isn't stored yet."""
-    sign = hashlib.md5("|".join(state_of(spark, i) for i in inputs).encode()).hexdigest()
-    path = f"{root(spark)}/echoquorum/store/{name}-{sign}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return ";".join(sorted(out))
+
+
+@cache
+def code_version() -> str:
+    """A digest of the package's modules, so that a table made by other code is made anew."""
+    top, out = Path(__file__).parents[1], hashlib.md5()
+    for name in ("schema.py", "functions/scalar.py", "functions/sketch.py", "sources/adapters.py"):
+        out.update((top / name).read_bytes())
+    return out.hexdigest()
+
+
+def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame], keep: int = 4) -> DataFrame:
+    """The table ``name`` derived from the files ``inputs``; ``build`` makes it if it isn't stored yet.
+
+    A table is written into a folder of its own and then renamed to its place, so of two sessions that make the same one
+    the second finds it there and drops its own. Beyond ``keep`` tables of a name the oldest are removed.
+    """
+    sign = hashlib.md5("|".join([code_version(), *(state_of(spark, i) for i in inputs)]).encode()).hexdigest()
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = f"{root(spark)}/echoquorum/store/{name}"
+    final, fs = new_path(f"{folder}/{sign}"), new_path(root(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(final):
+        draft = f"{folder}/.draft-{uuid.uuid4().hex}"
+        build().write.parquet(draft)
+        if fs.exists(final) or not fs.rename(new_path(draft), final):
+            fs.delete(new_path(draft), True)
+        if fs.exists(new_path(f"{folder}/{sign}/{new_path(draft).getName()}")):  # renamed into the folder of a faster session
+            fs.delete(new_path(f"{folder}/{sign}/{new_path(draft).getName()}"), True)
+        others = sorted((f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(new_path(folder)) if not f.getPath().getName().startswith("."))
+        for _, old in others[:-keep]:
+            if old != sign:
+                fs.delete(new_path(f"{folder}/{old}"), True)
+    return spark.read.parquet(f"{folder}/{sign}")
 
 
 def spread(df: DataFrame) -> DataFrame:
