@@ -128,6 +128,12 @@ def _decoded(blob: bytes | None) -> np.ndarray | None:
         return None
 
 
+@F.pandas_udf(BYTES)
+def varints(hashes: pd.Series) -> pd.Series:
+    """The bytes of a fingerprint before they are compressed."""
+    return hashes.map(lambda h: None if h is None else to_varints(h))
+
+
 @F.pandas_udf(BYTES)
 def encode_fingerprint(hashes: pd.Series) -> pd.Series:
     return hashes.map(lambda h: None if h is None else encode(h))

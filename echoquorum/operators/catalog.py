@@ -1,16 +1,8 @@
-"""Changes to the stored tables: snapshot merges, erasure, retraction, backfill, staleness, versioned commits.
-
-Parquet tables have no UPDATE or DELETE, so a change is a new snapshot. ``Catalog`` writes the tables of one change into
-folders of their own and then a numbered manifest: readers see all of it or nothing, and old versions stay readable.
-"""
+"""Changes to the stored tables: merges, erasure, retraction, backfill, staleness. ``versioned`` stores their results."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -127,72 +119,25 @@ def reset_backfill(canonical: DataFrame, contributions: DataFrame) -> DataFrame:
     return met.withColumn("promoted_at", F.when(F.col("hit_").isNull(), F.col("promoted_at"))).drop("hit_")
 
 
-class Catalog:
-    """Named tables under ``root``. The manifest ``root/_versions/N.json`` says in which folders each table of version N lies.
+def sketch_diff(fingerprints: DataFrame, sketches: DataFrame) -> DataFrame:
+    """What a regeneration of all sketches would do: (keys, state, old_count, hash_count), a row for each episode of either side.
 
-    A commit writes only what changed or was added, into a folder of its own, and then the manifest under the next number.
-    A run that fails before leaves the version before it as it was; of two writers that reach for one number the
-    second fails. No folder is ever written twice or deleted by a commit.
+    ``fingerprints`` and ``sketches`` are (keys, sketch, hash_count), the first made anew from the canonical fingerprints. The
+    state is missing (no sketch is stored), changed (its slots or its count differ), equal, or orphaned (no such episode).
     """
+    met = fingerprints.alias("a").join(sketches.alias("b"), _null_safe(E), "full_outer")
+    kind = (
+        F.when(F.col("b.hash_count").isNull(), "missing").when(F.col("a.hash_count").isNull(), "orphaned")
+        .when((F.col("a.sketch") == F.col("b.sketch")) & (F.col("a.hash_count") == F.col("b.hash_count")), "equal").otherwise("changed")
+    )
+    keys = [F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in E]
+    return met.select(*keys, kind.alias("state"), F.col("b.hash_count").alias("old_count"), F.col("a.hash_count").alias("hash_count"))
+
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._path(self.root).getFileSystem(self._conf)
-
-    def versions(self) -> list[int]:
-        p = self._path(f"{self.root}/_versions")
-        names = [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
-
-    def version(self) -> int:
-        return max(self.versions(), default=0)
-
-    def folders(self, version: int | None = None) -> dict[str, list[str]]:
-        """Table -> its folders, in this version (default: the last)."""
-        version = self.version() if version is None else version
-        if not version:
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/_versions/{version}.json", wholetext=True).first()[0])
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self.at(self.folders(version)[name])
-
-    def at(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
-
-    def tables(self) -> list[str]:
-        return sorted(self.folders())
-
-    def write(self, changed: dict[str, DataFrame]) -> dict[str, list[str]]:
-        """Write tables into a new folder that no version names yet: table -> folders."""
-        own = uuid.uuid4().hex
-        for name, df in changed.items():
-            df.write.parquet(f"{self.root}/data/{own}/{name}")
-        return {name: [f"data/{own}/{name}"] for name in changed}
-
-    def publish(self, folders: dict[str, list[str]], after: int) -> int:
-        """Make version ``after + 1`` of version ``after`` and the folders of the tables that changed; raises if there is one."""
-        known = self.folders(after) | folders
-        draft, final = self._path(f"{self.root}/_versions/.draft-{uuid.uuid4().hex}"), self._path(f"{self.root}/_versions/{after + 1}.json")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(known, indent=1).encode()))
-        out.close()
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        try:  # a rename that doesn't overwrite
-            context.rename(draft, final, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
-        except Py4JJavaError as e:
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"version {after + 1} exists already: another writer was faster") from e
-        return after + 1
-
-    def commit(self, changed: dict[str, DataFrame], after: int | None = None, added: dict[str, DataFrame] | None = None) -> int:
-        """Make a new version, which follows ``after`` (default: the last): tables that changed, and rows ``added`` to others.
-
-        Added rows go to a folder beside those that the table has; nothing that is there is written again.
-        """
-        after = self.version() if after is None else after
-        known, own = self.folders(after), self.write({**changed, **(added or {})})
-        return self.publish({n: (known.get(n, []) if added and n in added else []) + f for n, f in own.items()}, after)
+def decided(told: DataFrame, derived: DataFrame) -> DataFrame:
+    """``outcomes`` after the derivation: re_derived where the votes left make a canonical row (in ``derived``), else kept.
+
+    An episode with rows of which none makes a tier keeps the canonical row that it has.
+    """
+    met = told.alias("a").join(derived.select(*E, F.lit(True).alias("new_")).alias("b"), _null_safe(E), "left").select("a.*", "new_")
+    return met.withColumn("outcome", F.when((F.col("outcome") == "re_derived") & F.col("new_").isNull(), "kept").otherwise(F.col("outcome"))).drop("new_")

@@ -383,6 +383,47 @@ FINAL = {
 }
 
 
+def _again(suffix: str, first: str, sql: str, *rest: str) -> None:
+    """The common table expressions ``first`` and ``rest`` once more under names with ``suffix``, the first as ``sql``."""
+    names = (first, *rest)
+    for n in names:
+        text = sql if n == first else CTES[n]
+        CTES[n + suffix] = text if n == first else re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(names)})\b", rf"\1\2\3{suffix}", text)
+
+
+CTES["asked"] = f"SELECT DISTINCT pseudonym, tmdb_id, season, episode, sha FROM keyed WHERE id % 5 = 0 OR (tmdb_id % 4 = 0 AND {ELIGIBLE})"
+CTES["spared"] = f"SELECT a.* FROM keyed a WHERE NOT EXISTS (SELECT 1 FROM asked b WHERE a.pseudonym = b.pseudonym AND a.sha = b.sha AND {SAME})"
+_again("_left", "latest", CTES["latest"].replace("FROM contribution", "FROM spared"), "episode_votes", "canonical")
+_again("_flagged", "disc", """
+      SELECT disc.* REPLACE (coalesce(u.flagged = 1, false) AS flagged) FROM disc LEFT JOIN contributor u ON u.pseudonym = disc.pseudonym
+      WHERE disc_content_hash < '8'""", "disc_stats", "disc_good", "disc_kept", "digest_groups", "winner", "disc_canonical")
+_again("_later", "votes", "SELECT * FROM votes WHERE id % 4 <> 0", "vote_counts", "agreed", "consensus")
+FINAL |= {
+    "retract_kept": f"""
+      SELECT outcome, count(*) AS n, sum(deleted)::BIGINT AS deleted, sum(remaining)::BIGINT AS remaining FROM (
+        SELECT deleted, coalesce(l.n, 0) AS remaining, CASE WHEN coalesce(l.n, 0) = 0 THEN 'removed' WHEN k.tmdb_id IS NULL THEN 'kept' ELSE 're_derived' END AS outcome
+        FROM (SELECT a.tmdb_id, a.season, a.episode, count(*) AS deleted FROM keyed b JOIN asked a ON a.pseudonym = b.pseudonym AND a.sha = b.sha AND {SAME}
+              GROUP BY a.pseudonym, a.tmdb_id, a.season, a.episode, a.sha) a
+        LEFT JOIN (SELECT tmdb_id, season, episode, count(*) AS n FROM spared GROUP BY ALL) l ON {SAME.replace("b.", "l.")}
+        LEFT JOIN canonical_left k ON {SAME.replace("b.", "k.")}) GROUP BY outcome""",
+    "disc_rederived": """
+      SELECT disc_content_hash, tmdb_id, content_type, season, titles_digest, tier, unique_contributors, round(mean_confidence, 9) AS mean_confidence
+      FROM (SELECT * FROM disc_canonical_flagged UNION ALL SELECT * FROM disc_canonical o WHERE NOT EXISTS (SELECT 1 FROM disc_canonical_flagged n WHERE n.disc_content_hash = o.disc_content_hash))""",
+    "forget_everywhere": FINAL["forget"] + " UNION ALL SELECT 'disc_contribution', count(*) FROM disc WHERE NOT EXISTS (SELECT 1 FROM contributor c WHERE c.pseudonym = disc.pseudonym AND c.pseudonym::BIGINT % 6 = 1)",
+    "sketch_diff": """
+      SELECT tmdb_id, season, episode, CASE WHEN i % 5 = 0 THEN 'missing' WHEN i % 7 = 0 OR i % 11 = 0 THEN 'changed' ELSE 'equal' END AS state,
+             CASE WHEN i % 5 <> 0 THEN n + CASE WHEN i % 11 = 0 THEN 1 ELSE 0 END END::INT AS old_count, n::INT AS hash_count
+      FROM (SELECT *, tmdb_id * 20 + season * 10 + episode AS i, len(hashes) AS n FROM catalogue)
+      UNION ALL SELECT tmdb_id + 100000, season, episode, 'orphaned', (n + CASE WHEN i % 11 = 0 THEN 1 ELSE 0 END)::INT, NULL
+      FROM (SELECT *, tmdb_id * 20 + season * 10 + episode AS i, len(hashes) AS n FROM catalogue) WHERE episode = 1 AND i % 5 <> 0""",
+    "consensus_deltas": "SELECT tmdb_id, season, episode, len(hashes)::INT AS n_hashes, md5(array_to_string(hashes, ',')) AS fingerprint_md5 FROM consensus_later",
+    "varints": """
+      SELECT tmdb_id, season, episode, coalesce(strlen(x) // 2, 0)::INT AS n_bytes, md5(coalesce(x, '')) AS hex_md5 FROM (
+        SELECT tmdb_id, season, episode, array_to_string(list_transform(hashes, lambda h: array_to_string(list_transform(range(greatest(1, (length(bin(h)) + 6) // 7)),
+                 lambda k: printf('%02X', (((h >> (7 * k)::INT) & 127) + CASE WHEN k + 1 < greatest(1, (length(bin(h)) + 6) // 7) THEN 128 ELSE 0 END)::BIGINT)), '')), '') AS x FROM catalogue)""",
+}
+
+
 def _sql(final: str) -> str:
     """The query behind its common table expressions, each after those it names."""
     order: list[str] = []

@@ -10,7 +10,7 @@ from ..functions import scalar as fn
 from ..functions import sketch
 from ..operators import analytics as A
 from ..operators import catalog as C
-from ..operators import consensus, identify, intake, packs
+from ..operators import consensus, deltas, identify, intake, packs
 from ..sources import adapters as T
 
 E = S.EPISODE
@@ -263,6 +263,48 @@ def estimated(qs: DataFrame, cat: DataFrame) -> DataFrame:
     return met.select("query_id", *E, fn.jaccard_estimate(F.col("own"), F.col("sketch")).alias("jaccard"))
 
 
+def retract_kept(c: DataFrame, u: DataFrame) -> DataFrame:
+    """Outcomes after the derivation. Of every fourth show all eligible votes are named, so its episodes keep their rows."""
+    k = keyed(c)
+    asked = k.filter((F.col("id") % 5 == 0) | ((F.col("tmdb_id") % 4 == 0) & fn.eligible())).select(*intake.UNIQUE).distinct()
+    told = C.decided(C.outcomes(asked, k, intake.UNIQUE), consensus.episode_tiers(C.retract(k, asked, intake.UNIQUE), u))
+    return told.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("deleted").alias("deleted"), F.sum("remaining").alias("remaining"))
+
+
+def disc_rederived(x: DataFrame, u: DataFrame, old: DataFrame) -> DataFrame:
+    """The discs of the lower hashes derived again by the contributors' own flags, put over the stored ones."""
+    own = consensus.flag_discs(x.filter("disc_content_hash < '8'"), u)
+    out = C.upsert(old.drop("titles"), consensus.disc_canonical(own).drop("titles"), ["disc_content_hash"])
+    return rounded(out)
+
+
+def forgotten_everywhere(c: DataFrame, u: DataFrame, o: DataFrame, x: DataFrame) -> DataFrame:
+    gone = u.filter("pseudonym % 6 = 1").select("pseudonym")
+    after = C.forget({"contribution": c, "contributor": u, "overlap_observation": o, "disc_contribution": x}, gone)
+    rows = [df.agg(F.count("*").alias("n_left")).select(F.lit(n).alias("table_name"), "n_left") for n, df in after.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def sketches_compared(cat: DataFrame) -> DataFrame:
+    """A regeneration against stored sketches of which some are missing, some differ and some belong to no episode."""
+    made = identify.sketches(cat, E)
+    i = F.col("tmdb_id") * 20 + F.col("season") * 10 + F.col("episode")
+    stored = made.filter(i % 5 != 0).withColumn("sketch", F.when(i % 7 == 0, F.array_repeat(F.lit(0).cast("long"), 128)).otherwise(F.col("sketch")))
+    stored = stored.withColumn("hash_count", F.when(i % 11 == 0, F.col("hash_count") + 1).otherwise(F.col("hash_count")))
+    other = stored.filter("episode = 1").withColumn("tmdb_id", F.col("tmdb_id") + 100_000)
+    return C.sketch_diff(made, stored.unionByName(other))
+
+
+def consensus_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The consensus after two changes: the even votes come; then the odd ones come and every fourth goes."""
+    v = votes(spark, d)
+    sign = lambda df, n: df.select(*E, "hashes", F.lit(n).alias("sign"))
+    state = deltas.applied(None, deltas.deltas(sign(v.filter("id % 2 = 0"), 1)))
+    state = deltas.applied(state, deltas.deltas(sign(v.filter("id % 2 <> 0"), 1).unionByName(sign(v.filter("id % 4 = 0"), -1))))
+    out = deltas.consensus(state, v.filter("id % 4 <> 0"))
+    return out.select(*E, F.size("hashes").alias("n_hashes"), digest("hashes").alias("fingerprint_md5"))
+
+
 QUERIES = {
     "total_contributions": q("contribution")(A.total),
     "poison_breakdown": q("contribution")(lambda c: A.breakdown(c.filter("promoted_at IS NULL"), "poison_check")),
@@ -336,7 +378,7 @@ QUERIES = {
     "retract_rederive": q("contribution")(retracted),
     "orphan_canonical": q("canonical", "contribution")(lambda k, c: C.orphans(k, c.filter("tmdb_id % 3 <> 0")).select(*E)),
     "backfill_reset": q("canonical", "contribution")(lambda k, c: C.reset_backfill(k.withColumn("unique_contributors", F.least("unique_contributors", F.lit(2).cast("long"))), c).select("id", F.coalesce("promoted_at", F.lit(0)).alias("promoted_at"))),
-    "pack_lines": lambda s, d: packs.pack_lines(consensus_rows(s, d), ASOF_SECONDS).groupBy("tmdb_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars")),
+    "pack_lines": lambda s, d: packs.pack_pieces(consensus_rows(s, d), ASOF_SECONDS).groupBy("tmdb_id").agg(F.count_if(F.col("part") != 2).alias("n_lines"), F.sum(F.length("text")).alias("n_chars")),
     "pack_df": lambda s, d: packs.pack_df(consensus_rows(s, d)).groupBy("tmdb_id").agg(F.count("*").alias("n_hashes"), F.sum("df").alias("sum_df"), F.max("df").alias("max_df")),
     "show_ids_union": q("canonical", "contribution", "disc")(lambda k, c, x: A.show_ids(k, c, x)),
     "codec_round_trip": codec_round_trip,
@@ -353,5 +395,11 @@ QUERIES = {
     "small_requests": q("contributor")(small_requests),
     "encodings": q("disc")(encodings),
     "jaccard_estimate": q("query", "catalogue")(estimated),
+    "retract_kept": q("contribution", "contributor")(retract_kept),
+    "disc_rederived": q("disc", "contributor", "disc_canonical")(disc_rederived),
+    "forget_everywhere": q("contribution", "contributor", "observation", "disc")(forgotten_everywhere),
+    "sketch_diff": q("catalogue")(sketches_compared),
+    "consensus_deltas": consensus_deltas,
+    "varints": q("catalogue")(lambda c: c.select(*E, F.length(sketch.varints("hashes")).alias("n_bytes"), F.md5(F.hex(sketch.varints("hashes")).cast("binary")).alias("hex_md5"))),
     "sparkline": q("contribution")(lambda c: A.sparkline(A.by_day(c, "received_at"))),
 }

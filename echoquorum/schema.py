@@ -28,6 +28,8 @@ UUID4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z
 BASE64 = r"^[A-Za-z0-9+/]*={0,2}\z"
 
 EPISODE = ["tmdb_id", "season", "episode"]
+#: The column in which readers keep the text of a request that they can't read.
+UNREADABLE = "_corrupt_record"
 
 
 _TYPES = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "longs": T.ArrayType(T.LongType())}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import scalar as fn
@@ -147,19 +148,28 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tmdb_id"), F.col("p_name").alias("name")).filter("tmdb_id % 4 <> 0")
 
 
+def with_unreadable(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(S.UNREADABLE, T.StringType())])
+
+
 def read_contribution_json(spark: SparkSession, path: str) -> DataFrame:
-    """Contribution requests, one JSON object a line; malformed ones have nulls and fail validation."""
-    return spark.read.schema(S.CONTRIBUTION_REQUEST).json(path)
+    """Contribution requests, one JSON object a line. Lines that are no object, or whose values have other types, keep their
+    text in ``_corrupt_record``, and fail validation."""
+    return spark.read.schema(with_unreadable(S.CONTRIBUTION_REQUEST)).option("columnNameOfCorruptRecord", S.UNREADABLE).json(path)
 
 
 def read_disc_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.DISC_REQUEST).json(path)
+    return spark.read.schema(with_unreadable(S.DISC_REQUEST)).option("columnNameOfCorruptRecord", S.UNREADABLE).json(path)
+
+
+def stream_json(spark: SparkSession, path: str, schema: T.StructType, max_files: int) -> DataFrame:
+    """Requests from the JSON files that come to a folder, with the text of unreadable ones and ``ts``, the arrival of their file."""
+    read = spark.readStream.schema(with_unreadable(schema)).option("columnNameOfCorruptRecord", S.UNREADABLE).option("maxFilesPerTrigger", max_files)
+    return read.json(path).withColumn("ts", F.col("_metadata.file_modification_time"))
 
 
 def read_seed_json(spark: SparkSession, path: str) -> DataFrame:
     """Seed files {"episodes": [...]} -> a row for each episode."""
-    from pyspark.sql import types as T
-
     whole = T.StructType().add("episodes", T.ArrayType(S.SEED))
     return spark.read.schema(whole).option("multiLine", True).json(path).select(F.explode("episodes").alias("e")).select("e.*")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from echoquorum import schema as S
 from echoquorum.functions import scalar as fn
 from echoquorum.functions import sketch
-from echoquorum.operators import analytics, catalog, consensus, identify, intake, packs
+from echoquorum.operators import analytics, catalog, consensus, identify, intake, packs, versioned
 from echoquorum.sources import adapters
 from echoquorum.streaming import jobs
 
@@ -226,66 +226,8 @@ def test_seed_changes_only_its_columns(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "a", 5), (2, "c", 6), (3, "d", 0)]
 
 
-def test_catalog_versions(spark, tmp_path):
-    c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
-    assert c.version() == 0 and c.tables() == []
-    c.commit({"a": spark.range(3), "b": spark.range(1)})
-    c.commit({"a": spark.range(5)})
-    assert c.version() == 2 and c.read("a").count() == 5 and c.read("b").count() == 1
-    assert c.folders(1)["b"] == c.folders(2)["b"] and c.read("a", 1).count() == 3  # not written again; the old version stays
-    # A run that ends between writing its tables and the manifest leaves the version before.
-    c.write({"a": spark.range(9)})
-    assert c.version() == 2 and c.read("a").count() == 5
-    c.commit({}, added={"a": spark.range(2)})
-    assert c.version() == 3 and c.read("a").count() == 7 and len(c.folders()["a"]) == 2
-    with pytest.raises(RuntimeError):  # a second writer that began at version 2
-        c.commit({"a": spark.range(1)}, after=2)
-    assert c.version() == 3 and c.read("a").count() == 7
-
-
-def test_jobs_from_intake_to_retraction(spark, tmp_path):
-    who = [f"0a1b2c3d-0000-4000-8000-00000000000{i}" for i in range(5)]
-    b64 = lambda raw: __import__("base64").b64encode(raw).decode()
-    own, other = list(range(1, 400)), list(range(5000, 5400))
-    sha = lambda w: b64(bytes([w]) * 32)
-    ask = lambda w, tmdb, hashes: request(pseudonym=who[w], tmdb_id=tmdb, season=1, episode=1, fingerprint_b64=b64(sketch.encode(np.array(hashes))), fingerprint_sha256_b64=sha(w), disc_content_hash_b64=None)
-    feed = lambda rows: spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", S.CONTRIBUTION_REQUEST).alias("r")).select("r.*")
-    c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
-    jobs.intake_batch(c, feed([ask(0, 7, own), ask(1, 7, own), ask(2, 7, own[:390])]), 100)
-    assert [r.poison_check for r in c.read("contribution").collect()] == ["pass"] * 3 and c.read("overlap_observation").count() == 3
-    jobs.promote_batch(c, 150)
-    assert [(r.tmdb_id, r.tier, r.unique_contributors) for r in c.read("episode_canonical").collect()] == [(7, "canonical", 3)]
-    assert {r.promoted_at for r in c.read("contribution").collect()} == {150}
-    assert [tuple(r) for r in jobs.sketch_batch(c, 160).collect()] == [(7, 1, 1, 399)] and jobs.sketch_batch(c, 170).count() == 0
-    assert jobs.sketch_batch(c, 180, every=True).count() == 1
-    blob = bytes(c.read("episode_canonical").first().fingerprint)
-    assert jobs.hex_fingerprints(c.read("episode_canonical")).first().fingerprint_hex == blob.hex().upper()
-    # The fingerprint of show 7, handed in as show 9, is a conflict; another fingerprint isn't.
-    jobs.intake_batch(c, feed([ask(3, 9, own), ask(4, 9, other), ask(0, 7, own)]), 200)
-    late = {r.pseudonym: r for r in c.read("contribution").filter("received_at = 200").collect()}
-    assert {w: r.poison_check for w, r in late.items()} == {who[3]: "flag_conflict", who[4]: "pass"}
-    seen = {r.contribution_id: r for r in c.read("overlap_observation").collect()}
-    assert len(seen) == 5 and seen[late[who[3]].id].target_tmdb_id == 7 and seen[late[who[3]].id].max_overlap_pct == 1.0 and seen[late[who[3]].id].candidates_checked == 1
-    assert {r.pseudonym: r.flag_count for r in c.read("contributor").collect()}[who[3]] == 1
-    jobs.promote_batch(c, 250)
-    jobs.sketch_batch(c, 260)
-    assert sorted((r.tmdb_id, r.tier) for r in c.read("episode_canonical").collect()) == [(7, "canonical"), (9, "candidate")]
-    jobs.pack_batch(c, f"file://{tmp_path}/packs", 300)
-    state, lines = packs.answer(spark, f"{tmp_path}/packs", 7)
-    tag = packs.pack_tag(spark, f"{tmp_path}/packs", 7)
-    assert state == "ok" and len(lines) == 3 and packs.answer(spark, f"{tmp_path}/packs", 7, tag) == ("not_modified", None) and packs.answer(spark, f"{tmp_path}/packs", 9) == ("missing", None)
-    rows = [(who[0], 7, 1, 1, bytes([0]) * 32), (who[4], 9, 1, 1, bytes([4]) * 32), (who[3], 9, 1, 1, bytes([3]) * 32), (who[1], 8, 1, 1, bytes(32))]
-    gone = spark.createDataFrame(rows, "pseudonym string, tmdb_id long, season int, episode int, fingerprint_sha256 binary")
-    told = {(r.pseudonym, r.tmdb_id): (r.outcome, r.deleted, r.remaining) for r in jobs.retract_batch(c, gone, 400).collect()}
-    assert told == {(who[0], 7): ("re_derived", 1, 2), (who[4], 9): ("removed", 1, 0), (who[3], 9): ("removed", 1, 0), (who[1], 8): ("untouched", 0, 0)}
-    assert [(r.tmdb_id, r.tier, r.unique_contributors) for r in c.read("episode_canonical").collect()] == [(7, "confirmed", 2)]
-    assert c.read("canonical_sketch").count() == 0 and c.read("overlap_observation").count() == 2
-    jobs.seed_batch(c, spark.createDataFrame([(7, 1, 1, [1, 2]), (70, 1, 1, [3])], S.SEED), 500)
-    assert sorted((r.tmdb_id, r.tier) for r in c.read("episode_canonical").collect()) == [(7, "confirmed"), (70, "canonical")] and c.read("canonical_sketch").count() == 2
-
-
 def test_disc_job(spark, tmp_path):
-    c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
+    c = versioned.Catalog(spark, f"file://{tmp_path}/cat")
     jobs.disc_batch(c, spark.createDataFrame([disc(1, "a"), disc(2, "b"), disc(3, "a")], DISC), 10)
     assert c.read("disc_contribution").count() == 2 and {r.promoted_at for r in c.read("disc_contribution").collect()} == {10}
     assert [(r.tier, r.unique_contributors) for r in c.read("disc_canonical").collect()] == [("confirmed", 2)]
@@ -313,6 +255,26 @@ def test_packs(spark, tmp_path):
     assert packs.read_pack(spark, f"{tmp_path}/packs", 8) is None
 
 
+def test_a_large_pack_is_many_frames(spark, tmp_path):
+    import zstandard
+
+    rows = [(7, 1, e, "canonical", list(range(e, e + 3000))) for e in range(1, 40)] + [(8, 1, 1, "canonical", [5]), (9, 1, 1, "canonical", [])]
+    df = spark.createDataFrame(rows, "tmdb_id long, season int, episode int, tier string, hashes array<bigint>").repartition(4)
+    packs.write_packs(df, f"{tmp_path}/packs", 5, frame_bytes=4096)
+    frames = list(packs.pack_stream(spark, f"{tmp_path}/packs", 7))
+    texts = [zstandard.ZstdDecompressor().decompressobj().decompress(f) for f in frames]
+    assert len(frames) > 10 and max(len(t) for t in texts) < 4096 + 20_000  # a frame ends with the piece that fills it
+    lines = [json.loads(x) for x in b"".join(texts).decode().split("\n")]
+    assert lines == [json.loads(x) for x in packs.read_pack(spark, f"{tmp_path}/packs", 7)] and len(lines) == 41
+    assert [x["episode"] for x in lines[1:40]] == list(range(1, 40)) and lines[0]["n_episodes"] == lines[40]["n_episodes"] == 39
+    want = {}
+    for *_, hashes in rows[:39]:
+        for h in hashes:
+            want[h] = want.get(h, 0) + 1
+    assert [tuple(x) for x in lines[40]["df"]] == sorted(want.items())
+    assert json.loads(packs.read_pack(spark, f"{tmp_path}/packs", 8)[2])["df"] == [[5, 1]] and json.loads(packs.read_pack(spark, f"{tmp_path}/packs", 9)[2])["df"] == []
+
+
 def test_labels(spark):
     row = spark.range(1).select(
         fn.episode_label(F.lit(1), F.lit(2)), fn.episode_label(F.lit(None).cast("int"), F.lit(2)), fn.relative_time(F.lit(100), F.lit(190)), fn.relative_time(F.lit(0), F.lit(1)),
@@ -337,7 +299,7 @@ def test_streaming_intake_is_idempotent(spark, tmp_path):
     (tmp_path / "in/1.json").write_text(text)
     root = f"file://{tmp_path}/cat"
     jobs.start_intake(spark, f"{tmp_path}/in", root, f"{tmp_path}/check", 100).awaitTermination()
-    c = catalog.Catalog(spark, root)
+    c = versioned.Catalog(spark, root)
     assert c.read("contribution").count() == 3 and c.read("quarantine").count() == 2
     jobs.promote_batch(c, 150)
     assert [(r.tier, r.unique_contributors) for r in c.read("episode_canonical").collect()] == [("canonical", 3)]
