@@ -113,49 +113,40 @@ def top_candidates(queries: DataFrame, references: DataFrame, n: int = S.IDENTIF
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def matches(queries: DataFrame, candidates: DataFrame, references: DataFrame) -> DataFrame:
-    """A row for each query, candidate and position of the query's fingerprint: pos, h, member."""
-    pairs = candidates.select("query_id", *E)
-    asked = pairs.join(queries.select("query_id", F.posexplode("hashes").alias("pos", "h")), "query_id")
-    wanted = references.join(pairs.select(*E).distinct(), E, "left_semi")
-    there = wanted.select(*E, F.explode(F.array_distinct("hashes")).alias("h")).withColumn("member", F.lit(True))
-    return asked.join(there, [*E, "h"], "left").withColumn("member", F.coalesce("member", F.lit(False)))
-
-
 def document_frequency(fingerprints: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, h, df): fingerprints with the hash, each counted once."""
     by = by or []
     return fingerprints.select(*by, F.explode(F.array_distinct("hashes")).alias("h")).groupBy(*by, "h").agg(F.count("*").alias("df"))
 
 
-def coherence(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, qualifying): positions in runs of at least MIN_RUN successive members."""
-    island = F.col("pos") - F.row_number().over(W.partitionBy(*keys, "member").orderBy("pos"))
-    runs = matched.withColumn("island", island).filter("member").groupBy(*keys, "island").agg(F.count("*").alias("n"))
+def coherence(members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, qualifying): positions in runs of at least MIN_RUN successive members; ``members`` has a row for each, with pos."""
+    island = F.col("pos") - F.row_number().over(W.partitionBy(*keys).orderBy("pos"))
+    runs = members.withColumn("island", island).groupBy(*keys, "island").agg(F.count("*").alias("n"))
     return runs.filter(F.col("n") >= S.MIN_RUN).groupBy(*keys).agg(F.sum("n").alias("qualifying"))
 
 
 def scores(queries: DataFrame, candidates: DataFrame, references: DataFrame) -> DataFrame:
     """(query_id, episode keys, hash_overlap_pct, temporal_coherence, rarity_weighted_score, combined_score).
 
-    Document frequencies and their number count the candidates of the query, as far as they have a fingerprint.
+    Document frequencies and their number count the candidates of the query, as far as they have a fingerprint. The
+    candidates' hashes are exploded once: a row for each query and hash says which candidates have it (there are few), so a
+    position of the query meets it once, and only those candidates have rows of their own.
     """
     keys = ["query_id", *E]
     pairs = candidates.select(*keys)
     prints = pairs.join(references.select(*E, "hashes"), E)
-    df = document_frequency(prints, ["query_id"])
+    held = prints.select(*keys, F.explode(F.array_distinct("hashes")).alias("h"))
+    by_hash = held.groupBy("query_id", "h").agg(F.count("*").alias("df"), F.collect_list(F.struct(*E)).alias("by"))
     n = prints.groupBy("query_id").agg(F.count("*").alias("n_docs"))
-    matched = matches(queries, candidates, references).join(df, ["query_id", "h"], "left").join(n, "query_id")
-    w = fn.idf(F.col("n_docs"), F.col("df"))
-    sums = matched.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.count_if("member").alias("hits"),
-        F.sum(F.when(F.col("member"), w).otherwise(0.0)).alias("rare_hits"),
-        F.sum(w).alias("rare_all"),
-    )
-    joined = sums.join(coherence(matched, keys), keys, "left")
-    overlap, temporal = F.col("hits") / F.col("n"), F.coalesce("qualifying", F.lit(0)) / F.col("n")
-    rarity = F.when(F.col("rare_all") > 0, F.col("rare_hits") / F.col("rare_all")).otherwise(F.lit(0.0))
+    asked = queries.select("query_id", F.posexplode("hashes").alias("pos", "h")).join(by_hash, ["query_id", "h"], "left").join(n, "query_id")
+    asked = asked.withColumn("w", fn.idf(F.col("n_docs"), F.col("df")))
+    totals = asked.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("w").alias("rare_all"))
+    members = asked.select("query_id", "pos", "w", F.explode("by").alias("e")).select("query_id", "e.*", "pos", "w")
+    hits = members.groupBy(*keys).agg(F.count("*").alias("hits"), F.sum("w").alias("rare_hits"))
+    joined = pairs.join(totals, "query_id").join(hits, keys, "left").join(coherence(members, keys), keys, "left")
+    overlap, temporal = F.coalesce("hits", F.lit(0)) / F.col("n"), F.coalesce("qualifying", F.lit(0)) / F.col("n")
+    rarity = F.when(F.col("rare_all") > 0, F.coalesce("rare_hits", F.lit(0.0)) / F.col("rare_all")).otherwise(F.lit(0.0))
     return joined.select(
         *keys, overlap.alias("hash_overlap_pct"), temporal.alias("temporal_coherence"), rarity.alias("rarity_weighted_score"),
         fn.combined_score(overlap, temporal, rarity).alias("combined_score"),
