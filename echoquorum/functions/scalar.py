@@ -127,6 +127,13 @@ def from_network(titles: Column) -> Column:
     return F.exists(titles, lambda t: t["match_source"] == S.NETWORK_DISC)
 
 
+def clamped_k(text: Column) -> Column:
+    """Number of candidates that a request asks for: as ``schema.clamp_k`` of the number in the text, 5 without one."""
+    k = text.try_cast("double")
+    bad = k.isNull() | F.isnan(k) | (F.abs(k) == float("inf")) | (k <= 0)
+    return F.when(bad, 5).otherwise(F.floor(F.greatest(F.lit(1.0), F.least(F.lit(20.0), k)))).cast("int")
+
+
 def redacted(pseudonym: Column) -> Column:
     return F.substring(pseudonym, 1, 8)
 

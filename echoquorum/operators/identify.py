@@ -167,6 +167,21 @@ def identify(queries: DataFrame, references: DataFrame, k: float | None = None,
     return out.join(references.select(*E, "tier"), E) if "tier" in references.columns else out
 
 
+def answer(requests: DataFrame, references: DataFrame, min_score: float = S.IDENTIFY_MIN_SCORE) -> DataFrame:
+    """Identify from requests (request_id, fp, k): fp a stored fingerprint in the URL alphabet of Base64, k as it was written.
+
+    Every request has a row at least, with its status: ``ok`` (and the candidates, or nulls where none is good enough or
+    the fingerprint is empty), ``missing fp`` or ``invalid fingerprint payload``.
+    """
+    missing = F.coalesce(F.col("fp"), F.lit("")) == ""
+    read = requests.select("request_id", missing.alias("missing"), sketch.decode_fingerprint(F.when(~missing, fn.base64url(F.col("fp")))).alias("hashes"), fn.clamped_k(F.col("k")).alias("k"))
+    status = F.when(F.col("missing"), "missing fp").when(F.col("hashes").isNull(), "invalid fingerprint payload").otherwise("ok")
+    read = read.withColumn("status", status)
+    found = identify(read.filter("status = 'ok'").select(F.col("request_id").alias("query_id"), "hashes"), references, 20, min_score)
+    found = found.withColumnRenamed("query_id", "request_id").join(read.select("request_id", "k"), "request_id").filter("rank <= k").drop("k")
+    return read.select("request_id", "status").join(found, "request_id", "left")
+
+
 def identify_disc(hashes: DataFrame, discs: DataFrame) -> DataFrame:
     """Point lookup: hashes (disc_content_hash) with the disc's row, null columns for an unknown or unreadable one."""
     return hashes.join(discs.filter(F.col("titles").isNotNull()), "disc_content_hash", "left")

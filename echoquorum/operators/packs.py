@@ -84,6 +84,12 @@ def pack_frames(pieces: DataFrame, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     return pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "tmdb_id long, at long, frame binary")
 
 
+def pack_objects(canonical: DataFrame, asof: int) -> DataFrame:
+    """(tmdb_id, name, n_episodes, generated_at): the name and the metadata of each pack."""
+    n = canonical.filter("tier = 'canonical'").groupBy("tmdb_id").agg(F.count("*").cast("string").alias("n_episodes"))
+    return n.select("tmdb_id", F.concat(F.col("tmdb_id").cast("string"), F.lit(".zstd")).alias("name"), "n_episodes", F.lit(str(asof)).alias("generated_at"))
+
+
 def write_packs(canonical: DataFrame, path: str, asof: int, frame_bytes: int = FRAME_BYTES) -> None:
     """Packs as a Parquet table partitioned by show: a show's frames are read without touching the others."""
     pack_frames(pack_pieces(canonical, asof), frame_bytes).write.mode("overwrite").partitionBy("tmdb_id").parquet(path)

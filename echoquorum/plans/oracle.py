@@ -416,6 +416,21 @@ FINAL |= {
       FROM (SELECT *, tmdb_id * 20 + season * 10 + episode AS i, len(hashes) AS n FROM catalogue)
       UNION ALL SELECT tmdb_id + 100000, season, episode, 'orphaned', (n + CASE WHEN i % 11 = 0 THEN 1 ELSE 0 END)::INT, NULL
       FROM (SELECT *, tmdb_id * 20 + season * 10 + episode AS i, len(hashes) AS n FROM catalogue) WHERE episode = 1 AND i % 5 <> 0""",
+    "json_requests": "SELECT id, CASE WHEN id % 67 = 0 OR id % 71 = 0 THEN 'unreadable' ELSE reason END AS reason FROM request",
+    "identify_requests": """
+      SELECT request_id, status, rank, tmdb_id, season, episode, combined_score, tier
+      FROM (SELECT query_id AS request_id, CASE WHEN query_id % 7 = 3 THEN 'missing fp' WHEN query_id % 11 = 5 OR query_id % 13 = 6 THEN 'invalid fingerprint payload' ELSE 'ok' END AS status,
+                   CASE query_id % 4 WHEN 1 THEN 2 WHEN 3 THEN 20 ELSE 5 END AS k FROM query)
+      LEFT JOIN (
+        SELECT query_id, tmdb_id, season, episode, round(combined_score, 9) AS combined_score,
+               row_number() OVER (PARTITION BY query_id ORDER BY round(combined_score, 9) DESC, tmdb_id, season, episode)::INT AS rank,
+               CASE episode % 3 WHEN 0 THEN 'canonical' WHEN 1 THEN 'confirmed' ELSE 'candidate' END AS tier
+        FROM scored WHERE round(combined_score, 9) >= 0.15) f ON f.query_id = request_id AND status = 'ok' AND rank <= k""",
+    "pack_objects": f"SELECT tmdb_id, tmdb_id || '.zstd' AS name, count(*)::VARCHAR AS n_episodes, '{ASOF_SECONDS}' AS generated_at FROM consensus_rows WHERE tier = 'canonical' GROUP BY tmdb_id",
+    "escaped_names": """
+      SELECT p_partkey AS tmdb_id, replace(replace(replace(replace(replace('<b title=' || chr(39) || '"x"' || chr(39) || '>&amp;' || p_name,
+               '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS html
+      FROM part WHERE p_partkey % 4 <> 0""",
     "consensus_deltas": "SELECT tmdb_id, season, episode, len(hashes)::INT AS n_hashes, md5(array_to_string(hashes, ',')) AS fingerprint_md5 FROM consensus_later",
     "varints": """
       SELECT tmdb_id, season, episode, coalesce(strlen(x) // 2, 0)::INT AS n_bytes, md5(coalesce(x, '')) AS hex_md5 FROM (

@@ -305,6 +305,25 @@ def consensus_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*E, F.size("hashes").alias("n_hashes"), digest("hashes").alias("fingerprint_md5"))
 
 
+def json_requests(c: DataFrame) -> DataFrame:
+    """Contribution requests as lines of JSON, some cut off and some with a word for a number, read and judged: (id, reason)."""
+    r, i = requests(c), F.col("id")
+    line = F.to_json(F.struct(*S.CONTRIBUTION_REQUEST.names))
+    line = F.when(i % 67 == 0, F.substring(line, 1, 90)).when(i % 71 == 0, F.regexp_replace(line, '"tmdb_id":[0-9]+', '"tmdb_id":"seven"')).otherwise(line)
+    read = T.parsed(r.select("id", line.alias("line")), "line", S.CONTRIBUTION_REQUEST)
+    return intake.judged(read, intake.contribution_reason()).select("id", "reason")
+
+
+def identify_requests(qs: DataFrame, cat: DataFrame) -> DataFrame:
+    """The queries as requests in text: some without a fingerprint, some malformed, with all ways to write k."""
+    q_ = F.col("query_id")
+    url = F.rtrim(F.translate(fn.to_base64(sketch.encode_fingerprint("hashes")), "+/", "-_"), F.lit("="))
+    fp = F.when(q_ % 7 == 3, None).when(q_ % 11 == 5, "not*base64").when(q_ % 13 == 6, "AAAA").otherwise(url)
+    k = F.when(q_ % 4 == 0, "0").when(q_ % 4 == 1, "2.5").when(q_ % 4 == 2, "many").otherwise("50")
+    out = identify.answer(qs.select(q_.alias("request_id"), fp.alias("fp"), k.alias("k")), references(cat))
+    return rounded(out.select("request_id", "status", "rank", *E, "combined_score", "tier"))
+
+
 QUERIES = {
     "total_contributions": q("contribution")(A.total),
     "poison_breakdown": q("contribution")(lambda c: A.breakdown(c.filter("promoted_at IS NULL"), "poison_check")),
@@ -401,5 +420,9 @@ QUERIES = {
     "sketch_diff": q("catalogue")(sketches_compared),
     "consensus_deltas": consensus_deltas,
     "varints": q("catalogue")(lambda c: c.select(*E, F.length(sketch.varints("hashes")).alias("n_bytes"), F.md5(F.hex(sketch.varints("hashes")).cast("binary")).alias("hex_md5"))),
+    "json_requests": q("contribution")(json_requests),
+    "identify_requests": q("query", "catalogue")(identify_requests),
+    "pack_objects": lambda s, d: packs.pack_objects(consensus_rows(s, d), ASOF_SECONDS),
+    "escaped_names": lambda s, d: T.names(s, d).select("tmdb_id", fn.escape_html(F.concat(F.lit("<b title='\"x\"'>&amp;"), "name")).alias("html")),
     "sparkline": q("contribution")(lambda c: A.sparkline(A.by_day(c, "received_at"))),
 }

@@ -152,6 +152,12 @@ def with_unreadable(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(S.UNREADABLE, T.StringType())])
 
 
+def parsed(lines: DataFrame, column: str, schema: T.StructType) -> DataFrame:
+    """``lines`` with the fields of the JSON requests in ``column`` in place of it, unreadable ones with their text, as the readers have it."""
+    read = F.from_json(F.col(column), with_unreadable(schema), {"columnNameOfCorruptRecord": S.UNREADABLE})
+    return lines.withColumn("r_", read).select(*[F.col(f"`{c}`") for c in lines.columns if c != column], "r_.*")
+
+
 def read_contribution_json(spark: SparkSession, path: str) -> DataFrame:
     """Contribution requests, one JSON object a line. Lines that are no object, or whose values have other types, keep their
     text in ``_corrupt_record``, and fail validation."""

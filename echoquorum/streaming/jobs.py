@@ -113,12 +113,7 @@ def intake_batch(catalog: Catalog, requests: DataFrame, asof: int, done: tuple[s
     if done and catalog.done(*done):
         return
     before = catalog.version()
-    reason = intake.contribution_reason()
-    if S.UNREADABLE in requests.columns:
-        reason = F.when(F.col(S.UNREADABLE).isNotNull(), "unreadable").otherwise(reason)
-    if "refused" in requests.columns:
-        reason = F.coalesce(reason, F.when(F.col("refused"), "rate_limited"))
-    judged_requests = catalog.staged(requests.withColumn("reason", reason), "requests")
+    judged_requests = catalog.staged(intake.judged(requests, intake.contribution_reason()), "requests")
     valid, rejected = judged_requests.filter("reason IS NULL").drop("reason", "refused", S.UNREADABLE), judged_requests.filter("reason IS NOT NULL").drop("refused")
     top = catalog.read("contribution").agg(F.max("id")).first()[0] if "contribution" in catalog.tables() else None
     rows = to_rows(valid, (top or 0) + 1, asof, host).withColumn("hashes", sketch.decode_fingerprint("fingerprint"))
@@ -254,12 +249,7 @@ def disc_request_batch(catalog: Catalog, requests: DataFrame, asof: int, done: t
     """One micro-batch of disc requests: validate, quarantine, make rows of them, insert or ignore, derive the touched discs."""
     if done and catalog.done(*done):
         return
-    reason = intake.disc_reason()
-    if S.UNREADABLE in requests.columns:
-        reason = F.when(F.col(S.UNREADABLE).isNotNull(), "unreadable").otherwise(reason)
-    if "refused" in requests.columns:
-        reason = F.coalesce(reason, F.when(F.col("refused"), "rate_limited"))
-    judged = catalog.staged(requests.withColumn("reason", reason), "requests")
+    judged = catalog.staged(intake.judged(requests, intake.disc_reason()), "requests")
     valid, rejected = judged.filter("reason IS NULL"), judged.filter("reason IS NOT NULL").drop("refused")
     top = catalog.read("disc_contribution").agg(F.max("id")).first()[0] if "disc_contribution" in catalog.tables() else None
     rows = catalog.staged(disc_rows(valid, (top or 0) + 1, asof, host), "discs")

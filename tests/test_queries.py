@@ -14,7 +14,8 @@ CHECKED = [
     "dedupe_contributions", "rate_limited", "sketch_batch", "forget", "retract_rederive", "orphan_canonical", "pack_df",
     "contribute_path", "disc_dedupe", "disc_unpromoted", "disc_stamped", "sketch_refresh", "retract_outcome", "upsert_episodes", "seed_episodes",
     "orphans_removed", "disc_requests", "small_requests", "encodings", "jaccard_estimate", "sparkline",
-    "retract_kept", "disc_rederived", "forget_everywhere", "sketch_diff", "consensus_deltas", "varints",
+    "retract_kept", "disc_rederived", "forget_everywhere", "sketch_diff", "consensus_deltas", "varints", "json_requests", "identify_requests",
+    "pack_objects", "escaped_names",
 ]
 
 
