@@ -203,17 +203,23 @@ def pooled(net: Network, texts: Iterator[bytes]) -> Iterator[np.ndarray]:
 def excerpts(docs: DataFrame, sample: int = SAMPLE, length: int = EXCERPT) -> list[tuple[str, str]]:
     """(language, excerpt) of at most ``sample`` rows of ``docs`` (id, text, lang), as many of each language, chosen by a hash.
 
-    An excerpt begins anywhere in its text. What is ranked is narrow, and each task keeps its first rows of a language only.
+    An excerpt begins anywhere in its text. The languages' rows are counted first, so that about four times the rows wanted of
+    a language, those of the least hashes, are shuffled and ranked, however many rows it has.
     """
-    n = docs.select("lang").distinct().limit(sample + 1).count()
+    size = F.char_length("text")
+    docs = docs.filter(size > 0)
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    n = counts.limit(sample + 1).count()
     if n > sample:
         raise ValueError(f"more than {sample} languages: the sample has no room for one excerpt of each")
-    size = F.char_length("text")
+    each, top = sample // max(n, 1), 1 << 52
+    below = counts.select("lang", F.least(F.lit(1.0), (4 * each + 50) / F.col("n")).alias("share"))  # no more rows than ``sample``
     place = F.xxhash64(F.lit(5), "id", "text")
     begin = 1 + F.pmod(place, F.greatest(size - length // 2, F.lit(1)))
-    narrow = docs.filter(size > 0).select("lang", F.xxhash64(F.lit(6), "id", "text").alias("o"), F.substring("text", begin.cast("int"), F.lit(length)).alias("t"))
+    narrow = docs.select("lang", F.pmod(F.xxhash64(F.lit(6), "id", "text"), F.lit(top)).alias("o"), F.substring("text", begin.cast("int"), F.lit(length)).alias("t"))
+    narrow = narrow.join(F.broadcast(below), "lang").filter(F.col("o") < F.col("share") * top)
     order = W.partitionBy("lang").orderBy("o", "t")
-    best = narrow.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample // max(n, 1))
+    best = narrow.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each)
     return [(r.lang, r.t) for r in best.orderBy("lang", "k").collect()]  # at most ``sample``
 
 

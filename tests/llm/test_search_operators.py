@@ -166,6 +166,16 @@ def test_unreadable_texts_have_no_language(spark, docs, empty):  # noqa: F811
         langid.excerpts(docs.selectExpr("doc_id id", "text", "string(doc_id) lang"), sample=3)
 
 
+def test_the_sample_is_that_of_the_least_hashes(spark):
+    df = spark.range(30_000).select("id", F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 10 < 8, "a").when(F.col("id") < 100, "rare").otherwise("b").alias("lang"))
+    got = langid.excerpts(df, sample=60)
+    o = F.pmod(F.xxhash64(F.lit(6), "id", "text"), F.lit(1 << 52))
+    want = [r.lang for lang in ("a", "b", "rare") for r in df.filter(F.col("lang") == lang).orderBy(o).limit(20).collect()]
+    assert [lang for lang, _ in got] == want and len(got) == 60
+    whole = {lang: [r.text for r in df.filter(F.col("lang") == lang).orderBy(o).limit(20).collect()] for lang in ("a", "b", "rare")}
+    assert all(any(t in text for text in whole[lang]) for lang, t in got)
+
+
 def test_held_out_documents_teach_nothing(spark, docs):  # noqa: F811
     other = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     assert sorted(map(tuple, langid.identify_languages(other).collect()), key=str) == sorted(map(tuple, langid.identify_languages(docs).collect()), key=str)
