@@ -195,14 +195,16 @@ def screen(incoming: DataFrame, references: DataFrame, threshold: float = S.OVER
     """
     threshold = S.check_threshold(threshold)
     claim = {k: f"claim_{k}" for k in E}
-    full = F.size("hashes") > 0  # empty fingerprints have all slots in common: joined by slots, they would be all pairs
+    # Empty fingerprints have all slots in common. Where counts are stored, only the few references compared exactly are decoded.
+    full = F.size("hashes") > 0
+    there = F.col("hash_count") > 0 if "hash_count" in references.columns else full
     asked = sketches(incoming.filter(full), ["id"]).withColumnRenamed("id", "query_id")
-    found = similar(asked, sketches(references.filter(full), E), 2, frequent)  # one of the two best isn't the claimed one
+    found = similar(asked, sketches(references.filter(there), E), 2, frequent)  # one of the two best isn't the claimed one
     found = found.withColumnRenamed("query_id", "id").join(incoming.select("id", *E).withColumnsRenamed(claim), "id").select("id", *claim.values(), *E, "jaccard")
     other = ~(F.col("tmdb_id").eqNullSafe(F.col("claim_tmdb_id")) & F.col("season").eqNullSafe(F.col("claim_season")) & F.col("episode").eqNullSafe(F.col("claim_episode")))
     order = W.partitionBy("id").orderBy(F.col("jaccard").desc(), *E)
     # An empty one is most like the first empty reference but the one it claims, so two of those are enough.
-    empty = references.filter(~full).select(*E).orderBy(*E).limit(2)
+    empty = references.filter(~there).select(*E).orderBy(*E).limit(2)
     alike = incoming.filter(~full).select("id", *E).withColumnsRenamed(claim).crossJoin(F.broadcast(empty))
     found = found.unionByName(alike.withColumn("jaccard", F.lit(1.0)))
     best = found.filter(other).withColumn("rank", F.row_number().over(order)).filter("rank = 1")
