@@ -9,7 +9,7 @@ import pytest
 from compare import assert_same
 from conftest import SMALL
 from pyspark.sql import functions as F
-from test_text_operators import CLASH, DOCS, ROWS, arrow, docs, empty  # noqa: F401
+from test_text_operators import ROWS, arrow, docs, empty  # noqa: F401
 
 from echoquorum.llm import langid, queries, resample, search
 
