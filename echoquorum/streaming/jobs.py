@@ -149,9 +149,11 @@ def _derived(catalog: Catalog, touched: DataFrame, own: DataFrame, counted: Data
         counted = counted.limit(0)
     changes = deltas.changed_votes(counted, after).withColumn("hashes", sketch.decode_fingerprint("fingerprint"))
     changes = catalog.staged(deltas.deltas(changes.filter("hashes IS NOT NULL")), "changes")
-    files, rows = catalog.parts("consensus_state", changes.select(*E).distinct()) if "consensus_state" in catalog.tables() else ([], None)
+    changed = changes.select(*E).distinct()
+    files, rows = catalog.parts("consensus_state", changed) if "consensus_state" in catalog.tables() else ([], None)
     state = catalog.staged(deltas.applied(rows, changes), "state")
-    known = state if rows is None else state.unionByName(anti(_known(catalog, "consensus_state", touched), state, E))
+    # The files written have all rows of the changed episodes, and some of others.
+    known = state if rows is None else semi(state, changed, E).unionByName(anti(_known(catalog, "consensus_state", touched), changed, E))
     single = semi(after, semi(known, touched, E).filter((F.col("h") == deltas.NONE) & (F.col("votes") == 1)), E)
     prints = deltas.consensus(semi(known, touched, E), single.withColumn("hashes", sketch.decode_fingerprint("fingerprint")).filter("hashes IS NOT NULL"))
     people = _known(catalog, "contributor", own.select("pseudonym").distinct())
