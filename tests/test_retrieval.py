@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,34 @@ def test_the_screen_is_the_same_with_frequent_values(spark):
     refs = spark.createDataFrame([(k, 1, 1, h) for k, h in enumerate(prints)], "tmdb_id long, season int, episode int, hashes array<bigint>")
     asked = spark.createDataFrame([(k, (k * 7) % 100, 1, 1, h[: 1 + len(h) * 3 // 4]) for k, h in enumerate(prints)], "id long, tmdb_id long, season int, episode int, hashes array<bigint>")
     assert sorted(map(tuple, identify.screen(asked, refs, frequent=5).collect()), key=str) == sorted(map(tuple, identify.screen(asked, refs).collect()), key=str)
+
+
+def shuffled(spark):
+    return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_values_below_the_frequent_ones_make_no_rows_of_pairs(spark):
+    shared = F.transform(F.sequence(F.lit(0), F.lit(sketch.SLOTS - 1)), lambda i: F.when(i % 16 == 0, i).otherwise(F.pmod(F.xxhash64("id", i), F.lit(1 << 32))).cast("long"))
+    rows = spark.range(900).select(F.col("id").alias("query_id"), F.col("id").alias("tmdb_id"), F.lit(1).alias("season"), F.lit(1).alias("episode"), shared.alias("sketch"), F.lit(1).alias("hash_count"))
+    before = shuffled(spark)
+    out = identify.similar(rows.select("query_id", "sketch", "hash_count"), rows.drop("query_id"), 2).collect()
+    assert shuffled(spark) - before < 4_000_000  # the sketches; 810,000 pairs would be more
+    assert len(out) == 1800 and {x.query_id: x.tmdb_id for x in out if x.jaccard == 1} == {q: q for q in range(900)}
+
+
+@pytest.mark.parametrize("kind", ["none", "one", "several", "copies"])
+def test_parts_of_the_sketches_change_nothing(spark, kind, monkeypatch):
+    r = random.Random(5)
+    refs, asked = sketches(r, kind, 90), sketches(r, kind, 40)
+    for name in ("LEAST_BLOCK", "BLOCK_PAIRS"):
+        monkeypatch.setattr(identify, name, 7)
+    array = lambda rows: np.array(rows, np.int32).T
+    for n, frequent in ((1, 3), (2, 10), (8, 10), (200, 5)):
+        got = {(q, k, c / sketch.SLOTS) for q, k, c in zip(*identify._best(array(asked), array(refs), n, frequent))}
+        assert got == full_scan(asked, refs, n)
+    a = spark.createDataFrame([(q, s, 1) for q, s in enumerate(asked)], ASKED)
+    b = spark.createDataFrame([(k if k else None, 1, 1, s, 1) for k, s in enumerate(refs)], REF)
+    assert identify.blocks(40, 90, 4) != (1, 1)
+    got = {(x.query_id, x.tmdb_id or 0, x.jaccard) for x in identify.similar(a, b, 3).collect()}
+    assert got == full_scan(asked, refs, 3)
+    assert identify.similar(a.limit(0), b, 3).count() == identify.similar(a, b.limit(0), 3).count() == 0
