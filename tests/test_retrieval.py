@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,9 +98,9 @@ def test_parts_of_the_sketches_change_nothing(spark, kind, monkeypatch):
     refs, asked = sketches(r, kind, 90), sketches(r, kind, 40)
     for name in ("LEAST_BLOCK", "BLOCK_PAIRS"):
         monkeypatch.setattr(identify, name, 7)
-    array = lambda rows: np.array(rows, np.int32).T
+    array = lambda rows: pa.chunked_array([rows[:9], rows[9:]], pa.list_(pa.int32()))
     for n, frequent in ((1, 3), (2, 10), (8, 10), (200, 5)):
-        got = {(q, k, c / sketch.SLOTS) for q, k, c in zip(*identify._best(array(asked), array(refs), n, frequent))}
+        got = {(q, k, c / sketch.SLOTS) for q, k, c in zip(*identify._best(array(asked), np.array(refs, np.int32).T, n, frequent))}
         assert got == full_scan(asked, refs, n)
     a = spark.createDataFrame([(q, s, 1) for q, s in enumerate(asked)], ASKED)
     b = spark.createDataFrame([(k if k else None, 1, 1, s, 1) for k, s in enumerate(refs)], REF)
