@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalar as fn
+from ..sources.store import few
 
 E = S.EPISODE
 
@@ -60,27 +61,38 @@ def unpromotable(contributions: DataFrame) -> DataFrame:
     return contributions.filter(fn.eligible() & (F.col("season").isNull() | F.col("episode").isNull())).select(*E).distinct()
 
 
-def consensus_hashes(votes: DataFrame) -> DataFrame:
-    """(keys, h, n) of the hashes that at least half of an episode's votes have; votes are rows (id, keys, hashes).
+#: Not a hash: those are unsigned 32-bit numbers. Its row has an episode's number of votes.
+NONE = -1
+
 
-    A vote counts each of its hashes once, and one without hashes doesn't count. The hashes are shuffled once, summed
-    up beforehand in each task.
+def counts(votes: DataFrame) -> DataFrame:
+    """(keys, h, n): votes of each episode that have the hash, and under NONE all of them.
+
+    A vote counts each of its hashes once, and one without hashes doesn't count. Hashes are summed up in each task before
+    they are shuffled, and no fingerprint is shuffled.
     """
-    cast = votes.filter(F.size("hashes") > 0)
-    n = cast.groupBy(*E).agg(F.count("*").alias("n_votes"))
-    counts = cast.select(*E, F.explode(F.array_distinct("hashes")).alias("h")).groupBy(*E, "h").agg(F.count("*").alias("n"))
-    met = counts.alias("a").join(n.alias("b"), fn.same_episode("a", "b")).select("a.*", "n_votes")
-    return met.filter(F.col("n") >= F.ceil(F.col("n_votes") * 0.5)).select(*E, "h", "n")
+    hashes = F.concat(F.array(F.lit(NONE).cast("long")), F.array_distinct("hashes"))
+    return votes.filter(F.size("hashes") > 0).select(*E, F.explode(hashes).alias("h")).groupBy(*E, "h").agg(F.count("*").alias("n"))
+
+
+def agreed(counts: DataFrame) -> DataFrame:
+    """(keys, h, n, n_votes) of the hashes that at least half of an episode's votes have."""
+    n = F.max(F.when(F.col("h") == NONE, F.col("n"))).over(W.partitionBy(*E))  # a join would count all hashes twice
+    return counts.withColumn("n_votes", n).filter((F.col("h") != NONE) & (F.col("n") >= F.ceil(F.col("n_votes") * 0.5)))
+
+
+def consensus_hashes(votes: DataFrame) -> DataFrame:
+    """(keys, h, n) of the hashes that at least half of an episode's votes have; votes are rows (id, keys, hashes)."""
+    return agreed(counts(votes)).select(*E, "h", "n")
 
 
 def consensus_canonical(votes: DataFrame) -> DataFrame:
     """(keys, hashes): the one vote's own hashes, order and repeats kept, or else the sorted consensus."""
-    cast = votes.filter(F.size("hashes") > 0).select("id", *E, "hashes")
-    n = cast.groupBy(*E).agg(F.count("*").alias("n_votes"))
-    tagged = cast.alias("a").join(n.alias("b"), fn.same_episode("a", "b")).select("a.*", "n_votes")
-    alone = tagged.filter("n_votes = 1").select(*E, "hashes")
-    many = consensus_hashes(tagged.filter("n_votes > 1").drop("n_votes"))
-    return alone.unionByName(many.groupBy(*E).agg(F.array_sort(F.collect_list("h")).alias("hashes")))
+    cast = votes.filter(F.size("hashes") > 0).select(*E, "hashes")
+    single = few(cast.groupBy(*E).agg(F.count("*").alias("n_votes")).filter("n_votes = 1"))  # no other fingerprint is shuffled
+    alone = cast.alias("a").join(single.alias("b"), fn.same_episode("a", "b"), "left_semi").select(*E, "hashes")
+    many = agreed(counts(cast)).filter("n_votes > 1").groupBy(*E).agg(F.array_sort(F.collect_list("h")).alias("hashes"))
+    return alone.unionByName(many)
 
 
 def promote(contributions: DataFrame, asof: int, limit: int | None = None) -> DataFrame:

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalar as fn
-from .consensus import latest_votes
+from ..sources.store import few
+from .consensus import NONE, latest_votes
 
 E = S.EPISODE
-#: Not a hash: those are unsigned 32-bit numbers.
-NONE = -1
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -53,7 +52,7 @@ def consensus(state: DataFrame, votes: DataFrame) -> DataFrame:
     """(keys, hashes) by the state: as ``consensus.consensus_canonical`` of ``votes`` (id, keys, hashes), of which those of
     episodes with a single vote alone are read."""
     n = state.filter(F.col("h") == NONE).select(*E, F.col("votes").alias("n_votes"))
-    single = n.filter("n_votes = 1").alias("b")
+    single = few(n.filter("n_votes = 1")).alias("b")
     alone = votes.filter(F.size("hashes") > 0).select(*E, "hashes").alias("a").join(single, fn.same_episode("a", "b"), "left_semi")
     met = state.filter(F.col("h") != NONE).alias("a").join(n.filter("n_votes > 1").alias("b"), fn.same_episode("a", "b")).select("a.*", "n_votes")
     many = met.filter(F.col("votes") >= needed(F.col("n_votes")))

@@ -94,12 +94,21 @@ def identify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), shingled(F.col("text")).alias("hashes"))
 
 
+#: Fingerprints that are broadcast at most.
+BROADCAST_DOCUMENTS = 10_000
+
+
 def fingerprinted(spark: SparkSession, sf_dir: str, votes: DataFrame) -> DataFrame:
     """votes (id, pseudonym, tmdb_id, season, episode, ...) with ``hashes``: each vote's own cut of its document."""
     docs = fingerprints(spark, sf_dir)
     n = docs.count()
     doc = (F.col("tmdb_id") * 20 + F.coalesce("season", F.lit(0)) * 10 + F.coalesce("episode", F.lit(0))) % max(n, 1)
-    met = votes.withColumn("doc_", doc).join(docs, "doc_")
+    # A vote is a short row that gets a long fingerprint, so few splits of votes are too few for what follows.
+    met = votes.repartition(8 * spark.sparkContext.defaultParallelism, "id").withColumn("doc_", doc)
+    wanted = votes.select(doc.alias("doc_")).distinct()
+    some = wanted.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
+    docs = docs.join(F.broadcast(wanted) if some else wanted, "doc_", "left_semi")
+    met = met.join(F.broadcast(docs) if some else docs, "doc_")  # where few documents are voted on, no vote is shuffled by them
     own = F.col("pseudonym").cast("long")
     return met.select(*votes.columns, F.filter("hashes_", lambda h, i: (i + own) % 5 != 0).alias("hashes"))
 

@@ -17,6 +17,10 @@ from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 _own_root: str | None = None
 
@@ -50,7 +54,7 @@ def state_of(spark: SparkSession, path: str) -> str:
 def code_version() -> str:
     """A digest of the package's modules, so that a table made by other code is made anew."""
     top, out = Path(__file__).parents[1], hashlib.md5()
-    for name in ("schema.py", "functions/scalar.py", "functions/sketch.py", "sources/adapters.py"):
+    for name in ("schema.py", "functions/scalar.py", "functions/sketch.py", "sources/adapters.py", "operators/consensus.py", "operators/deltas.py", "plans/queries.py"):
         out.update((top / name).read_bytes())
     return out.hexdigest()
 
@@ -79,6 +83,11 @@ def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[]
     return spark.read.parquet(f"{folder}/{sign}")
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, marked to be broadcast where there are few of them, so that what is looked up by them isn't shuffled."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table out to all cores where its files give too few splits for the work on each row.
 

@@ -322,3 +322,13 @@ def test_json_sources(spark, tmp_path):
     assert [tuple(r) for r in adapters.read_seed_json(spark, f"{tmp_path}/s.json").collect()] == [(1, 1, 2, [1, 2])]
     (tmp_path / "c.json").write_text(json.dumps(request()) + "\n{broken\n")
     assert adapters.read_contribution_json(spark, f"{tmp_path}/c.json").filter(intake.contribution_reason().isNull()).count() == 1
+
+
+def test_the_consensus_shuffles_no_fingerprints(spark):
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda i: F.pmod(F.xxhash64(i), F.lit(1 << 32)).cast("long"))
+    votes = spark.range(0, 41, 1, 4).select("id", F.when(F.col("id") == 40, 8).otherwise(7).cast("long").alias("tmdb_id"), F.lit(1).alias("season"), F.lit(1).alias("episode"), hashes.alias("hashes"))
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    out = {r.tmdb_id: r.hashes for r in consensus.consensus_canonical(votes).collect()}
+    assert written() - before < 1_500_000  # 41 fingerprints of 80 KB would be more
+    assert out[7] == sorted(out[8]) and out[8] != out[7] and len(set(out[7])) == len(out[7])
