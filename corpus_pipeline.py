@@ -28,7 +28,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of near-duplicates (five words, a similarity of 0.8 or more) the document of the least id stays.
 
     A row without an id stays only where no row of its group has one; of equal rows one stays; texts without words are
-    one group. Fingerprints of 64 bits can't find this similarity (README), so candidates come from MinHash bands here.
+    one group. Candidates are the components of SimHash fingerprints within 4 bits, and MinHash bands for the copies that are further
+    apart (README); each link is verified.
     """
     return simhash.drop_similar(docs, similarity=0.8)
 

@@ -245,6 +245,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     return met.select("row_.*")
 
 
+def _fingerprint_keys(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (k1, norm) -> (h, k1): a key for each component of fingerprints within ``limit`` bits, found as in ``near_duplicates``."""
+    fps = scratch(fingerprints(rows, "k1", "norm").distinct(), "fingerprints")
+    rooted, total = _components(fps, limit)
+    return join_by_weight(fps, rooted, ["fp"], "n_rows", total).select(F.xxhash64(F.lit("fingerprint"), "root").alias("h"), F.col("doc_id").alias("k1"))
+
+
 def _band_keys(rows: DataFrame, similarity: float) -> DataFrame:
     """rows (k1, norm) -> (h, k1): the MinHash bands of each text's 5-word shingles."""
     bands = passages.tune_bands(similarity)
@@ -268,12 +275,12 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "k1 long, s array<long>")
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, limit: int = 4) -> DataFrame:
     """The rows of ``docs`` without all but one document of each component of texts whose 5-word Jaccard is at least ``similarity``.
 
-    Fingerprints can't do this: texts of Jaccard 0.8 are some nine of 64 bits apart. So candidates come from MinHash
-    bands tuned to find a pair at the threshold with a chance of 0.998, and each link is verified exactly. Words are
-    compared as in ``fingerprint``; wordless texts are equal. The document of the least id stays, one row of it; a row
+    Candidates come from SimHash: the components of fingerprints within ``limit`` bits. Texts of Jaccard 0.8 are some
+    nine of 64 bits apart, so those that fingerprints miss are met by MinHash bands, tuned to find a pair at the threshold
+    with a chance of 0.998. Each link of either is verified exactly. Words are compared as in ``fingerprint``; wordless texts are equal. The document of the least id stays, one row of it; a row
     without an id comes after all others, so it stays only where no row of its group has one.
     """
     norm = F.array_join(words_of(ascii_lower(F.col(text))), " ")
@@ -282,8 +289,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     place = F.struct(F.isnull("id_").alias("no_id"), F.col("id_").alias("id_"))
     classes = row.groupBy("k1", "k2").agg(F.min(place).alias("first"))
     classes = scratch(classes, "text-classes")
-    keyed = _band_keys(row.select("k1", "norm"), similarity)
-    sets_of = lambda wanted: _shingle_sets(row.select("k1", "norm").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("norm").alias("norm")))
+    texts = row.select("k1", "norm")
+    keyed = _fingerprint_keys(texts, limit).unionByName(_band_keys(texts, similarity))
+    sets_of = lambda wanted: _shingle_sets(texts.join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("norm").alias("norm")))
     roots = passages.similar_classes(keyed, sets_of, similarity).withColumnRenamed("node", "k1")
     rooted = classes.join(roots, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     best = rooted.groupBy("root").agg(F.min(F.struct("first", "k1", "k2")).alias("best"))

@@ -524,6 +524,21 @@ def test_near_copies_of_the_pipeline_equal_brute_force(spark, docs, empty):
     assert simhash.drop_similar(docs).columns == docs.columns and simhash.drop_similar(empty).count() == 0
 
 
+def test_near_copies_of_the_pipeline_are_found_by_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    base = [f"s{rng.randrange(4000)}" for _ in range(900)]
+    texts = [" ".join(base), " ".join(base + ["tail"]), "Head " + " ".join(base), "p " * 200 + "x y z", "p " * 200 + "u v w"]
+    fps = [brute_fingerprint(t) for t in texts]
+    assert all(0 < (fps[0] ^ f).bit_count() <= 4 or f == fps[0] for f in fps[1:3]) and (fps[3] ^ fps[4]).bit_count() <= 4
+    bands = simhash._band_keys
+    monkeypatch.setattr(simhash, "_band_keys", lambda rows, similarity: bands(rows, similarity).limit(0))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # The last two have the same fingerprint, but are no near copies.
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, "").collect()) == [0, 3, 4]
+
+
 def test_mixing_tells_rows_apart_by_the_column_of_a_null(spark):
     df = spark.createDataFrame([(1, "a b", "x", None), (1, "a b", None, "x")], "doc_id long, text string, lang string, source string")
     out = mixing.mix_rows(df, {}, budget=8, max_epochs=2).collect()
