@@ -156,7 +156,7 @@ def _scanned(b: pa.RecordBatch, column: str, hits: str | None, patterns) -> Iter
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", min_percent: int = 5, max_nodes: int = MAX_NODES, keep: list[str] | None = None) -> DataFrame:
     """Judge every row of ``docs`` against the benchmark.
 
-    Returns the columns ``keep`` (default: all but those named like a result) and n_words, n_hit (words inside any occurrence of a window), items
+    Returns the columns ``keep`` (default: all but those named like a result in other case) and n_words, n_hit (words inside any occurrence of a window), items
     (ids of the items found, as strings in order), spans (begin and end of each hit passage, in characters of the
     original text) and contaminated (n_hit > 0 and 100 * n_hit >= min_percent * n_words). Cases: a null, empty or
     wordless text has no words and isn't contaminated; items that are null or wordless are left out; items of less
@@ -165,7 +165,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     text at a time beside its Arrow batch and the automaton.
     """
     results = {"n_words", "n_hit", "items", "spans", "contaminated"}
-    keep = [c for c in docs.columns if c.lower() not in results] if keep is None else keep
+    keep = [c for c in docs.columns if c in results or c.lower() not in results] if keep is None else keep
     if taken := {c.lower() for c in keep} & results:
         raise ValueError(f"columns named like results must not be in keep: {sorted(taken)}")
     *before, patterns = parts_of(benchmark, item, item_text, max_nodes)
