@@ -24,6 +24,8 @@ INTERVAL = 256
 H1, H2 = 11, 11
 #: Different symbols that a table may have; bits of the shares' denominator.
 SYMBOLS, SHARE = 1 << 17, 6
+#: Factors of the two ids in the hash of order 2.
+MIX_A, MIX_B = np.uint32(2246822519), np.uint32(3266489917)
 #: The coder's state has two digits of this many bits; it is refilled when it has less than one.
 DIGIT = 24
 LOW, MASK = 1 << DIGIT, (1 << DIGIT) - 1
@@ -92,18 +94,55 @@ class _Contexts:
         kind = np.uint16 if none < 1 << 16 else np.uint32
         self.t1, self.t2 = np.full(lanes << H1, none, kind), np.full(lanes << H2, none, kind)
         self.lane1, self.lane2 = np.arange(lanes) << H1, np.arange(lanes) << H2
-        self.a = self.b = np.zeros(lanes, np.uint32)
+        self.i1, self.i2, self.before = self.lane1, self.lane2, np.zeros(lanes, np.uint32)
 
     def look(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids that order 1 and order 2 name."""
-        self.i1 = self.lane1 + (self.b & np.uint32((1 << H1) - 1))
-        self.i2 = self.lane2 + ((self.a * np.uint32(2246822519) + self.b * np.uint32(3266489917)) >> np.uint32(32 - H2))
-        return self.t1[self.i1], self.t2[self.i2]
+        return self.t1.take(self.i1), self.t2.take(self.i2)
 
     def learn(self, x: np.ndarray) -> None:
-        self.t1[self.i1] = x
-        self.t2[self.i2] = x
-        self.a, self.b = self.b, np.asarray(x, np.uint32)
+        own = x.astype(self.t1.dtype)
+        self.t1[self.i1] = own
+        self.t2[self.i2] = own
+        own = x.astype(np.uint32)
+        self.i1 = self.lane1 + (x & ((1 << H1) - 1))
+        self.i2 = self.lane2 + ((self.before + own * MIX_B) >> np.uint32(32 - H2))
+        self.before = own * MIX_A
+
+
+def _named(x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_Contexts`` would name at each step, for ids that are all known (a row for each step, a column for each lane): order 1, order 2."""
+    steps, k = x.shape
+    kind = np.uint16 if none < 1 << 16 else np.uint32
+    out = [np.full((k, steps), none, kind), np.full((k, steps), none, kind)]
+    before = np.zeros(steps + 2, np.uint32)
+    for j, lane in enumerate(np.ascontiguousarray(x.T)):
+        before[2:] = lane
+        a, b = before[:-2], before[1:-1]
+        slots = b & np.uint32((1 << H1) - 1), (a * MIX_A + b * MIX_B) >> np.uint32(32 - H2)
+        for slot, found in zip(slots, out):
+            keys = slot.astype(np.uint16)
+            order = keys.argsort(kind="stable")  # within a slot in the order of the steps
+            keys = keys.take(order)
+            again = keys[1:] == keys[:-1]
+            found[j, order[1:][again]] = lane.take(order[:-1][again])
+    return out[0].T.copy(), out[1].T.copy()
+
+
+def _outcomes(lane4: np.ndarray, x: np.ndarray, c1: np.ndarray, c2: np.ndarray, none: int) -> tuple[np.ndarray, ...]:
+    """What ``_Shares.learn`` takes, 4 * lane + state, and whether order 1 and order 2 were right."""
+    j = _states(lane4, c1, c2, none)
+    is2 = x == c2
+    is1 = (x == c1) & ~is2
+    by = is2.view(np.uint8) + is1.view(np.uint8)
+    by += is1.view(np.uint8)
+    return 3 * j + by, j, is1, is2
+
+
+def _states(lane4: np.ndarray, c1: np.ndarray, c2: np.ndarray, none: int) -> np.ndarray:
+    """4 * lane + state."""
+    state, missing = (c1 == c2).view(np.uint8), (c2 == none).view(np.uint8)
+    return lane4 + (state + missing + missing)
 
 
 def _halves(ids: np.ndarray) -> np.ndarray:
@@ -139,38 +178,39 @@ def _encode(table: Table, x: np.ndarray, size: int) -> list[bytes]:
     k = -(-len(x) // size)
     longest, last = min(size, len(x)), len(x) - (k - 1) * size
     x = np.append(x, np.zeros(k * longest - len(x), x.dtype)).reshape(k, longest).T.copy()  # a row for each step
-    lanes, none, total = np.arange(k), table.none, table.total
-    shares, contexts = _Shares(k, table.bits), _Contexts(k, none)
+    lane4, none, total = np.arange(k) * 4, table.none, table.total
+    shares, c1_of, c2_of = _Shares(k, table.bits), *_named(x, none)
     low, span = np.zeros(k, np.int64), np.full(k, (1 << 2 * DIGIT) - 1, np.int64)
     width = longest + 4
     out, at = np.zeros(k * width, np.uint32), np.arange(k) * width
     first = at.copy()
     for lo in range(0, longest, INTERVAL):
-        own = x[lo : lo + INTERVAL]
-        c1, c2 = np.empty((2, *own.shape), contexts.t1.dtype)
-        for t, row in enumerate(own):
-            c1[t], c2[t] = contexts.look()
-            contexts.learn(row)
-        j = lanes * 4 + (c1 == c2) + 2 * (c2 == none)
-        is2 = own == c2
-        is1 = (own == c1) & ~is2
-        n2, n12, unit = shares.n2[j], shares.n12[j], shares.unit[j]
-        cum = np.where(is2, 0, np.where(is1, n2, n12 + table.cum[own] * unit))
-        freq = np.where(is2, n2, np.where(is1, n12 - n2, table.freq[own] * unit))
-        shares.learn((3 * j + is2 + 2 * is1).ravel())
+        own, c1, c2 = x[lo : lo + INTERVAL], c1_of[lo : lo + INTERVAL], c2_of[lo : lo + INTERVAL]
+        outcomes, j, is1, is2 = _outcomes(lane4, own, c1, c2, none)
+        unit = shares.unit.take(j)
+        cum, freq = table.cum.take(own), table.freq.take(own)
+        cum *= unit
+        freq *= unit
+        n12 = shares.n12.take(j)
+        cum += n12
+        at1, at2 = np.flatnonzero(is1), np.flatnonzero(is2)
+        n2 = shares.n2.take(j.ravel()[at1])
+        cum.ravel()[at1], freq.ravel()[at1] = n2, n12.ravel()[at1] - n2
+        cum.ravel()[at2], freq.ravel()[at2] = 0, shares.n2.take(j.ravel()[at2])
+        shares.learn(outcomes.ravel())
         if lo + len(own) > last:  # the last block has ended: steps that say nothing
             cum[max(last - lo, 0) :, -1], freq[max(last - lo, 0) :, -1] = 0, 1 << total
         for cum_, freq_ in zip(cum, freq):
             part = span >> total
             low += part * cum_
             span = part * freq_
-            full = np.flatnonzero(span < LOW)
-            now = low[full]
-            place = at[full]
+            full = (span < LOW).nonzero()[0]
+            now = low.take(full)
+            place = at.take(full)
             out[place] = now >> DIGIT
             at[full] = place + 1
             low[full] = (now & MASK) << DIGIT
-            span[full] <<= DIGIT
+            span[full] = span.take(full) << DIGIT
     for _ in range(2):
         out[at] = low >> DIGIT
         at += 1
@@ -208,46 +248,49 @@ def _decode(table: Table, coded: list[bytes], longest: int) -> np.ndarray:
     raw = np.zeros((k, width, 4), np.uint8)
     for j, c in enumerate(coded):
         raw[j, : len(c) // 3, 1:] = np.frombuffer(c, np.uint8).reshape(-1, 3)
-    digits = raw.view(">u4").ravel().astype(np.int64)
+    digits = raw.view(">u4").ravel().astype(float)
     del raw
     # The lane of a shorter last block reads on past its row, by a digit an id at most.
-    digits, at = np.append(digits, np.zeros(longest, np.int64)), np.arange(k) * width + 2
-    code = (digits[at - 2] << DIGIT) | digits[at - 1]
-    span = np.full(k, (1 << 2 * DIGIT) - 1, np.int64)
+    digits, at = np.append(digits, np.zeros(longest)), np.arange(k) * width + 2
+    # All numbers are below 2 ** 48 and so exact as doubles, which spares conversions.
+    code = digits[at - 2] * LOW + digits[at - 1]
+    span = np.full(k, float((1 << 2 * DIGIT) - 1))
     slot = np.repeat(np.arange(len(table.freq)), table.freq)
     shares, contexts, lane4 = _Shares(k, table.bits), _Contexts(k, none), np.arange(k) * 4
     out = np.empty((longest, k), np.uint32)
-    cum0, freq0, most = table.cum, table.freq, float((1 << total) - 1)
+    cum0, freq0, most, scale = table.cum.astype(float), table.freq.astype(float), float((1 << total) - 1), 0.5**total
     for lo in range(0, longest, INTERVAL):
         hi = min(lo + INTERVAL, longest)
-        outcomes = np.empty((hi - lo, k), np.int64)
+        n2s, n12s, units = (a.astype(float) for a in (shares.n2, shares.n12, shares.unit))
+        named1, named2 = np.empty((2, hi - lo, k), contexts.t1.dtype)
         for t in range(lo, hi):
-            c1, c2 = contexts.look()
-            j = lane4 + (c1 == c2) + 2 * (c2 == none)
-            n12, unit = shares.n12[j], shares.unit[j]
-            part = span >> total
-            # Below 2 ** 48 the division of doubles is exact enough: quotients lie 2 ** -26 apart from whole numbers.
-            v = np.minimum(code / part, most).astype(np.int64)
+            c1, c2 = named1[t - lo], named2[t - lo] = contexts.look()
+            j = _states(lane4, c1, c2, none)
+            n12, unit = n12s.take(j), units.take(j)
+            part = np.floor(span * scale)
+            # The division is exact enough: quotients lie 2 ** -26 apart from whole numbers.
+            v = np.floor(np.minimum(code / part, most))
             ahead = v - n12
             x = slot.take((ahead / unit).astype(np.int64), mode="clip")
-            cum, freq, outcome = n12 + cum0[x] * unit, freq0[x] * unit, 3 * j
-            named = np.flatnonzero(ahead < 0)
+            cum, freq = cum0.take(x), freq0.take(x)
+            cum *= unit
+            cum += n12
+            freq *= unit
+            named = (ahead < 0).nonzero()[0]
             if len(named):
-                n2 = shares.n2[j[named]]
-                is2 = v[named] < n2
+                n2 = n2s.take(j.take(named))
+                is2 = v.take(named) < n2
                 cum[named] = np.where(is2, 0, n2)
-                freq[named] = np.where(is2, n2, n12[named] - n2)
-                x[named] = np.where(is2, c2[named], c1[named])
-                outcome[named] += 2 - is2
+                freq[named] = np.where(is2, n2, n12.take(named) - n2)
+                x[named] = np.where(is2, c2.take(named), c1.take(named))
             code -= part * cum
             span = part * freq
-            more = np.flatnonzero(span < LOW)
-            place = at[more]
-            code[more] = (code[more] << DIGIT) | digits[place]
+            more = (span < LOW).nonzero()[0]
+            place = at.take(more)
+            code[more] = code.take(more) * LOW + digits.take(place)
             at[more] = place + 1
-            span[more] <<= DIGIT
+            span[more] = span.take(more) * LOW
             contexts.learn(x)
             out[t] = x
-            outcomes[t - lo] = outcome
-        shares.learn(outcomes.ravel())
+        shares.learn(_outcomes(lane4, out[lo:hi], named1, named2, none)[0].ravel())
     return out.T.ravel()

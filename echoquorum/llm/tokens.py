@@ -38,7 +38,7 @@ END = 1
 #: A segment is closed at the end of the document with which it has so many ids.
 SEGMENT_IDS = 6_000_000
 #: Bytes of text that are encoded together, and pre-tokens that a Python worker remembers from piece to piece.
-PIECE, REMEMBERED = 8 << 20, 600_000
+PIECE, REMEMBERED = 16 << 20, 600_000
 #: A printable character below U+0250, but for that whose lower case is two characters.
 PLAIN = r"[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]"
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u4")])
@@ -117,9 +117,9 @@ class Encoder:
         pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered, self.pattern, r"\0 "))
         flat = pieces.flatten().dictionary_encode()
         ids, at = self._pretokens(flat.dictionary)
-        which = flat.indices.to_numpy().astype(np.int64)
-        n = at[which + 1] - at[which]
-        plain_ids, piece_ends, offsets = _gather(ids, at[which], n), _ends(n), pieces.offsets.to_numpy()
+        which = flat.indices.to_numpy()
+        n = np.diff(at).take(which)
+        plain_ids, piece_ends, offsets = _gather(ids, at.take(which), n), _ends(n), pieces.offsets.to_numpy()
         plain_n = piece_ends[offsets[1:] - offsets[0]] - piece_ends[offsets[:-1] - offsets[0]]
         if len(lowered) == len(words):
             return plain_ids, _ends(plain_n)
@@ -136,10 +136,10 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts)
         flat, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
         ids, at = self._words(flat.dictionary)
-        which = flat.indices.to_numpy().astype(np.int64)
-        n = (at[1:] - at[:-1])[which]
+        which = flat.indices.to_numpy()
+        n = np.diff(at).astype(np.int32).take(which)
         ends = _ends(n)
-        return _gather(ids, at[which], n), ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
+        return _gather(ids, at.take(which), n), ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For one piece of the column after the other: the ids of its texts (uint32), and how many each text has."""
@@ -153,7 +153,9 @@ class Encoder:
 
 
 def _ends(n: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=out[1:])
+    return out
 
 
 def _gather(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -329,3 +329,16 @@ def test_pipeline_takes_nulls_repeats_clashing_names_and_nothing(spark, tmp_path
     twice = put(tmp_path / "b", rows + rows[:5] + [(None, rows[6][1], "en", "s0")] * 2)
     assert {x[1] for x in twice} <= {r[0] for r in rows}
     assert put(tmp_path / "c", []) == []
+
+
+def test_contexts_are_named_at_once_as_step_by_step():
+    rng = np.random.default_rng(4)
+    for none, top in ((300, 300), (100_000, 100_000)):
+        x = np.minimum(rng.zipf(1.3, (700, 3)) - 1, top - 1).astype(np.uint32)
+        contexts = rangecoder._Contexts(3, none)
+        steps = []
+        for row in x:
+            steps.append(contexts.look())
+            contexts.learn(row)
+        for found, want in zip(rangecoder._named(x, none), zip(*steps)):
+            assert (found == np.array(want)).all() and (found != none).any()
