@@ -126,7 +126,7 @@ def _named(x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
             keys = keys.take(order)
             again = keys[1:] == keys[:-1]
             found[j, order[1:][again]] = lane.take(order[:-1][again])
-    return out[0].T.copy(), out[1].T.copy()
+    return out.pop(0).T.copy(), out.pop().T.copy()
 
 
 def _outcomes(lane4: np.ndarray, x: np.ndarray, c1: np.ndarray, c2: np.ndarray, none: int) -> tuple[np.ndarray, ...]:
@@ -177,6 +177,7 @@ def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _encode(table: Table, x: np.ndarray, size: int) -> list[bytes]:
     k = -(-len(x) // size)
     longest, last = min(size, len(x)), len(x) - (k - 1) * size
+    x = x.astype(np.uint16 if table.none < 1 << 16 else np.uint32)
     x = np.append(x, np.zeros(k * longest - len(x), x.dtype)).reshape(k, longest).T.copy()  # a row for each step
     lane4, none, total = np.arange(k) * 4, table.none, table.total
     shares, c1_of, c2_of = _Shares(k, table.bits), *_named(x, none)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import ascii_lower, join_by_weight, row_keys, scratch, tidy, words_of
+from .common import ascii_lower, give_back, join_by_weight, row_keys, scratch, tidy, words_of
 from .components import connected_components
 
 SEED = 42
@@ -195,6 +195,7 @@ def _links_of(rows: DataFrame, bits: int, limit: int) -> DataFrame:
         parent = np.arange(len(fps))
         if len(fps) > 1:
             parent = _link(parent, fps, rest, parent.copy(), free, 64 - bits, limit)
+            give_back()
         signed, far = fps.view(np.int64), np.flatnonzero(parent != np.arange(len(parent)))
         return pa.table({"u": signed[far], "v": signed[parent[far]]})
 
