@@ -24,6 +24,8 @@ INTERVAL = 256
 H1, H2 = 11, 11
 #: Different symbols that a table may have; bits of the shares' denominator.
 SYMBOLS, SHARE = 1 << 17, 6
+#: Ids that are looked up at once.
+PART = 1 << 18
 #: Factors of the two ids in the hash of order 2.
 MIX_A, MIX_B = np.uint32(2246822519), np.uint32(3266489917)
 #: The coder's state has two digits of this many bits; it is refilled when it has less than one.
@@ -91,7 +93,7 @@ class _Contexts:
     """What last followed each id and each two ids, in every lane."""
 
     def __init__(self, lanes: int, none: int):
-        kind = np.uint16 if none < 1 << 16 else np.uint32
+        kind = _kind(none)
         self.t1, self.t2 = np.full(lanes << H1, none, kind), np.full(lanes << H2, none, kind)
         self.lane1, self.lane2 = np.arange(lanes) << H1, np.arange(lanes) << H2
         self.i1, self.i2, self.before = self.lane1, self.lane2, np.zeros(lanes, np.uint32)
@@ -113,7 +115,7 @@ class _Contexts:
 def _named(x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
     """What ``_Contexts`` would name at each step, for ids that are all known (a row for each step, a column for each lane): order 1, order 2."""
     steps, k = x.shape
-    kind = np.uint16 if none < 1 << 16 else np.uint32
+    kind = _kind(none)
     out = [np.full((k, steps), none, kind), np.full((k, steps), none, kind)]
     before = np.zeros(steps + 2, np.uint32)
     for j, lane in enumerate(np.ascontiguousarray(x.T)):
@@ -164,23 +166,44 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
 
 def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ids, the place of each id among them, and their counts."""
-    if int(ids.max()) < 1 << 22:
-        counts = np.bincount(ids)
+    most = int(ids.max())
+    if most < 1 << 22:
+        counts = np.zeros(most + 1, np.int64)
+        for part in _parts(ids):
+            counts += np.bincount(part, minlength=most + 1)
         symbols = np.flatnonzero(counts)
-        place = np.zeros(len(counts), np.uint32)
+        place = np.zeros(most + 1, _kind(len(symbols)))
         place[symbols] = np.arange(len(symbols))
-        return symbols.astype(np.uint32), place[ids], counts[symbols]
+        return symbols.astype(np.uint32), _looked_up(place, ids), counts[symbols]
     symbols, x, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    return symbols, x.astype(np.uint32), counts
+    return symbols, x.astype(_kind(len(symbols))), counts
+
+
+def _kind(n: int) -> type:
+    """The numbers below n, and n itself."""
+    return np.uint16 if n < 1 << 16 else np.uint32
+
+
+def _parts(x: np.ndarray) -> list[np.ndarray]:
+    """Numpy makes 64-bit copies of what it takes as places, so it gets a part at a time."""
+    return [x[i : i + PART] for i in range(0, len(x), PART)]
+
+
+def _looked_up(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at), values.dtype)
+    for to, part in zip(_parts(out), _parts(at)):
+        to[:] = values[part]
+    return out
 
 
 def _encode(table: Table, x: np.ndarray, size: int) -> list[bytes]:
     k = -(-len(x) // size)
     longest, last = min(size, len(x)), len(x) - (k - 1) * size
-    x = x.astype(np.uint16 if table.none < 1 << 16 else np.uint32)
-    x = np.append(x, np.zeros(k * longest - len(x), x.dtype)).reshape(k, longest).T.copy()  # a row for each step
+    x.resize(k * longest, refcheck=False)
+    x = x.reshape(k, longest).T  # a row for each step
     lane4, none, total = np.arange(k) * 4, table.none, table.total
     shares, c1_of, c2_of = _Shares(k, table.bits), *_named(x, none)
+    x = x.copy()
     low, span = np.zeros(k, np.int64), np.full(k, (1 << 2 * DIGIT) - 1, np.int64)
     width = longest + 4
     out, at = np.zeros(k * width, np.uint32), np.arange(k) * width
@@ -239,7 +262,7 @@ def decode(head: bytes, coded: list[bytes], sizes: list[int]) -> np.ndarray:
     steps, first, freq = (np.frombuffer(head, "<u4", k, at) for k, at in ((n, 5), (1, 5 + 4 * n), (n, 9 + 4 * n)))
     table = Table((first + np.cumsum(steps)).astype(np.uint32), freq)
     x = _decode(table, coded, sizes[0] << halved)
-    ids = table.symbols[x[: sum(sizes) << halved]]
+    ids = _looked_up(table.symbols, x[: sum(sizes) << halved])
     return ids[::2] << np.uint32(16) | ids[1::2] if halved else ids
 
 
@@ -258,7 +281,7 @@ def _decode(table: Table, coded: list[bytes], longest: int) -> np.ndarray:
     span = np.full(k, float((1 << 2 * DIGIT) - 1))
     slot = np.repeat(np.arange(len(table.freq)), table.freq)
     shares, contexts, lane4 = _Shares(k, table.bits), _Contexts(k, none), np.arange(k) * 4
-    out = np.empty((longest, k), np.uint32)
+    out = np.empty((longest, k), _kind(none))
     cum0, freq0, most, scale = table.cum.astype(float), table.freq.astype(float), float((1 << total) - 1), 0.5**total
     for lo in range(0, longest, INTERVAL):
         hi = min(lo + INTERVAL, longest)

@@ -30,15 +30,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import make_folder, new_path, scratch, tidy
+from .common import give_back, make_folder, new_path, scratch, tidy
 from .warc import _open
 
 MAGIC = b"EQTOK2\n\0"
 END = 1
 #: A segment is closed at the end of the document with which it has so many ids.
 SEGMENT_IDS = 6_000_000
-#: Bytes of text that are encoded together, and pre-tokens that a Python worker remembers from piece to piece.
-PIECE, REMEMBERED = 8 << 20, 600_000
+#: Bytes of text that are encoded together, texts of them that the library gets at once, and pre-tokens that a Python worker
+#: remembers from piece to piece.
+PIECE, TEXTS, REMEMBERED = 2 << 20, 256, 600_000
 #: A printable character below U+0250, but for that whose lower case is two characters.
 PLAIN = r"[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]"
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u4")])
@@ -81,8 +82,10 @@ class Encoder:
 
     def _library(self, texts: list[str], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids and number of ids of each text, by the library."""
-        ids = [e.ids for e in (self.bare if bare else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        own, ids = self.bare if bare else self.tokenizer, []
+        for i in range(0, len(texts), TEXTS):  # what the library returns takes some hundred bytes an id
+            ids += [np.array(e.ids, np.uint32) for e in own.encode_batch_fast(texts[i : i + TEXTS], add_special_tokens=False)]
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _new_pretokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_library``; many pre-tokens in one text, told apart by the tokens that end a word."""
@@ -205,7 +208,7 @@ def drops_space(spec: dict) -> bool:
 
 
 def segment(docs: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of a segment for documents (DOC) and all their ids (uint32)."""
+    """The bytes of a segment for documents (DOC) and all their ids (unsigned)."""
     table, coded = rangecoder.encode(ids)
     parts = [ids[i : i + rangecoder.BLOCK] for i in range(0, len(ids), rangecoder.BLOCK)]
     blocks = np.array([(len(p), len(c), zlib.crc32(c), zlib.crc32(p.astype("<u4").tobytes())) for p, c in zip(parts, coded)], BLOCK)
@@ -228,7 +231,7 @@ def read_segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k, (c, b) in enumerate(zip(coded, blocks)):
             if len(c) != b["bytes"] or zlib.crc32(c) != b["crc"]:
                 raise ValueError(f"block {k} of a segment is damaged")
-        ids = rangecoder.decode(tables[fixed:], coded, [int(n) for n in blocks["n"]]).astype("<u4")
+        ids = rangecoder.decode(tables[fixed:], coded, [int(n) for n in blocks["n"]]).astype("<u4", copy=False)
         del coded
         at = 0
         for k, b in enumerate(blocks):
@@ -238,6 +241,7 @@ def read_segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if at != int(docs["n"].sum()):
             raise ValueError("a segment's documents and blocks differ in length")
         yield docs, ids
+        del ids
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text: str = "text", end_id: int = END) -> DataFrame:
@@ -277,8 +281,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
                 table = np.zeros(len(n), DOC)
                 table["has"] = pc.is_valid(who).to_numpy(zero_copy_only=False)
                 table["id"], table["n"] = pc.fill_null(who, 0).to_numpy(zero_copy_only=False), n + 1
-                held.append((table, np.insert(ids, np.cumsum(n), np.uint32(end_id))))
-                n_held += len(held[-1][1])
+                ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
+                held.append((table, ids.astype(np.uint16) if ids.max() < 1 << 16 else ids))
+                n_held += len(ids)
+                del ids
+                give_back()
                 if n_held >= SEGMENT_IDS:
                     flush()
         if stream is not None:
@@ -319,6 +326,8 @@ def read_tokens(files: DataFrame, ids: bool = False) -> DataFrame:
                         if ids:
                             columns.append(pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1:]), pa.int32()), pa.array(values.view("<i4"))))
                         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+                        del values, parts, columns
+                        give_back()
                         start += int(docs["n"].sum())
 
     return placed.repartition(max(1, files.count())).mapInArrow(tidy(run), schema)

@@ -2,6 +2,7 @@
 
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -116,6 +117,18 @@ def test_random_texts_have_the_librarys_ids(texts):
     assert encoded(queries.word_tokenizer(), texts) == library(queries.word_tokenizer(), texts)
 
 
+def test_range_coder_needs_few_bytes_an_id():
+    """No 64-bit copies of all ids: before, 17.7 and 15.3 bytes an id."""
+    ids = (np.random.default_rng(1).zipf(1.3, 1_000_000) % 40_000).astype(np.uint32)
+    peaks = []
+    for run in (lambda: rangecoder.encode(ids), lambda: rangecoder.decode(*made, [min(rangecoder.BLOCK, len(ids) - i) for i in range(0, len(ids), rangecoder.BLOCK)])):
+        tracemalloc.start()
+        made = run()
+        peaks.append(tracemalloc.get_traced_memory()[1] / len(ids))
+        tracemalloc.stop()
+    assert (made == ids).all() and peaks[0] < 17 and peaks[1] < 13
+
+
 def test_every_plain_character_has_the_librarys_ids():
     each = [chr(i) for i in range(1, 0x260)]
     texts = each + [f"a{c}b" for c in each] + [f"{c}{c}'s1{c}" for c in each] + [f"'{c}" for c in each]
