@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +147,34 @@ def decode_fingerprint(blob: pd.Series) -> pd.Series:
     return blob.map(_decoded)
 
 
+#: Fingerprints that are coded at once in ``round_trips``.
+ROUND_TRIPS = 256
+
+
+def round_trips(fingerprints: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, bytes, same): the hashes of each fingerprint, the bytes it takes when stored, and whether it is read back as it was.
+
+    One worker a task encodes, decodes and compares, some fingerprints at a time, and no fingerprint leaves it. Nulls for a null one, which is the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROUND_TRIPS):
+                part = batch.slice(begin, ROUND_TRIPS)
+                lists = part.column(part.num_columns - 1)
+                hashes, at = lists.values, lists.offsets.to_pylist()
+                sizes, same = [], []
+                for here, i, j in zip(lists.is_valid().to_pylist(), at[:-1], at[1:]):
+                    h = hashes.slice(i, j - i).to_numpy(zero_copy_only=False) if here else None
+                    blob = None if h is None else encode(h)
+                    sizes.append(None if h is None else len(blob))
+                    same.append(h is None or np.array_equal(_decoded(blob), h))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes, pa.int32()), pa.array(same, pa.bool_())], names=[*keys, "n", "bytes", "same"])
+
+    src = fingerprints.select(*keys, F.size("hashes").alias("n"), "hashes")
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("bytes", T.IntegerType()), T.StructField("same", T.BooleanType())]))
+
+
 def coefficient_table(spark: SparkSession) -> DataFrame:
     a, b = coefficients()
     return spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(zip(a, b))], "slot int, a long, b long")

@@ -332,3 +332,16 @@ def test_the_consensus_shuffles_no_fingerprints(spark):
     out = {r.tmdb_id: r.hashes for r in consensus.consensus_canonical(votes).collect()}
     assert written() - before < 1_500_000  # 41 fingerprints of 80 KB would be more
     assert out[7] == sorted(out[8]) and out[8] != out[7] and len(set(out[7])) == len(out[7])
+
+
+def test_round_trips_are_those_of_the_columns_functions(spark, monkeypatch):
+    """Nulls, empty ones and many slices; one Arrow function, which no fingerprint leaves, as two held some copies of each batch."""
+    monkeypatch.setattr(sketch, "ROUND_TRIPS", 3)
+    rows = [(0, None), (1, []), (2, [4294967295, 0, 5])] + [(i, [i * 7919 * j % 2**32 for j in range(i)]) for i in range(3, 20)]
+    df = spark.createDataFrame(rows, "k long, hashes array<long>").coalesce(1)
+    out = sketch.round_trips(df, ["k"])
+    blob = sketch.encode_fingerprint("hashes")
+    want = df.select("k", F.size("hashes").alias("n"), F.length(blob).alias("bytes"), sketch.decode_fingerprint(blob).eqNullSafe(F.col("hashes")).alias("same"))
+    assert out.columns == want.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and all(r.same for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
