@@ -108,3 +108,11 @@ def test_parts_of_the_sketches_change_nothing(spark, kind, monkeypatch):
     got = {(x.query_id, x.tmdb_id or 0, x.jaccard) for x in identify.similar(a, b, 3).collect()}
     assert got == full_scan(asked, refs, 3)
     assert identify.similar(a.limit(0), b, 3).count() == identify.similar(a, b.limit(0), 3).count() == 0
+
+
+def test_few_queries_meet_small_blocks_however_many_references_there_are():
+    """Before, a block grew with the catalogue up to 65,536 references; queries still aren't copied more often than there are references."""
+    for there in (50_000, 500_000, 3_000_000):
+        g, b = identify.blocks(400, there, 12)
+        assert g == 1 and there / b <= identify.LEAST_BLOCK and 400 * b <= there + 400
+    assert identify.blocks(500_000, 500_000, 12) == (2, 8)  # all with all: as before
