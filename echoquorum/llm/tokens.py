@@ -19,7 +19,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -37,9 +37,9 @@ MAGIC = b"EQTOK2\n\0"
 END = 1
 #: A segment is closed at the end of the document with which it has so many ids.
 SEGMENT_IDS = 6_000_000
-#: Bytes of text that are encoded together, texts of them that the library gets at once, and pre-tokens that a Python worker
-#: remembers from piece to piece.
-PIECE, TEXTS, REMEMBERED = 2 << 20, 256, 600_000
+#: Bytes of text that are encoded together, texts of them that the library gets at once, and how many words, and how many
+#: pre-tokens, a Python worker remembers from piece to piece.
+PIECE, TEXTS, REMEMBERED = 4 << 20, 256, 300_000
 #: A printable character below U+0250, but for that whose lower case is two characters.
 PLAIN = r"[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]"
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u4")])
@@ -50,8 +50,8 @@ class Encoder:
     """Ids of whole columns of texts for one tokenizer file; one of these in each Python worker.
 
     If the tokenizer drops white space and divides texts by a plain pattern (``drops_space``), a text's ids are those of
-    its white-space-separated words one after the other, and a word's ids are those of its pre-tokens. So each distinct
-    word of a piece of a column is divided once, and each distinct pre-token encoded once. That the pattern here (RE2)
+    its white-space-separated words one after the other, and a word's ids are those of its pre-tokens. So words that are
+    remembered aren't divided again, and pre-tokens that are remembered aren't encoded again. That the pattern here (RE2)
     and the library's divide alike is known for printable Latin characters below U+0250 only: a word with any other is
     encoded by the library as a whole, and so is one that holds an added token. Other tokenizers encode whole texts.
     """
@@ -71,14 +71,11 @@ class Encoder:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
             self.pattern = _split_pattern(spec)
             self.added = [t["content"] for t in spec.get("added_tokens", [])]
-            # For pre-tokens, which are normalised and divided already.
-            rest = spec["pre_tokenizer"].get("pretokenizers", [None])[1:]
-            whole = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}
-            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": whole, "added_tokens": []}))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known, self.known_ids, self.known_at = pa.array([""]), np.zeros(0, np.uint32), np.zeros(2, np.int64)
+            # For pre-tokens, which are normalised and divided already, and whose bytes are letters of the byte level.
+            whole = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(spec | whole))
+            self.letters = _letters()
+            self.words, self.pretokens = _Memory(REMEMBERED), _Memory(REMEMBERED)
 
     def _library(self, texts: list[str], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids and number of ids of each text, by the library."""
@@ -87,62 +84,48 @@ class Encoder:
             ids += [np.array(e.ids, np.uint32) for e in own.encode_batch_fast(texts[i : i + TEXTS], add_special_tokens=False)]
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def _new_pretokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _new_pretokens(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``_library``; many pre-tokens in one text, told apart by the tokens that end a word."""
-        ids, _ = self._library([" ".join(pieces[i : i + 64]) for i in range(0, len(pieces), 64)], bare=True)
+        ids, _ = self._library(self._joined(pieces, 64), bare=True)
         last = np.flatnonzero(self.ends[ids])
         if len(last) != len(pieces) or len(ids) and last[-1] != len(ids) - 1:
-            return self._library(pieces, bare=True)
+            return self._library(self._joined(pieces, 1), bare=True)
         return ids, np.diff(last, prepend=-1)
 
-    def _pretokens(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct pre-tokens, one after the other, and where each one's begin (and the end)."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        found = pc.index_in(pieces, value_set=self.known)
-        at, is_new = pc.fill_null(found, 0).to_numpy().astype(np.int64), pc.is_null(found)
-        new = pieces.filter(is_new)  # never the empty one, which is known
-        if len(new):
-            ids, n = self._new_pretokens(new.to_pylist())
-            at[is_new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
-            self.known = pa.concat_arrays([self.known, new])
-            self.known_ids = np.concatenate([self.known_ids, ids])
-            self.known_at = np.concatenate([self.known_at, self.known_at[-1] + np.cumsum(n)])
-        begin, n = self.known_at[at], self.known_at[at + 1] - self.known_at[at]
-        return _gather(self.known_ids, begin, n), _ends(n)
-
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, one after the other, and where each one's begin (and the end)."""
+    def _joined(self, pieces: pa.Array, each: int) -> list[str]:
+        """Texts of so many pre-tokens each, with a space between them, in letters of the byte level."""
+        at = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, 4 * pieces.offset)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)[at[0] : at[-1]]
+        gaps = np.full(len(pieces), ord(" "), "<u4")
+        gaps[each - 1 :: each] = gaps[-1:] = ord("\n")
+        return np.insert(self.letters.take(data), at[1:] - at[0], gaps).tobytes().decode("utf-32-le").split("\n")[:-1]
+
+    def _new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_library``, for distinct words."""
         plain = pc.match_substring_regex(words, f"^{PLAIN}*$")
         for t in self.added:
             plain = pc.and_(plain, pc.invert(pc.match_substring(words, t)))
         lowered = pc.utf8_lower(words.filter(plain))
         pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered, self.pattern, r"\0 "))
-        flat = pieces.flatten().dictionary_encode()
-        ids, at = self._pretokens(flat.dictionary)
-        which = flat.indices.to_numpy()
-        n = np.diff(at).take(which)
-        plain_ids, piece_ends, offsets = _gather(ids, at.take(which), n), _ends(n), pieces.offsets.to_numpy()
-        plain_n = piece_ends[offsets[1:] - offsets[0]] - piece_ends[offsets[:-1] - offsets[0]]
+        offsets = pieces.offsets.to_numpy()
+        plain_ids, ends = self.pretokens.ids(pieces.flatten(), self._new_pretokens)
+        plain_n = ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
         if len(lowered) == len(words):
-            return plain_ids, _ends(plain_n)
+            return plain_ids, plain_n
         odd_ids, odd_n = self._library(words.filter(pc.invert(plain)).to_pylist())
         is_plain = plain.to_numpy(zero_copy_only=False)
         n, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         n[is_plain], n[~is_plain] = plain_n, odd_n
         begin[is_plain], begin[~is_plain] = _ends(plain_n)[:-1], len(plain_ids) + _ends(odd_n)[:-1]
-        return _gather(np.concatenate([plain_ids, odd_ids]), begin, n), _ends(n)
+        return _gather(np.concatenate([plain_ids, odd_ids]), begin, n), n
 
     def _piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_word:
             return self._library(texts.to_pylist())
-        split = pc.ascii_split_whitespace(texts)
-        flat, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
-        ids, at = self._words(flat.dictionary)
-        which = flat.indices.to_numpy()
-        n = np.diff(at).astype(np.int32).take(which)
-        ends = _ends(n)
-        return _gather(ids, at.take(which), n), ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        ids, ends = self.words.ids(split.flatten(), self._new_words)
+        return ids, ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For one piece of the column after the other: the ids of its texts (uint32), and how many each text has."""
@@ -155,6 +138,40 @@ class Encoder:
             lo = hi
 
 
+class _Memory:
+    """Strings that were met before and the ids of each; if there are more than ``room``, half as many stay, those that were met most."""
+
+    def __init__(self, room: int):
+        self.room, self.known = room, pa.array([""])  # which has no ids
+        self.values, self.at, self.uses = np.zeros(0, np.uint32), np.zeros(2, np.int64), np.zeros(1, np.int64)
+
+    def ids(self, strings: pa.Array, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings, one after the other, and where each one's begin (and the end); ``make`` gives new strings' ids and their numbers."""
+        if not len(strings):
+            return self.values[:0], _ends(np.zeros(0, np.int64))
+        if len(self.known) > self.room:
+            self._forget()
+        # One dictionary for both: the known strings keep their places, new ones follow.
+        found = pa.chunked_array([self.known, strings]).dictionary_encode().chunk(1)
+        new = found.dictionary.slice(len(self.known))
+        if len(new):
+            values, n = make(new)
+            self.values, self.at = np.concatenate([self.values, values]), np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
+            self.known = found.dictionary
+        which = found.indices.to_numpy()
+        uses = np.bincount(which, minlength=len(self.known))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        n = np.diff(self.at).astype(np.int32).take(which)
+        return _gather(self.values, self.at.take(which), n), _ends(n)
+
+    def _forget(self) -> None:
+        stay = np.sort(np.append(0, 1 + np.argpartition(-self.uses[1:], self.room // 2)[: self.room // 2]))
+        begin, n = self.at[stay], np.diff(self.at)[stay]
+        self.values, self.at = _gather(self.values, begin, n), _ends(n)
+        self.known, self.uses = self.known.take(pa.array(stay)), self.uses[stay] >> 1
+
+
 def _ends(n: np.ndarray) -> np.ndarray:
     out = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=out[1:])
@@ -180,12 +197,22 @@ def _split_pattern(spec: dict) -> str:
     return pres.get("pretokenizers", [pres])[0]["pattern"]["Regex"]
 
 
+def _letters() -> np.ndarray:
+    """The character (its number) that stands for each byte on the byte level."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    letters = np.sort(np.array([ord(c) for c in ByteLevel.alphabet()], "<u4"))
+    of = np.arange(256, dtype="<u4")
+    of[~np.isin(of, letters)] = letters[letters > 255]  # bytes that aren't printable, in their order
+    return of
+
+
 def drops_space(spec: dict) -> bool:
     """Whether ASCII white space only separates words for this tokenizer, by its file's contents, and words divide by a pattern.
 
     True for: normalisers that treat characters one by one or map runs of white space to a space, then a split that
     removes all that its pattern doesn't match, with a pattern of plain alternatives that never matches white space and
-    always matches a printable character, then nothing that divides further; a model that marks the ends of
+    always matches a printable character, then the byte level, which divides no further; a model that marks the ends of
     words; and no added token that strips or is found within words only.
     """
     steps = lambda x, key: x.get(key, [x]) if x else []
@@ -198,7 +225,7 @@ def drops_space(spec: dict) -> bool:
         plain and any(n["type"] == "Lowercase" for n in norms)
         and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed"
         and not any(x in bare for x in ("\\s", " ", ".", "[^", "(", "^", "$", "\\b"))
-        and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pres[1:])
+        and [p["type"] for p in pres[1:]] == ["ByteLevel"] and not pres[1]["add_prefix_space"] and not pres[1]["use_regex"]
         and spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix")
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", []))
     ):

@@ -146,6 +146,33 @@ def test_pieces_and_segments_join_up(spark, monkeypatch):
     assert [ids.tolist() for _, ids in back] == library(queries.word_tokenizer(), texts)
 
 
+def test_known_words_are_not_divided_again(monkeypatch):
+    """What goes through the pattern and to the library, piece by piece; more words than are remembered."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    own, divided, given = tokens.Encoder(queries.word_tokenizer()), [], []
+    replace, library_of = tokens.pc.replace_substring_regex, own.bare.encode_batch_fast
+    monkeypatch.setattr(tokens.pc, "replace_substring_regex", lambda x, *how: divided.extend(x.to_pylist()) or replace(x, *how))
+
+    class Bare:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(w for t in texts for w in t.split())
+            return library_of(texts, **how)
+
+    own.bare = Bare()
+    often = " ".join(f"often{a}{b}, it's" for a in "abcde" for b in "fgh")
+    for i in range(6):
+        texts = [often * 3, " ".join(f"rare{a}{b}{'xyzuvw'[i]}é" for a in "abcdef" for b in "ghijkl")]
+        divided.clear(), given.clear()
+        ((ids, n),) = own.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == library(queries.word_tokenizer(), texts)
+        assert len(divided) == len(set(divided)) and len(given) == len(set(given))
+        if i:
+            assert len(divided) == len(given) == 36 and not any("often" in w for w in divided + given)
+    assert max(len(own.words.known), len(own.pretokens.known)) <= 60 + 60
+    ((ids, n),) = own.encode(pa.array(["it's  é", None, ""], pa.large_string()))
+    assert np.split(ids, np.cumsum(n))[0].tolist() == library(queries.word_tokenizer(), ["it's  é"])[0] and list(n[1:]) == [0, 0]
+
+
 def test_a_damaged_block_is_found():
     data = bytearray(tokens.segment(np.array([(1, 1, 9000), (0, 0, 0)], tokens.DOC), np.arange(9000, dtype=np.uint32)))
     docs, ids = next(tokens.read_segments(io.BytesIO(bytes(data))))
