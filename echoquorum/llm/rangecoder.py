@@ -116,7 +116,7 @@ def _named(x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
     """What ``_Contexts`` would name at each step, for ids that are all known (a row for each step, a column for each lane): order 1, order 2."""
     steps, k = x.shape
     kind = _kind(none)
-    out = [np.full((k, steps), none, kind), np.full((k, steps), none, kind)]
+    out = np.full((k, steps), none, kind), np.full((k, steps), none, kind)
     before = np.zeros(steps + 2, np.uint32)
     for j, lane in enumerate(np.ascontiguousarray(x.T)):
         before[2:] = lane
@@ -125,10 +125,9 @@ def _named(x: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
         for slot, found in zip(slots, out):
             keys = slot.astype(np.uint16)
             order = keys.argsort(kind="stable")  # within a slot in the order of the steps
-            keys = keys.take(order)
-            again = keys[1:] == keys[:-1]
-            found[j, order[1:][again]] = lane.take(order[:-1][again])
-    return out.pop(0).T.copy(), out.pop().T.copy()
+            keys, own = keys.take(order), lane.take(order)
+            found[j][order[1:]] = np.where(keys[1:] == keys[:-1], own[:-1], kind(none))
+    return out[0].T, out[1].T
 
 
 def _outcomes(lane4: np.ndarray, x: np.ndarray, c1: np.ndarray, c2: np.ndarray, none: int) -> tuple[np.ndarray, ...]:
@@ -203,13 +202,14 @@ def _encode(table: Table, x: np.ndarray, size: int) -> list[bytes]:
     x = x.reshape(k, longest).T  # a row for each step
     lane4, none, total = np.arange(k) * 4, table.none, table.total
     shares, c1_of, c2_of = _Shares(k, table.bits), *_named(x, none)
-    x = x.copy()
     low, span = np.zeros(k, np.int64), np.full(k, (1 << 2 * DIGIT) - 1, np.int64)
     width = longest + 4
     out, at = np.zeros(k * width, np.uint32), np.arange(k) * width
     first = at.copy()
+    most = min(INTERVAL, longest)
+    digits, moved = np.empty((most, k), np.int64), np.empty((most, k), bool)
     for lo in range(0, longest, INTERVAL):
-        own, c1, c2 = x[lo : lo + INTERVAL], c1_of[lo : lo + INTERVAL], c2_of[lo : lo + INTERVAL]
+        own, c1, c2 = (np.ascontiguousarray(a[lo : lo + INTERVAL]) for a in (x, c1_of, c2_of))
         outcomes, j, is1, is2 = _outcomes(lane4, own, c1, c2, none)
         unit = shares.unit.take(j)
         cum, freq = table.cum.take(own), table.freq.take(own)
@@ -224,17 +224,25 @@ def _encode(table: Table, x: np.ndarray, size: int) -> list[bytes]:
         shares.learn(outcomes.ravel())
         if lo + len(own) > last:  # the last block has ended: steps that say nothing
             cum[max(last - lo, 0) :, -1], freq[max(last - lo, 0) :, -1] = 0, 1 << total
-        for cum_, freq_ in zip(cum, freq):
-            part = span >> total
-            low += part * cum_
-            span = part * freq_
-            full = (span < LOW).nonzero()[0]
-            now = low.take(full)
-            place = at.take(full)
-            out[place] = now >> DIGIT
-            at[full] = place + 1
-            low[full] = (now & MASK) << DIGIT
-            span[full] = span.take(full) << DIGIT
+        # Every lane's digit is put down at each step, and those that were moved out are picked after the last.
+        for cum_, freq_, digit, full in zip(cum, freq, digits, moved):
+            span >>= total
+            cum_ *= span
+            low += cum_
+            span *= freq_
+            np.less(span, LOW, out=full)
+            np.right_shift(low, DIGIT, out=digit)
+            shift = full.astype(np.int64)
+            low -= (digit * shift) << DIGIT
+            shift *= DIGIT
+            low <<= shift
+            span <<= shift
+        picked = moved[: len(own)].T
+        n = picked.sum(axis=1)
+        place = np.repeat(at - np.cumsum(n) + n, n)
+        place += np.arange(len(place))
+        out[place] = digits[: len(own)].T[picked]
+        at += n
     for _ in range(2):
         out[at] = low >> DIGIT
         at += 1
@@ -279,36 +287,41 @@ def _decode(table: Table, coded: list[bytes], longest: int) -> np.ndarray:
     # All numbers are below 2 ** 48 and so exact as doubles, which spares conversions.
     code = digits[at - 2] * LOW + digits[at - 1]
     span = np.full(k, float((1 << 2 * DIGIT) - 1))
-    slot = np.repeat(np.arange(len(table.freq)), table.freq)
+    slot = np.repeat(np.arange(len(table.freq), dtype=_kind(none)), table.freq)
     shares, contexts, lane4 = _Shares(k, table.bits), _Contexts(k, none), np.arange(k) * 4
     out = np.empty((longest, k), _kind(none))
-    cum0, freq0, most, scale = table.cum.astype(float), table.freq.astype(float), float((1 << total) - 1), 0.5**total
+    ranges = np.stack([table.cum, table.freq], axis=1).astype(float)
+    most, scale = float((1 << total) - 1), 0.5**total
     for lo in range(0, longest, INTERVAL):
         hi = min(lo + INTERVAL, longest)
-        n2s, n12s, units = (a.astype(float) for a in (shares.n2, shares.n12, shares.unit))
-        named1, named2 = np.empty((2, hi - lo, k), contexts.t1.dtype)
+        parts = np.stack([shares.n2, shares.n12, shares.unit, shares.n12 - shares.n2], axis=1).astype(float)
+        named1, named2 = np.empty((2, hi - lo, k), out.dtype)
         for t in range(lo, hi):
             c1, c2 = named1[t - lo], named2[t - lo] = contexts.look()
-            j = _states(lane4, c1, c2, none)
-            n12, unit = n12s.take(j), units.take(j)
-            part = np.floor(span * scale)
+            part = parts.take(_states(lane4, c1, c2, none), axis=0)
+            n12, unit = part[:, 1], part[:, 2]
+            span *= scale
+            np.floor(span, out=span)
             # The division is exact enough: quotients lie 2 ** -26 apart from whole numbers.
-            v = np.floor(np.minimum(code / part, most))
+            v = code / span
+            np.minimum(v, most, out=v)
+            np.floor(v, out=v)
             ahead = v - n12
             x = slot.take((ahead / unit).astype(np.int64), mode="clip")
-            cum, freq = cum0.take(x), freq0.take(x)
-            cum *= unit
+            own = ranges.take(x, axis=0)
+            cum, freq = own[:, 0] * unit, own[:, 1] * unit
             cum += n12
-            freq *= unit
             named = (ahead < 0).nonzero()[0]
             if len(named):
-                n2 = n2s.take(j.take(named))
+                part = part.take(named, axis=0)
+                n2 = part[:, 0]
                 is2 = v.take(named) < n2
-                cum[named] = np.where(is2, 0, n2)
-                freq[named] = np.where(is2, n2, n12.take(named) - n2)
+                cum[named] = np.where(is2, 0.0, n2)
+                freq[named] = np.where(is2, n2, part[:, 3])
                 x[named] = np.where(is2, c2.take(named), c1.take(named))
-            code -= part * cum
-            span = part * freq
+            cum *= span
+            code -= cum
+            span *= freq
             more = (span < LOW).nonzero()[0]
             place = at.take(more)
             code[more] = code.take(more) * LOW + digits.take(place)

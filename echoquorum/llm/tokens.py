@@ -39,7 +39,7 @@ END = 1
 SEGMENT_IDS = 6_000_000
 #: Bytes of text that are encoded together, texts of them that the library gets at once, and how many words, and how many
 #: pre-tokens, a Python worker remembers from piece to piece.
-PIECE, TEXTS, REMEMBERED = 4 << 20, 256, 300_000
+PIECE, TEXTS, REMEMBERED = 8 << 20, 256, 300_000
 #: A printable character below U+0250, but for that whose lower case is two characters.
 PLAIN = r"[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]"
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u4")])
