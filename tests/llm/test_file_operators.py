@@ -129,6 +129,19 @@ def test_range_coder_needs_few_bytes_an_id():
     assert (made == ids).all() and peaks[0] < 17 and peaks[1] < 13
 
 
+def test_range_coder_copies_steps_by_interval():
+    """Before, 15.7 and 11.3 bytes an id."""
+    ids = (np.random.default_rng(1).zipf(1.3, 1_000_000) % 40_000).astype(np.uint32)
+    tracemalloc.start()
+    made = rangecoder.encode(ids)
+    coded = tracemalloc.get_traced_memory()[1] / len(ids)
+    tracemalloc.reset_peak()
+    back = rangecoder.decode(*made, [min(rangecoder.BLOCK, len(ids) - i) for i in range(0, len(ids), rangecoder.BLOCK)])
+    decoded = tracemalloc.get_traced_memory()[1] / len(ids) - sum(map(len, made[1])) / len(ids)
+    tracemalloc.stop()
+    assert (back == ids).all() and coded < 15 and decoded < 10.8
+
+
 def test_every_plain_character_has_the_librarys_ids():
     each = [chr(i) for i in range(1, 0x260)]
     texts = each + [f"a{c}b" for c in each] + [f"{c}{c}'s1{c}" for c in each] + [f"'{c}" for c in each]
