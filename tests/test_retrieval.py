@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,39 @@ def test_few_queries_meet_small_blocks_however_many_references_there_are():
         g, b = identify.blocks(400, there, 12)
         assert g == 1 and there / b <= identify.LEAST_BLOCK and 400 * b <= there + 400
     assert identify.blocks(500_000, 500_000, 12) == (2, 8)  # all with all: as before
+
+
+@pytest.mark.parametrize("kind", ["none", "one", "several", "copies"])
+@pytest.mark.parametrize("n", [1, 2, 8])
+def test_stored_references_read_in_pieces_change_nothing(kind, n, tmp_path):
+    """What earlier pieces have found bounds what is looked at in later ones; the pieces are in no order, and cross files."""
+    r = random.Random(6)
+    refs, asked = sketches(r, kind, 90), sketches(r, kind, 40)
+    asked[3], asked[4] = list(refs[10]), [x if i % 8 else 0 for i, x in enumerate(refs[20])]
+    lists = lambda rows: pa.array(rows, pa.list_(pa.int32()))
+    where, files = r.sample(range(90), 90), []
+    for begin in range(0, 90, 25):
+        part = where[begin : begin + 25]
+        table = pa.table({"tmdb_id": pa.array([k or None for k in part], pa.int64()), "season": pa.array([1] * len(part), pa.int32()), "episode": pa.array([1] * len(part), pa.int32()), "sketch": lists([refs[k] for k in part])})
+        pq.write_table(table, tmp_path / f"{begin}.parquet")
+        files.append(f"file:{tmp_path}/{begin}.parquet")
+    batches = [pa.RecordBatch.from_pydict({"query_id": [f"q{q}" for q in part], "sketch": lists([None if q == 7 else asked[q] for q in part])}) for part in (range(0, 15), range(15, 40))]
+    for at_once in (7, 40, 1000):
+        out = [x for b in identify._streamed(files, n, 10, at_once)(iter(batches)) for x in b.to_pylist()]
+        got = {(int(x["query_id"][1:]), x["tmdb_id"] or 0, x["c"] / sketch.SLOTS) for x in out}
+        assert len(got) == len(out) and got == {x for x in full_scan(asked, refs, n) if x[0] != 7}
+    assert list(identify._streamed(files, n, 10, 7)(iter([batches[0].slice(7, 1)]))) == []
+
+
+def test_all_with_all_shuffles_each_sketch_once(spark, monkeypatch):
+    """Before, each was shuffled for each part of the other side, so four times the rows made sixteen times the disk."""
+    for name in ("LEAST_BLOCK", "BLOCK_REFERENCES", "BLOCK_QUERIES", "STREAM_QUERIES", "STREAM_REFERENCES"):
+        monkeypatch.setattr(identify, name, 100, raising=False)
+    written = []
+    for n in (400, 1600):
+        rows = spark.range(n).select(F.col("id").alias("query_id"), F.col("id").alias("tmdb_id"), F.lit(1).alias("season"), F.lit(1).alias("episode"), F.transform(F.sequence(F.lit(0), F.lit(sketch.SLOTS - 1)), lambda i: F.pmod(F.xxhash64(F.col("id").bitwiseAND(F.lit(1023)), i), F.lit(1 << 32))).alias("sketch"), F.lit(1).alias("hash_count"))
+        before = shuffled(spark)
+        out = identify.similar(rows.select("query_id", "sketch", "hash_count"), rows.drop("query_id"), 1).collect()
+        written.append(shuffled(spark) - before)
+        assert {(x.query_id, x.tmdb_id) for x in out} == {(q, q % 1024) for q in range(n)}  # of equal ones the first
+    assert written[1] < 6 * written[0] and written[1] < 2 * 1600 * 4 * sketch.SLOTS
