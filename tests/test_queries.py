@@ -58,3 +58,11 @@ def test_document_frequency_needs_no_sketches(spark, monkeypatch):
 
     monkeypatch.setitem(plans.TABLES, "catalogue", None)
     assert plans.QUERIES["document_frequency"](spark, "/root/testdata/sf0.001").columns == ["h", "df"]
+
+
+def test_the_estimate_compares_no_fingerprints(spark, monkeypatch):
+    """Before, the close pairs were joined with both sides for overlaps that are dropped."""
+    from echoquorum.operators import identify
+
+    monkeypatch.setattr(identify, "overlap", None)
+    assert_same(QUERIES["anti_poison_screen"](spark, SMALL), ORACLE["anti_poison_screen"], SMALL)
