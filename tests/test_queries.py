@@ -66,3 +66,19 @@ def test_the_estimate_compares_no_fingerprints(spark, monkeypatch):
 
     monkeypatch.setattr(identify, "overlap", None)
     assert_same(QUERIES["anti_poison_screen"](spark, SMALL), ORACLE["anti_poison_screen"], SMALL)
+
+
+def test_contribute_path_shuffles_no_fingerprint_to_find_repeats(spark, monkeypatch):
+    """Before, more keys than are broadcast were joined by a shuffle of the fingerprints."""
+    from test_retrieval import shuffled
+
+    from echoquorum.operators import identify
+    from echoquorum.sources import store
+
+    for module in (store, identify):
+        monkeypatch.setattr(module, "BROADCAST_KEYS", 60)
+    asked, screen = [], identify.screen
+    monkeypatch.setattr(identify, "screen", lambda incoming, references: (asked.append(incoming), screen(incoming, references))[1])
+    assert_same(QUERIES["contribute_path"](spark, SMALL), ORACLE["contribute_path"], SMALL)
+    before = shuffled(spark)
+    assert len(asked[0].collect()) == 200 and shuffled(spark) - before == 0
